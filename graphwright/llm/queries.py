@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import jaccard, secrets
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
+    "op8_jaccard": jaccard.op8_jaccard,
 }
 
 SQL = {
     "op2_secrets": secrets.op2_sql,
+    "op8_jaccard": lambda: jaccard.OP8_SQL,
 }
 
 
