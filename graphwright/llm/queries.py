@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, secrets
+from . import jaccard, langid, secrets
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
+    "op6_language": langid.op6_language,
     "op8_jaccard": jaccard.op8_jaccard,
 }
 
