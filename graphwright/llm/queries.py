@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, secrets
+from . import jaccard, langid, media, secrets, topk
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
+    "op3_topk": topk.op3_topk,
+    "op5_media": media.op5_media,
     "op6_language": langid.op6_language,
     "op8_jaccard": jaccard.op8_jaccard,
 }
 
 SQL = {
     "op2_secrets": secrets.op2_sql,
+    "op3_topk": lambda: topk.OP3_SQL,
     "op8_jaccard": lambda: jaccard.OP8_SQL,
 }
 
