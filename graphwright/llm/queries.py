@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, media, secrets, topk
+from . import jaccard, langid, licences, media, pages, secrets, topk
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
@@ -10,12 +10,15 @@ QUERIES = {
     "op5_media": media.op5_media,
     "op6_language": langid.op6_language,
     "op8_jaccard": jaccard.op8_jaccard,
+    "op9_licences": licences.op9_licences,
+    "op10_pages": pages.op10_pages,
 }
 
 SQL = {
     "op2_secrets": secrets.op2_sql,
     "op3_topk": lambda: topk.OP3_SQL,
     "op8_jaccard": lambda: jaccard.OP8_SQL,
+    "op9_licences": licences.op9_sql,
 }
 
 
