@@ -172,7 +172,9 @@ def similar_classes(docs: DataFrame) -> DataFrame:
 
     postings = docs.mapInArrow(_posting_rows(frequent), "shingle long, sid long, n int, pos int")
     dealt = postings.repartition("shingle")
-    shared = dealt.groupBy("shingle").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("shingle")
+    # All columns are aggregated, so that both sides of the join read one exchange.
+    ends = [f(F.struct("sid", "n", "pos")).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+    shared = dealt.groupBy("shingle").agg(*ends).where("low.sid < high.sid").select("shingle")
     lists = settle(dealt.join(shared, "shingle"))
 
     smallest = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licences, media, pages, secrets, topk
+from . import cotrain, jaccard, langid, licences, media, mixing, pages, secrets, topk
 
 QUERIES = {
+    "op1_quality": cotrain.op1_quality,
     "op2_secrets": secrets.op2_secrets,
     "op3_topk": topk.op3_topk,
+    "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
     "op6_language": langid.op6_language,
     "op8_jaccard": jaccard.op8_jaccard,
