@@ -18,7 +18,9 @@ Method: set-relation skipping over a prefix index.
   different classes, is enumerated in full at the end. No link between different classes can be missed,
   as every linked pair meets in a list and is skipped only if its two sets are connected already.
 
-Candidates are verified by the whole shingle sets of the two texts.
+Candidates first meet a bitmap bound: each set has the parities of its shingles in BITS buckets, and the
+parities in which two sets differ are no more than the shingles in which they differ. What is left is
+verified by the whole shingle sets of the two texts.
 """
 
 from __future__ import annotations
@@ -39,8 +41,11 @@ from .textvec import shingle_sets
 PERCENT = 80
 #: Of the counts of a task those are reported; of the sums so many highest are used.
 LEAST_SEEN, MOST_FREQUENT, LEAST_FREQUENT = 3, 1 << 20, 8
+BITS = 2048
+#: Keys of so many sets may be broadcast; beyond it, the same join is shuffled.
+BROADCAST_KEYS = 1 << 20
 #: Leader rounds go on while the pairs left are more than PAIRS_LEFT a posting, LEADER_ROUNDS at most.
-LEADER_ROUNDS, PAIRS_LEFT = 6, 2
+LEADER_ROUNDS, PAIRS_LEFT = 4, 8
 
 
 def least_overlap(a, b):
@@ -60,24 +65,30 @@ def _sid(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _parities(found: np.ndarray) -> list[int]:
+    counts = np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(counts.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 0: row, sid, n) of the sets, then (kind 1: shingle, times) of this task's frequent shingles."""
+    """Rows (kind 0: row, sid, n, parities) of the sets, then (kind 1: shingle, times) of this task's frequent shingles."""
     seen: list[np.ndarray] = []
     for batch in batches:
-        sids, sizes = [], []
+        sids, sizes, bits = [], [], []
         for found in shingle_sets([t or b"" for t in _texts(batch, "text")]):
             sids.append(_sid(found))
             sizes.append(len(found))
+            bits.append(_parities(found))
             seen.append(found)
         yield pa.RecordBatch.from_pydict(
-            {"kind": pa.array([0] * len(sids), pa.int8()), "doc_id": batch.column("doc_id"), "sid": pa.array(sids, pa.int64()), "n": pa.array(sizes, pa.int64())}
+            {"kind": pa.array([0] * len(sids), pa.int8()), "doc_id": batch.column("doc_id"), "sid": pa.array(sids, pa.int64()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))}
         )
     if seen:
         every, times = np.unique(np.concatenate(seen), return_counts=True)
         often = times >= LEAST_SEEN
         every, times = every[often].view(np.int64), times[often]
         yield pa.RecordBatch.from_pydict(
-            {"kind": pa.array(np.ones(len(every), np.int8)), "doc_id": pa.nulls(len(every), pa.int64()), "sid": pa.array(every), "n": pa.array(times.astype(np.int64))}
+            {"kind": pa.array(np.ones(len(every), np.int8)), "doc_id": pa.nulls(len(every), pa.int64()), "sid": pa.array(every), "n": pa.array(times.astype(np.int64)), "bits": pa.nulls(len(every), pa.list_(pa.int64()))}
         )
 
 
@@ -144,10 +155,30 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _few(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if they are few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and parities leave room for the least overlap."""
+    a, b = (sets.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(((F.col("n_a") + F.col("n_b") - apart) / 2) * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, smallest: DataFrame) -> DataFrame:
+    """The pairs that are links. Only texts that a pair needs are moved, one for each set."""
+    needed = settle(smallest.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", "doc_id"))
+    bearers = _few(needed.select(F.col("doc_id").alias("bearer")).distinct())
+    borne = docs.join(bearers, docs["doc_id"].eqNullSafe(F.col("bearer")), "left_semi").select("text")
+    texts = borne.mapInArrow(_with_sid, "sid long, text string").join(_few(needed.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
     a, b = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return settle(both.mapInArrow(_verified, "a long, b long"))
+    out = settle(both.mapInArrow(_verified, "a long, b long"))
+    drop_settled(needed)
+    return out
 
 
 def _possible(x: str, y: str) -> str:
@@ -166,7 +197,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    found = settle(docs.mapInArrow(_set_rows, "kind byte, doc_id long, sid long, n long"))
+    found = settle(docs.mapInArrow(_set_rows, "kind byte, doc_id long, sid long, n long, bits array<long>"))
     sets = found.where("kind = 0")
     frequent = _frequent(found.where("kind = 1"))
 
@@ -177,25 +208,20 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     shared = dealt.groupBy("shingle").agg(*ends).where("low.sid < high.sid").select("shingle")
     lists = settle(dealt.join(shared, "shingle"))
 
-    smallest = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    members = lists.select("sid").distinct()
-    chosen = smallest.join(members, "sid")
-    bearers = chosen.select(F.col("doc_id").alias("bearer")).distinct()
-    borne = docs.join(bearers, docs["doc_id"].eqNullSafe(bearers["bearer"]), "left_semi").select("text")
-    texts = settle(borne.mapInArrow(_with_sid, "sid long, text string").join(members, "sid", "left_semi").dropDuplicates(["sid"]))
+    one_each = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    smallest = settle(one_each)
 
-    labels = None
-    links = spark.createDataFrame([], "a long, b long")
-    tried = links
+    labels, tried = None, spark.createDataFrame([], "a long, b long")
+    links = tried
+    lists = lists.withColumn("c", F.col("sid"))
     for turn in range(LEADER_ROUNDS + 1):
-        now = lists.withColumn("c", F.col("sid")) if labels is None else lists.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid"))
-        now = settle(now.select("shingle", "sid", "n", "pos", "c"))
-        parts = now.groupBy("shingle", "c").agg(F.count(F.lit(1)).cast("double").alias("m"))
+        parts = lists.groupBy("shingle", "c").agg(F.count(F.lit(1)).cast("double").alias("m"))
         whole = parts.groupBy("shingle").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q")).where("m * m > q")
-        left, rows = whole.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.sum("m")).first()
-        if not left:
+        # A list whose members are of one class by now is done for good.
+        open_lists = settle(lists.join(whole, "shingle"))
+        left, rows = open_lists.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / (2 * F.col("m"))), F.count(F.lit(1))).first()
+        if not rows:
             break
-        open_lists = now.join(whole.select("shingle"), "shingle")
         last = turn == LEADER_ROUNDS or left <= PAIRS_LEFT * rows
         if last:
             pairs = _cross_pairs(open_lists)
@@ -205,13 +231,14 @@ def similar_classes(docs: DataFrame) -> DataFrame:
             pairs = open_lists.alias("x").join(leader.alias("y"), "shingle").where("x.c != y.c AND " + _possible("x", "y"))
             pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
         pairs = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        more = _links(pairs, texts)
-        tried = settle(tried.unionByName(pairs)) if not last else tried
-        links = links.unionByName(more)
-        drop_settled(now)
-        labels = component_labels(links)
+        near = settle(_bounded(pairs, smallest))
+        links = links.unionByName(_links(near, docs, smallest))
+        labels = settle(component_labels(links))
         if last:
             break
+        tried = settle(tried.unionByName(pairs))
+        named = labels.withColumnRenamed("id", "sid").withColumnRenamed("component", "new")
+        lists = open_lists.drop("m", "q").join(named, "sid", "left").withColumn("c", F.coalesce("new", "sid")).drop("new")
 
     if labels is None:
         labels = spark.createDataFrame([], "id long, component long")
