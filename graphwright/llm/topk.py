@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Candidates a block and queries a block. Small tables are cut into PARTS blocks, so that all cores work.
 BLOCK, QUERY_BLOCK, PARTS, LEAST_BLOCK = 8192, 1024, 32, 512
-STEPS = (8, 32, 128, 512)
+STEPS = (16, 128, 1024)
 
 
 def valid_vectors(df: DataFrame, vector: Column, dims: str = "size") -> Column:
@@ -56,7 +56,8 @@ def threshold_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries
                 fresh = np.flatnonzero(mark & ~seen)
             depth = deeper
             seen[fresh] = True
-            best_i, best_s = np.concatenate([best_i, fresh]), np.concatenate([best_s, x[fresh] @ q])
+            scored = x[fresh] @ q if 4 * len(fresh) < n else (x @ q)[fresh]  # one product is cheaper than many rows copied
+            best_i, best_s = np.concatenate([best_i, fresh]), np.concatenate([best_s, scored])
             if len(best_i) > k:
                 kth = np.partition(best_s, len(best_s) - k)[len(best_s) - k]
                 keep = best_s >= kth
