@@ -1,37 +1,5 @@
-"""Cutting lineage in the folder that the cluster shares, so that a lost executor loses nothing."""
+"""The library's way of cutting lineage, under the name that this subpackage uses."""
 
-from __future__ import annotations
+from ..plans.settle import drop_settled, settle, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where the setting is unset (tests on one machine) a
-    temporary folder is made and set on the context."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphwright-"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: a plan of one scan."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_settled(df: DataFrame) -> None:
-    """Deletes the files behind a settled frame that no later step reads."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["drop_settled", "settle", "shared_folder"]
