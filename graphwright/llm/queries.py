@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotrain, jaccard, langid, licences, media, mixing, pages, secrets, topk
+from . import cotrain, jaccard, langid, licences, media, mixing, pages, pieces, secrets, topk
 
 QUERIES = {
     "op1_quality": cotrain.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
     "op6_language": langid.op6_language,
+    "op7_pieces": pieces.op7_pieces,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_licences": licences.op9_licences,
     "op10_pages": pages.op10_pages,
