@@ -45,7 +45,7 @@ BITS = 2048
 #: Keys of so many sets may be broadcast; beyond it, the same join is shuffled.
 BROADCAST_KEYS = 1 << 20
 #: Leader rounds go on while the pairs left are more than PAIRS_LEFT a posting, LEADER_ROUNDS at most.
-LEADER_ROUNDS, PAIRS_LEFT = 4, 8
+LEADER_ROUNDS, PAIRS_LEFT = 3, 8
 
 
 def least_overlap(a, b):
