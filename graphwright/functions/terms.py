@@ -113,20 +113,23 @@ LEXICAL = {
 }
 
 
-def c_ill_typed(t: Column) -> Column:
-    """True for a literal whose text isn't a form of its datatype; unknown datatypes are never ill-typed."""
+def c_ill_typed(t: Column, known: str | None = None) -> Column:
+    """True for a literal whose text isn't a form of its datatype; unknown datatypes are never ill-typed. With
+    ``known``, the name of an XSD datatype that the caller tests besides, only that one's rules are planned."""
     name, text = c_local_type(t), c_text(t)
     bad = F.lit(False)
-    for pattern in sorted(set(LEXICAL.values())):
-        names = [n for n, p in LEXICAL.items() if p == pattern]
+    lexical = {n: p for n, p in LEXICAL.items() if known in (None, n)}
+    for pattern in sorted(set(lexical.values())):
+        names = [n for n, p in lexical.items() if p == pattern]
         bad = bad | (name.isin(*names) & ~F.rlike(text, F.lit(f"^(?:{pattern})$")))
-    number = F.try_cast(text, "decimal(38,0)") if hasattr(F, "try_cast") else text.try_cast("decimal(38,0)")
-    for n, (low, high) in BOUNDS.items():
+    number = text.try_cast("decimal(38,0)")
+    for n, (low, high) in {n: b for n, b in BOUNDS.items() if known in (None, n)}.items():
         if low is not None:
             bad = bad | ((name == n) & (number < F.lit(low).cast("decimal(38,0)")))
         if high is not None:
             bad = bad | ((name == n) & (number > F.lit(str(high)).cast("decimal(38,0)")))
-    bad = bad | (name.isin("date") & F.substring(text, 1, 10).try_cast("date").isNull()) | (name.isin("dateTime") & F.substring(text, 1, 10).try_cast("date").isNull())
+    if known in (None, "date", "dateTime"):
+        bad = bad | (name.isin("date", "dateTime") & F.substring(text, 1, 10).try_cast("date").isNull())
     return c_is_literal(t) & F.coalesce(bad, F.lit(False))
 
 
@@ -138,6 +141,21 @@ def _exact(t: Column) -> Column:
     return F.when(c_local_type(t).isin(*EXACT), c_text(t).try_cast("decimal(38,12)"))
 
 
+def c_compare_with(a: Column, constant: str) -> Column:
+    """``c_compare`` with a constant literal: only the rules of its type are planned."""
+    if lang_of(constant):
+        return c_compare(a, F.lit(constant))
+    name, text = datatype_of(constant).removeprefix(XSD), lexical_of(constant)
+    sign = lambda x, y: F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+    if name in NUMERIC:
+        number = c_number(a)
+        exact = sign(_exact(a), F.lit(text).try_cast("decimal(38,12)")) if name in EXACT else F.lit(None).cast("int")
+        return F.when(~F.isnan(number), F.coalesce(exact, sign(number, c_number(F.lit(constant)))))
+    if name == "string":
+        return F.when(c_local_type(a) == "string", sign(c_text(a), F.lit(text)))
+    return c_compare(a, F.lit(constant))
+
+
 def c_compare(a: Column, b: Column) -> Column:
     """-1, 0 or 1 for literals whose values can be compared, else null: numbers with numbers, strings with
     strings, booleans with booleans, dates and times with their like, zoned with zoned only. NaN compares with nothing."""

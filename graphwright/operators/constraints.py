@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
-from ..functions.terms import RDF, RDFS, SH, TRUE, TYPE, is_literal, lexical_of
+from ..functions.terms import RDFS, SH, TRUE, TYPE, is_literal, lexical_of
 from ..plans.shapes import ConstraintLoadError, Shape, integer, sh
 from .targets import instances
 
-V, NONE = F.col("v"), F.lit(None).cast("string")
+def _v() -> Column:
+    return F.col("v")
+
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _one(shape: Shape, name: str) -> str:
@@ -32,7 +37,7 @@ def _fails(ok: Column) -> Column:
 
 
 def _no_value(frame: DataFrame) -> DataFrame:
-    return frame.select("f", NONE.alias("v"))
+    return frame.select("f", _none().alias("v"))
 
 
 def class_(run, shape, F_, FV):
@@ -46,11 +51,11 @@ def class_(run, shape, F_, FV):
 def datatype(run, shape, F_, FV):
     want = lexical_of(_one(shape, "datatype"))
     if want == RDFS + "Literal":
-        ok = t.c_is_literal(V)
+        ok = t.c_is_literal(_v())
     elif want == RDFS + "Datatype":
-        ok = t.c_is_literal(V) & t.c_lang(V).isNull()
+        ok = t.c_is_literal(_v()) & t.c_lang(_v()).isNull()
     else:
-        ok = (t.c_datatype(V) == want) & ~t.c_ill_typed(V)
+        ok = (t.c_datatype(_v()) == want) & ~t.c_ill_typed(_v(), want.removeprefix(t.XSD))
     return FV.where(_fails(ok))
 
 
@@ -60,14 +65,14 @@ def node_kind(run, shape, F_, FV):
     named = [test for name, test in tests.items() if name in kind]
     if not named:
         raise ConstraintLoadError(f"{kind} is no node kind")
-    return FV.where(~reduce(lambda a, b: a | b, [test(V) for test in named]))
+    return FV.where(~reduce(lambda a, b: a | b, [test(_v()) for test in named]))
 
 
 def _range(name: str, test):
     def component(run, shape, F_, FV):
         if any(not is_literal(x) for x in shape.get(name)):
             raise ConstraintLoadError(f"sh:{name} needs a literal")
-        out = [FV.where(_fails(test(t.c_compare(V, F.lit(limit))))) for limit in shape.get(name)]
+        out = [FV.where(_fails(test(t.c_compare_with(_v(), limit)))) for limit in shape.get(name)]
         return reduce(DataFrame.unionByName, out)
 
     return component
@@ -80,7 +85,7 @@ def _length(name: str, test):
             raise ConstraintLoadError(f"sh:{name} can't be negative")
         if name == "minLength" and n == 0:
             return FV.where(F.lit(False))
-        return FV.where(t.c_is_blank(V) | ~test(F.length(t.c_text(V)), n))
+        return FV.where(t.c_is_blank(_v()) | ~test(F.length(t.c_text(_v())), n))
 
     return component
 
@@ -92,19 +97,19 @@ def java_pattern(pattern: str) -> str:
 
 def pattern(run, shape, F_, FV):
     flags = "".join(c for x in shape.get("flags")[:1] for c in lexical_of(x) if c in "imsx")
-    out = [FV.where(t.c_is_blank(V) | ~F.rlike(t.c_text(V), F.lit((f"(?{flags})" if flags else "") + java_pattern(lexical_of(p))))) for p in shape.get("pattern")]
+    out = [FV.where(t.c_is_blank(_v()) | ~F.rlike(t.c_text(_v()), F.lit((f"(?{flags})" if flags else "") + java_pattern(lexical_of(p))))) for p in shape.get("pattern")]
     return reduce(DataFrame.unionByName, out)
 
 
 def language_in(run, shape, F_, FV):
     tags = [lexical_of(x).lower() for x in run.shapes.items(_one(shape, "languageIn"))]
-    lang = F.lower(t.c_lang(V))
+    lang = F.lower(t.c_lang(_v()))
     ok = lang.isNotNull() if "*" in tags else lang.isin(*tags) | F.substring_index(lang, "-", 1).isin(*tags) if tags else F.lit(False)
     return FV.where(_fails(ok))
 
 
 def in_(run, shape, F_, FV):
-    return FV.where(~V.isin(*run.shapes.items(_one(shape, "in"))))
+    return FV.where(~_v().isin(*run.shapes.items(_one(shape, "in"))))
 
 
 def closed(run, shape, F_, FV):
@@ -146,12 +151,12 @@ def unique_lang(run, shape, F_, FV):
     _property_only(shape, "uniqueLang")
     if _one(shape, "uniqueLang") != TRUE:
         return None
-    lang = F.lower(t.c_lang(V))
+    lang = F.lower(t.c_lang(_v()))
     return _no_value(FV.where(lang.isNotNull()).groupBy("f", lang.alias("l")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
 
 
 def has_value(run, shape, F_, FV):
-    return reduce(DataFrame.unionByName, [_no_value(F_.join(FV.where(V == x), "f", "left_anti")) for x in shape.get("hasValue")])
+    return reduce(DataFrame.unionByName, [_no_value(F_.join(FV.where(_v() == x), "f", "left_anti")) for x in shape.get("hasValue")])
 
 
 def _other(run, F_, p: str) -> DataFrame:
@@ -181,7 +186,7 @@ def _less(name: str, test):
                 raise ConstraintLoadError(f"sh:{name} needs an IRI")
             other = _other(run, F_, p).withColumnRenamed("v", "w")
             w = F.col("w")
-            sign = F.when(t.c_is_iri(V) & t.c_is_iri(w), F.when(V < w, -1).when(V > w, 1).otherwise(0)).otherwise(t.c_compare(V, w))
+            sign = F.when(t.c_is_iri(_v()) & t.c_is_iri(w), F.when(_v() < w, -1).when(_v() > w, 1).otherwise(0)).otherwise(t.c_compare(_v(), w))
             out.append(FV.join(other, "f").where(_fails(test(sign))).select("f", "v"))
         return reduce(DataFrame.unionByName, out)
 
@@ -297,4 +302,3 @@ COMPONENTS = {
     "qualifiedMaxCount": ("QualifiedMaxCount", qualified_max, "Focus node does not conform to shape MaxCount {p}"),
 }
 LIST_PARAMETERS = ("in", "languageIn", "and", "or", "xone")
-assert RDF
