@@ -59,8 +59,8 @@ def expression_values(run, node: str, nodes: DataFrame, depth: int = 0) -> DataF
             named = [n for n, *_ in wanted]
             renamed = rows.select("f", *[F.col(f"a{i}").alias(n) for i, n in enumerate(named)])
             own.scope, own.maybe = set(), getattr(own, "maybe", set())
-            answers = own.call(name, renamed.select(*named).distinct())
-            match = reduce(lambda a, b: a & b, [renamed[n].eqNullSafe(answers[n]) for n in named], F.lit(True))
+            answers = own.call(name, renamed.select(*named).distinct()).select(*[F.col(n).alias(f"_k{i}") for i, n in enumerate(named)], "_result")
+            match = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_k{i}")) for i, n in enumerate(named)], F.lit(True))
             return renamed.join(answers, match).where("_result IS NOT NULL").select("f", F.col("_result").alias("v")).distinct()
     if node.startswith("<"):
         return nodes.select("f", F.lit(node).alias("v"))

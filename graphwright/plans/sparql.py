@@ -61,11 +61,20 @@ class Engine:
             return a & b if op == "&&" else a | b
         if op == "!":
             return ~self.bool_of(e[1])
-        if op in ("=", "!="):
-            same = _eq(self.term_of(e[1]), self.term_of(e[2]))
-            return same if op == "=" else ~same
-        if op in ("<", ">", "<=", ">="):
-            c = t.c_compare(self.term_of(e[1]), self.term_of(e[2]))
+        if op in ("=", "!=", "<", ">", "<=", ">="):
+            if e[1][0] == "term" and e[2][0] != "term":  # the constant to the right
+                return self.bool_of(({"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op), e[2], e[1]))
+            constant = e[2][1] if e[2][0] == "term" else None
+            a, b = self.term_of(e[1]), self.term_of(e[2])
+            if op in ("=", "!="):
+                if constant is None:
+                    same = _eq(a, b)
+                elif t.is_literal(constant):
+                    same = F.when(a == b, True).when(t.c_is_literal(a), t.c_compare_with(a, constant) == 0).otherwise(False)
+                else:
+                    same = a == b
+                return same if op == "=" else ~same
+            c = t.c_compare(a, b) if constant is None or not t.is_literal(constant) else t.c_compare_with(a, constant)
             return {"<": c < 0, ">": c > 0, "<=": c <= 0, ">=": c >= 0}[op]
         if op in ("in", "not in"):
             a = self.term_of(e[1])
@@ -183,6 +192,14 @@ class Engine:
             now, y = self.prepare(now, x, seed)
             out.append(y)
         e = (e[0], *out) if isinstance(e[0], str) else tuple(out)
+        if e[0] in ("=", "!=", "<", ">", "<=", ">=", "+", "-", "*", "/"):
+            # Operands are used many times over: each is a column of its own, so that plans stay small.
+            for i in (1, 2):
+                if e[i][0] not in ("var", "term", "column"):
+                    name = self.fresh("op")
+                    self.scope = set(now.columns)
+                    now = now.withColumn(name, self.term_of(e[i]))
+                    e = (*e[:i], ("column", name), *e[i + 1 :])
         if e[0] == "call" and e[1] in self.functions:
             names, q = self.functions[e[1]]
             if len(names) != len(e[2]):
@@ -251,7 +268,7 @@ class Engine:
                 if part[2] in now.columns:
                     raise SparqlError(f"?{part[2]} is bound already")
                 now = self.with_terms(now, {part[2]: part[1]}, seed)
-                now = now.select(*[c for c in now.columns if not c.startswith(("_flag", "_call"))])
+                now = now.select(*[c for c in now.columns if not c.startswith(("_flag", "_call", "_op"))])
                 self.maybe.add(part[2])
             elif kind == "optional":
                 shared = sorted(variables(part[1]) & set(now.columns) | (set(seed.columns) if seed is not None else set()))
@@ -401,5 +418,5 @@ class Engine:
         self.scope = set(found.columns)
         value = lambda x: self.term_of(x) if x[0] != "path" else F.lit(x[1][1])
         rows = F.array(*[F.struct(value(s).alias("s"), value(p).alias("p"), value(o).alias("o")) for s, p, o in q.template])
-        out = found.select(F.explode(rows).alias("x")).select("x.*").where("s IS NOT _null() AND p IS NOT _null() AND o IS NOT _null()")
+        out = found.select(F.explode(rows).alias("x")).select("x.*").where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
         return out.where(~F.startswith("s", F.lit('"')) & F.startswith("p", F.lit("<"))).distinct()
