@@ -99,7 +99,7 @@ def parameters(shapes: ShapesGraph, node: str) -> list[tuple[str, str, bool]]:
         if path is None or not path.startswith("<"):
             raise ConstraintLoadError(f"a parameter of {node} needs an IRI as its path")
         order = shapes.value(p, "order")
-        name = re.split("[#/]", path[1:-1])[-1]
+        name = re.split("[#/:]", path[1:-1])[-1]
         found.append((float(lexical_of(order)) if order else 0.0, name, path, TRUE in shapes.values(p, "optional")))
     return [(name, path, optional) for _, name, path, optional in sorted(found)]
 
@@ -185,8 +185,8 @@ def _component(run, shape: Shape, component: str, nodes: DataFrame, found: DataF
     if asks := shapes.values(validator, "ask"):
         q = read(shapes, validator, lexical_of(asks[0]), path, bound)
         seed = _seed(nodes, found, given)
-        good = engine(run).solve(q, seed).select("this", "value").distinct()
-        bad = seed.join(good, ["this", "value"], "left_anti")
+        good = engine(run).solve(q, seed).select("this", "value").distinct().withColumn("_good", F.lit(True))
+        bad = seed.join(good, ["this", "value"], "left").where("_good IS NULL").drop("_good")
         messages = _message(run, template, bad.columns, shown)
         return _selected(run, shape, bad, path, component, messages)
     q = read(shapes, validator, lexical_of(shapes.values(validator, "select")[0]), path, bound)
