@@ -133,7 +133,7 @@ def read_ntriples(spark: SparkSession, path: str) -> TripleTable:
     part = lambda i: F.regexp_extract("value", _LINE, i)
     rows = spark.read.text(path).where(F.rlike("value", F.lit(_LINE))).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"), F.nullif(part(4), F.lit("")).alias("g"))
     o = F.col("o")
-    for escape, char in (('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\\\", "\\")):
+    for escape, char in (("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\x00", "\\")):  # a doubled backslash is set aside first
         o = F.replace(o, F.lit(escape), F.lit(char))
     plain = F.when(F.startswith(o, F.lit('"')) & F.endswith(o, F.lit('"')), F.concat(o, F.lit(f"^^<{XSD}string>"))).otherwise(o)
     return TripleTable(spark, rows.withColumn("o", plain).distinct())
