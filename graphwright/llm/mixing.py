@@ -38,15 +38,20 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), WORDS)
 
 
-def tokens_of(text: Column, w: Column) -> Column:
-    """The words and words for the text's shape: ``#signs1`` .. are classes of the share of signs, ``#upper`` of
-    capitals, ``#again`` of repeated words. No word begins with #."""
-    n = F.greatest(F.length(text), F.lit(1))
-    gone = lambda chars: (n - F.length(F.translate(text, chars, ""))) / n
-    signs, upper = gone("%*#$&|+=<>{}[]~^_/\\@"), gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    again = 1 - F.size(F.array_distinct(w)) / F.size(w)
-    mark = lambda name, x, *edges: F.concat(F.lit("#" + name), sum((F.when(x > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("string"))
-    return F.concat(w, F.array(mark("signs", signs, 0.002, 0.02, 0.08), mark("upper", upper, 0.06, 0.3), mark("again", again, 0.35, 0.6, 0.8)))
+def shaped(rows: DataFrame) -> DataFrame:
+    """Rows with ``text`` (not null), as the same rows with ``words`` and ``shape`` in its place: words for classes of the
+    share of signs (``#signs1`` ..), of capitals (``#upper``) and of repeated words (``#again``). No word begins with #."""
+    kept = [c for c in rows.columns if c != "text"]
+    split = rows.select(*kept, "text", words(F.col("text")).alias("words"))
+    n = F.greatest(F.length("text"), F.lit(1))
+    gone = lambda chars: (n - F.length(F.translate(F.col("text"), chars, ""))) / n
+    # Each share is a column of its own: it is compared with several edges.
+    shares = split.select(
+        *kept, "words", gone("%*#$&|+=<>{}[]~^_/\\@").alias("signs"), gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("upper"),
+        (1 - F.size(F.array_distinct("words")) / F.size("words")).alias("again"),
+    )
+    mark = lambda name, *edges: F.concat(F.lit("#" + name), sum((F.when(F.col(name) > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("string"))
+    return shares.select(*kept, "words", F.array(mark("signs", 0.002, 0.02, 0.08), mark("upper", 0.06, 0.3), mark("again", 0.35, 0.6, 0.8)).alias("shape"))
 
 
 def fit_markers(labelled: DataFrame, domain: Column) -> tuple[list[str], dict[str, list[float]], list[float]]:
@@ -60,7 +65,7 @@ def fit_markers(labelled: DataFrame, domain: Column) -> tuple[list[str], dict[st
     domains = sorted(sizes)
     if not domains:
         return [], {}, []
-    tokens = rows.select("domain", F.explode(F.array_distinct(tokens_of(F.col("text"), words(F.col("text"))))).alias("word")).where("word != ''")
+    tokens = shaped(rows.select("domain", "text")).select("domain", F.explode(F.array_distinct(F.concat("words", "shape"))).alias("word")).where("word != ''")
     has = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"d{i}") for i, d in enumerate(domains)]
     counts = tokens.groupBy("word").agg(*has, F.count(F.lit(1)).alias("all")).where(F.col("all") >= LEAST_DOCS)
     total = sum(sizes.values())
@@ -104,9 +109,10 @@ def mix_rates(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[
     domains, weights, prior = fit_markers(docs.join(known, "doc_id"), F.col("__domain"))
     if not domains:
         return docs.select("doc_id", F.size(F.filter(words(F.coalesce("text", F.lit(""))), lambda w: w != "")).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(None).cast("string").alias("domain"), F.lit(float(budget)).alias("rate"))
-    split = docs.select("doc_id", "text", words(F.coalesce("text", F.lit(""))).alias("w"))
+    split = shaped(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     listed = F.array(*[F.lit(w) for w in sorted(weights)]) if weights else F.array().cast("array<string>")
-    met = split.select("doc_id", (F.size("w") - F.when(F.element_at("w", 1) == "", 1).otherwise(0) - F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)).cast("long").alias("n_tokens"), F.array_intersect(tokens_of(F.coalesce("text", F.lit("")), F.col("w")), listed).alias("found"))
+    empty = F.when(F.element_at("words", 1) == "", 1).otherwise(0) + F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
+    met = split.select("doc_id", (F.size("words") - empty).cast("long").alias("n_tokens"), F.concat(F.array_intersect("words", listed), F.array_intersect("shape", listed)).alias("found"))
     # The posterior is a few numbers; the texts aren't read again.
     rows = settle(met.select("doc_id", "n_tokens", posteriors(F.col("found"), weights, prior).alias("posterior")))
 
