@@ -34,7 +34,7 @@ def read_text(source: str) -> str:
 
 
 def load(spark: SparkSession, source: Source, scope: str = "") -> Graph:
-    """A graph, a frame (s, p, o), RDF text, or a path. N-Triples and N-Quads files are read in parallel by Spark;
+    """A graph, a frame (s, p, o), RDF text, or a path. N-Triples, N-Quads and HexTuples files are read in parallel by Spark;
     other files and texts on the driver."""
     if isinstance(source, Graph):
         return source
@@ -44,6 +44,10 @@ def load(spark: SparkSession, source: Source, scope: str = "") -> Graph:
         from .sources.graph import read_ntriples
 
         return read_ntriples(spark, source)
+    if not looks_like_text(source) and re.search(r"\.hext(\.gz|\.bz2)?$", source):
+        from .sources.graph import read_hextuples
+
+        return read_hextuples(spark, source)
     return from_text(spark, read_text(source), scope=scope)
 
 

@@ -139,6 +139,20 @@ def read_ntriples(spark: SparkSession, path: str) -> TripleTable:
     return TripleTable(spark, rows.withColumn("o", plain).distinct())
 
 
+def read_hextuples(spark: SparkSession, path: str) -> TripleTable:
+    """HexTuples (a JSON array of six strings a line) of any size, by native JSON functions; other lines are skipped."""
+    x = F.col("x")
+    node = lambda t: F.when(F.startswith(t, F.lit("_:")), t).otherwise(F.concat(F.lit("<"), t, F.lit(">")))
+    value, kind, lang = x[2], x[3], F.get("x", F.lit(4))
+    o = (
+        F.when(kind.isin("globalId", "localId"), node(value))
+        .when(F.coalesce(lang, F.lit("")) != "", F.concat(F.lit('"'), value, F.lit('"@'), lang))
+        .otherwise(F.concat(F.lit('"'), value, F.lit('"^^<'), F.when(F.coalesce(kind, F.lit("")) == "", XSD + "string").otherwise(kind), F.lit(">")))
+    )
+    rows = spark.read.text(path).select(F.from_json("value", "array<string>").alias("x")).where(F.size("x") >= 4)
+    return TripleTable(spark, rows.select(node(x[0]).alias("s"), F.concat(F.lit("<"), x[1], F.lit(">")).alias("p"), o.alias("o"), F.nullif(F.get("x", F.lit(5)), F.lit("")).alias("g")).distinct())
+
+
 def escaped(term: Column) -> Column:
     out = term
     for char, escape in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
@@ -154,4 +168,4 @@ def write_ntriples(frame: DataFrame, path: str) -> None:
 
 
 NIL, FIRST, REST = f"<{RDF}nil>", f"<{RDF}first>", f"<{RDF}rest>"
-__all__ = ["EX", "FIRST", "Graph", "MappedTables", "NIL", "REST", "SUBCLASS", "TripleTable", "from_text", "mapped", "read_ntriples", "write_ntriples"]
+__all__ = ["EX", "FIRST", "Graph", "MappedTables", "NIL", "REST", "SUBCLASS", "TripleTable", "from_text", "mapped", "read_hextuples", "read_ntriples", "write_ntriples"]

@@ -9,7 +9,7 @@ from graphwright.operators.paths import values
 from graphwright.plans.shapes import ShapeLoadError, ShapesGraph, path_text
 from graphwright.plans.sparql import Engine
 from graphwright.plans.sparql_parser import parse_query
-from graphwright.sources.graph import from_text, read_ntriples, write_ntriples
+from graphwright.sources.graph import from_text, read_hextuples, read_ntriples, write_ntriples
 from graphwright.sources.turtle import TurtleError, parse
 
 HEAD = "@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix ex: <urn:ex:> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n"
@@ -98,3 +98,10 @@ def test_ntriples_round_trip(spark, tmp_path):
     write_ntriples(graph.frame, str(tmp_path / "out"))
     back = read_ntriples(spark, str(tmp_path / "out")).triples()
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in graph.triples().collect()}
+
+
+def test_hextuples(spark, tmp_path):
+    lines = ['["urn:a","urn:p","_:b","localId","",""]', '["urn:a","urn:p","hi","http://www.w3.org/1999/02/22-rdf-syntax-ns#langString","en","urn:g"]', '["_:b","urn:q","5","%sinteger","",""]' % XSD, "junk", ""]
+    (tmp_path / "x.hext").write_text("\n".join(lines))
+    got = {tuple(r) for r in read_hextuples(spark, str(tmp_path / "x.hext")).triples().collect()}
+    assert got == {("<urn:a>", "<urn:p>", "_:b"), ("<urn:a>", "<urn:p>", '"hi"@en'), ("_:b", "<urn:q>", f'"5"^^<{XSD}integer>')}
