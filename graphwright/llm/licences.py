@@ -1,9 +1,11 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-1. A text is cut into sentences (at line ends and at . ; : ! ? before white space), and each sentence is
+1. A text is cut into sentences at blank lines and at . ; : ! ? before white space, and each sentence is
    normalised: lower case, runs of other characters than letters and digits as one space. Comment signs
-   at the starts of lines go with them.
-2. Sentences that equal a known licence sentence become its identifier: the sequence keeps their order;
+   at the starts of lines go first, so a line of nothing else is blank. Single line ends are kept as marks.
+2. Whole lines of a sentence, one or several in a row, that equal a known licence sentence become its
+   identifier; the longest one counts, so wrapped sentences are found as well as titles on lines of their
+   own. What is left is text, line by line. The sequence keeps the order;
    identifiers that follow each other directly are joined by ``,``, others by ``;`` (text came between).
 3. Ordered rules match the sequence. The first rule that matches takes its part of it, and later rules
    see what is left, so a text can have several licences; identifiers that no rule takes are ``unmatched``.
@@ -45,6 +47,24 @@ SENTENCES = {
     "mplRef": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "reserved": ["All rights reserved."],
 }
+#: Sentences of further licences. They and MORE_RULES come after the others, which see no identifier of theirs.
+MORE_SENTENCES = {
+    "gplTerms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "lgplTerms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "v2Later": ["either version 2 of the License, or (at your option) any later version."],
+    "v21Later": ["either version 2.1 of the License, or (at your option) any later version."],
+    "v3Later": ["either version 3 of the License, or (at your option) any later version."],
+    "gpl2Free": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."],
+    "lgpl21Free": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl3Free": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl3Free": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgplHope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "iscRef": ["ISC License", "Licensed under the ISC License.", "Released under the ISC License."],
+    "iscPerm": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "iscAsIs": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
+    "unlicRef": ["This is free and unencumbered software released into the public domain."],
+    "unlicUse": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+}
 #: Rules in the order in which they are tried; a name in a rule stands for an identifier.
 RULES = [
     ("MIT", "(?:mitRef[,;])?mitPerm[,;]mitNotice(?:[,;]mitAsIs)?"),
@@ -63,6 +83,18 @@ RULES = [
     ("MPL-2.0", "mplRef"),
     ("all-rights-reserved", "reserved"),
 ]
+_HOPE = "(?:[,;](?:gplHope|lgplHope))*"
+#: As RULES, tried after them. Before version 3 the notice has a ; between the terms and the version.
+MORE_RULES = [
+    ("GPL-3.0-or-later", "gplTerms[,;]v3Later" + _HOPE),
+    ("GPL-2.0-or-later", "(?:gplTerms[,;]v2Later|gpl2Free)" + _HOPE),
+    ("LGPL-3.0-or-later", "(?:lgplTerms[,;]v3Later|lgpl3Free)" + _HOPE),
+    ("LGPL-2.1-or-later", "(?:lgplTerms[,;]v21Later|lgpl21Free)" + _HOPE),
+    ("AGPL-3.0-or-later", "agpl3Free" + _HOPE),
+    ("ISC", "(?:iscRef[,;])?iscPerm(?:[,;]iscAsIs)?"),
+    ("ISC", "iscRef"),
+    ("Unlicense", "unlicRef(?:[,;]unlicUse)?"),
+]
 _BREAK = r"[\n\r]+|[.;:!?]+(?=[ \t\n\r]|$)"
 
 
@@ -93,12 +125,24 @@ def anchors(known: dict[str, str]) -> list[str]:
 def _sequence(text: Column, known: dict[str, str]) -> Column:
     """``;``-led sequence of identifiers: ``,`` before one whose sentence follows the one before directly."""
     names = sorted(set(known.values()))
-    least, most = min(map(len, known)), max(map(len, known))
     forms = sorted(known)
     listed = F.array(*[F.lit(s) for s in forms])
-    # Only sentences of a possible length are normalised and looked up; a sentence of many signs may shrink.
-    parts = F.filter(F.transform(F.split(text, _BREAK), lambda s: F.when(F.length(s) >= least, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))).otherwise(F.trim(s))), lambda s: F.length(s) > 0)
-    at = F.transform(parts, lambda s: F.when(F.length(s).between(least, most), F.array_position(listed, s)).otherwise(F.lit(0).cast("long")))
+    # Capitals are free for marks in a lower-case text: B is the end of a sentence, a line feed a single line end.
+    marked = F.lower(text)
+    for pattern, to in (
+        ("\\r\\n?", "\n"),
+        ("(?md)^[^\\p{L}\\p{N}\n]+", ""),
+        ("\n\n+|[.;:!?]+(?=[ \\t\n]|$)", "B"),
+        ("[^a-z0-9B\n]+", " "),
+        ("[ \n]*B[ B\n]*", "B"),
+        ("[ \n]*\n[ \n]*|^ +| +$", "\n"),
+    ):
+        marked = F.regexp_replace(marked, pattern, to)
+    # A known sentence may have a line end at any space; it starts and ends at a mark, as each line does.
+    whole = "|".join(s.replace(" ", "[ \n]") for s in sorted(forms, key=len, reverse=True))
+    parts = F.regexp_extract_all(marked, F.lit(f"(?:{whole})(?=[B\n]|$)|[^B\n]+"), F.lit(0))
+    least, most = min(map(len, known)), max(map(len, known))
+    at = F.transform(parts, lambda s: F.when(F.length(s).between(least, most), F.array_position(listed, F.translate(s, "\n", " "))).otherwise(F.lit(0).cast("long")))
     name_of = F.array(*[F.lit(names.index(known[s])) for s in forms])
     labels = F.array(*[F.lit(n) for n in names])
     step = lambda x: F.element_at(labels, F.element_at(name_of, x.cast("int")) + 1)
@@ -115,7 +159,7 @@ def _sequence(text: Column, known: dict[str, str]) -> Column:
     ).otherwise(F.lit(""))
 
 
-def scan_licences(docs: DataFrame, text_col: str = "text", table: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+def scan_licences(docs: DataFrame, text_col: str = "text", table: dict[str, list[str]] = SENTENCES | MORE_SENTENCES, rules: list[tuple[str, str]] = RULES + MORE_RULES) -> DataFrame:
     """``docs`` with ``sentence_ids`` (the identifier sequence), ``licences`` (array of the matched rules' names,
     each once, in rule order) and ``unmatched`` (number of identifiers that no rule took).
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -134,6 +135,34 @@ def test_licences(spark):
     assert got == {0: ([], 0), 1: ([], 0), 2: (["MIT", "all-rights-reserved"], 0), 3: (["MIT"], 0), 4: ([], 0)} or got[3] == (["MIT"], 0)
 
 
+def test_wrapped_and_commented_licences(spark):
+    """Texts filled to 60 columns, plain and in comments."""
+    forms = {k: v[0] for k, v in (licences.SENTENCES | licences.MORE_SENTENCES).items()}
+    filled = lambda *paragraphs: "\n\n".join(textwrap.fill(p, 60) for p in paragraphs)
+    bsd = ["Copyright (c) 2020, A. All rights reserved.", forms["bsdPerm"] + ":", "1. " + forms["bsdSource"], "2. " + forms["bsdBinary"], "3. " + forms["bsdEndorse"]]
+    free = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    hope = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    texts = [
+        (["MIT"], filled("MIT License", "Copyright (c) 2020 A", forms["mitPerm"] + ":", forms["mitNotice"], forms["mitAsIs"])),
+        (["MIT"], "MIT License\nCopyright (c) 2020 A\n" + filled(forms["mitPerm"] + ":", forms["mitNotice"])),
+        (["BSD-3-Clause", "all-rights-reserved"], filled(*bsd)),
+        (["BSD-2-Clause", "all-rights-reserved"], filled(*bsd[:4])),
+        (["Apache-2.0"], filled(" ".join([forms["apacheRef"][:-1] + ' (the "License");', forms["apacheUse"], forms["apacheCopy"]]), "http://www.apache.org/licenses/LICENSE-2.0", forms["asIsApache"])),
+        (["GPL-3.0-or-later"], filled(free.format("program", ":", "", ",", "3"), hope)),
+        (["GPL-2.0-or-later"], filled(free.format("program", ";", "", ";", "2"), hope)),
+        (["LGPL-2.1-or-later"], filled(free.format("library", ";", "Lesser ", ";", "2.1"))),
+        (["AGPL-3.0-or-later"], filled(free.format("program", ":", "Affero ", ",", "3"))),
+        (["ISC"], filled("ISC License", "Copyright (c) 2020 A", forms["iscPerm"], forms["iscAsIs"])),
+        (["Unlicense"], filled(forms["unlicRef"], forms["unlicUse"])),
+        ([], filled("This text of several lines speaks of the MIT License and of what it says on the use of software by others")),
+    ]
+    rows = [(i, text) for i, (_, text) in enumerate(texts)]
+    for n, sign in enumerate(("# ", " * ", "// ", ";; "), start=1):
+        rows += [(i + 100 * n, "".join(f"{sign}{line}".rstrip() + "\r\n" for line in text.split("\n"))) for i, (_, text) in enumerate(texts)]
+    got = {r.doc_id: (r.licences, r.unmatched) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {i: (texts[i % 100][0], 0) for i, _ in rows}
+
+
 def test_pages(spark):
     body = "<html><body><nav><a href=x>Menu</a></nav><div class='box'><h2>T{0}</h2><p>Text {0} &amp; more\n of   it<p>Two {0}</div><div id='comments'><p>Nice!</p></div><footer>f</footer></body>"
     rows = [(i, "http://h.example/%d" % i, body.format(i)) for i in range(4)] + [(9, None, None), (10, "http://x.example/", "")]
