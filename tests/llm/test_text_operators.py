@@ -170,6 +170,21 @@ def test_pages(spark):
     assert got[2] == "T2 Text 2 & more of it Two 2" and got[9] == "" and got[10] == ""
 
 
+def test_pages_keep_whole_articles(spark):
+    """A heading and a last section outside the widest box, a box that one long page uses differently, and no article element."""
+    words = "many more words of the text " * 20
+    whole = "<html><body><div class='logo'>Logo</div><article><h1>H{0}</h1><div class='body'>B{0} %s</div><section>L{0}</section></article></body></html>" % words
+    long = "<article><p>A{0} %s</p><div class='x'>X{0}</div></article>" % words
+    bare = "<body><div class='logo'>Logo</div><h1>H{0}</h1><div class='body'>B{0} %s</div><div class='end'>L{0}</div></body>" % words
+    rows = [(i, f"http://w.example/{i}", whole.format(i)) for i in range(5)]
+    rows += [(10 + i, f"http://x.example/{i}", long.format(i)) for i in range(4)] + [(19, "http://x.example/9", f"<article><div class='x'>{words * 50}</div></article>")]
+    rows += [(20 + i, f"http://b.example/{i}", bare.format(i)) for i in range(5)]
+    got = {r.page_id: r.main_text for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == f"H2 B2 {words}".strip() + " L2"
+    assert got[12] == f"A2 {words}".strip() + " X2"
+    assert got[22] == f"H2 B2 {words}".strip() + " L2"
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, ("good fine nice words " if i % 3 else "bad vile words ") * (1 + i % 5), "good" if i % 3 else "bad") for i in range(60)]
     docs = spark.createDataFrame([r[:2] for r in rows] + [(99, None)], "doc_id long, text string")
