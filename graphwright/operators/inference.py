@@ -13,7 +13,6 @@ from ..sources.graph import Graph, TripleTable
 from .paths import closure
 
 RESOURCE, DOMAIN, RANGE, SUBPROPERTY = (iri(RDFS + n) for n in ("Resource", "domain", "range", "subPropertyOf"))
-ROUNDS = 50
 
 
 def _closed(graph: Graph, p: str) -> DataFrame:
@@ -85,11 +84,12 @@ def _owl_round(g: DataFrame, d: DataFrame) -> list[DataFrame]:
 
 def owl_rl(graph: Graph) -> DataFrame:
     """Triples that the main OWL 2 RL rules add (equality, inverse, symmetric, transitive and functional properties,
-    value restrictions, equivalences, with RDFS subclass, subproperty, domain and range), by semi-naive rounds."""
+    value restrictions, equivalences, with RDFS subclass, subproperty, domain and range), by semi-naive rounds until
+    no triple is new. No rule makes a new term, so the rounds end; their number grows with the longest chain."""
     spark = graph.spark
     base = settle(graph.triples().distinct())
     known, fresh = base, base
-    for _ in range(ROUNDS):
+    while True:
         made = reduce(DataFrame.unionByName, [*_owl_round(known, fresh), rdfs(TripleTable(spark, known), False)])
         fresh = settle(made.where(~F.startswith("s", F.lit('"')) & F.startswith("p", F.lit("<"))).distinct().join(known, ["s", "p", "o"], "left_anti"))
         if fresh.isEmpty():

@@ -1,9 +1,11 @@
 """Turtle reading, shapes, paths, SPARQL, rules and inference on small graphs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphwright.api import expand, validate
-from graphwright.functions.terms import SH, XSD, iri
+from graphwright.functions.terms import SH, TYPE, XSD, iri
+from graphwright.operators import inference
 from graphwright.operators.inference import rdfs
 from graphwright.operators.paths import values
 from graphwright.plans.shapes import ShapeLoadError, ShapesGraph, path_text
@@ -93,6 +95,15 @@ def test_rdfs(spark):
     assert (ex("b"), ex("P")) in got
 
 
+def test_owl_rl_goes_on_to_the_end_of_a_chain(spark, monkeypatch):
+    """One hop a round, as allValuesFrom does, by a rule that is cheap enough for 55 rounds."""
+    hop = lambda g, d: [d.where(F.col("p") == TYPE).select(F.col("s").alias("n"), "o").join(g.where(F.col("p") == ex("next")).select(F.col("s").alias("n"), F.col("o").alias("s")), "n").select("s", F.lit(TYPE).alias("p"), "o")]
+    monkeypatch.setattr(inference, "_owl_round", hop)
+    monkeypatch.setattr(inference, "rdfs", lambda graph, resources: graph.triples().limit(0))
+    chain = HEAD + "ex:n0 a ex:C . " + " ".join(f"ex:n{i} ex:next ex:n{i + 1} ." for i in range(55))
+    assert {r.s for r in inference.owl_rl(from_text(spark, chain)).collect()} == {ex(f"n{i}") for i in range(1, 56)}
+
+
 def test_ntriples_round_trip(spark, tmp_path):
     graph = from_text(spark, '<urn:a> <urn:p> "q\\"uo\\n\\\\te" , "x"@en , 5 ; <urn:q> _:b .')
     write_ntriples(graph.frame, str(tmp_path / "out"))
