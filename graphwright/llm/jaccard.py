@@ -258,6 +258,27 @@ def _cross_pairs(open_lists: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
 
 
+def link_counts(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, n_links (how many other rows it is linked with, copies too).
+
+    Input as for ``similar_classes``. Every link is verified, those within a class too, so nothing is skipped
+    by answers and the work grows with the number of links; ``similar_classes`` needs far fewer.
+    """
+    docs = docs.select("doc_id", "text")
+    found = settle(docs.mapInArrow(_set_rows, "kind byte, doc_id long, sid long, n long, bits array<long>"))
+    sets = found.where("kind = 0")
+    one_each = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
+    smallest = settle(one_each)
+    postings = docs.mapInArrow(_posting_rows(_frequent(found.where("kind = 1"))), "shingle long, sid long, n int, pos int")
+    pairs = _cross_pairs(postings.distinct().withColumn("c", F.col("sid"))).distinct()
+    links = _links(settle(_bounded(pairs, smallest)), docs, smallest)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    copies = smallest.select("sid", "copies")
+    linked = both.join(copies.withColumnRenamed("sid", "b"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("others"))
+    counts = copies.join(linked, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return sets.join(counts, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+
+
 def keep_first_of_class(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose class has a row of a smaller doc_id; of rows that repeat the kept id all stay."""
     classes = similar_classes(docs).where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())

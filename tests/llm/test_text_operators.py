@@ -91,6 +91,16 @@ def test_jaccard_matches_brute_force(spark, rounds, monkeypatch):
     assert jaccard.similar_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_link_counts_match_brute_force(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(n, " ".join(base[:n] + ["x"] + base[n:] if n else base)) for n in (0, 10, 20, 30, 40, 50)]
+    rows += [(100 + n, text) for n, text in rows[:2]] + [(200, " ".join(base[:50])), (201, " ".join(base[6:])), (300, None), (301, ""), (302, "other words")]
+    got = {r.doc_id: (r.n_shingles, r.n_links) for r in jaccard.link_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t in rows}
+    want = {a: (len(x), sum(a != b and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items())) for a, x in sets.items()}
+    assert got == want and max(n for _, n in got.values()) > 5
+
+
 def test_components_by_rounds_and_in_one_task(spark):
     edges = spark.createDataFrame([(random.randint(0, 99), random.randint(0, 99)) for _ in range(70)], "a long, b long")
     one, many = (sorted(map(tuple, component_labels(edges, n).collect())) for n in (1 << 20, 0))
