@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from graphwright.llm import jaccard, langid, mixing, pieces, secrets
 from graphwright.llm.settle import shared_folder
 
-#: A document whose language isn't determined, or whose words agree on it by less than this mean probability, goes.
+#: A document without a letter goes, and one whose words have a lower mean of their highest probabilities.
 LEAST_SCORE = 0.5
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID by words. Keeps documents of a determined language; ``lang`` is filled in where it is null."""
+    """Language ID by words. Keeps documents whose words have a language each, be it one or several; ``lang`` is
+    filled in where it is null. Where no model can be fitted, every document with a letter stays as it is."""
     model = langid.fit(langid.learnable(docs))
-    found = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE))
+    if model is None:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    found = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_sure") >= LEAST_SCORE))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

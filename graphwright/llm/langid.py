@@ -258,7 +258,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 def label_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """(language, its mean probability over the words) of each text; ``und`` and 0 without a letter."""
-    langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    return judge_texts(model, texts)[:2]
+
+
+def judge_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """As ``label_texts``, and the mean of each word's highest probability, whichever language has it."""
+    langs, scores, sure = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     first = 0
     while first < len(texts):
         last, size = first, 0
@@ -270,11 +275,13 @@ def label_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[
             p = word_probabilities(model, w)
             full = np.flatnonzero(np.diff(w.begins))
             mean = np.add.reduceat(p, w.begins[full], axis=0) / np.diff(w.begins)[full][:, None]
-            for i, row in zip(full.tolist(), mean, strict=True):
+            highest = np.add.reduceat(p.max(1), w.begins[full]) / np.diff(w.begins)[full]
+            for i, row, high in zip(full.tolist(), mean, highest.tolist(), strict=True):
                 best = int(row.argmax())
+                sure[first + i] = min(1.0, high)
                 langs[first + i], scores[first + i] = model.labels[best], min(1.0, max(0.0, float(row[best])))
         first = last
-    return langs, scores
+    return langs, scores, sure
 
 
 def label_words(model: Model, text: str) -> list[tuple[str, str]]:
@@ -292,19 +299,20 @@ def label_words(model: Model, text: str) -> list[tuple[str, str]]:
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` string and ``lang_score`` double; a column of that name is replaced. Null
-    texts and texts without a letter get ``und`` and 0, as all do without a model."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    """``docs`` with ``lang_pred`` string, ``lang_score`` double and ``lang_sure`` double, the mean of each word's
+    highest probability; a column of that name is replaced. Null texts and texts without a letter get ``und``
+    and 0, as all do without a model."""
+    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_sure")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "lang_score": F.lit(0.0)})
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "lang_score": F.lit(0.0), "lang_sure": F.lit(0.0)})
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_sure", T.DoubleType())])
     place = kept.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = label_texts(model, batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "lang_score"])
+            langs, scores, sure = judge_texts(model, batch.column(place).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], names=[*kept, "lang_pred", "lang_score", "lang_sure"])
 
     return docs.mapInArrow(rows, schema)
 

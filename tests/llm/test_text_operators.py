@@ -138,6 +138,18 @@ def test_language_needs_labels(spark):
     assert zlib.crc32(b"7") % 3 in (0, 1, 2)
 
 
+def test_pipeline_keeps_mixed_languages(spark):
+    from corpus_pipeline import keep_known_language
+
+    words = {"en": "the house with many green trees".split(), "de": "und ein Haus mit großen Bäumen".split(), "fr": "cette maison avec beaucoup d'arbres".split()}
+    rows = [(i, " ".join(random.choices(words[lang], k=20)), lang) for lang, first in (("en", 0), ("de", 100), ("fr", 200)) for i in range(first, first + 40)]
+    rows += [(900, " ".join(w for lang in words for w in words[lang] * 4), None), (901, "1 2 3", None), (902, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in keep_known_language(spark, docs, "").collect()} == {r[0] for r in rows[:-2]}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {(r.doc_id, r.lang) for r in keep_known_language(spark, bare, "").collect()} == {(r[0], None) for r in rows[:-2]}
+
+
 def test_licences(spark):
     mit = "\n".join(licences.SENTENCES[k][0] for k in ("mitPerm", "mitNotice", "mitAsIs"))
     docs = spark.createDataFrame([(0, None), (1, ""), (2, "Hello.\nReleased under the MIT License.\nAll rights reserved."), (3, mit), (4, "# Licensed under the Apache License, Version 2.0. Bye.")], "doc_id int, text string")
