@@ -1,26 +1,32 @@
-"""Exact join of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more, as classes.
+"""Exact join of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more, as classes and link counts.
 
 Method: set-relation skipping over a prefix index.
 
-* *Sets.* Equal sets are one set: a set's key is (128-bit digest cut to 64 bits, size). All further work is
-  on distinct sets, so copies cost one row each.
-* *Order and prefix.* Shingles are ordered by how often they occur (rare first, then by hash). Two sets
-  with similarity t share a shingle among the first |s| - ceil(t |s|) + 1 of each. How often is counted
-  over the whole table: each task reports what it saw LEAST_SEEN times or more, reports are summed, and
-  the MOST_FREQUENT highest are sent to the tasks (a fixed size). Any order gives the same result; this
-  one keeps passages that many documents share out of the prefixes.
-* *Index-level skipping.* Posting lists hold (set, size, position). Lists of one set are dropped. Where
-  two members of a list are paired, the lists are joined by blocks of like sizes, so that blocks that
-  can't hold partners are skipped, and the positions bound the overlap that is still possible.
-* *Answer-level skipping.* Not all pairs of a list are compared. Each round pairs a list's members with
-  one leader of the list only; verified links make classes, and a pair within one class needs no
-  comparison any more: the answers of the leader stand for its class. What is left, pairs of members in
-  different classes, is enumerated in full at the end. No link between different classes can be missed,
-  as every linked pair meets in a list and is skipped only if its two sets are connected already.
+* *Sets.* Equal sets are one set: a set's key is a 128-bit digest of its shingles. All further work is on
+  distinct sets, so copies cost one row each.
+* *Order and prefix.* Shingles are ordered by how often they occur (rare first, then by hash). If x is the
+  smaller of two linked sets, their first common shingle is among the first |x| - ceil(8 |x| / 9) + 1 of x
+  and the first |y| - ceil(0.8 |y|) + 1 of y. How often is counted over the whole table: each task reports
+  what it saw LEAST_SEEN times or more, reports are summed, and the MOST_FREQUENT highest are sent to the
+  tasks (a fixed size). Any order gives the same result; this one keeps passages that many documents share
+  out of the prefixes.
+* *Index-level skipping.* Posting lists hold (set, size, position, rank). Lists of one set are dropped; the
+  rank counts the earlier shingles of a set's prefix that are in other lists, so what two sets can have in
+  common before the list's shingle is bounded by their ranks, and what they can have after it by
+  their sizes and positions. A list's member skips all others that these leave no room for.
+* *Answer-level skipping of classes.* Members of a list meet its leaders: members whose hash lies in a ring
+  that grows RING-fold each round, until all members are leaders. Links make classes, and sets of one
+  class aren't compared any more. A member meets leaders of larger classes as soon as they are drawn, and
+  two leaders meet when the later of them is drawn, so each pair of a list whose sets are in different
+  classes is compared in the end: no link between classes is missed, and a hot list costs little more
+  than its members while its classes grow.
+* *Answer-level derivation of links.* Within a class, blocks of sets of like sizes meet (a block skips those
+  of unlike sizes). A set's overlaps with a block are derived from those that a similar set has, by the
+  postings of the shingles in which the two differ.
 
 Candidates first meet a bitmap bound: each set has the parities of its shingles in BITS buckets, and the
 parities in which two sets differ are no more than the shingles in which they differ. What is left is
-verified by the whole shingle sets of the two texts.
+verified by the whole shingle sets, as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import component_labels
 from .settle import drop_settled, settle
@@ -41,11 +48,15 @@ from .textvec import shingle_sets
 PERCENT = 80
 #: Of the counts of a task those are reported; of the sums so many highest are used.
 LEAST_SEEN, MOST_FREQUENT, LEAST_FREQUENT = 3, 1 << 20, 8
+#: Shingles that a task holds at most before it sums them up.
+PENDING = 1 << 21
 BITS = 2048
 #: Keys of so many sets may be broadcast; beyond it, the same join is shuffled.
 BROADCAST_KEYS = 1 << 20
-#: Leader rounds go on while the pairs left are more than PAIRS_LEFT a posting, LEADER_ROUNDS at most.
-LEADER_ROUNDS, PAIRS_LEFT = 3, 8
+#: Expected leaders of a list in the first round, and how many times more there are in each later one.
+FIRST_RING, RING = 2, 8
+#: Sets and shingles of a block.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def least_overlap(a, b):
@@ -61,8 +72,12 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def _sid(found: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _key(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+def _short(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def _parities(found: np.ndarray) -> list[int]:
@@ -70,32 +85,45 @@ def _parities(found: np.ndarray) -> list[int]:
     return np.packbits(counts.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    every, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return every, np.bincount(back, np.concatenate([p[1] for p in parts]), len(every)).astype(np.int64)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 0: row, sid, n, parities) of the sets, then (kind 1: shingle, times) of this task's frequent shingles."""
-    seen: list[np.ndarray] = []
+    """Rows (kind 0: row, key and its short form, n, parities) of the sets, then (kind 1: shingle, times) of this task's frequent shingles.
+    A task that holds PENDING shingles keeps those that it saw more than once."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    pending = 0
     for batch in batches:
-        sids, sizes, bits = [], [], []
+        keys, sizes, bits = [], [], []
         for found in shingle_sets([t or b"" for t in _texts(batch, "text")]):
-            sids.append(_sid(found))
+            keys.append(_key(found))
             sizes.append(len(found))
-            bits.append(_parities(found))
-            seen.append(found)
+            bits.append(_parities(found) if len(found) else [])
+            parts.append((found, np.ones(len(found))))
+            pending += len(found)
+            if pending >= PENDING:
+                every, times = _summed(parts)
+                parts = [(every[times > 1], times[times > 1])]
+                pending = len(parts[0][0]) if len(parts[0][0]) < PENDING // 2 else 0
         yield pa.RecordBatch.from_pydict(
-            {"kind": pa.array([0] * len(sids), pa.int8()), "doc_id": batch.column("doc_id"), "sid": pa.array(sids, pa.int64()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))}
-        )
-    if seen:
-        every, times = np.unique(np.concatenate(seen), return_counts=True)
+            {"kind": pa.array([0] * len(keys), pa.int8()), "doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "shingle": pa.array([_short(k) for k in keys], pa.int64()),
+             "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))}
+        )
+    if parts:
+        every, times = _summed(parts)
         often = times >= LEAST_SEEN
         every, times = every[often].view(np.int64), times[often]
+        m = len(every)
         yield pa.RecordBatch.from_pydict(
-            {"kind": pa.array(np.ones(len(every), np.int8)), "doc_id": pa.nulls(len(every), pa.int64()), "sid": pa.array(every), "n": pa.array(times.astype(np.int64)), "bits": pa.nulls(len(every), pa.list_(pa.int64()))}
+            {"kind": pa.array(np.ones(m, np.int8)), "doc_id": pa.nulls(m, pa.int64()), "key": pa.nulls(m, pa.binary()), "shingle": pa.array(every), "n": pa.array(times), "bits": pa.nulls(m, pa.list_(pa.int64()))}
         )
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counts of the most frequent shingles, MOST_FREQUENT at most."""
-    sums = counted.groupBy("sid").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
-    sums = settle(sums)
+    sums = settle(counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT))
     sizes = sums.groupBy(F.floor(F.log2("n") * 4).alias("b")).count().orderBy(F.desc("b")).collect()
     total, least = 0, LEAST_FREQUENT
     for b, count in sizes:
@@ -105,7 +133,7 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         total += count
     got = sums.where(F.col("n") >= least).toArrow()
     drop_settled(sums)
-    keys = got.column("sid").to_numpy().view(np.uint64)
+    keys = got.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], got.column("n").to_numpy()[order]
 
@@ -114,12 +142,12 @@ def _posting_rows(frequent: tuple[np.ndarray, np.ndarray]):
     keys, counts = frequent
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()  # copies within the task give their postings once
+        done: set[bytes] = set()  # copies within the task give their postings once
         for batch in batches:
             shingles, sids, sizes, places = [], [], [], []
             for found in shingle_sets([t or b"" for t in _texts(batch, "text")]):
                 n = len(found)
-                if not n or (key := (_sid(found), n)) in done:
+                if not n or (key := _key(found)) in done:
                     continue
                 done.add(key)
                 if len(keys):
@@ -127,7 +155,7 @@ def _posting_rows(frequent: tuple[np.ndarray, np.ndarray]):
                     found = found[np.argsort(np.where(keys[at] == found, counts[at], 0), kind="stable")]
                 prefix = found[: prefix_length(n)]
                 shingles.append(prefix)
-                sids.append(np.full(len(prefix), key[0]))
+                sids.append(np.full(len(prefix), _short(key)))
                 sizes.append(np.full(len(prefix), n))
                 places.append(np.arange(len(prefix)))
             if shingles:
@@ -138,18 +166,22 @@ def _posting_rows(frequent: tuple[np.ndarray, np.ndarray]):
     return rows
 
 
-def _with_sid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sids = [_sid(found) for found in shingle_sets([t or b"" for t in _texts(batch, "text")])]
-        yield pa.RecordBatch.from_pydict({"sid": pa.array(sids, pa.int64()), "text": batch.column("text")})
+        found = list(shingle_sets([t or b"" for t in _texts(batch, "text")]))
+        yield pa.RecordBatch.from_pydict({"key": pa.array([_key(x) for x in found], pa.binary()), "shingles": pa.array([x.tobytes() for x in found], pa.binary())})
+
+
+def _array(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links among (a, b, text_a, text_b)."""
+    """The links among (a, b, shingles_a, shingles_b)."""
     for batch in batches:
-        left, right = shingle_sets(_texts(batch, "text_a")), shingle_sets(_texts(batch, "text_b"))
         good = []
-        for x, y in zip(left, right, strict=True):
+        for left, right in zip(batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist(), strict=True):
+            x, y = _array(left), _array(right)
             common = len(x) + len(y) - len(np.union1d(x, y))
             good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -162,121 +194,194 @@ def _few(keys: DataFrame) -> DataFrame:
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and parities leave room for the least overlap."""
-    a, b = (sets.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    a, b = (sets.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b")
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return both.where(((F.col("n_a") + F.col("n_b") - apart) / 2) * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, smallest: DataFrame) -> DataFrame:
-    """The pairs that are links. Only texts that a pair needs are moved, one for each set."""
-    needed = settle(smallest.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", "doc_id"))
-    bearers = _few(needed.select(F.col("doc_id").alias("bearer")).distinct())
-    borne = docs.join(bearers, docs["doc_id"].eqNullSafe(F.col("bearer")), "left_semi").select("text")
-    texts = borne.mapInArrow(_with_sid, "sid long, text string").join(_few(needed.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
-    a, b = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    out = settle(both.mapInArrow(_verified, "a long, b long"))
-    drop_settled(needed)
-    return out
+def _links(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The pairs that are links."""
+    a, b = (arrays.select(F.col("id").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b")
+    return settle(both.mapInArrow(_verified, "a long, b long"))
 
 
-def _possible(x: str, y: str) -> str:
-    """SQL: sizes and positions of the two postings leave room for the least overlap."""
-    need = f"ceil({PERCENT} * ({x}.n + {y}.n) / {100 + PERCENT})"
-    return f"100 * least({x}.n, {y}.n) >= {PERCENT} * greatest({x}.n, {y}.n) AND 1 + least({x}.n - 1 - {x}.pos, {y}.n - 1 - {y}.pos) + least({x}.pos, {y}.pos) >= {need}"
+def _shingles_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, shingles) of the sets ``wanted`` (key, doc_id, id). Only texts that bear one of them are cut up again."""
+    bearers = _few(wanted.select(F.col("doc_id").alias("bearer")).distinct())
+    borne = docs.join(bearers, docs["doc_id"].eqNullSafe(F.col("bearer")), "left_semi").select("text")
+    found = borne.mapInArrow(_with_key, "key binary, shingles binary").join(_few(wanted.select("key", "id")), "key")
+    return settle(found.dropDuplicates(["key"]).select("id", "shingles"))
+
+
+#: SQL: the sizes, positions and ranks of two postings x and y leave room for the least overlap, and the
+#: smaller set's position is within the shorter prefix that is enough for it.
+_POSSIBLE = f"""100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)
+  AND 1 + least(x.n - 1 - x.pos, y.n - 1 - y.pos) + least(x.rank, y.rank) >= ceil({PERCENT} * (x.n + y.n) / {100 + PERCENT})
+  AND CASE WHEN x.n < y.n OR (x.n = y.n AND x.id < y.id) THEN x.pos <= x.n - ceil({2 * PERCENT} * x.n / {100 + PERCENT})
+      ELSE y.pos <= y.n - ceil({2 * PERCENT} * y.n / {100 + PERCENT}) END"""
+
+
+def _classes(lists: DataFrame, sets: DataFrame, arrays: DataFrame) -> DataFrame:
+    """(id, component) of all sets that are linked with another one."""
+    spark = lists.sparkSession
+    tried = links = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "id long, component long")
+    share = (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)).alias("share")
+    sized = lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"))
+    lists = settle(lists.join(sized, "shingle").select("*", share, F.col("id").alias("c")))
+    least, most = 0, FIRST_RING
+    while True:
+        # A list whose members are of one class by now is done for good.
+        ends = lists.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
+        in_class = lists.groupBy(F.col("shingle"), F.col("c")).agg(F.count(F.lit(1)).alias("mates"))
+        now = settle(lists.join(ends, "shingle", "left_semi").join(in_class, ["shingle", "c"]))
+        drop_settled(lists)
+        largest = now.agg(F.max("m")).first()[0]
+        if largest is None:
+            break
+        leaders = now.where(f"share * m >= {least} AND (share * m < {most} OR m <= {most})")
+        pairs = now.alias("x").join(leaders.alias("y"), "shingle").where(
+            "x.c != y.c AND (x.share < y.share OR (x.share = y.share AND x.id < y.id) OR y.mates >= x.mates) AND " + _POSSIBLE
+        )
+        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
+        near = settle(_bounded(pairs, sets))
+        links = links.unionByName(_links(near, arrays))
+        drop_settled(near)
+        labels = settle(component_labels(links))
+        if largest <= most:
+            break
+        tried = tried.unionByName(pairs)
+        named = labels.withColumnRenamed("component", "new")
+        open_still = now.where(f"m > {most}").drop("mates")
+        lists = settle(open_still.join(named, "id", "left").withColumn("c", F.coalesce("new", "id")).drop("new"))
+        least, most = most, most * RING
+    return labels
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``left`` with all of ``right`` (sorted arrays of distinct numbers).
+    Those of a set are derived from those of the set before that was counted in whole, by the postings of the
+    numbers in which the two differ, if these are fewer than its own."""
+    m = len(right)
+    out = np.zeros((len(left), m), np.int64)
+    numbers, back = np.unique(np.concatenate(right), return_inverse=True)
+    owner = np.repeat(np.arange(m), [len(x) for x in right])[np.argsort(back, kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(back, minlength=len(numbers)))])
+
+    def counted(which: np.ndarray) -> np.ndarray:
+        sizes = at[which + 1] - at[which]
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - ends + sizes, sizes)
+        return np.bincount(owner[place], minlength=m)
+
+    base, answers = None, None
+    for i, x in enumerate(left):
+        place = np.minimum(np.searchsorted(numbers, x), len(numbers) - 1)
+        mine = place[numbers[place] == x]
+        if base is not None:
+            come, gone = np.setdiff1d(mine, base, assume_unique=True), np.setdiff1d(base, mine, assume_unique=True)
+            if len(come) + len(gone) < len(mine):
+                out[i] = answers + counted(come) - counted(gone)
+                continue
+        base, answers = mine, counted(mine)
+        out[i] = answers
+    return out
 
 
-def similar_classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles (the size of its set), component_id (its class).
+def _block_links(table: pa.Table) -> pa.Table:
+    """(id, others) of the sets of two blocks (``right`` tells which one), or of one block with itself: how many
+    documents the linked sets of the other block have."""
+    ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+    right = table.column("right").to_numpy(zero_copy_only=False)
+    found = [_array(x) for x in table.column("shingles").to_pylist()]
+    n = np.array([len(x) for x in found])
+    a, b = np.flatnonzero(~right), np.flatnonzero(right)
+    alone = table.column("same")[0].as_py() and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    if alone:
+        b = a
+    others = np.zeros(len(ids), np.int64)
+    if len(a) and len(b):
+        common = overlaps([found[i] for i in a], [found[i] for i in b])
+        linked = (100 + PERCENT) * common >= PERCENT * (n[a][:, None] + n[b][None, :])
+        if alone:
+            linked[np.arange(len(a)), np.arange(len(a))] = False
+        others[a] = linked @ copies[b]
+        if not alone:
+            others[b] = copies[a] @ linked
+    return pa.table({"id": ids, "others": others})
+
+
+def _link_counts(labels: DataFrame, sets: DataFrame, arrays: DataFrame) -> DataFrame:
+    """(id, others): how many documents of other sets each set of a class of several sets is linked with."""
+    width = math.log(100 / PERCENT) * 1.000001  # sizes that can be linked are less than one width apart
+    size = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    sized = labels.join(sets.select("id", "n", "copies"), "id").withColumn("s", size)
+    within = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_SHINGLES) / F.exp((F.col("s") + 1) * width))))
+    counts = settle(sized.groupBy("component", "s").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / within).cast("int")))
+    near = lambda by, name: counts.select("component", (F.col("s") + by).alias("s"), F.col("blocks").alias(name))
+    shape = counts.join(near(-1, "above"), ["component", "s"], "left").join(near(1, "below"), ["component", "s"], "left")
+    placed = sized.join(shape, ["component", "s"]).withColumn("i", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int"))
+    none = F.array().cast("array<int>")
+    upto = lambda first, last: F.when(last >= first, F.sequence(first, last)).otherwise(none)
+    at = lambda lower, i, j, right, same: F.struct(lower.alias("lower"), i.alias("i"), j.alias("j"), F.lit(right).alias("right"), F.lit(same).alias("same"))
+    i, s, zero = F.col("i"), F.col("s"), F.lit(0)
+    meets = F.concat(
+        F.transform(F.when(F.col("m") > 1, upto(i, F.col("blocks") - 1)).otherwise(none), lambda j: at(s, i, j, False, True)),
+        F.transform(F.when(F.col("m") > 1, upto(zero, i - 1)).otherwise(none), lambda j: at(s, j, i, True, True)),
+        F.transform(upto(zero, F.coalesce("above", zero) - 1), lambda j: at(s, i, j, False, False)),
+        F.transform(upto(zero, F.coalesce("below", zero) - 1), lambda j: at(s - 1, j, i, True, False)),
+    )
+    rows = placed.select("id", "component", "copies", F.explode(meets).alias("x")).select("id", "component", "copies", "x.*")
+    blocks = rows.join(arrays, "id").groupBy("component", "lower", "i", "j", "same")
+    return blocks.applyInArrow(_block_links, "id long, others long").groupBy("id").agg(F.sum("others").alias("others"))
+
+
+def similar_classes(docs: DataFrame, links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles (the size of its set), component_id (its class), and with ``links``
+    n_links, the number of other rows that it is linked with, copies too.
 
     ``docs`` has doc_id long and text string. One row comes out for every row that went in, repeated
     rows too. Null and empty texts have no shingles (0) and are linked with nothing; their
-    component_id is their own doc_id. A null doc_id takes part in links but is never the smallest;
-    a component_id is null only where all ids of its class are. Other columns aren't used.
+    component_id is their own doc_id and n_links 0. A null doc_id takes part in links but is never the
+    smallest; a component_id is null only where all ids of its class are. Other columns aren't used.
+    The work for n_links grows with the square of the sets of one class and like size, divided by the
+    size of a block; that for classes alone doesn't.
     """
     docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
-    found = settle(docs.mapInArrow(_set_rows, "kind byte, doc_id long, sid long, n long, bits array<long>"))
-    sets = found.where("kind = 0")
+    found = settle(docs.mapInArrow(_set_rows, "kind byte, doc_id long, key binary, shingle long, n long, bits array<long>"))
+    own = found.where("kind = 0")
     frequent = _frequent(found.where("kind = 1"))
+    sets = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").cast("int").alias("n"), F.max("bits").alias("bits"), F.max("shingle").alias("sid"), F.count(F.lit(1)).alias("copies"))
+    # The first 8 bytes of a key name its set in the postings; sets that share them give more candidates, no more.
+    sets = settle(sets.withColumn("id", F.monotonically_increasing_id()))
 
     postings = docs.mapInArrow(_posting_rows(frequent), "shingle long, sid long, n int, pos int")
     dealt = postings.repartition("shingle")
     # All columns are aggregated, so that both sides of the join read one exchange.
     ends = [f(F.struct("sid", "n", "pos")).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
-    shared = dealt.groupBy("shingle").agg(*ends).where("low.sid < high.sid").select("shingle")
-    lists = settle(dealt.join(shared, "shingle"))
-
-    one_each = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
-    smallest = settle(one_each)
-
-    labels, tried = None, spark.createDataFrame([], "a long, b long")
-    links = tried
-    lists = lists.withColumn("c", F.col("sid"))
-    for turn in range(LEADER_ROUNDS + 1):
-        parts = lists.groupBy("shingle", "c").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        whole = parts.groupBy("shingle").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q")).where("m * m > q")
-        # A list whose members are of one class by now is done for good.
-        open_lists = settle(lists.join(whole, "shingle"))
-        left, rows = open_lists.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / (2 * F.col("m"))), F.count(F.lit(1))).first()
-        if not rows:
-            break
-        last = turn == LEADER_ROUNDS or left <= PAIRS_LEFT * rows
-        if last:
-            pairs = _cross_pairs(open_lists)
-        else:
-            rank = F.xxhash64("sid", F.lit(turn))
-            leader = open_lists.groupBy("shingle").agg(F.min(F.struct(rank.alias("r"), "sid", "n", "pos", "c")).alias("l")).select("shingle", "l.*").drop("r")
-            pairs = open_lists.alias("x").join(leader.alias("y"), "shingle").where("x.c != y.c AND " + _possible("x", "y"))
-            pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
-        pairs = settle(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        near = settle(_bounded(pairs, smallest))
-        links = links.unionByName(_links(near, docs, smallest))
-        labels = settle(component_labels(links))
-        if last:
-            break
-        tried = settle(tried.unionByName(pairs))
-        named = labels.withColumnRenamed("id", "sid").withColumnRenamed("component", "new")
-        lists = open_lists.drop("m", "q").join(named, "sid", "left").withColumn("c", F.coalesce("new", "sid")).drop("new")
-
-    if labels is None:
-        labels = spark.createDataFrame([], "id long, component long")
-    named = smallest.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(first, "component").select("sid", "component_id")
-    linked = sets.join(named, "sid", "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _cross_pairs(open_lists: DataFrame) -> DataFrame:
-    """All pairs of a list's members in different classes that size and position allow. Lists are joined
-    by blocks: a member meets its own block of sizes and the next one, whose bounds differ by 1 / t."""
-    blocked = open_lists.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)))
-    probe = blocked.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    pairs = probe.alias("x").join(blocked.alias("y"), ["shingle", "block"]).where("x.sid < y.sid AND x.c != y.c AND " + _possible("x", "y"))
-    return pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-
+    shared = dealt.groupBy("shingle").agg(*ends).where("low.sid < high.sid OR low.n < high.n").select("shingle")
+    once = dealt.groupBy("shingle", "sid", "n").agg(F.min("pos").alias("pos"))
+    rank = F.row_number().over(Window.partitionBy("sid", "n").orderBy("pos")) - 1
+    named = once.join(shared, "shingle").withColumn("rank", rank).join(sets.select("sid", "n", "id"), ["sid", "n"])
+    lists = settle(named.select("shingle", "id", "n", "pos", "rank"))
 
-def link_counts(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, n_links (how many other rows it is linked with, copies too).
+    met = settle(sets.join(lists.select("id").distinct(), "id", "left_semi"))
+    arrays = _shingles_of(met.select("key", "doc_id", "id"), docs)
+    labels = _classes(lists, met, arrays)
 
-    Input as for ``similar_classes``. Every link is verified, those within a class too, so nothing is skipped
-    by answers and the work grows with the number of links; ``similar_classes`` needs far fewer.
-    """
-    docs = docs.select("doc_id", "text")
-    found = settle(docs.mapInArrow(_set_rows, "kind byte, doc_id long, sid long, n long, bits array<long>"))
-    sets = found.where("kind = 0")
-    one_each = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
-    smallest = settle(one_each)
-    postings = docs.mapInArrow(_posting_rows(_frequent(found.where("kind = 1"))), "shingle long, sid long, n int, pos int")
-    pairs = _cross_pairs(postings.distinct().withColumn("c", F.col("sid"))).distinct()
-    links = _links(settle(_bounded(pairs, smallest)), docs, smallest)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = smallest.select("sid", "copies")
-    linked = both.join(copies.withColumnRenamed("sid", "b"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("others"))
-    counts = copies.join(linked, "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return sets.join(counts, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+    named = sets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(first, "component").select("id", "key", "component_id", "copies")
+    if links:
+        others = settle(_link_counts(labels, met, arrays))
+        named = named.join(others, "id", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+        drop_settled(arrays)
+    linked = own.join(named.drop("id", "copies"), "key", "left")
+    more = [F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links")] if links else []
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def keep_first_of_class(docs: DataFrame) -> DataFrame:
@@ -287,7 +392,8 @@ def keep_first_of_class(docs: DataFrame) -> DataFrame:
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
-    return similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Classes and numbers of links of all ``documents``."""
+    return similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), links=True)
 
 
 OP8_SQL = """
@@ -296,7 +402,7 @@ WITH RECURSIVE w AS MATERIALIZED (
 s AS MATERIALIZED (
   SELECT doc_id, list_distinct(CASE WHEN len(v) = 0 THEN [] WHEN len(v) < 5 THEN [array_to_string(v, ' ')]
     ELSE list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i:i+4], ' ')) END) AS g FROM w),
-d AS MATERIALIZED (SELECT g, min(doc_id) AS r, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) GROUP BY g),
+d AS MATERIALIZED (SELECT g, min(doc_id) AS r, len(g) AS n, count(*) AS k FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) GROUP BY g),
 e AS MATERIALIZED (SELECT r, n, unnest(g) AS x FROM d),
 p AS MATERIALIZED (
   SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.x = b.x AND a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
@@ -304,6 +410,7 @@ p AS MATERIALIZED (
 l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 c(r, m) AS (SELECT r, r FROM d UNION SELECT l.b, c.m FROM c JOIN l ON c.r = l.a WHERE c.m < l.b),
 m AS (SELECT r, min(m) AS m FROM c GROUP BY r),
-k AS (SELECT d.g, m.m FROM d JOIN m USING (r))
-SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(k.m, s.doc_id) AS component_id FROM s LEFT JOIN k ON list_sort(s.g) = k.g
+o AS (SELECT l.a AS r, sum(d.k) AS o FROM l JOIN d ON l.b = d.r GROUP BY l.a),
+k AS (SELECT d.g, m.m, d.k - 1 + coalesce(o.o, 0) AS n_links FROM d JOIN m USING (r) LEFT JOIN o USING (r))
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(k.m, s.doc_id) AS component_id, coalesce(k.n_links, 0)::BIGINT AS n_links FROM s LEFT JOIN k ON list_sort(s.g) = k.g
 """

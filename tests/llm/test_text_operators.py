@@ -71,34 +71,54 @@ def brute_classes(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_jaccard_matches_brute_force(spark, rounds, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
-    monkeypatch.setattr(jaccard, "PAIRS_LEFT", 0)
+@pytest.mark.parametrize(("ring", "block"), [(2, 3), (8, 512), (1 << 20, 512)])
+def test_jaccard_matches_brute_force(spark, ring, block, monkeypatch):
+    """Groups near the threshold, copies, chains, short and empty texts; with small rings and blocks too."""
+    monkeypatch.setattr(jaccard, "RING", ring)
+    monkeypatch.setattr(jaccard, "FIRST_RING", min(2, ring))
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rnd = random.Random(8)
     vocabulary = [f"w{i}" for i in range(60)]
     rows, n = [], 0
-    for _ in range(6):
-        base = random.choices(vocabulary, k=random.choice([3, 30, 80]))
-        for _ in range(6):
+    for size in (3, 30, 80, 80, 120, 5):
+        base = rnd.choices(vocabulary, k=size)
+        for _ in range(9):
             copy = list(base)
-            for _ in range(random.randint(0, 3)):
-                copy[random.randrange(len(copy))] = random.choice(vocabulary)
+            for _ in range(rnd.randint(0, 3)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
             rows.append((n, " ".join(copy).upper() if n % 3 else "\t".join(copy)))
             n += 1
-    rows += [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "w1"), (n + 4, "W1 ")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_classes(rows)
-    assert jaccard.similar_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_link_counts_match_brute_force(spark):
-    base = [f"w{i}" for i in range(60)]
-    rows = [(n, " ".join(base[:n] + ["x"] + base[n:] if n else base)) for n in (0, 10, 20, 30, 40, 50)]
-    rows += [(100 + n, text) for n, text in rows[:2]] + [(200, " ".join(base[:50])), (201, " ".join(base[6:])), (300, None), (301, ""), (302, "other words")]
-    got = {r.doc_id: (r.n_shingles, r.n_links) for r in jaccard.link_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t in rows}
-    want = {a: (len(x), sum(a != b and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items())) for a, x in sets.items()}
-    assert got == want and max(n for _, n in got.values()) > 5
+    words = [f"v{i}" for i in range(130)]
+    rows += [(n + i, " ".join(words[7 * i : 7 * i + 74])) for i in range(8)]  # each is linked with its neighbours only
+    n += 8
+    rows += [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "w1"), (n + 4, "W1 "), (n + 5, rows[10][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.similar_classes(docs, links=True).collect()}
+    classes, links = brute_classes(rows), brute_links(rows)
+    assert got == {i: (*classes[i], links[i]) for i in classes}
+    assert max(links.values()) >= 5 and len({c for _, c in classes.values()}) < len(rows) - 20
+
+
+def brute_links(rows):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    return {a: sum(a != b and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+
+
+def test_jaccard_rows_that_repeat_and_none_at_all(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(4, text), (4, text), (None, text), (9, "other"), (9, None)], "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in jaccard.similar_classes(docs, links=True).collect())))
+    assert got == sorted(["(4, 3, 4, 2)", "(4, 3, 4, 2)", "(None, 3, 4, 2)", "(9, 1, 9, 0)", "(9, 0, 9, 0)"])
+    assert sorted(str(r.doc_id) for r in jaccard.keep_first_of_class(docs).collect()) == ["4", "4", "9", "9", "None"]
+    assert jaccard.similar_classes(spark.createDataFrame([], "doc_id long, text string"), links=True).count() == 0
+
+
+def test_overlaps_are_derived_right():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 500, 80)
+    some = lambda n: [np.unique(np.append(rng.permutation(base)[:60], rng.integers(0, 500, 8))).astype(np.uint64) for _ in range(n)]
+    left, right = some(30) + [np.array([7], np.uint64)], some(20)
+    assert (jaccard.overlaps(left, right) == [[len(np.intersect1d(a, b)) for b in right] for a in left]).all()
 
 
 def test_components_by_rounds_and_in_one_task(spark):
