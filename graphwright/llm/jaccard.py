@@ -48,8 +48,8 @@ from .textvec import shingle_sets
 PERCENT = 80
 #: Of the counts of a task those are reported; of the sums so many highest are used.
 LEAST_SEEN, MOST_FREQUENT, LEAST_FREQUENT = 3, 1 << 20, 8
-#: Shingles that a task holds at most before it sums them up.
-PENDING = 1 << 21
+#: Different shingles whose counts a task holds.
+PENDING = 1 << 20
 BITS = 2048
 #: Keys of so many sets may be broadcast; beyond it, the same join is shuffled.
 BROADCAST_KEYS = 1 << 20
@@ -85,40 +85,46 @@ def _parities(found: np.ndarray) -> list[int]:
     return np.packbits(counts.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    every, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return every, np.bincount(back, np.concatenate([p[1] for p in parts]), len(every)).astype(np.int64)
+def _summed(every: np.ndarray, times: np.ndarray, some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers and their counts, with those of ``some`` added."""
+    more, seen = np.unique(np.concatenate(some), return_counts=True)
+    at = np.searchsorted(every, more)
+    old = np.zeros(len(more), bool)
+    if len(every):
+        old = every[np.minimum(at, len(every) - 1)] == more
+        times[at[old]] += seen[old]
+    return np.insert(every, at[~old], more[~old]), np.insert(times, at[~old], seen[~old])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind 0: row, key and its short form, n, parities) of the sets, then (kind 1: shingle, times) of this task's frequent shingles.
-    A task that holds PENDING shingles keeps those that it saw more than once."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    pending = 0
+    A task that holds more than PENDING different shingles goes on with those that it saw more than once."""
+    every, times = np.empty(0, np.uint64), np.empty(0, np.int64)
     for batch in batches:
-        keys, sizes, bits = [], [], []
+        keys, sizes, bits, some, pending = [], [], [], [], 0
         for found in shingle_sets([t or b"" for t in _texts(batch, "text")]):
             keys.append(_key(found))
             sizes.append(len(found))
             bits.append(_parities(found) if len(found) else [])
-            parts.append((found, np.ones(len(found))))
+            some.append(found)
             pending += len(found)
             if pending >= PENDING:
-                every, times = _summed(parts)
-                parts = [(every[times > 1], times[times > 1])]
-                pending = len(parts[0][0]) if len(parts[0][0]) < PENDING // 2 else 0
+                every, times = _summed(every, times, some)
+                some, pending = [], 0
+        if some:
+            every, times = _summed(every, times, some)
+        if len(every) > PENDING:
+            every, times = every[times > 1], times[times > 1]
         yield pa.RecordBatch.from_pydict(
             {"kind": pa.array([0] * len(keys), pa.int8()), "doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "shingle": pa.array([_short(k) for k in keys], pa.int64()),
              "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))}
         )
-    if parts:
-        every, times = _summed(parts)
-        often = times >= LEAST_SEEN
-        every, times = every[often].view(np.int64), times[often]
-        m = len(every)
-        yield pa.RecordBatch.from_pydict(
-            {"kind": pa.array(np.ones(m, np.int8)), "doc_id": pa.nulls(m, pa.int64()), "key": pa.nulls(m, pa.binary()), "shingle": pa.array(every), "n": pa.array(times), "bits": pa.nulls(m, pa.list_(pa.int64()))}
-        )
+    often = times >= LEAST_SEEN
+    every, times = every[often].view(np.int64), times[often]
+    m = len(every)
+    yield pa.RecordBatch.from_pydict(
+        {"kind": pa.array(np.ones(m, np.int8)), "doc_id": pa.nulls(m, pa.int64()), "key": pa.nulls(m, pa.binary()), "shingle": pa.array(every), "n": pa.array(times), "bits": pa.nulls(m, pa.list_(pa.int64()))}
+    )
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -200,19 +206,28 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(((F.col("n_a") + F.col("n_b") - apart) / 2) * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _links(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs that are links."""
-    a, b = (arrays.select(F.col("id").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "ab")
+def _ids(pairs: DataFrame) -> DataFrame:
+    return settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
+
+def _links(pairs: DataFrame, arrays: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pairs that are links. Only the shingles of ``ids``, the sets of the pairs, are moved."""
+    some = arrays.join(_few(ids), "id", "left_semi")
+    a, b = (some.select(F.col("id").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b")
     return settle(both.mapInArrow(_verified, "a long, b long"))
 
 
-def _shingles_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, shingles) of the sets ``wanted`` (key, doc_id, id). Only texts that bear one of them are cut up again."""
+def _shingles_of(ids: DataFrame, sets: DataFrame, docs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """``arrays`` (id, shingles) with those of the sets ``ids`` that aren't in it. Each set's text is cut up once, and
+    only texts that bear one of them."""
+    wanted = settle(sets.join(ids, "id", "left_semi").join(arrays.select("id"), "id", "left_anti").select("key", "doc_id", "id"))
+    if wanted.isEmpty():
+        return arrays
     bearers = _few(wanted.select(F.col("doc_id").alias("bearer")).distinct())
     borne = docs.join(bearers, docs["doc_id"].eqNullSafe(F.col("bearer")), "left_semi").select("text")
     found = borne.mapInArrow(_with_key, "key binary, shingles binary").join(_few(wanted.select("key", "id")), "key")
-    return settle(found.dropDuplicates(["key"]).select("id", "shingles"))
+    return arrays.unionByName(settle(found.dropDuplicates(["key"]).select("id", "shingles")))
 
 
 #: SQL: the sizes, positions and ranks of two postings x and y leave room for the least overlap, and the
@@ -223,9 +238,10 @@ _POSSIBLE = f"""100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)
       ELSE y.pos <= y.n - ceil({2 * PERCENT} * y.n / {100 + PERCENT}) END"""
 
 
-def _classes(lists: DataFrame, sets: DataFrame, arrays: DataFrame) -> DataFrame:
-    """(id, component) of all sets that are linked with another one."""
+def _classes(lists: DataFrame, sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of all sets that are linked with another one, and the shingles of those (of others too)."""
     spark = lists.sparkSession
+    arrays = spark.createDataFrame([], "id long, shingles binary")
     tried = links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "id long, component long")
     share = (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)).alias("share")
@@ -248,8 +264,11 @@ def _classes(lists: DataFrame, sets: DataFrame, arrays: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
         near = settle(_bounded(pairs, sets))
-        links = links.unionByName(_links(near, arrays))
+        ids = _ids(near)
+        arrays = _shingles_of(ids, sets, docs, arrays)
+        links = links.unionByName(_links(near, arrays, ids))
         drop_settled(near)
+        drop_settled(ids)
         labels = settle(component_labels(links))
         if largest <= most:
             break
@@ -258,7 +277,7 @@ def _classes(lists: DataFrame, sets: DataFrame, arrays: DataFrame) -> DataFrame:
         open_still = now.where(f"m > {most}").drop("mates")
         lists = settle(open_still.join(named, "id", "left").withColumn("c", F.coalesce("new", "id")).drop("new"))
         least, most = most, most * RING
-    return labels
+    return labels, arrays
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -363,14 +382,14 @@ def similar_classes(docs: DataFrame, links: bool = False) -> DataFrame:
     # All columns are aggregated, so that both sides of the join read one exchange.
     ends = [f(F.struct("sid", "n", "pos")).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
     shared = dealt.groupBy("shingle").agg(*ends).where("low.sid < high.sid OR low.n < high.n").select("shingle")
-    once = dealt.groupBy("shingle", "sid", "n").agg(F.min("pos").alias("pos"))
+    once = dealt.join(shared, "shingle").groupBy("shingle", "sid", "n").agg(F.min("pos").alias("pos"))
     rank = F.row_number().over(Window.partitionBy("sid", "n").orderBy("pos")) - 1
-    named = once.join(shared, "shingle").withColumn("rank", rank).join(sets.select("sid", "n", "id"), ["sid", "n"])
+    # A left join, as an inner one would ask for non-null ids on one side of the join of lists only.
+    named = once.withColumn("rank", rank).join(sets.select("sid", "n", "id"), ["sid", "n"], "left")
     lists = settle(named.select("shingle", "id", "n", "pos", "rank"))
 
     met = settle(sets.join(lists.select("id").distinct(), "id", "left_semi"))
-    arrays = _shingles_of(met.select("key", "doc_id", "id"), docs)
-    labels = _classes(lists, met, arrays)
+    labels, arrays = _classes(lists, met, docs)
 
     named = sets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -378,7 +397,6 @@ def similar_classes(docs: DataFrame, links: bool = False) -> DataFrame:
     if links:
         others = settle(_link_counts(labels, met, arrays))
         named = named.join(others, "id", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
-        drop_settled(arrays)
     linked = own.join(named.drop("id", "copies"), "key", "left")
     more = [F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links")] if links else []
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
