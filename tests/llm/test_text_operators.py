@@ -1,5 +1,6 @@
 """Small fixtures of the text operators against brute force."""
 
+import os
 import random
 import re
 import textwrap
@@ -261,7 +262,7 @@ def test_pieces_match_brute_force(spark, kind, monkeypatch):
             assert r.ids is None
             continue
         want = []
-        for u in pieces.units_of(r.text):
+        for u in pieces.units_of(r.text, model):
             if kind == "bpe":
                 want += pieces.bpe_ids(u, model, table)
             else:
@@ -276,3 +277,28 @@ def test_pieces_match_brute_force(spark, kind, monkeypatch):
         score = lambda ids: sum(dict((i, s) for _, i, s in PIECES).get(x, -14.5) for x in ids)
         assert r.ids == want if kind == "bpe" else score(r.ids) == pytest.approx(score(want))
         assert r.exact == (set(r.text) <= set("ab "))
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers/piece_bpe_32k.model"), reason="no model file")
+@pytest.mark.parametrize("hot", [0, 1 << 19])
+def test_pieces_are_those_of_the_library(spark, hot, monkeypatch):
+    """Ids of the 32k model on whole texts of all kinds, with and without the cache, against the library; the round trip; clashing,
+    repeated and null rows."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "HOT_UNITS", hot)
+    path = "/opt/tokenizers/piece_bpe_32k.model"
+    model, library = pieces.load_model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rnd = random.Random(2)
+    texts = [
+        None, "", " ", "Hello, world!! it's 2024   (a) \u4e2d\u6587\u5b57 \n\tx", "  lead  and trail  ", "a" * 90 + "b", "==----____;;;;", "3.14e10 \U0001f600 \u00e9t\u00e9 \ufdfa\u200b",
+        " ".join("".join(rnd.choices("abcdeinorst", k=rnd.randint(1, 12))) for _ in range(300)), "word " * 3000, "x\u2581y",
+    ]
+    rows = [(i, t, 7) for i, t in enumerate(texts)] + [(3, texts[3], 7)]
+    got = pieces.encode(spark.createDataFrame(rows, "doc_id int, text string, ids int"), model).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    for r in got:
+        assert r.ids == (None if r.text is None else library.encode(r.text)) and r.exact == (None if r.text is None else "\u2581" not in r.text)
+    back = pieces.decode(spark.createDataFrame(got, "doc_id int, text string, ids array<int>, exact boolean"), model).collect()
+    assert all(r.decoded == r.text for r in back if r.exact)
+    assert pieces.encode(spark.createDataFrame([], "doc_id int, text string"), model).collect() == []
