@@ -252,7 +252,7 @@ PIECES = [("▁", 3, -4.0), ("a", 4, -3.0), ("b", 5, -3.0), ("ab", 6, -2.0), ("
 
 @pytest.mark.parametrize("kind", ["bpe", "unigram"])
 def test_pieces_match_brute_force(spark, kind, monkeypatch):
-    monkeypatch.setattr(pieces, "LONG_UNIT", 12)
+    monkeypatch.setattr(pieces.PieceModel, "longest_unit", 12)
     model = pieces.PieceModel(PIECES, kind, None, 0)
     table = {p: (i, s) for p, i, s in PIECES}
     texts = [None, "", "ab ab", "abba  bab", "a" * 20, "x\ny ab"] + ["".join(random.choices("ab ", k=12)) for _ in range(10)]
