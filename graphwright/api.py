@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .functions.terms import OWL, iri
+from .functions.terms import OWL, SH, TYPE, iri
 from .operators.inference import expand as infer
 from .operators.rules import apply_rules
 from .plans.compile import Run
+from .plans.settle import settle
 from .plans.shapes import ReportableRuntimeError, ShapesGraph, sh
 from .report import ValidationResult
 from .sources.graph import Graph, TripleTable, from_text
@@ -64,12 +66,27 @@ def imported(text: str, loader, seen: set[str] | None = None, depth: int = 0) ->
     return triples
 
 
+def shape_triples(graph: Graph) -> list[tuple[str, str, str]]:
+    """The triples of a data graph that tell of shapes: those of subjects with a sh: predicate or type, and of the blank
+    nodes (lists, inner shapes, expressions) that are reached from them. The rest of the graph stays where it is."""
+    triples = graph.triples()
+    heads = triples.where(F.startswith("p", F.lit(f"<{SH}")) | ((F.col("p") == TYPE) & F.startswith("o", F.lit(f"<{SH}")))).select("s").distinct()
+    seen, found = settle(heads), None
+    fresh = seen
+    while not fresh.isEmpty():
+        part = settle(triples.join(fresh, "s", "left_semi").distinct())
+        found = part if found is None else found.unionByName(part)
+        fresh = settle(part.where(F.startswith("o", F.lit("_:"))).select(F.col("o").alias("s")).distinct().join(seen, "s", "left_anti"))
+        seen = seen.unionByName(fresh)
+    return [] if found is None else sorted({tuple(r) for r in found.collect()})
+
+
 def load_shapes(spark: SparkSession, source: Source | ShapesGraph, import_loader=None) -> ShapesGraph:
     if isinstance(source, ShapesGraph):
         return source
     if isinstance(source, str):
         return ShapesGraph(imported(read_text(source), import_loader or (lambda _: None)))
-    return ShapesGraph([tuple(r) for r in load(spark, source).triples().distinct().collect()])  # a shapes graph is small by its nature
+    return ShapesGraph(shape_triples(load(spark, source)))
 
 
 def _expanded(term: str, prefixes: dict[str, str]) -> str:
@@ -98,7 +115,7 @@ def validate(
     if shacl_graph is None:
         if not isinstance(graph, TripleTable):
             raise ReportableRuntimeError("mapped tables hold no shapes")
-        shapes = ShapesGraph([tuple(r) for r in graph.triples().distinct().collect()])
+        shapes = ShapesGraph(shape_triples(graph))
     else:
         shapes = load_shapes(spark, shacl_graph, import_loader)
     if ont_graph is not None:
@@ -113,7 +130,11 @@ def validate(
     allow |= {sh("Warning")} if allow_warnings else set()
     run = Run(graph, shapes, frozenset(allow), focus, used, max_validation_depth)
     results = run.all_results()
-    return ValidationResult(results.limit(1) if abort_on_first else results)
+    if abort_on_first:
+        # A result that counts, if there is one, as it decides the flag.
+        counted = results.where("counts").limit(1)
+        results = results.limit(1) if counted.isEmpty() else counted
+    return ValidationResult(results)
 
 
 def validate_each(spark: SparkSession, data_graphs: Sequence[Source], shacl_graph: Source | ShapesGraph, **options) -> dict[int, ValidationResult]:
@@ -127,9 +148,9 @@ def expand(
 ) -> DataFrame:
     """(s, p, o) of the data graph with what inference and rules add."""
     graph = load(spark, data_graph)
-    shapes = load_shapes(spark, shacl_graph if shacl_graph is not None else graph.triples())
+    shapes = load_shapes(spark, shacl_graph if shacl_graph is not None else graph)
     if ont_graph is not None:
         graph = TripleTable(spark, graph.triples().unionByName(load(spark, ont_graph, "o").triples()).distinct())
     focus = [_expanded(x, shapes.prefixes) for x in focus_nodes] if focus_nodes is not None else None
     used = [_expanded(x, shapes.prefixes) for x in use_shapes] if use_shapes is not None else None
-    return apply_rules(infer(graph, inference), shapes, iterate_rules, focus, used)[0].triples()
+    return apply_rules(infer(graph, inference), shapes, iterate_rules, focus, used)[0].triples().distinct()

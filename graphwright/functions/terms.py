@@ -137,7 +137,13 @@ def c_number(t: Column) -> Column:
     return F.when(c_local_type(t).isin(*NUMERIC), F.regexp_replace(c_text(t), "INF$", "Infinity").try_cast("double"))
 
 
-def _exact(t: Column) -> Column:
+def c_integer(t: Column) -> Column:
+    """The number of an integer literal, of up to 38 digits."""
+    return F.when(c_local_type(t).isin(*INTEGERS), c_text(t).try_cast("decimal(38,0)"))
+
+
+def c_exact(t: Column) -> Column:
+    """The number of an integer or decimal literal, 12 digits after the point."""
     return F.when(c_local_type(t).isin(*EXACT), c_text(t).try_cast("decimal(38,12)"))
 
 
@@ -149,36 +155,49 @@ def c_compare_with(a: Column, constant: str) -> Column:
     sign = lambda x, y: F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
     if name in NUMERIC:
         number = c_number(a)
-        exact = sign(_exact(a), F.lit(text).try_cast("decimal(38,12)")) if name in EXACT else F.lit(None).cast("int")
+        exact = sign(c_exact(a), F.lit(text).try_cast("decimal(38,12)")) if name in EXACT else F.lit(None).cast("int")
         return F.when(~F.isnan(number), F.coalesce(exact, sign(number, c_number(F.lit(constant)))))
     if name == "string":
         return F.when(c_local_type(a) == "string", sign(c_text(a), F.lit(text)))
     return c_compare(a, F.lit(constant))
 
 
+#: Kinds of values that can be compared with their like only.
+_NUMBER, _STRING, _BOOLEAN, _MOMENT, _DAY, _TIME_OF_DAY, _TAGGED = range(1, 8)
+
+
+def c_typed_value(t: Column) -> Column:
+    """(kind, zoned, number, exact, text) of a literal, to be computed once and compared often; a null kind compares with nothing."""
+    name, text, lang = c_local_type(t), c_text(t), c_lang(t)
+    zoned = F.rlike(text, F.lit(r"(Z|[+-]\d\d:\d\d)$"))
+    moment = lambda x: F.when(zoned, x.try_cast("timestamp").cast("double")).otherwise(F.concat(x, F.lit("Z")).try_cast("timestamp").cast("double"))
+    number = (
+        F.when(name.isin(*NUMERIC), c_number(t))
+        .when(name == "boolean", F.when(text.isin("true", "1"), 1.0).when(text.isin("false", "0"), 0.0))
+        .when(name == "dateTime", moment(text)).when(name == "date", F.unix_date(F.substring(text, 1, 10).try_cast("date")).cast("double"))
+        .when(name == "time", moment(F.concat(F.lit("1970-01-01T"), text)))
+    )
+    number = F.when(~F.isnan(number), number)
+    kinds = {"string": _STRING, "boolean": _BOOLEAN, "dateTime": _MOMENT, "date": _DAY, "time": _TIME_OF_DAY}
+    kind = F.when(name.isin(*NUMERIC), _NUMBER)
+    for n, k in kinds.items():
+        kind = kind.when(name == n, k)
+    kind = kind.when(lang.isNotNull(), _TAGGED)
+    own_text = F.when((name == "string") | lang.isNotNull(), text)
+    return F.struct(kind.alias("kind"), F.when(name.isin("dateTime", "date", "time"), zoned.cast("string")).otherwise(lang).alias("zone"), number.alias("number"), c_exact(t).alias("exact"), own_text.alias("text"))
+
+
+def compare_values(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 for what ``c_typed_value`` gives of two literals that can be compared, else null."""
+    sign = lambda x: F.when(a[x] < b[x], -1).when(a[x] > b[x], 1).when(a[x] == b[x], 0)
+    return F.when((a["kind"] == b["kind"]) & a["zone"].eqNullSafe(b["zone"]), F.when(a["kind"].isin(_STRING, _TAGGED), sign("text")).otherwise(F.coalesce(sign("exact"), sign("number"))))
+
+
 def c_compare(a: Column, b: Column) -> Column:
     """-1, 0 or 1 for literals whose values can be compared, else null: numbers with numbers, strings with
     strings, booleans with booleans, dates and times with their like, zoned with zoned only. NaN compares with nothing."""
-    ta, tb = c_local_type(a), c_local_type(b)
-    sign = lambda x, y: F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
-    na, nb = c_number(a), c_number(b)
-    numbers = F.when(~F.isnan(na) & ~F.isnan(nb), F.coalesce(sign(_exact(a), _exact(b)), sign(na, nb)))
-    text_a, text_b = c_text(a), c_text(b)
-    true = lambda x: F.when(x.isin("true", "1"), 1).when(x.isin("false", "0"), 0)
-    zoned = lambda x: F.rlike(x, F.lit(r"(Z|[+-]\d\d:\d\d)$"))
-    moment = lambda x: F.when(zoned(x), x.try_cast("timestamp").cast("double")).otherwise(F.concat(x, F.lit("Z")).try_cast("timestamp").cast("double"))
-    date = lambda x: F.substring(x, 1, 10).try_cast("date")
-    time = lambda x: F.concat(F.lit("1970-01-01T"), x)
-    same_zone = zoned(text_a) == zoned(text_b)
-    return (
-        F.when(ta.isin(*NUMERIC) & tb.isin(*NUMERIC), numbers)
-        .when((ta == "string") & (tb == "string"), sign(text_a, text_b))
-        .when((ta == "boolean") & (tb == "boolean"), sign(true(text_a), true(text_b)))
-        .when((ta == "dateTime") & (tb == "dateTime") & same_zone, sign(moment(text_a), moment(text_b)))
-        .when((ta == "date") & (tb == "date") & same_zone, sign(date(text_a), date(text_b)))
-        .when((ta == "time") & (tb == "time") & same_zone, sign(moment(time(text_a)), moment(time(text_b))))
-        .when((c_lang(a) == c_lang(b)), sign(text_a, text_b))
-    )
+    one = lambda x: F.transform(F.array(c_typed_value(x)), lambda v: v)
+    return F.element_at(F.zip_with(one(a), one(b), compare_values), 1)
 
 
 def c_truth(t: Column) -> Column:

@@ -48,7 +48,16 @@ def class_(run, shape, F_, FV):
     return reduce(DataFrame.unionByName, out)
 
 
-def datatype(run, shape, F_, FV):
+def _of_value(conditions):
+    """A component that judges each value by itself: a violation for each of ``conditions(run, shape)`` that holds."""
+    def component(run, shape, F_, FV):
+        return reduce(DataFrame.unionByName, [FV.where(c) for c in conditions(run, shape)])
+
+    component.conditions = conditions
+    return component
+
+
+def _datatype(run, shape):
     want = lexical_of(_one(shape, "datatype"))
     if want == RDFS + "Literal":
         ok = t.c_is_literal(_v())
@@ -56,38 +65,37 @@ def datatype(run, shape, F_, FV):
         ok = t.c_is_literal(_v()) & t.c_lang(_v()).isNull()
     else:
         ok = (t.c_datatype(_v()) == want) & ~t.c_ill_typed(_v(), want.removeprefix(t.XSD))
-    return FV.where(_fails(ok))
+    return [_fails(ok)]
 
 
-def node_kind(run, shape, F_, FV):
+def _node_kind(run, shape):
     kind = lexical_of(_one(shape, "nodeKind")).removeprefix(SH)
     tests = {"IRI": t.c_is_iri, "BlankNode": t.c_is_blank, "Literal": t.c_is_literal}
     named = [test for name, test in tests.items() if name in kind]
     if not named:
         raise ConstraintLoadError(f"{kind} is no node kind")
-    return FV.where(~reduce(lambda a, b: a | b, [test(_v()) for test in named]))
+    return [~reduce(lambda a, b: a | b, [test(_v()) for test in named])]
 
 
 def _range(name: str, test):
-    def component(run, shape, F_, FV):
+    def conditions(run, shape):
         if any(not is_literal(x) for x in shape.get(name)):
             raise ConstraintLoadError(f"sh:{name} needs a literal")
-        out = [FV.where(_fails(test(t.c_compare_with(_v(), limit)))) for limit in shape.get(name)]
-        return reduce(DataFrame.unionByName, out)
+        return [_fails(test(t.c_compare_with(_v(), limit))) for limit in shape.get(name)]
 
-    return component
+    return _of_value(conditions)
 
 
 def _length(name: str, test):
-    def component(run, shape, F_, FV):
+    def conditions(run, shape):
         n = integer(_one(shape, name), f"sh:{name}")
         if n < 0:
             raise ConstraintLoadError(f"sh:{name} can't be negative")
         if name == "minLength" and n == 0:
-            return FV.where(F.lit(False))
-        return FV.where(t.c_is_blank(_v()) | ~test(F.length(t.c_text(_v())), n))
+            return [F.lit(False)]
+        return [t.c_is_blank(_v()) | ~test(F.length(t.c_text(_v())), n)]
 
-    return component
+    return _of_value(conditions)
 
 
 def java_pattern(pattern: str) -> str:
@@ -95,21 +103,23 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace("(?P<", "(?<").replace("(?P=", "\\k<").replace("\\Z", "\\z")
 
 
-def pattern(run, shape, F_, FV):
+def _pattern(run, shape):
     flags = "".join(c for x in shape.get("flags")[:1] for c in lexical_of(x) if c in "imsx")
-    out = [FV.where(t.c_is_blank(_v()) | ~F.rlike(t.c_text(_v()), F.lit((f"(?{flags})" if flags else "") + java_pattern(lexical_of(p))))) for p in shape.get("pattern")]
-    return reduce(DataFrame.unionByName, out)
+    return [t.c_is_blank(_v()) | ~F.rlike(t.c_text(_v()), F.lit((f"(?{flags})" if flags else "") + java_pattern(lexical_of(p)))) for p in shape.get("pattern")]
 
 
-def language_in(run, shape, F_, FV):
+def _language_in(run, shape):
     tags = [lexical_of(x).lower() for x in run.shapes.items(_one(shape, "languageIn"))]
     lang = F.lower(t.c_lang(_v()))
     ok = lang.isNotNull() if "*" in tags else lang.isin(*tags) | F.substring_index(lang, "-", 1).isin(*tags) if tags else F.lit(False)
-    return FV.where(_fails(ok))
+    return [_fails(ok)]
 
 
-def in_(run, shape, F_, FV):
-    return FV.where(~_v().isin(*run.shapes.items(_one(shape, "in"))))
+def _in(run, shape):
+    return [~_v().isin(*run.shapes.items(_one(shape, "in")))]
+
+
+datatype, node_kind, pattern, language_in, in_ = map(_of_value, (_datatype, _node_kind, _pattern, _language_in, _in))
 
 
 def closed(run, shape, F_, FV):
@@ -184,17 +194,36 @@ def _less(name: str, test):
         for p in shape.get(name):
             if not p.startswith("<"):
                 raise ConstraintLoadError(f"sh:{name} needs an IRI")
-            other = _other(run, F_, p).withColumnRenamed("v", "w")
-            w = F.col("w")
-            sign = F.when(t.c_is_iri(_v()) & t.c_is_iri(w), F.when(_v() < w, -1).when(_v() > w, 1).otherwise(0)).otherwise(t.c_compare(_v(), w))
-            out.append(FV.join(other, "f").where(_fails(test(sign))).select("f", "v"))
+            # Each value is typed once; the join compares the typed values.
+            known = lambda c: F.struct(t.c_typed_value(F.col(c)).alias("x"), F.when(t.c_is_iri(F.col(c)), F.col(c)).alias("iri"))
+            other = _other(run, F_, p).select("f", known("v").alias("w"))
+            own, w = F.col("k"), F.col("w")
+            iris = F.when(own["iri"] < w["iri"], -1).when(own["iri"] > w["iri"], 1).when(own["iri"] == w["iri"], 0)
+            sign = F.coalesce(iris, t.compare_values(own["x"], w["x"]))
+            out.append(FV.withColumn("k", known("v")).join(other, "f").where(_fails(test(sign))).select("f", "v"))
         return reduce(DataFrame.unionByName, out)
 
     return component
 
 
+def _simple(run, node: str) -> Column | None:
+    """The condition on which a value fails a shape that only judges the value itself; None for other shapes."""
+    shape = run.shapes.shapes.get(node)
+    if shape is None or shape.path is not None or shape.deactivated or shape.severity in run.allow or run.focus is not None or len(run.stack) >= run.max_depth:
+        return None
+    own = [x for x in shape.params if x.startswith(f"<{SH}")]
+    functions = {sh(name): COMPONENTS[name][1] for name in COMPONENTS if hasattr(COMPONENTS[name][1], "conditions")}
+    if len(own) != sum(x != TYPE for x in shape.params) or any(x not in functions and x not in PLAIN for x in own):
+        return None
+    bad = [c for x in own if x in functions for c in functions[x].conditions(run, shape)]
+    return reduce(lambda a, b: a | b, bad, F.lit(False))
+
+
 def _passes(run, node: str, FV: DataFrame, conform: bool) -> DataFrame:
     """The rows of FV whose value conforms, or doesn't, to the shape."""
+    if (bad := _simple(run, node)) is not None:
+        # A filter, instead of a join by values, a few of which may be those of most rows.
+        return FV.where(~bad if conform else bad).select("f", "v")
     bad = run.failing(node, FV.select(F.col("v").alias("f")).distinct())
     return FV.join(bad.withColumnRenamed("f", "v"), "v", "left_anti" if conform else "left_semi").select("f", "v")
 
@@ -222,6 +251,9 @@ def xone(run, shape, F_, FV):
         members = run.shapes.items(head)
         counted, n = FV.withColumn("n", F.lit(0)), F.col("n")
         for s in dict.fromkeys(members):
+            if (simple := _simple(run, s)) is not None:
+                counted = counted.select("f", "v", (n + F.when(simple, 0).otherwise(members.count(s))).alias("n"))
+                continue
             bad = run.failing(s, FV.select(F.col("v").alias("f")).distinct()).select(F.col("f").alias("v"), F.lit(True).alias("bad"))
             counted = counted.join(bad, "v", "left").select("f", "v", (n + F.when(F.col("bad"), 0).otherwise(members.count(s))).alias("n"))
         out.append(counted.where(n != 1).select("f", "v"))
@@ -248,18 +280,22 @@ def _siblings(run, shape: Shape) -> list[str]:
 def qualified(run, shape, F_, FV, which: str):
     if shape.path is None:
         return None
-    (q,) = shape.get("qualifiedValueShape") or [None]
-    if q is None:
-        raise ConstraintLoadError(f"{shape.node} needs one sh:qualifiedValueShape")
-    if run.recursive(q):
-        return None
-    good = _passes(run, q, FV, True)
-    if TRUE in shape.get("qualifiedValueShapesDisjoint"):
-        for s in _siblings(run, shape):
-            good = _passes(run, s, good, False)
-    n = integer(_one(shape, which), f"sh:{which}")
-    counted = _counts(F_, good)
-    return _no_value(counted.where(F.col("n") < n if which == "qualifiedMinCount" else F.col("n") > n))
+    if not shape.get("qualifiedValueShape"):
+        raise ConstraintLoadError(f"{shape.node} needs sh:qualifiedValueShape")
+    n, out = integer(_one(shape, which), f"sh:{which}"), []
+    for q in shape.get("qualifiedValueShape"):
+        if run.recursive(q):
+            continue
+        good = _passes(run, q, FV, True)
+        if TRUE in shape.get("qualifiedValueShapesDisjoint"):
+            for s in _siblings(run, shape):
+                good = _passes(run, s, good, False)
+        if which == "qualifiedMaxCount":  # only nodes that have a value can have too many
+            many = good.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+            out.append(_no_value(many.where(F.col("n") > n)) if n >= 0 else _no_value(F_))
+        else:
+            out.append(_no_value(_counts(F_, good).where(F.col("n") < n)))
+    return reduce(DataFrame.unionByName, out) if out else None
 
 
 def qualified_min(run, shape, F_, FV):
@@ -270,35 +306,38 @@ def qualified_max(run, shape, F_, FV):
     return qualified(run, shape, F_, FV, "qualifiedMaxCount")
 
 
+#: Parameters that constrain nothing.
+PLAIN = frozenset(sh(n) for n in ("flags", "message", "severity", "name", "description", "order", "group", "defaultValue"))
+
 #: Parameter -> (name of the component, its function, message).
 COMPONENTS = {
-    "class": ("Class", class_, "Value does not have class {p}"),
-    "datatype": ("Datatype", datatype, "Value is not Literal with datatype {p}"),
-    "nodeKind": ("NodeKind", node_kind, "Value is not of Node Kind {p}"),
-    "minExclusive": ("MinExclusive", _range("minExclusive", lambda c: c > 0), "Value is not > {p}"),
-    "minInclusive": ("MinInclusive", _range("minInclusive", lambda c: c >= 0), "Value is not >= {p}"),
-    "maxExclusive": ("MaxExclusive", _range("maxExclusive", lambda c: c < 0), "Value is not < {p}"),
-    "maxInclusive": ("MaxInclusive", _range("maxInclusive", lambda c: c <= 0), "Value is not <= {p}"),
-    "minLength": ("MinLength", _length("minLength", lambda x, n: x >= n), "String length not >= {p}"),
-    "maxLength": ("MaxLength", _length("maxLength", lambda x, n: x <= n), "String length not <= {p}"),
-    "pattern": ("Pattern", pattern, "Value does not match pattern '{p}'"),
-    "languageIn": ("LanguageIn", language_in, "String language is not in {p}"),
-    "in": ("In", in_, "Value {v} not in list {p}"),
-    "closed": ("Closed", closed, "Node {f} is closed. It cannot have value: {v}"),
-    "minCount": ("MinCount", min_count, "Less than {p} values on {f}->{path}"),
-    "maxCount": ("MaxCount", max_count, "More than {p} values on {f}->{path}"),
-    "uniqueLang": ("UniqueLang", unique_lang, "More than one String shares the same Language"),
-    "hasValue": ("HasValue", has_value, "Node {f}->{path} does not contain a value in the set: {p}"),
-    "equals": ("Equals", equals, "Value of {f}->{p} != {v}"),
-    "disjoint": ("Disjoint", disjoint, "Value of {f}->{p} == {v}"),
-    "lessThan": ("LessThan", _less("lessThan", lambda c: c < 0), "Value of {f}->{p} <= {v}"),
-    "lessThanOrEquals": ("LessThanOrEquals", _less("lessThanOrEquals", lambda c: c <= 0), "Value of {f}->{p} < {v}"),
-    "not": ("Not", not_, "Node {v} must not conform to shape {p}"),
-    "and": ("And", and_, "Node {v} must conform to all shapes in {p}"),
-    "or": ("Or", or_, "Node {v} must conform to one or more shapes in {p}"),
-    "xone": ("Xone", xone, "Node {v} must conform to exactly one shape in {p}"),
-    "node": ("Node", node, "Value does not conform to Shape {p}. See details for more information."),
-    "qualifiedMinCount": ("QualifiedMinCount", qualified_min, "Focus node does not conform to shape MinCount {p}"),
-    "qualifiedMaxCount": ("QualifiedMaxCount", qualified_max, "Focus node does not conform to shape MaxCount {p}"),
+    "class": ("Class", class_, "{v} isn't an instance of {p}"),
+    "datatype": ("Datatype", datatype, "{v} isn't a literal of datatype {p}"),
+    "nodeKind": ("NodeKind", node_kind, "{v} isn't of the kind {p}"),
+    "minExclusive": ("MinExclusive", _range("minExclusive", lambda c: c > 0), "{v} has to be greater than {p}"),
+    "minInclusive": ("MinInclusive", _range("minInclusive", lambda c: c >= 0), "{v} has to be {p} or greater"),
+    "maxExclusive": ("MaxExclusive", _range("maxExclusive", lambda c: c < 0), "{v} has to be less than {p}"),
+    "maxInclusive": ("MaxInclusive", _range("maxInclusive", lambda c: c <= 0), "{v} has to be {p} or less"),
+    "minLength": ("MinLength", _length("minLength", lambda x, n: x >= n), "The text of {v} has to have {p} characters or more"),
+    "maxLength": ("MaxLength", _length("maxLength", lambda x, n: x <= n), "The text of {v} has to have {p} characters or fewer"),
+    "pattern": ("Pattern", pattern, "{v} doesn't match {p}"),
+    "languageIn": ("LanguageIn", language_in, "The language of {v} isn't one of {p}"),
+    "in": ("In", in_, "{v} isn't one of {p}"),
+    "closed": ("Closed", closed, "{f} may not have the value {v}: its shape is closed"),
+    "minCount": ("MinCount", min_count, "{f} needs at least {p} values of {path}"),
+    "maxCount": ("MaxCount", max_count, "{f} may have {p} values of {path} at most"),
+    "uniqueLang": ("UniqueLang", unique_lang, "{f} has several texts of one language at {path}"),
+    "hasValue": ("HasValue", has_value, "{f} lacks the value {p} of {path}"),
+    "equals": ("Equals", equals, "{v} has to be a value of both {path} and {p} of {f}"),
+    "disjoint": ("Disjoint", disjoint, "{v} may not be a value of both {path} and {p} of {f}"),
+    "lessThan": ("LessThan", _less("lessThan", lambda c: c < 0), "{v} has to be less than every value of {p} of {f}"),
+    "lessThanOrEquals": ("LessThanOrEquals", _less("lessThanOrEquals", lambda c: c <= 0), "{v} may not be greater than a value of {p} of {f}"),
+    "not": ("Not", not_, "{v} may not conform to {p}"),
+    "and": ("And", and_, "{v} has to conform to each of {p}"),
+    "or": ("Or", or_, "{v} has to conform to at least one of {p}"),
+    "xone": ("Xone", xone, "{v} has to conform to just one of {p}"),
+    "node": ("Node", node, "{v} doesn't conform to {p}"),
+    "qualifiedMinCount": ("QualifiedMinCount", qualified_min, "{f} has too few values of {path} that conform: {p} are needed"),
+    "qualifiedMaxCount": ("QualifiedMaxCount", qualified_max, "{f} has too many values of {path} that conform: {p} are allowed"),
 }
 LIST_PARAMETERS = ("in", "languageIn", "and", "or", "xone")

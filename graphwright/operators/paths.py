@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.settle import drop_settled, settle
+from ..plans.settle import settle
 from ..plans.shapes import Path
 from ..sources.graph import Graph
 
@@ -69,33 +69,28 @@ def closure(graph: Graph, start: DataFrame, step: Path) -> DataFrame:
     """(f, v): v is reached from f by one or more steps. Semi-naive rounds: only pairs found in the last round
     are carried on, and what is known already is taken out by an anti join, so cycles end."""
     fresh = settle(follow(graph, start.select("f", F.col("f").alias("v")), step).distinct())
-    known = fresh
+    known = fresh  # the union of all rounds, each written once
     while not fresh.isEmpty():
         after = settle(follow(graph, fresh, step).distinct().join(known, ["f", "v"], "left_anti"))
-        bigger = settle(known.unionByName(after))
-        drop_settled(known)
-        fresh, known = after, bigger
+        known, fresh = known.unionByName(after), after
     return known
 
 
-def classes_below(graph: Graph, classes: list[str], subclass: str) -> DataFrame:
-    """(c, k): k is class c or one of its transitive subclasses, for the given classes."""
+def classes_below(graph: Graph, classes: list[str], subclass: str) -> list[str] | DataFrame:
+    """The classes and their transitive subclasses: a list, or a frame (k) where the hierarchy has more than DRIVER_EDGES edges."""
     spark = graph.spark
     pairs = graph.pred(subclass).distinct().limit(DRIVER_EDGES + 1).collect()
     if len(pairs) > DRIVER_EDGES:
         start = spark.createDataFrame([(c,) for c in classes], "f string")
         below = closure(graph, start, ("inv", ("pred", subclass)))
-        return start.select("f", F.col("f").alias("v")).unionByName(below).distinct().toDF("c", "k")
+        return start.toDF("k").unionByName(below.select(F.col("v").alias("k"))).distinct()
     children: dict[str, list[str]] = {}
     for s, o in pairs:
         children.setdefault(o, []).append(s)
-    rows = []
-    for c in dict.fromkeys(classes):
-        seen, todo = {c}, [c]
-        while todo:
-            for k in children.get(todo.pop(), ()):
-                if k not in seen:
-                    seen.add(k)
-                    todo.append(k)
-        rows += [(c, k) for k in sorted(seen)]
-    return spark.createDataFrame(rows, "c string, k string")
+    seen, todo = set(classes), list(dict.fromkeys(classes))
+    while todo:
+        for k in children.get(todo.pop(), ()):
+            if k not in seen:
+                seen.add(k)
+                todo.append(k)
+    return sorted(seen)

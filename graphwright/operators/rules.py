@@ -13,7 +13,7 @@ from ..plans.expressions import expression_values
 from ..plans.settle import settle
 from ..plans.shapes import RuleLoadError, ReportableRuntimeError, ShapesGraph, sh
 from ..plans.sparql_shapes import custom_target, engine, read
-from ..sources.graph import Graph, TripleTable
+from ..sources.graph import Graph, Layered
 from .targets import constants, focus_nodes
 
 ROUNDS = 100
@@ -62,12 +62,12 @@ def infer(run: Run, kind: str, node: str, nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, made).distinct()
 
 
-def apply_rules(graph: Graph, shapes: ShapesGraph, iterate: bool = False, focus: list[str] | None = None, use_shapes: list[str] | None = None) -> tuple[TripleTable, DataFrame]:
+def apply_rules(graph: Graph, shapes: ShapesGraph, iterate: bool = False, focus: list[str] | None = None, use_shapes: list[str] | None = None) -> tuple[Layered, DataFrame]:
     """(the expanded graph, the triples that rules added). A shape's rules are repeated while they add something,
     if ``iterate``; each rule sees what the rules before it added."""
     spark = graph.spark
-    start = settle(graph.triples().distinct())
-    now, added = start, spark.createDataFrame([], "s string, p string, o string")
+    added = spark.createDataFrame([], "s string, p string, o string")
+    now = Layered(spark, graph, added)
     owners = [n for n, s in shapes.shapes.items() if sh("rule") in s.params and not s.deactivated and (use_shapes is None or n in use_shapes)]
     for owner in sorted(owners, key=lambda n: _order(shapes, n)):
         rules = rules_of(shapes, owner)
@@ -76,15 +76,16 @@ def apply_rules(graph: Graph, shapes: ShapesGraph, iterate: bool = False, focus:
                 raise ReportableRuntimeError("the rules don't come to an end")
             changed = False
             for kind, node in rules:
-                run = Run(TripleTable(spark, now), shapes)
+                run = Run(now, shapes)
                 if focus is not None and use_shapes is not None:
                     nodes = constants(run.graph, focus)
                 else:
                     nodes = focus_nodes(run.graph, shapes, shapes.shapes[owner], lambda t, r=run: custom_target(r, t))
                     nodes = nodes.where(F.col("f").isin(*focus)) if focus is not None else nodes
-                new = settle(infer(run, kind, node, nodes).join(now, ["s", "p", "o"], "left_anti"))
+                new = settle(now.missing(settle(infer(run, kind, node, nodes))))
                 if not new.isEmpty():
-                    changed, now, added = True, now.unionByName(new), added.unionByName(new)
+                    changed, added = True, added.unionByName(new)
+                    now = Layered(spark, graph, added)
             if not (iterate and changed):
                 break
-    return TripleTable(spark, now), added
+    return now, added

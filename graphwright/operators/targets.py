@@ -17,10 +17,19 @@ def constants(graph: Graph, nodes: list[str]) -> DataFrame:
     return graph.spark.createDataFrame([(n,) for n in dict.fromkeys(nodes)], "f string")
 
 
+#: Classes of a filter; more of them, MOST_BROADCAST at most, are broadcast, beyond that the join is shuffled.
+MOST_LISTED, MOST_BROADCAST = 1000, 1_000_000
+
+
 def instances(graph: Graph, classes: list[str]) -> DataFrame:
-    """(f, c): f is an instance of class c, or of a transitive subclass by the data's own hierarchy."""
+    """(f): instances of one of the classes, or of a transitive subclass by the data's own hierarchy; may repeat rows."""
     below = classes_below(graph, classes, SUBCLASS)
-    return graph.pred(TYPE).join(F.broadcast(below) if below.isLocal() else below, F.col("o") == F.col("k")).select(F.col("s").alias("f"), "c")
+    typed = graph.pred(TYPE)
+    if isinstance(below, list) and len(below) <= MOST_LISTED:
+        return typed.where(F.col("o").isin(*below)).select(F.col("s").alias("f"))
+    keys = graph.spark.createDataFrame([(k,) for k in below], "k string") if isinstance(below, list) else below
+    few = isinstance(below, list) or keys.count() <= MOST_BROADCAST
+    return typed.join(F.broadcast(keys) if few else keys, F.col("o") == F.col("k"), "left_semi").select(F.col("s").alias("f"))
 
 
 def focus_nodes(graph: Graph, shapes: ShapesGraph, shape: Shape, custom=None) -> DataFrame:
@@ -30,7 +39,7 @@ def focus_nodes(graph: Graph, shapes: ShapesGraph, shape: Shape, custom=None) ->
         parts.append(constants(graph, nodes))
     classes = shape.get("targetClass") + ([shape.node] if shapes.implicit_class(shape) else [])
     if classes:
-        parts.append(instances(graph, classes).select("f"))
+        parts.append(instances(graph, classes))
     for p in shape.get("targetSubjectsOf"):
         parts.append(graph.pred(p).select(F.col("s").alias("f")))
     for p in shape.get("targetObjectsOf"):

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where the setting is unset (tests on one machine) a
-    temporary folder is made and set on the context."""
+    """The folder of ``spark.checkpoint.dir``. Where the setting is unset, a temporary folder is made and set on the
+    context if all runs on one machine; on a cluster, whose executors don't share it, that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the cluster shares")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphwright-"))
     return sc.getCheckpointDir()
 

@@ -39,6 +39,25 @@ def _number(value: Column, a: Column, b: Column, divide: bool = False) -> Column
     return F.when(value.isNull(), _null()).when(whole, decimal if divide else integer).when(exact, decimal).otherwise(t.c_typed(value, "double"))
 
 
+def _plain(value: Column) -> Column:
+    """A decimal's text without zeros at its end."""
+    return F.regexp_replace(F.regexp_replace(value.cast("string"), "(\\.\\d*?)0+$", "$1"), "\\.$", "")
+
+
+def _exactly(op: str, a: Column, b: Column, otherwise: Column) -> Column:
+    """The sum, difference or product of two integers, or decimals, without rounding; ``otherwise`` where the numbers are
+    others, or the result has more than 38 digits."""
+    do = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op]
+    ta, tb = t.c_local_type(a), t.c_local_type(b)
+    whole = F.when(ta.isin(*t.INTEGERS) & tb.isin(*t.INTEGERS), do(t.c_integer(a), t.c_integer(b)))
+    # 18 digits, 9 of them after the point, give products without loss.
+    size = "decimal(18,9)" if op == "*" else "decimal(38,12)"
+    part = lambda x: t.c_text(x).try_cast(size)
+    kept = lambda x: part(x) == t.c_text(x).try_cast("decimal(38,18)")
+    exact = F.when(ta.isin(*t.EXACT) & tb.isin(*t.EXACT) & kept(a) & kept(b), do(part(a), part(b)))
+    return F.coalesce(t.c_typed(whole, "integer"), t.c_typed(_plain(exact), "decimal"), otherwise)
+
+
 @dataclass
 class Engine:
     """``functions``: IRI -> (parameter names, Query) of custom functions."""
@@ -109,11 +128,12 @@ class Engine:
         if op in ("+", "-", "*", "/"):
             a, b = self.term_of(e[1]), self.term_of(e[2])
             x, y = t.c_number(a), t.c_number(b)
-            value = {"+": x + y, "-": x - y, "*": x * y}.get(op)
-            return _number(F.try_divide(x, y) if op == "/" else value, a, b, op == "/")
+            if op == "/":
+                return _number(F.try_divide(x, y), a, b, True)
+            return _exactly(op, a, b, _number({"+": x + y, "-": x - y, "*": x * y}[op], a, b))
         if op in ("-1", "+1"):
             a = self.term_of(e[1])
-            return _number(-t.c_number(a) if op == "-1" else t.c_number(a), a, a)
+            return _number(t.c_number(a), a, a) if op == "+1" else _exactly("-", F.lit(f'"0"^^<{XSD}integer>'), a, _number(-t.c_number(a), a, a))
         if op == "column":
             return F.col(f"`{e[1]}`")
         if op == "call":
@@ -137,7 +157,9 @@ class Engine:
         a = [self.term_of(x) for x in args]
         text = [t.c_text(x) for x in a]
         keep = lambda value: F.concat(F.lit('"'), value, F.lit('"'), t.suffix(a[0]))  # noqa: E731  of the first argument's type or language
+        # Whole numbers of any size are their own floor, ceiling and rounding.
         number = lambda value: _number(value, a[0], a[0])
+        whole = lambda other: F.when(t.c_local_type(a[0]).isin(*t.INTEGERS), t.c_typed(t.c_integer(a[0]), "integer")).otherwise(other)
         part = lambda field_: t.c_typed(F.regexp_extract(text[0], r"^-?(\d+)-(\d\d)-(\d\d)(?:T(\d\d):(\d\d):([0-9.]+))?", field_).try_cast("decimal(20,6)").cast("int"), "integer")
         digest = lambda bits: t.c_string(F.sha2(text[0], bits))
         zone = F.regexp_extract(text[0], r"(Z|[+-]\d\d:\d\d)$", 1)
@@ -145,7 +167,7 @@ class Engine:
             "STR": lambda: t.c_string(text[0]), "STRLEN": lambda: t.c_typed(F.length(text[0]), "integer"), "CONCAT": lambda: t.c_string(F.concat(*text)) if text else t.c_string(F.lit("")),
             "UCASE": lambda: keep(F.upper(text[0])), "LCASE": lambda: keep(F.lower(text[0])), "COALESCE": lambda: F.coalesce(*a),
             "SUBSTR": lambda: keep(F.substring(text[0], t.c_number(a[1]).cast("int"), t.c_number(a[2]).cast("int") if len(a) > 2 else F.length(text[0]))),
-            "REPLACE": lambda: keep(F.regexp_replace(text[0], text[1], text[2])),
+            "REPLACE": lambda: keep(F.regexp_replace(text[0], F.concat(F.lit("(?"), text[3], F.lit(")"), text[1]) if len(a) > 3 else text[1], text[2])),
             "STRBEFORE": lambda: F.when(F.contains(text[0], text[1]), keep(F.substring(text[0], F.lit(1), F.position(text[1], text[0]) - 1))).otherwise(t.c_string(F.lit(""))),
             "STRAFTER": lambda: F.when(F.contains(text[0], text[1]), keep(F.substring(text[0], F.position(text[1], text[0]) + F.length(text[1]), F.length(text[0])))).otherwise(t.c_string(F.lit(""))),
             "ENCODE_FOR_URI": lambda: t.c_string(F.regexp_replace(F.url_encode(text[0]), r"\+", "%20")),
@@ -153,8 +175,8 @@ class Engine:
             "IRI": lambda: F.concat(F.lit("<"), text[0], F.lit(">")), "URI": lambda: F.concat(F.lit("<"), text[0], F.lit(">")),
             "STRDT": lambda: F.concat(F.lit('"'), text[0], F.lit('"^^'), a[1]), "STRLANG": lambda: F.concat(F.lit('"'), text[0], F.lit('"@'), text[1]),
             "BNODE": lambda: F.concat(F.lit("_:b"), F.md5(text[0])) if text else F.concat(F.lit("_:u"), F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))),
-            "ABS": lambda: number(F.abs(t.c_number(a[0]))), "CEIL": lambda: number(F.ceil(t.c_number(a[0])).cast("double")), "FLOOR": lambda: number(F.floor(t.c_number(a[0])).cast("double")),
-            "ROUND": lambda: number(F.floor(t.c_number(a[0]) + 0.5).cast("double")), "RAND": lambda: t.c_typed(F.rand(), "double"),
+            "ABS": lambda: F.when(t.c_local_type(a[0]).isin(*t.INTEGERS), t.c_typed(F.abs(t.c_integer(a[0])), "integer")).otherwise(number(F.abs(t.c_number(a[0])))),
+            "CEIL": lambda: whole(number(F.ceil(t.c_number(a[0])).cast("double"))), "FLOOR": lambda: whole(number(F.floor(t.c_number(a[0])).cast("double"))), "ROUND": lambda: whole(number(F.floor(t.c_number(a[0]) + 0.5).cast("double"))), "RAND": lambda: t.c_typed(F.rand(), "double"),
             "NOW": lambda: t.c_typed(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), "dateTime"),
             "YEAR": lambda: part(1), "MONTH": lambda: part(2), "DAY": lambda: part(3), "HOURS": lambda: part(4), "MINUTES": lambda: part(5),
             "SECONDS": lambda: t.c_typed(F.regexp_replace(F.regexp_extract(text[0], r"T\d\d:\d\d:([0-9.]+)", 1), "^0(?=[0-9])", ""), "decimal"), "TZ": lambda: t.c_string(zone),
@@ -185,21 +207,29 @@ class Engine:
                 keys = inner.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(shared)]).distinct().withColumn(flag, F.lit(True))
                 now = now.join(keys, reduce(lambda a, b: a & b, [now[c].eqNullSafe(keys[f"_k{i}"]) for i, c in enumerate(shared)]), "left").drop(*[f"_k{i}" for i in range(len(shared))])
             else:
-                now = now.crossJoin(inner.limit(1).agg((F.count(F.lit(1)) > 0).alias(flag)))
+                now = now.crossJoin(F.broadcast(inner.limit(1).agg((F.count(F.lit(1)) > 0).alias(flag))))  # one row
             return now, ("flag", flag) if e[0] == "exists" else ("!", ("flag", flag))
         out = []
         for x in e[1:] if isinstance(e[0], str) else e:
             now, y = self.prepare(now, x, seed)
             out.append(y)
         e = (e[0], *out) if isinstance(e[0], str) else tuple(out)
+        # Operands are used many times over: each is a column of its own, so that plans stay small.
+        def named(x: tuple) -> tuple:
+            nonlocal now
+            if x[0] in ("var", "term", "column"):
+                return x
+            name = self.fresh("op")
+            self.scope = set(now.columns)
+            now = now.withColumn(name, self.term_of(x))
+            return ("column", name)
+
         if e[0] in ("=", "!=", "<", ">", "<=", ">=", "+", "-", "*", "/"):
-            # Operands are used many times over: each is a column of its own, so that plans stay small.
-            for i in (1, 2):
-                if e[i][0] not in ("var", "term", "column"):
-                    name = self.fresh("op")
-                    self.scope = set(now.columns)
-                    now = now.withColumn(name, self.term_of(e[i]))
-                    e = (*e[:i], ("column", name), *e[i + 1 :])
+            e = (e[0], named(e[1]), named(e[2]))
+        elif e[0] in ("-1", "+1"):
+            e = (e[0], named(e[1]))
+        elif e[0] == "fn" and e[1] in ("ABS", "CEIL", "FLOOR", "ROUND", "SUBSTR", "REPLACE", "STRBEFORE", "STRAFTER"):
+            e = (e[0], e[1], [named(x) for x in e[2]])
         if e[0] == "call" and e[1] in self.functions:
             names, q = self.functions[e[1]]
             if len(names) != len(e[2]):
@@ -241,19 +271,51 @@ class Engine:
     # Groups
 
     def unit(self) -> DataFrame:
-        return self.graph.spark.range(1).select()
-
-    def join(self, a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+        """The solution without variables: what is joined with it stays as it is."""
+        if not hasattr(self, "_unit"):
+            self._unit = self.graph.spark.range(1).select()
+        return self._unit
+
+    def join(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Compatible solutions of both, by equal terms; a variable that may be unbound is compatible with any term then."""
+        if a is self.unit():
+            return b
+        if b is self.unit():
+            return a
         shared = [c for c in a.columns if c in b.columns]
         if not shared:
-            return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
+            return a.crossJoin(b)
         loose = [c for c in shared if c in self.maybe]
         if not loose:
-            return a.join(b, shared, how)
-        right = b.select(*[F.col(c).alias(f"_r_{c}") if c in shared else F.col(c) for c in b.columns])
+            return a.join(b, shared)
+        if len(loose) < len(shared):
+            right = b.select(*[F.col(c).alias(f"_r_{c}") if c in shared else F.col(c) for c in b.columns])
+            out = a.join(right, self._compatible(a, right, shared, loose))
+            return out.select(*[F.coalesce(F.col(c), F.col(f"_r_{c}")).alias(c) if c in loose else F.col(c) for c in a.columns], *[c for c in b.columns if c not in shared])
+        # No variable is bound for sure: rows are split by whether the first is, so that each part has a key where there is one.
+        c, before = loose[0], set(self.maybe)
+        bound, unbound = F.col(c).isNotNull(), F.col(c).isNull()
+        self.maybe = before - {c}
+        both = self.join(a.where(bound), b.where(bound))
+        self.maybe = before
+        parts = [both, self.join(a.where(unbound).drop(c), b), self.join(a.where(bound), b.where(unbound).drop(c))]
+        return reduce(DataFrame.unionByName, [p.select(*both.columns) for p in parts])
+
+    @staticmethod
+    def _compatible(a: DataFrame, right: DataFrame, shared: list[str], loose: list[str]) -> Column:
         match = [a[c].isNull() | right[f"_r_{c}"].isNull() | (a[c] == right[f"_r_{c}"]) if c in loose else a[c] == right[f"_r_{c}"] for c in shared]
-        out = a.join(right, reduce(lambda x, y: x & y, match), how)
-        return out.select(*[F.coalesce(F.col(c), F.col(f"_r_{c}")).alias(c) if c in loose else F.col(c) for c in a.columns], *[c for c in b.columns if c not in shared])
+        return reduce(lambda x, y: x & y, match)
+
+    def minus(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """The rows of ``a`` that aren't compatible with a row of ``b`` which binds a variable that they bind."""
+        shared = [c for c in b.columns if c in a.columns]
+        loose = [c for c in shared if c in self.maybe]
+        right = b.select(*[F.col(c).alias(f"_r_{c}") for c in shared]).distinct()
+        for c in shared[:1] if len(loose) < len(shared) else loose:
+            # One anti join, by the variables that are bound for sure; else one for each variable that both may bind.
+            sure = [x for x in loose if x != c] if len(loose) == len(shared) else loose
+            a = a.join(right, self._compatible(a, right, shared, sure), "left_anti")
+        return a
 
     def group(self, parts: list, seed: DataFrame | None) -> DataFrame:
         now = seed if seed is not None else self.unit()
@@ -287,13 +349,11 @@ class Engine:
                 self.maybe |= {c for c in every if any(c not in d.columns for d in done)}
                 now = self.join(now, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done))
             elif kind == "minus":
-                inner = self.group(part[1], None)
-                shared = [c for c in inner.columns if c in now.columns]
-                now = now.join(inner.select(*shared).distinct(), shared, "left_anti") if shared else now
+                now = self.minus(now, self.group(part[1], None))
             elif kind == "values":
                 rows = self.graph.spark.createDataFrame(part[2], ", ".join(f"`{n}` string" for n in part[1]))
                 self.maybe |= {n for i, n in enumerate(part[1]) if any(r[i] is None for r in part[2])}
-                now = self.join(now, rows)
+                now = self.join(now, F.broadcast(rows))  # as many rows as the query's text has
             elif kind == "sub":
                 now = self.join(now, self.solve(part[1], seed))
             elif kind == "graph":
@@ -370,6 +430,8 @@ class Engine:
             now = self.with_terms(now, extra, seed) if extra else now
             inner = {f"_in_{n}": e[3] for n, e in aggregates.items() if e[3] is not None}
             now = self.with_terms(now, inner, seed) if inner else now
+            sums = [n for n, e in aggregates.items() if e[1] in ("SUM", "AVG")]
+            now = now.withColumns({f"_n{n}": t.c_number(F.col(f"_in_{n}")) for n in sums} | {f"_x{n}": t.c_exact(F.col(f"_in_{n}")) for n in sums}) if sums else now
             keys = [*kept, *[n for n, _ in q.group if n not in kept and n in now.columns]]
             now = now.groupBy(*keys).agg(*([self._aggregate(n, e).alias(n) for n, e in aggregates.items()] or [F.count(F.lit(1)).alias("_n")]))
             for e in having:
@@ -388,7 +450,7 @@ class Engine:
         now = now.select(*dict.fromkeys([*kept, *[n for n in names if n in now.columns]]), *[_null().alias(n) for n in names if n not in now.columns and n not in kept])
         now = now.distinct() if q.distinct else now
         if kept and (q.limit is not None or q.offset):  # a limit holds for each pre-bound row
-            row = F.row_number().over(Window.partitionBy(*kept).orderBy(*(sorts or [F.lit(1)])))
+            row = F.row_number().over(Window.partitionBy(*kept).orderBy(*sorts, *[c for c in now.columns if c not in kept]))
             low, high = q.offset, q.offset + (q.limit if q.limit is not None else 1 << 31)
             return now.withColumn("_row", row).where((F.col("_row") > low) & (F.col("_row") <= high)).drop("_row")
         now = now.offset(q.offset) if q.offset else now
@@ -408,9 +470,15 @@ class Engine:
         if what == "GROUP_CONCAT":
             texts = F.collect_set(t.c_text(c)) if distinct else F.collect_list(t.c_text(c))
             return t.c_string(F.array_join(F.array_sort(texts), sep))
-        whole = F.bool_and(t.c_local_type(c).isin(*t.INTEGERS))
-        value = (F.sum_distinct(n) if distinct else F.sum(n)) if what == "SUM" else F.avg(n)
-        return F.when(whole & F.lit(what == "SUM"), t.c_typed(value.try_cast("decimal(38,0)"), "integer")).otherwise(t.c_typed(value, "double"))
+        # Integers and decimals are summed as decimals: no rounding, and no dependence on the order of the rows.
+        whole, exact = (F.bool_and(t.c_local_type(c).isin(*names)) for names in (t.INTEGERS, t.EXACT))
+        mode = "DISTINCT " if distinct else ""
+        over = lambda column, function: F.expr(f"{function}({mode}{column})")
+        total = over(f"`_x{name}`", "try_sum")
+        if what == "SUM":
+            return F.when(whole, t.c_typed(total.cast("decimal(38,0)"), "integer")).when(exact & total.isNotNull(), t.c_typed(_plain(total), "decimal")).otherwise(t.c_typed(over(f"`_n{name}`", "sum"), "double"))
+        mean = over(f"`_x{name}`", "try_avg")
+        return F.when(exact & mean.isNotNull(), t.c_typed(_plain(mean), "decimal")).otherwise(t.c_typed(over(f"`_n{name}`", "avg"), "double"))
 
     def construct(self, q: Query, seed: DataFrame | None = None) -> DataFrame:
         """Distinct (s, p, o) of the template; parts with unbound variables or literal subjects are left out."""

@@ -157,7 +157,7 @@ def sparql_results(run, shape: Shape, nodes: DataFrame, found: DataFrame, path:
         values = expression_values(run, node, found.select(F.col("v").alias("f")).distinct()).groupBy("f").agg(F.collect_set("v").alias("x"))
         joined = found.join(values.withColumnRenamed("f", "v"), "v", "left").where(~F.coalesce(F.col("x") == F.array(F.lit(TRUE)), F.lit(False))).select("f", "v")
         messages = [*shapes.values(node, "message"), *shape.messages] if node in shapes.out else shape.messages
-        text = F.array(*[F.lit(lexical_of(m)) for m in messages]) if messages else F.array(F.lit("Expression evaluation generated constraint did not return true."))
+        text = F.array(*[F.lit(lexical_of(m)) for m in messages]) if messages else F.array(F.lit("The expression isn't true for this value."))
         out.append(run._rows(shape, joined, "ExpressionConstraintComponent", path, text))
     return out
 

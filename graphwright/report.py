@@ -11,9 +11,6 @@ from .functions.terms import FALSE, TRUE, TYPE, c_string
 from .plans.shapes import sh
 from .sources.graph import write_ntriples
 
-#: A text report holds so many results at most; the count is that of all.
-TEXT_RESULTS = 1000
-
 
 @dataclass
 class ValidationResult:
@@ -58,12 +55,12 @@ class ValidationResult:
         write_ntriples(self.report_triples(), path)
 
     def text(self) -> str:
-        """The report as text, the results sorted; TEXT_RESULTS of them at most."""
+        """The report as text, all results, sorted; made on the driver."""
         number = self.results.count()
         conforms = number == 0 or self.conforms
         name = lambda t: t[1:-1].rsplit("#", 1)[-1] if t and t.startswith("<http://www.w3.org/ns/shacl#") else t
         blocks = []
-        for r in self.results.orderBy(*self.results.columns).limit(TEXT_RESULTS).collect():
+        for r in self.results.toLocalIterator():
             lines = [f"Constraint Violation in {name(r.component)} ({r.component[1:-1]}):", f"\tSeverity: sh:{name(r.severity)}", f"\tSource Shape: {r.source_shape}", f"\tFocus Node: {r.focus}"]
             lines += [f"\tValue Node: {r.value}"] * (r.value is not None) + [f"\tResult Path: {r.path}"] * (r.path is not None) + [f"\tMessage: {m}" for m in sorted(r.messages or [])]
             blocks.append("\n".join(lines) + "\n")

@@ -29,8 +29,8 @@ class Graph:
 
 @dataclass
 class TripleTable(Graph):
-    """A frame with columns s, p, o and perhaps g; all graphs are seen as one. Stored by predicate, a
-    constant predicate prunes the files that are read."""
+    """A frame with columns s, p, o and perhaps g; all graphs are seen as one. If it is read from a folder that
+    ``store`` wrote, a constant predicate prunes the files that are read."""
 
     spark: SparkSession
     frame: DataFrame
@@ -44,6 +44,36 @@ class TripleTable(Graph):
     def plus(self, more: DataFrame) -> TripleTable:
         return TripleTable(self.spark, self.triples().unionByName(more.select("s", "p", "o")).distinct())
 
+    def store(self, path: str) -> TripleTable:
+        """The table written to a folder for each predicate, and read from there."""
+        self.triples().write.partitionBy("p").parquet(path)
+        return TripleTable(self.spark, self.spark.read.schema("s string, o string, p string").parquet(path).select("s", "p", "o"))
+
+
+@dataclass
+class Layered(Graph):
+    """A graph with triples added to it; nothing of the graph is written anew."""
+
+    spark: SparkSession
+    base: Graph
+    added: DataFrame
+
+    def pred(self, predicate: str) -> DataFrame:
+        return self.base.pred(predicate).unionByName(self.added.where(F.col("p") == predicate).select("s", "o"))
+
+    def triples(self) -> DataFrame:
+        return self.base.triples().unionByName(self.added.select("s", "p", "o"))
+
+    def missing(self, found: DataFrame) -> DataFrame:
+        """The rows (s, p, o) of ``found`` that aren't in the graph. Of the graph only the predicates of ``found`` are
+        read, if they are few."""
+        names = [r["p"] for r in found.select("p").distinct().limit(FEW_PREDICATES + 1).collect()]
+        if len(names) > FEW_PREDICATES:
+            return found.join(self.triples(), ["s", "p", "o"], "left_anti")
+        for p in names:
+            found = found.join(self.pred(p).withColumn("p", F.lit(p)), ["s", "p", "o"], "left_anti")
+        return found
+
 
 @dataclass
 class MappedTables(Graph):
@@ -64,6 +94,8 @@ class MappedTables(Graph):
         return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], "s string, p string, o string")
 
 
+#: Predicates of new triples that are looked up one by one.
+FEW_PREDICATES = 16
 EX = "urn:ex:"
 
 
@@ -127,20 +159,45 @@ def from_text(spark: SparkSession, text: str, base: str = "", scope: str = "") -
 _LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:[^\s.]+(?:\.[^\s.]+)*|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
 
 
-def read_ntriples(spark: SparkSession, path: str) -> TripleTable:
-    """N-Triples and N-Quads of any size by a native projection of text lines; lines that aren't statements are skipped.
-    Escapes \\t \\n \\r \\" \\\\ are resolved, \\u escapes are kept as they stand."""
+_NUMBERED = r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})"
+
+
+def _good_lines(frame: DataFrame, good: Column, empty: Column, bad_lines: str) -> DataFrame:
+    """The good lines. Others than empty ones and comments are an error, or are left out if ``bad_lines`` is "skip"."""
+    if bad_lines not in ("raise", "skip"):
+        raise ValueError("bad_lines is raise or skip")
+    wrong = F.lit(False) if bad_lines == "skip" else F.raise_error(F.concat(F.lit("this line can't be read: "), F.substring("value", 1, 200))).cast("boolean")
+    return frame.where(F.when(good, True).when(empty, False).otherwise(wrong))
+
+
+def unescaped(term: Column) -> Column:
+    """A term with its escapes resolved, \\u and \\U too."""
+    out = term
+    # A doubled backslash is set aside first, so that what it stands before is no escape.
+    for escape, char in (("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ("\\'", "'")):
+        out = F.replace(out, F.lit(escape), F.lit(char))
+    whole = F.regexp_extract_all(out, F.lit(_NUMBERED), F.lit(0))
+    between = F.split(out, _NUMBERED, -1)
+    char = lambda x: F.decode(F.unhex(F.lpad(F.substring(x, F.lit(3), F.length(x)), 8, "0")), "UTF-32")
+    joined = F.array_join(F.zip_with(between, F.concat(whole, F.array(F.lit(""))), lambda a, x: F.concat(a, F.when(x == "", "").otherwise(char(x)))), "")
+    out = F.when(F.rlike(out, F.lit(_NUMBERED)), joined).otherwise(out)
+    return F.when(F.contains(term, F.lit("\\")), F.replace(out, F.lit("\x00"), F.lit("\\"))).otherwise(term)
+
+
+def read_ntriples(spark: SparkSession, path: str, bad_lines: str = "raise") -> TripleTable:
+    """N-Triples and N-Quads of any size by a native projection of text lines. Escapes are resolved, so a term is the same
+    whichever format it comes from. A line that is no statement, no comment and not empty raises an error when it is
+    read, or is left out with ``bad_lines="skip"``."""
     part = lambda i: F.regexp_extract("value", _LINE, i)
-    rows = spark.read.text(path).where(F.rlike("value", F.lit(_LINE))).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"), F.nullif(part(4), F.lit("")).alias("g"))
+    lines = _good_lines(spark.read.text(path), F.rlike("value", F.lit(_LINE)), F.rlike("value", F.lit(r"^\s*(#.*)?$")), bad_lines)
+    rows = lines.select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"), F.nullif(part(4), F.lit("")).alias("g"))
     o = F.col("o")
-    for escape, char in (("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\x00", "\\")):  # a doubled backslash is set aside first
-        o = F.replace(o, F.lit(escape), F.lit(char))
     plain = F.when(F.startswith(o, F.lit('"')) & F.endswith(o, F.lit('"')), F.concat(o, F.lit(f"^^<{XSD}string>"))).otherwise(o)
-    return TripleTable(spark, rows.withColumn("o", plain).distinct())
+    return TripleTable(spark, rows.select(unescaped(F.col("s")).alias("s"), unescaped(F.col("p")).alias("p"), unescaped(plain).alias("o"), "g").distinct())
 
 
-def read_hextuples(spark: SparkSession, path: str) -> TripleTable:
-    """HexTuples (a JSON array of six strings a line) of any size, by native JSON functions; other lines are skipped."""
+def read_hextuples(spark: SparkSession, path: str, bad_lines: str = "raise") -> TripleTable:
+    """HexTuples (a JSON array of six strings a line) of any size, by native JSON functions; other lines as for ``read_ntriples``."""
     x = F.col("x")
     node = lambda t: F.when(F.startswith(t, F.lit("_:")), t).otherwise(F.concat(F.lit("<"), t, F.lit(">")))
     value, kind, lang = x[2], x[3], F.get("x", F.lit(4))
@@ -149,7 +206,8 @@ def read_hextuples(spark: SparkSession, path: str) -> TripleTable:
         .when(F.coalesce(lang, F.lit("")) != "", F.concat(F.lit('"'), value, F.lit('"@'), lang))
         .otherwise(F.concat(F.lit('"'), value, F.lit('"^^<'), F.when(F.coalesce(kind, F.lit("")) == "", XSD + "string").otherwise(kind), F.lit(">")))
     )
-    rows = spark.read.text(path).select(F.from_json("value", "array<string>").alias("x")).where(F.size("x") >= 4)
+    parsed = spark.read.text(path).withColumn("x", F.from_json("value", "array<string>"))
+    rows = _good_lines(parsed, F.coalesce(F.size("x") >= 4, F.lit(False)), F.rlike("value", F.lit(r"^\s*$")), bad_lines).select("x")
     return TripleTable(spark, rows.select(node(x[0]).alias("s"), F.concat(F.lit("<"), x[1], F.lit(">")).alias("p"), o.alias("o"), F.nullif(F.get("x", F.lit(5)), F.lit("")).alias("g")).distinct())
 
 
@@ -162,10 +220,15 @@ def escaped(term: Column) -> Column:
     return F.when(F.startswith(term, F.lit('"')), text).otherwise(term)
 
 
+def ntriples(frame: DataFrame) -> DataFrame:
+    """(value): a line of N-Triples for each row (s, p, o)."""
+    return frame.select(F.concat(F.col("s"), F.lit(" "), F.col("p"), F.lit(" "), escaped(F.col("o")), F.lit(" .")).alias("value"))
+
+
 def write_ntriples(frame: DataFrame, path: str) -> None:
     """(s, p, o) as N-Triples, a file a task."""
-    frame.select(F.concat(F.col("s"), F.lit(" "), F.col("p"), F.lit(" "), escaped(F.col("o")), F.lit(" .")).alias("value")).write.text(path)
+    ntriples(frame).write.text(path)
 
 
 NIL, FIRST, REST = f"<{RDF}nil>", f"<{RDF}first>", f"<{RDF}rest>"
-__all__ = ["EX", "FIRST", "Graph", "MappedTables", "NIL", "REST", "SUBCLASS", "TripleTable", "from_text", "mapped", "read_hextuples", "read_ntriples", "write_ntriples"]
+__all__ = ["EX", "FIRST", "Graph", "Layered", "MappedTables", "NIL", "REST", "SUBCLASS", "TripleTable", "from_text", "mapped", "read_hextuples", "ntriples", "read_ntriples", "write_ntriples"]

@@ -112,7 +112,81 @@ def test_ntriples_round_trip(spark, tmp_path):
 
 
 def test_hextuples(spark, tmp_path):
-    lines = ['["urn:a","urn:p","_:b","localId","",""]', '["urn:a","urn:p","hi","http://www.w3.org/1999/02/22-rdf-syntax-ns#langString","en","urn:g"]', '["_:b","urn:q","5","%sinteger","",""]' % XSD, "junk", ""]
+    lines = ['["urn:a","urn:p","_:b","localId","",""]', '["urn:a","urn:p","hi","http://www.w3.org/1999/02/22-rdf-syntax-ns#langString","en","urn:g"]', '["_:b","urn:q","5","%sinteger","",""]' % XSD, ""]
     (tmp_path / "x.hext").write_text("\n".join(lines))
     got = {tuple(r) for r in read_hextuples(spark, str(tmp_path / "x.hext")).triples().collect()}
     assert got == {("<urn:a>", "<urn:p>", "_:b"), ("<urn:a>", "<urn:p>", '"hi"@en'), ("_:b", "<urn:q>", f'"5"^^<{XSD}integer>')}
+
+
+def test_abort_keeps_the_flag(spark):
+    """The one result that is kept is one that counts, if there is any."""
+    shapes = HEAD + """ex:W a sh:NodeShape ; sh:order 0 ; sh:targetClass ex:P ; sh:severity sh:Warning ; sh:property [ sh:path ex:age ; sh:severity sh:Warning ; sh:minCount 5 ] .
+      ex:S a sh:NodeShape ; sh:order 1 ; sh:targetNode ex:b ; sh:property [ sh:path ex:age ; sh:maxInclusive 50 ] ."""
+    for abort in (False, True):
+        assert not validate(spark, DATA, shapes, allow_warnings=True, abort_on_first=abort).conforms
+    assert validate(spark, DATA, shapes, allow_warnings=True, abort_on_first=True).results.count() == 1
+
+
+def solve(spark, text, data=DATA):
+    return sorted(map(tuple, Engine(from_text(spark, data)).solve(parse_query("PREFIX e: <urn:ex:> PREFIX xsd: <%s> " % XSD + text)).collect()), key=str)
+
+
+def test_numbers_without_rounding(spark):
+    data = HEAD + "ex:a ex:v 9007199254740993 , 2 . ex:b ex:v 1.10 , 2.2 . ex:c ex:v 1.5e0 , 1 ."
+    n = lambda x, kind="integer": f'"{x}"^^<{XSD}{kind}>'
+    assert solve(spark, "SELECT (?v + 1 AS ?x) (?v * ?v AS ?y) (ABS(-?v) AS ?z) { e:a e:v ?v FILTER(?v > 2) }", data) == [(n(9007199254740994), n(9007199254740993**2), n(9007199254740993))]
+    got = {s: (x, y) for s, x, y in solve(spark, "SELECT ?s (SUM(?v) AS ?x) (AVG(?v) AS ?y) { ?s e:v ?v } GROUP BY ?s", data)}
+    assert got[ex("a")] == (n(9007199254740995), n("4503599627370497.5", "decimal"))
+    assert got[ex("b")] == (n("3.3", "decimal"), n("1.65", "decimal")) and got[ex("c")] == (n("2.5", "double"), n("1.25", "double"))
+    assert solve(spark, "SELECT (?v + ?w AS ?x) { e:b e:v ?v , ?w FILTER(?v < ?w) }", data) == [(n("3.3", "decimal"),)]
+
+
+def test_replace_with_flags(spark):
+    assert solve(spark, 'SELECT (REPLACE("aXbx", "x", "-", "i") AS ?x) (REPLACE("aXbx", "x", "-") AS ?y) { e:b e:next ?o }') == [(f'"a-b-"^^<{XSD}string>', f'"aXb-"^^<{XSD}string>')]
+
+
+def test_minus_and_joins_with_unbound_variables(spark):
+    data = HEAD + "ex:a ex:p 1 . ex:b ex:p 2 ; ex:q 5 . ex:c ex:p 3 ; ex:q 6 . ex:x ex:r 5 . ex:y ex:t 5 ."
+    five = f'"5"^^<{XSD}integer>'
+    # The row of ex:a binds no ?w, so it shares no variable with the right side and stays.
+    assert [r[0] for r in solve(spark, "SELECT ?s { ?s e:p ?v OPTIONAL { ?s e:q ?w } MINUS { e:x e:r ?w } }", data)] == [ex("a"), ex("c")]
+    # An unbound ?w joins with every value.
+    assert solve(spark, "SELECT ?s ?w { { ?s e:p ?v OPTIONAL { ?s e:q ?w } } { ?z e:t ?w } }", data) == [(ex("a"), five), (ex("b"), five)]
+    # Both sides may lack it.
+    both = solve(spark, "SELECT ?s ?w ?z { { SELECT ?s ?w { ?s e:p ?v OPTIONAL { ?s e:q ?w } } } { SELECT ?z ?w { ?z ?any 5 OPTIONAL { ?z e:r ?w } } } }", data)
+    assert len(both) == 3 + 3 + 2 and (ex("c"), f'"6"^^<{XSD}integer>', ex("y")) in both
+
+
+def test_bad_lines_and_escapes(spark, tmp_path):
+    path = tmp_path / "x.nt"
+    path.write_text('<urn:a> <urn:p\\u00E9> "caf\\u00E9 \\U0001F600 \\\\u0041 \\t" .\n# note\n\n<urn:a> <urn:p> "\\u0022"@en .\n', encoding="utf-8")
+    got = {tuple(r) for r in read_ntriples(spark, str(path)).triples().collect()}
+    assert got == {("<urn:a>", "<urn:pé>", f'"café 😀 \\u0041 \t"^^<{XSD}string>'), ("<urn:a>", "<urn:p>", '"""@en')}
+    path.write_text("<urn:a> <urn:p> <urn:b> .\nthis is no statement\n", encoding="utf-8")
+    assert read_ntriples(spark, str(path), bad_lines="skip").triples().count() == 1
+    with pytest.raises(Exception, match="can't be read"):
+        read_ntriples(spark, str(path)).triples().count()
+
+
+def test_shapes_within_the_data(spark):
+    """Without a shapes graph only the triples that tell of shapes come to the driver."""
+    from graphwright.api import shape_triples
+
+    text = DATA + 'ex:S a sh:NodeShape ; sh:targetClass ex:P ; sh:property [ sh:path ( ex:next ex:age ) ; sh:in ( 7 "x" ) ] .'
+    triples = shape_triples(from_text(spark, text))
+    assert not any(s in (ex("a"), ex("b"), ex("c")) for s, _, _ in triples) and len(triples) == 3 + 2 + 4 + 4
+    assert found(validate(spark, text)) == [(ex("a"), f'"70"^^<{XSD}integer>', "In")]
+
+
+def test_stored_by_predicate(spark, tmp_path):
+    graph = from_text(spark, DATA)
+    stored = graph.store(str(tmp_path / "by_p"))
+    assert {tuple(r) for r in stored.triples().collect()} == {tuple(r) for r in graph.triples().collect()}
+    plan = stored.pred(ex("next"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(p" in plan
+
+
+def test_two_qualified_shapes(spark):
+    shapes = HEAD + """ex:S a sh:NodeShape ; sh:targetNode ex:a ; sh:property [ sh:path ex:age ; sh:qualifiedMinCount 1 ; sh:qualifiedMaxCount 1 ;
+      sh:qualifiedValueShape [ sh:datatype xsd:integer ] , [ sh:nodeKind sh:IRI ] ] ."""
+    assert found(validate(spark, DATA, shapes)) == [(ex("a"), None, "QualifiedMinCount")]
