@@ -61,6 +61,12 @@ def lang_of(term: str) -> str:
 # Native expressions
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row. Filters are moved to where a term is put together from a
+    table's column, and it would else be put together anew wherever it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def suffix(t: Column) -> Column:
     """What follows the last quote: ``^^<datatype>`` or ``@lang``."""
     return F.substring_index(t, '"', -1)
@@ -153,12 +159,16 @@ def c_compare_with(a: Column, constant: str) -> Column:
         return c_compare(a, F.lit(constant))
     name, text = datatype_of(constant).removeprefix(XSD), lexical_of(constant)
     sign = lambda x, y: F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+
+    def numbers(p: Column) -> Column:
+        number = F.regexp_replace(p["text"], "INF$", "Infinity").try_cast("double")
+        exact = F.when(p["name"].isin(*EXACT), sign(p["text"].try_cast("decimal(38,12)"), F.lit(text).try_cast("decimal(38,12)"))) if name in EXACT else F.lit(None).cast("int")
+        return F.when(p["name"].isin(*NUMERIC), once(number, lambda x: F.when(~F.isnan(x), F.coalesce(exact, sign(x, c_number(F.lit(constant)))))))
+
     if name in NUMERIC:
-        number = c_number(a)
-        exact = sign(c_exact(a), F.lit(text).try_cast("decimal(38,12)")) if name in EXACT else F.lit(None).cast("int")
-        return F.when(~F.isnan(number), F.coalesce(exact, sign(number, c_number(F.lit(constant)))))
+        return once(a, lambda x: once(F.struct(c_local_type(x).alias("name"), c_text(x).alias("text")), numbers))
     if name == "string":
-        return F.when(c_local_type(a) == "string", sign(c_text(a), F.lit(text)))
+        return once(a, lambda x: F.when(c_local_type(x) == "string", sign(c_text(x), F.lit(text))))
     return c_compare(a, F.lit(constant))
 
 
@@ -167,24 +177,30 @@ _NUMBER, _STRING, _BOOLEAN, _MOMENT, _DAY, _TIME_OF_DAY, _TAGGED = range(1, 8)
 
 
 def c_typed_value(t: Column) -> Column:
-    """(kind, zoned, number, exact, text) of a literal, to be computed once and compared often; a null kind compares with nothing."""
-    name, text, lang = c_local_type(t), c_text(t), c_lang(t)
-    zoned = F.rlike(text, F.lit(r"(Z|[+-]\d\d:\d\d)$"))
-    moment = lambda x: F.when(zoned, x.try_cast("timestamp").cast("double")).otherwise(F.concat(x, F.lit("Z")).try_cast("timestamp").cast("double"))
-    number = (
-        F.when(name.isin(*NUMERIC), c_number(t))
-        .when(name == "boolean", F.when(text.isin("true", "1"), 1.0).when(text.isin("false", "0"), 0.0))
-        .when(name == "dateTime", moment(text)).when(name == "date", F.unix_date(F.substring(text, 1, 10).try_cast("date")).cast("double"))
-        .when(name == "time", moment(F.concat(F.lit("1970-01-01T"), text)))
-    )
-    number = F.when(~F.isnan(number), number)
+    """(kind, zone, number, exact, text) of a literal, to be computed once and compared often; a null kind compares with nothing."""
     kinds = {"string": _STRING, "boolean": _BOOLEAN, "dateTime": _MOMENT, "date": _DAY, "time": _TIME_OF_DAY}
-    kind = F.when(name.isin(*NUMERIC), _NUMBER)
-    for n, k in kinds.items():
-        kind = kind.when(name == n, k)
-    kind = kind.when(lang.isNotNull(), _TAGGED)
-    own_text = F.when((name == "string") | lang.isNotNull(), text)
-    return F.struct(kind.alias("kind"), F.when(name.isin("dateTime", "date", "time"), zoned.cast("string")).otherwise(lang).alias("zone"), number.alias("number"), c_exact(t).alias("exact"), own_text.alias("text"))
+
+    def typed(p: Column) -> Column:
+        name, text, lang = p["name"], p["text"], p["lang"]
+        zoned = F.rlike(text, F.lit(r"(Z|[+-]\d\d:\d\d)$"))
+        moment = lambda x: F.when(zoned, x.try_cast("timestamp").cast("double")).otherwise(F.concat(x, F.lit("Z")).try_cast("timestamp").cast("double"))
+        number = (
+            F.when(name.isin(*NUMERIC), F.regexp_replace(text, "INF$", "Infinity").try_cast("double"))
+            .when(name == "boolean", F.when(text.isin("true", "1"), 1.0).when(text.isin("false", "0"), 0.0))
+            .when(name == "dateTime", moment(text)).when(name == "date", F.unix_date(F.substring(text, 1, 10).try_cast("date")).cast("double"))
+            .when(name == "time", moment(F.concat(F.lit("1970-01-01T"), text)))
+        )
+        kind = F.when(name.isin(*NUMERIC), _NUMBER)
+        for n, k in kinds.items():
+            kind = kind.when(name == n, k)
+        zone = F.when(name.isin("dateTime", "date", "time"), zoned.cast("string")).otherwise(lang)
+        exact = F.when(name.isin(*EXACT), text.try_cast("decimal(38,12)"))
+        own_text = F.when((name == "string") | lang.isNotNull(), text)
+        return F.struct(
+            kind.when(lang.isNotNull(), _TAGGED).alias("kind"), zone.alias("zone"), once(number, lambda x: F.when(~F.isnan(x), x)).alias("number"), exact.alias("exact"), own_text.alias("text")
+        )
+
+    return once(t, lambda x: once(F.struct(c_local_type(x).alias("name"), c_text(x).alias("text"), c_lang(x).alias("lang")), typed))
 
 
 def compare_values(a: Column, b: Column) -> Column:

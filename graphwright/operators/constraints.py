@@ -49,51 +49,54 @@ def class_(run, shape, F_, FV):
 
 
 def _of_value(conditions):
-    """A component that judges each value by itself: a violation for each of ``conditions(run, shape)`` that holds."""
+    """A component that judges each value by itself: a violation for each of ``conditions(run, shape, value)`` that holds.
+    The value is bound to a variable, so that a term made of a table's column is made once a row, however often it is asked."""
     def component(run, shape, F_, FV):
-        return reduce(DataFrame.unionByName, [FV.where(c) for c in conditions(run, shape)])
+        nth = lambda i: lambda v: conditions(run, shape, v)[i]
+        number = len(conditions(run, shape, _v()))
+        return reduce(DataFrame.unionByName, [FV.where(t.once(_v(), nth(i))) for i in range(number)])
 
     component.conditions = conditions
     return component
 
 
-def _datatype(run, shape):
+def _datatype(run, shape, v):
     want = lexical_of(_one(shape, "datatype"))
     if want == RDFS + "Literal":
-        ok = t.c_is_literal(_v())
+        ok = t.c_is_literal(v)
     elif want == RDFS + "Datatype":
-        ok = t.c_is_literal(_v()) & t.c_lang(_v()).isNull()
+        ok = t.c_is_literal(v) & t.c_lang(v).isNull()
     else:
-        ok = (t.c_datatype(_v()) == want) & ~t.c_ill_typed(_v(), want.removeprefix(t.XSD))
+        ok = (t.c_datatype(v) == want) & ~t.c_ill_typed(v, want.removeprefix(t.XSD))
     return [_fails(ok)]
 
 
-def _node_kind(run, shape):
+def _node_kind(run, shape, v):
     kind = lexical_of(_one(shape, "nodeKind")).removeprefix(SH)
     tests = {"IRI": t.c_is_iri, "BlankNode": t.c_is_blank, "Literal": t.c_is_literal}
     named = [test for name, test in tests.items() if name in kind]
     if not named:
         raise ConstraintLoadError(f"{kind} is no node kind")
-    return [~reduce(lambda a, b: a | b, [test(_v()) for test in named])]
+    return [~reduce(lambda a, b: a | b, [test(v) for test in named])]
 
 
 def _range(name: str, test):
-    def conditions(run, shape):
+    def conditions(run, shape, v):
         if any(not is_literal(x) for x in shape.get(name)):
             raise ConstraintLoadError(f"sh:{name} needs a literal")
-        return [_fails(test(t.c_compare_with(_v(), limit))) for limit in shape.get(name)]
+        return [_fails(test(t.c_compare_with(v, limit))) for limit in shape.get(name)]
 
     return _of_value(conditions)
 
 
 def _length(name: str, test):
-    def conditions(run, shape):
+    def conditions(run, shape, v):
         n = integer(_one(shape, name), f"sh:{name}")
         if n < 0:
             raise ConstraintLoadError(f"sh:{name} can't be negative")
         if name == "minLength" and n == 0:
             return [F.lit(False)]
-        return [t.c_is_blank(_v()) | ~test(F.length(t.c_text(_v())), n)]
+        return [t.c_is_blank(v) | ~test(F.length(t.c_text(v)), n)]
 
     return _of_value(conditions)
 
@@ -103,20 +106,20 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace("(?P<", "(?<").replace("(?P=", "\\k<").replace("\\Z", "\\z")
 
 
-def _pattern(run, shape):
+def _pattern(run, shape, v):
     flags = "".join(c for x in shape.get("flags")[:1] for c in lexical_of(x) if c in "imsx")
-    return [t.c_is_blank(_v()) | ~F.rlike(t.c_text(_v()), F.lit((f"(?{flags})" if flags else "") + java_pattern(lexical_of(p)))) for p in shape.get("pattern")]
+    return [t.c_is_blank(v) | ~F.rlike(t.c_text(v), F.lit((f"(?{flags})" if flags else "") + java_pattern(lexical_of(p)))) for p in shape.get("pattern")]
 
 
-def _language_in(run, shape):
+def _language_in(run, shape, v):
     tags = [lexical_of(x).lower() for x in run.shapes.items(_one(shape, "languageIn"))]
-    lang = F.lower(t.c_lang(_v()))
+    lang = F.lower(t.c_lang(v))
     ok = lang.isNotNull() if "*" in tags else lang.isin(*tags) | F.substring_index(lang, "-", 1).isin(*tags) if tags else F.lit(False)
     return [_fails(ok)]
 
 
-def _in(run, shape):
-    return [~_v().isin(*run.shapes.items(_one(shape, "in")))]
+def _in(run, shape, v):
+    return [~v.isin(*run.shapes.items(_one(shape, "in")))]
 
 
 datatype, node_kind, pattern, language_in, in_ = map(_of_value, (_datatype, _node_kind, _pattern, _language_in, _in))
@@ -215,8 +218,7 @@ def _simple(run, node: str) -> Column | None:
     functions = {sh(name): COMPONENTS[name][1] for name in COMPONENTS if hasattr(COMPONENTS[name][1], "conditions")}
     if len(own) != sum(x != TYPE for x in shape.params) or any(x not in functions and x not in PLAIN for x in own):
         return None
-    bad = [c for x in own if x in functions for c in functions[x].conditions(run, shape)]
-    return reduce(lambda a, b: a | b, bad, F.lit(False))
+    return t.once(_v(), lambda v: reduce(lambda a, b: a | b, [c for x in own if x in functions for c in functions[x].conditions(run, shape, v)], F.lit(False)))
 
 
 def _passes(run, node: str, FV: DataFrame, conform: bool) -> DataFrame:
