@@ -5,7 +5,9 @@ each dimension's list of candidates is sorted once. For a query the lists are re
 its weight favours, deeper in steps; each newly seen candidate is scored in full. When the bound (the
 inner product of the query with the values at the present depth) is below the k-th best score, no unseen
 candidate can enter, and reading stops; at a bound equal to it reading goes on, as ties go to the smaller
-id. The blocks' results merge to the whole table's by one window over (query, k rows a block).
+id. The first block's k-th score of each query goes with the query to all other blocks, where reading stops
+as soon as the bound is below it. The blocks' results merge to the whole table's by one window over
+(query, k rows a block at most).
 """
 
 from __future__ import annotations
@@ -15,112 +17,128 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settle import settle
+
 #: Candidates a block and queries a block. Small tables are cut into PARTS blocks, so that all cores work.
-BLOCK, QUERY_BLOCK, PARTS, LEAST_BLOCK = 8192, 1024, 32, 512
-STEPS = (16, 128, 1024)
+BLOCK, QUERY_BLOCK, PARTS, LEAST_BLOCK = 8192, 1024, 32, 2048
+FIRST_STEP = 4
 
 
-def valid_vectors(df: DataFrame, vector: Column, dims: str = "size") -> Column:
+def valid_vectors(vector: Column) -> Column:
     """True for vectors without null or non-finite components."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vector.isNotNull() & (F.size(vector) > 0) & finite
+    return vector.isNotNull() & finite
 
 
-def threshold_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query number, ids, scores) of the k best candidates of each query, the query's own id left out. ``ids``
-    are distinct; rows of ``x`` are candidates. Scores that are whole numbers below 2 ** 53 are exact."""
-    n, d = x.shape
-    by_id = np.argsort(ids, kind="stable")
-    ids, x = ids[by_id], np.ascontiguousarray(x[by_id])
+def threshold_top(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
+    """For each query (places of its candidates, their scores, depth at which reading stopped, candidates scored): the k
+    best candidates, the query's own row left out, without those that score below its floor. Scores that are whole
+    numbers below 2 ** 53 are exact."""
+    n = len(x)
     lists = np.argsort(x, axis=0, kind="stable")  # ascending, a column a dimension
     values = np.take_along_axis(x, lists, axis=0)
     out = []
-    for number, (own, q) in enumerate(zip(query_ids, queries, strict=True)):
+    for own, q, floor in zip(query_rows, queries, floors, strict=True):
         used = np.flatnonzero(q)
         up = q[used] > 0
-        seen = np.zeros(n, bool)
-        at = np.searchsorted(ids, own)
-        if at < n and ids[at] == own:
-            seen[at] = True
+        seen = rows == own
         best_i, best_s = np.empty(0, np.int64), np.empty(0)
-        depth = 0
+        depth, scored = 0, 0
         while depth < n:
-            deeper = next((s for s in STEPS if s > depth), 2 * depth)
-            deeper = n if len(used) == 0 or deeper * 2 >= n else deeper
-            if deeper == n:
-                fresh = np.flatnonzero(~seen)
-            else:
-                rows = np.concatenate([lists[n - deeper : n - depth, used[up]].ravel(), lists[depth:deeper, used[~up]].ravel()])
+            deeper = min(n, max(FIRST_STEP, 2 * depth))
+            if len(used):
                 mark = np.zeros(n, bool)
-                mark[rows] = True
+                mark[lists[n - deeper : n - depth, used[up]].ravel()] = True
+                mark[lists[depth:deeper, used[~up]].ravel()] = True
                 fresh = np.flatnonzero(mark & ~seen)
+            else:  # all scores are 0, and there is no list to read
+                fresh, deeper = np.flatnonzero(~seen), n
             depth = deeper
             seen[fresh] = True
-            scored = x[fresh] @ q if 4 * len(fresh) < n else (x @ q)[fresh]  # one product is cheaper than many rows copied
-            best_i, best_s = np.concatenate([best_i, fresh]), np.concatenate([best_s, scored])
+            scored += len(fresh)
+            best_i, best_s = np.concatenate([best_i, fresh]), np.concatenate([best_s, x[fresh] @ q])
             if len(best_i) > k:
                 kth = np.partition(best_s, len(best_s) - k)[len(best_s) - k]
                 keep = best_s >= kth
                 best_i, best_s = best_i[keep], best_s[keep]
-                order = np.lexsort((best_i, -best_s))[:k]
+                order = np.lexsort((rows[best_i], ids[best_i], -best_s))[:k]
                 best_i, best_s = best_i[order], best_s[order]
-            if depth < n and len(best_i) == k:
+            if depth < n:
+                least = max(floor, best_s.min() if len(best_i) == k else -np.inf)
                 edge = np.where(up, values[n - depth, used], values[depth - 1, used])
-                if edge @ q[used] < best_s[-1]:
+                if edge @ q[used] < least:
                     break
-        order = np.lexsort((best_i, -best_s))
-        out.append((number, ids[best_i[order]], best_s[order]))
+        keep = best_s >= floor
+        out.append((best_i[keep], best_s[keep], depth, scored))
     return out
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score double): the k highest inner products of each query among all
-    candidates of other ids; all, if fewer; ties to the smaller vec_id.
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows; shorter ones are filled up with zeros."""
+    out = np.zeros((len(vectors), max(map(len, vectors), default=0)))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
+
 
-    Both frames have vec_id long and vector array<double>. Rows of a null id, and vectors null, empty or
-    with null or non-finite components take no part. An id that repeats, in either frame, stands for the
-    least of its vectors. Vectors of another length than the most usual one of the candidates take no part either. Other columns
-    aren't used.
+def top_k(table: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """(query_id, rank from 1, vec_id, score double): for each row for which ``is_query`` holds, the k highest inner products
+    with all other rows; all, if fewer; ties to the smaller vec_id.
+
+    ``table`` has vec_id long and vector array<double>. Rows of a null id, and vectors that are null or have
+    null or non-finite components take no part. Rows that repeat an id are rows of their own, as queries and
+    as candidates. Vectors of different lengths meet in the components that both have; an empty vector scores 0
+    with all. An empty table gives no rows. Other columns aren't used.
     """
-    clean = lambda df: df.where(F.col("vec_id").isNotNull() & valid_vectors(df, F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    candidates, queries = clean(candidates), clean(queries)
-    width = candidates.groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    spark = candidates.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    if width is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    candidates, queries = (df.where(F.size("vector") == width["w"]) for df in (candidates, queries))
-    block = min(BLOCK, max(LEAST_BLOCK, -(-width["count"] // PARTS)))
-    parts = max(1, -(-width["count"] // block))
-    query_parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    part = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    left = candidates.select("vec_id", "vector", part(1, parts).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("q"))
-    right = queries.select("vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("c"), part(2, query_parts).alias("q"))
+    clean = table.where(F.col("vec_id").isNotNull() & valid_vectors(F.col("vector"))).select("vec_id", "vector", F.coalesce(is_query, F.lit(False)).alias("asked"))
+    rows = settle(clean.withColumn("row", F.monotonically_increasing_id()))
+    n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    block = min(BLOCK, max(LEAST_BLOCK, -(-n // PARTS)))
+    parts, query_parts = max(1, -(-n // block)), max(1, -(-asked // QUERY_BLOCK))
+    part = lambda salt, many: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(many)).cast("int")
+    upto = lambda first, last: F.explode(F.sequence(F.lit(first), F.lit(last)))
+    schema = "query_row long, query_id long, row long, vec_id long, score double"
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(a) and len(b):
-            own = b["vec_id"].to_numpy()
-            for number, ids, scores in threshold_top(a["vec_id"].to_numpy(), np.stack(a["vector"]), own, np.stack(b["vector"]), k):
-                found.append(pd.DataFrame({"query_id": np.full(len(ids), own[number]), "vec_id": ids, "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-
-    near = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(search, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            both = _matrix(pd.concat([a["vector"], b["vector"]]))
+            x, q = np.ascontiguousarray(both[: len(a)]), both[len(a) :]
+            rows_, ids = a["row"].to_numpy(), a["vec_id"].to_numpy()
+            best = threshold_top(rows_, ids, x, b["row"].to_numpy(), q, k, b["floor"].to_numpy())
+            for query_row, query_id, (at, scores, _, _) in zip(b["row"], b["vec_id"], best, strict=True):
+                found.append(pd.DataFrame({"query_row": np.full(len(at), query_row), "query_id": np.full(len(at), query_id), "row": rows_[at], "vec_id": ids[at], "score": scores}))
+        empty = {c: np.empty(0, np.int64) for c in ("query_row", "query_id", "row", "vec_id")} | {"score": np.empty(0)}
+        return pd.concat(found) if found else pd.DataFrame(empty)
+
+    def met(first: int, last: int, queries: DataFrame) -> DataFrame:
+        """The k best of each query in each of the candidates' blocks first .. last."""
+        left = rows.withColumn("c", part(1, parts)).where(F.col("c").between(first, last)).select("row", "vec_id", "vector", "c", upto(0, query_parts - 1).alias("q"))
+        right = queries.select("row", "vec_id", "vector", "floor", upto(first, last).alias("c"), part(2, query_parts).alias("q"))
+        return left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(search, schema)
+
+    queries = rows.where("asked")
+    near = settle(met(0, 0, queries.withColumn("floor", F.lit(float("-inf")))))
+    if parts > 1:
+        floors = near.groupBy("query_row").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_row").alias("row"), F.col("least").alias("floor"))
+        floored = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        near = near.unionByName(met(1, parts - 1, floored))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every row of ``embeddings`` whose vec_id is divisible by 20."""
     raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     whole = F.transform("embedding", lambda x: F.floor(F.lit(64) * x.cast("double")).cast("double"))
-    rows = raw.where(valid_vectors(raw, F.col("embedding"))).select("vec_id", whole.alias("vector"))
-    return top_k(rows, rows.where("vec_id % 20 = 0"), 20).withColumn("score", F.col("score").cast("long"))
+    rows = raw.where(valid_vectors(F.col("embedding"))).select("vec_id", whole.alias("vector"))
+    return top_k(rows, F.col("vec_id") % 20 == 0, 20).withColumn("score", F.col("score").cast("long"))
 
 
 OP3_SQL = """
-WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id != q.vec_id),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.n != q.n),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20
 """
