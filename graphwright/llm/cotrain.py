@@ -1,8 +1,12 @@
 """Quality classifier by co-training: a view of the text and a view of the page's metadata teach each other.
 
+* *Text view*: the words of the whole text, as shares of hashed buckets, and the shape of the text.
+* *Metadata view*: source, language and the stated length.
+
 Each view is a logistic model. In every round both are fitted on the labelled rows and on the rows that the
-other view is sure of (pseudo-labels, at ``PSEUDO_WEIGHT``); after ``ROUNDS`` the two scores are calibrated and
-combined by a small logistic model on labelled rows that were held out of all rounds (``FOLD`` of 5).
+other view is sure of (pseudo-labels, at ``PSEUDO_WEIGHT``). A view's scores are calibrated by a line through its log
+odds, fitted on labelled rows that were held out of all rounds (``FOLD`` of 5), before they make
+pseudo-labels and at the end, when the calibrated log odds are combined by a small logistic model.
 
 Features are computed once, into a narrow table. All fitting is Newton steps whose sums (a matrix of
 fixed size for each task) come from a pass over that whole table: no sample of labelled or unlabelled
@@ -23,11 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .settle import settle
+from .textvec import mix, runs, words_of
 
 ROUNDS, STEPS, FOLD = 3, 3, 5
-SURE, PSEUDO_WEIGHT, RIDGE = 0.9, 0.3, 1.0
+LONGEST_STEP = 4.0
+SURE, PSEUDO_WEIGHT, RIDGE, LINE_RIDGE = 0.9, 0.3, 1.0, 0.1
 SOURCE_BUCKETS, LANG_BUCKETS = 64, 16
-TEXT_FEATURES, META_DENSE = 16, 4
+WORD_BUCKETS = 64
+SHAPE_FEATURES, META_DENSE = 16, 4
+TEXT_FEATURES = SHAPE_FEATURES + WORD_BUCKETS
 META_FEATURES = META_DENSE + SOURCE_BUCKETS + LANG_BUCKETS
 
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()-]+")
@@ -65,14 +73,29 @@ def text_features(text: str | None) -> list[float]:
     ]
 
 
+def word_features(texts: list[str | None]) -> np.ndarray:
+    """For each text the square roots of its words' shares in WORD_BUCKETS hashed buckets."""
+    out = np.zeros((len(texts), WORD_BUCKETS))
+    for first, some in runs([(t or "").encode("utf-8", "replace") for t in texts]):
+        words, begins = words_of(some)
+        owner = np.repeat(np.arange(len(some)), np.diff(begins))
+        bucket = (mix(words) >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS
+        counts = np.bincount(owner * WORD_BUCKETS + bucket, minlength=len(some) * WORD_BUCKETS).reshape(len(some), WORD_BUCKETS)
+        out[first : first + len(some)] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
+    return out
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [text_features(t) for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        shape = np.array([text_features(t) for t in texts]).reshape(-1, SHAPE_FEATURES)
+        both = np.concatenate([shape, word_features(texts)], 1).astype(np.float32)
+        ends = pa.array(np.arange(len(texts) + 1) * TEXT_FEATURES, pa.int32())
         chars = [0 if c is None else max(0, c) for c in batch.column("n_chars").to_pylist()]
         dense = [[1.0, math.log1p(c) / 10, (math.log1p(c) / 10) ** 2, float(c < 50)] for c in chars]
         kind = pa.list_(pa.float32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(rows, kind), pa.array(dense, kind), batch.column("source"), batch.column("lang"), batch.column("label")], names=["doc_id", "t", "m", "source", "lang", "label"]
+            [batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(both.ravel())), pa.array(dense, kind), batch.column("source"), batch.column("lang"), batch.column("label")], names=["doc_id", "t", "m", "source", "lang", "label"]
         )
 
 
@@ -90,28 +113,38 @@ def _p(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _newton(table: DataFrame, width: int, rows_of: Callable, w: np.ndarray) -> np.ndarray:
-    """One Newton step of a ridge logistic model. ``rows_of(batch)`` gives (features, target, weight)."""
+def _newton(table: DataFrame, models: list[tuple[Callable, np.ndarray, float]]) -> list[np.ndarray]:
+    """One Newton step of some ridge logistic models (rows, weights, ridge) in one pass. ``rows(batch)`` gives (features, target, weight)."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hessian, gradient = np.zeros((width, width)), np.zeros(width)
+        totals = [(np.zeros((len(w), len(w))), np.zeros(len(w))) for _, w, _ in models]
         for batch in batches:
             if batch.num_rows:
-                x, y, weight = rows_of(batch)
-                p = _p(x @ w)
-                hessian += (x * (weight * p * (1 - p))[:, None]).T @ x
-                gradient += x.T @ (weight * (y - p))
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([np.append(hessian.ravel(), gradient).tolist()], pa.list_(pa.float64()))})
+                for (hessian, gradient), (rows, w, _) in zip(totals, models, strict=True):
+                    x, y, weight = rows(batch)
+                    p = _p(x @ w)
+                    hessian += (x * (weight * p * (1 - p))[:, None]).T @ x
+                    gradient += x.T @ (weight * (y - p))
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([np.concatenate([np.append(h.ravel(), g) for h, g in totals]).tolist()], pa.list_(pa.float64()))})
 
     got = np.sum([np.array(r["sums"]) for r in table.mapInArrow(sums, "sums array<double>").collect()], axis=0)
-    if not np.ndim(got):
-        return w
-    hessian = got[: width * width].reshape(width, width) + RIDGE * np.eye(width)
-    return w + np.linalg.solve(hessian, got[width * width :] - RIDGE * w)
-
-
-def _rows_for(view: int, other: np.ndarray | None) -> Callable:
-    """Rows that teach a view: labelled ones outside the held-out fold, and those the other view is sure of."""
+    out, at = [], 0
+    for _, w, ridge in models:
+        n = len(w)
+        if not np.ndim(got):
+            out.append(w)
+            continue
+        hessian = got[at : at + n * n].reshape(n, n) + ridge * np.eye(n)
+        gradient = got[at + n * n : at + n * n + n]
+        # A step of bounded size, as a full one may overshoot where nearly all rows are sure.
+        move = np.linalg.solve(hessian, gradient - ridge * w)
+        out.append(w + move * min(1.0, LONGEST_STEP / max(1e-12, float(np.abs(move).max()))))
+        at += n * n + n
+    return out
+
+
+def _rows_for(view: int, other: np.ndarray | None, line: np.ndarray | None) -> Callable:
+    """Rows that teach a view: labelled ones outside the held-out fold, and those the other view, calibrated by ``line``, is sure of."""
 
     def rows(batch: pa.RecordBatch):
         both = _matrices(batch)
@@ -119,7 +152,7 @@ def _rows_for(view: int, other: np.ndarray | None) -> Callable:
         weight = (label >= 0).astype(float)
         y = np.maximum(label, 0)
         if other is not None:
-            p = _p(both[1 - view] @ other)
+            p = _p(line[0] + line[1] * (both[1 - view] @ other))
             taught = (label == -1) & ((p >= SURE) | (p <= 1 - SURE))
             weight[taught], y[taught] = PSEUDO_WEIGHT, p[taught] >= 0.5
         return both[view], y, weight
@@ -127,15 +160,20 @@ def _rows_for(view: int, other: np.ndarray | None) -> Callable:
     return rows
 
 
-def _rows_to_combine(weights: list[np.ndarray]) -> Callable:
+def _held_out(features: Callable) -> Callable:
+    """Held-out rows with ``features(text log odds, metadata log odds)``, by the views' weights."""
+
     def rows(batch: pa.RecordBatch):
-        t, m = _matrices(batch)
         truth = batch.column("truth").to_numpy(zero_copy_only=False).astype(float)
-        return np.stack([np.ones(len(t)), t @ weights[0], m @ weights[1]], 1), np.maximum(truth, 0), (truth >= 0).astype(float)
+        return features(*_matrices(batch)), np.maximum(truth, 0), (truth >= 0).astype(float)
 
     return rows
 
 
+def _line_of(view: int, w: np.ndarray) -> Callable:
+    return _held_out(lambda *both: np.stack([np.ones(len(both[view])), both[view] @ w], 1))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, text_score, meta_score, score, keep): calibrated probabilities of good quality for every row of ``docs``.
 
@@ -151,20 +189,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
     held = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLD)) == 0
     table = settle(labelled.withColumn("label", F.when(F.col("truth") < 0, -1).when(held, -2).otherwise(F.col("truth"))).withColumn("truth", F.when(held, F.col("truth")).otherwise(-1)))
 
-    widths, views = (TEXT_FEATURES, META_FEATURES), [np.zeros(TEXT_FEATURES), np.zeros(META_FEATURES)]
+    views = [np.zeros(TEXT_FEATURES), np.zeros(META_FEATURES)]
+    lines = [np.array([0.0, 1.0]), np.array([0.0, 1.0])]
     for turn in range(ROUNDS):
-        before = [None, None] if turn == 0 else list(views)
+        before = [(None, None)] * 2 if turn == 0 else list(zip(views, lines, strict=True))
+        for _ in range(STEPS):
+            views = _newton(table, [(_rows_for(v, *before[1 - v]), views[v], RIDGE) for v in (0, 1)])
         for _ in range(STEPS):
-            views = [_newton(table, widths[v], _rows_for(v, before[1 - v]), views[v]) for v in (0, 1)]
+            lines = _newton(table, [(_line_of(v, views[v]), lines[v], LINE_RIDGE) for v in (0, 1)])
+    text, meta = views
+    odds = lambda t, m: (lines[0][0] + lines[0][1] * (t @ text), lines[1][0] + lines[1][1] * (m @ meta))
     mixed = np.array([0.0, 0.5, 0.5])
     for _ in range(STEPS):
-        mixed = _newton(table, 3, _rows_to_combine(views), mixed)
+        (mixed,) = _newton(table, [(_held_out(lambda t, m: np.stack([np.ones(len(t)), *odds(t, m)], 1)), mixed, LINE_RIDGE)])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                t, m = _matrices(batch)
-                one, two = t @ views[0], m @ views[1]
+                one, two = odds(*_matrices(batch))
                 out = {"doc_id": batch.column("doc_id"), "text_score": _p(one), "meta_score": _p(two), "score": _p(mixed[0] + mixed[1] * one + mixed[2] * two)}
                 yield pa.RecordBatch.from_pydict(out)
 
@@ -172,4 +214,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
+    """Scores of both views and their combination for all ``documents``."""
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

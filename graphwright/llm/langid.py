@@ -5,8 +5,8 @@ A word's features are its character 2- and 3-grams with the word's borders, its
 labels of neighbouring words are learned with them. Forward-backward gives each word's label
 probabilities, so code-switched text is labelled word by word; a text's language has the highest mean.
 
-Training runs on the driver over a bounded sample (``SAMPLE_DOCS`` texts, ``SAMPLE_CHARS`` characters at
-most each, an equal share for every language), spliced into code-switched sequences so that
+Training runs on the driver over a bounded sample (``SAMPLE_DOCS`` different texts, an equal share for every
+language; of a longer text a passage of ``SAMPLE_CHARS`` characters), spliced into code-switched sequences so that
 transitions see switches. Labelling runs over whole texts in Arrow batches: words of many texts are
 handled at once, long sequences by products of transfer matrices over blocks of words.
 """
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .textvec import mix, span_hashes
 
@@ -28,7 +29,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 600, 20_000
 BUCKETS = 1 << 16
 LEXICON_WORDS = 300
 BLOCK = 64
-RUN_CHARS = 1 << 20
+#: Characters of the texts that are labelled at once, and rows of a batch that are held as texts.
+RUN_CHARS, SLICE = 1 << 18, 512
 ROUNDS, RATE, DECAY = 20, 0.15, 1e-4
 UNDETERMINED = "und"
 _ALPHA = np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
@@ -240,19 +242,24 @@ def train(texts: list[str], langs: list[str]) -> Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from a sample of ``labelled``; None if no row has text and language. Each language gives up to
-    SAMPLE_DOCS / languages texts, chosen by a hash of the text; texts over SAMPLE_CHARS aren't sampled."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(f"lang IS NOT NULL AND length(text) BETWEEN 1 AND {SAMPLE_CHARS}")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """A model from a sample of ``labelled``; None if no row has text and language. Each language gives the
+    SAMPLE_DOCS / languages different texts of the smallest hashes (all, if fewer), whatever their number and however
+    often one is repeated. Of a text over SAMPLE_CHARS characters a passage of so many is learned, at a place that
+    depends on the hash. Beyond SAMPLE_DOCS languages, one text each is learned."""
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND length(text) > 0")
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    # Different texts of each language, but for 5 %.
+    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return None
     share = max(1, SAMPLE_DOCS // len(counts))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    wanted = None
-    for lang, n in sorted(counts.items()):
-        test = (F.col("lang") == lang) & (draw < int(min(1.0, share / n) * 1_000_000))
-        wanted = test if wanted is None else wanted | test
-    got = sorted((r["lang"], r["text"]) for r in rows.where(wanted).limit(2 * SAMPLE_DOCS + 100).collect())
+    # Four times as many as needed are below the bound, so a window over few rows finds the smallest hashes.
+    below = [(lang, min((1 << 63) - 1, -(1 << 63) + (1 << 64) * (4 * share + 50) // max(1, n))) for lang, n in counts.items()]
+    bounds = F.broadcast(labelled.sparkSession.createDataFrame(below, "lang string, bound long"))  # a row a language
+    start = F.when(F.length("text") > SAMPLE_CHARS, F.pmod("h", F.length("text") - SAMPLE_CHARS)).otherwise(0).cast("int")
+    few = hashed.join(bounds, "lang").where("h <= bound").select("lang", "h", F.substring("text", start + 1, F.lit(SAMPLE_CHARS)).alias("text")).dropDuplicates(["lang", "h"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    got = sorted((r["lang"], r["text"]) for r in few.withColumn("nth", nth).where(F.col("nth") <= share).collect())
     return train([t for _, t in got], [lang for lang, _ in got]) if got else None
 
 
@@ -310,7 +317,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     place = kept.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             langs, scores, sure = judge_texts(model, batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], names=[*kept, "lang_pred", "lang_score", "lang_sure"])
 
@@ -323,6 +330,7 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
+    """Predicted language of every one of ``documents``, learned from those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(learnable(docs))
     found = identify(docs.select("doc_id", "text"), model)

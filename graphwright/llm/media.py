@@ -30,7 +30,7 @@ def clips(df: DataFrame, key: str = "id", media: str = "media") -> DataFrame:
                 try:
                     found = mjpeg.clip_rows(data) if data else []
                     error = None if data else "no data"
-                except (ValueError, KeyError, IndexError, mjpeg.struct.error) as e:
+                except (ValueError, KeyError, IndexError, ArithmeticError, mjpeg.struct.error) as e:
                     error = f"{type(e).__name__}: {e}"
                 cells = found or ([(None,) * 5] if error else [])
                 if cells:
@@ -55,5 +55,6 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op5_media(spark, sf_dir: str) -> DataFrame:
+    """Each text of ``documents`` stored as an AVI and read back: sizes, digests and the features of the decoded frames."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return docs.mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

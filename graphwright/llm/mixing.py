@@ -1,9 +1,10 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions only.
 
-1. *Classifier.* Domains are the classes of a labelled table. A Bernoulli classifier over marker words is
+1. *Classifier.* Domains are the classes of a labelled table. A logistic model over marker words is
    fitted on a bounded sample of labelled documents (``SAMPLE_ROWS``): the words whose presence tells the
    domains apart best become the markers (``MARKERS``, a fixed number), and each document's posterior is
-   the softmax of log prior and the log weights of the markers that it has.
+   the softmax of the domains' offsets and the weights of the markers that it has. Its ridge is the one of
+   ``RIDGES`` of the least log loss on folds that it wasn't fitted on, so that posteriors are calibrated.
 2. *Totals.* With n_i tokens and posterior p_i, document i gives r_i n_i p_i tokens to the domains at rate r_i.
 3. *Rates.* Projected-gradient least squares from r = 1: each pass sums the residual (one number a domain),
    and r_i moves against its gradient and is cut at 0. The residual is measured in the inverse of the
@@ -17,16 +18,16 @@ Only sums with as many numbers as domains reach the driver.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .settle import drop_settled, settle
 
-#: Labelled rows that the classifier learns from at most; marker words; smoothing of word shares.
-SAMPLE_ROWS, SAMPLE_CHARS, MARKERS, SMOOTH = 4000, 20_000, 48, 0.5
+#: Labelled rows that the classifier learns from at most; of longer texts so many characters; marker words.
+SAMPLE_ROWS, SAMPLE_CHARS, MARKERS = 4000, 20_000, 48
+#: Ridges that are tried, folds, and steps of a fit.
+RIDGES, FOLDS, STEPS = (0.3, 1.0, 3.0, 10.0, 30.0), 5, 300
 #: Documents of a domain and overall in which a marker must be found.
 LEAST_DOCS = 5
 PASSES, TOLERANCE = 20, 1e-6
@@ -55,15 +56,18 @@ def shaped(rows: DataFrame) -> DataFrame:
 
 
 def fit_markers(labelled: DataFrame, domain: Column) -> tuple[list[str], dict[str, list[float]], list[float]]:
-    """(domains, marker word -> log weight a domain, log prior a domain) from rows with ``text``. Rows with a null
-    domain or text, or longer than SAMPLE_CHARS, aren't learned from."""
-    rows = labelled.select(F.xxhash64("text").alias("h"), "text", domain.cast("string").alias("domain")).where(f"domain IS NOT NULL AND text IS NOT NULL AND length(text) <= {SAMPLE_CHARS}")
-    n = rows.count()
-    share = min(1.0, SAMPLE_ROWS / n) if n else 1.0
-    rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
+    """(domains, marker word -> weight a domain, offset a domain) from rows with ``text`` and doc_id: the SAMPLE_ROWS rows of the
+    smallest hashes, whatever their number. Rows with a null domain or text aren't learned from; of a text over
+    SAMPLE_CHARS characters a passage of so many is, at a place that depends on the hash."""
+    hashed = labelled.select(F.xxhash64("doc_id", "text").alias("h"), "text", domain.cast("string").alias("domain")).where("domain IS NOT NULL AND text IS NOT NULL")
+    n = hashed.count()
+    bound = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * (2 * SAMPLE_ROWS + 100) // max(1, n))
+    start = F.when(F.length("text") > SAMPLE_CHARS, F.pmod("h", F.length("text") - SAMPLE_CHARS)).otherwise(0).cast("int")
+    rows = settle(hashed.where(F.col("h") <= bound).orderBy("h").limit(SAMPLE_ROWS).select("h", "domain", F.substring("text", start + 1, F.lit(SAMPLE_CHARS)).alias("text")))
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = sorted(sizes)
     if not domains:
+        drop_settled(rows)
         return [], {}, []
     tokens = shaped(rows.select("domain", "text")).select("domain", F.explode(F.array_distinct(F.concat("words", "shape"))).alias("word")).where("word != ''")
     has = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"d{i}") for i, d in enumerate(domains)]
@@ -74,14 +78,52 @@ def fit_markers(labelled: DataFrame, domain: Column) -> tuple[list[str], dict[st
     for i, d in enumerate(domains):
         for there, whole in ((F.col(f"d{i}").cast("double"), F.col("all")), (sizes[d] - F.col(f"d{i}").cast("double"), total - F.col("all"))):
             gain = gain + F.when(there > 0, there / total * F.log(there * total / (whole * sizes[d]))).otherwise(0.0)
-    best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(MARKERS).collect()
-    prior = [math.log(sizes[d] / total) for d in domains]
-    weights = {}
-    for r in best:
-        share = [(r[f"d{i}"] + SMOOTH) / (sizes[d] + 2 * SMOOTH) for i, d in enumerate(domains)]
-        weights[r["word"]] = [math.log(s / (1 - s)) for s in share]
-        prior = [p + math.log(1 - s) for p, s in zip(prior, share, strict=True)]
-    return domains, weights, prior
+    best = [r["word"] for r in counts.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(MARKERS).collect()]
+    listed = F.array(*[F.lit(w) for w in best]) if best else F.array().cast("array<string>")
+    has = shaped(rows.select("h", "domain", "text")).select("h", "domain", F.array_intersect(F.concat("words", "shape"), listed).alias("found"))
+    got = sorted((r["h"], r["domain"], r["found"]) for r in has.collect())  # SAMPLE_ROWS rows at most
+    drop_settled(rows)
+    place = {w: i for i, w in enumerate(best)}
+    x = np.zeros((len(got), len(best) + 1))
+    x[:, 0] = 1
+    for i, (_, _, found) in enumerate(got):
+        x[i, [1 + place[w] for w in found]] = 1
+    y = np.array([domains.index(d) for _, d, _ in got])
+    w = fit_logistic(x, y, len(domains))
+    return domains, {m: w[1 + i].tolist() for m, i in place.items()}, w[0].tolist()
+
+
+def _probabilities(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    z = x @ w
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _descend(x: np.ndarray, y: np.ndarray, k: int, ridge: float) -> np.ndarray:
+    """Weights of a softmax model by accelerated gradient steps; the first column is the offset, which has no ridge."""
+    truth = np.eye(k)[y]
+    w = ahead = np.zeros((x.shape[1], k))
+    step = 1 / (0.5 * np.linalg.norm(x, 2) ** 2 / len(x) + ridge / len(x))
+    for turn in range(1, STEPS + 1):
+        gradient = x.T @ (_probabilities(x, ahead) - truth) / len(x)
+        gradient[1:] += ridge / len(x) * ahead[1:]
+        new = ahead - step * gradient
+        ahead, w = new + turn / (turn + 3) * (new - w), new
+    return w
+
+
+def log_loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    return float(-np.log(np.maximum(_probabilities(x, w)[np.arange(len(y)), y], 1e-12)).mean())
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Weights (features x domains) with the ridge of the least log loss on held-out folds; the prior alone is one of the models."""
+    fold = np.arange(len(y)) % FOLDS
+    losses = {}
+    for ridge in (*RIDGES, 1e6):
+        ws = [(_descend(x[fold != f], y[fold != f], k, ridge), f) for f in range(FOLDS) if (fold == f).any() and (fold != f).any()]
+        losses[ridge] = float(np.mean([log_loss(x[fold == f], y[fold == f], w) for w, f in ws])) if ws else 0.0
+    return _descend(x, y, k, min(losses, key=losses.get))
 
 
 def posteriors(found: Column, weights: dict[str, list[float]], prior: list[float]) -> Column:
@@ -149,6 +191,8 @@ def mix_rates(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[
                 break
             drop_settled(after)
             length /= 2
+        if turn > 1:
+            drop_settled(state)
         state, length = after, min(1.0, 2 * length)
     return state.select("doc_id", "n_tokens", "posterior", _top(domains), "rate")
 
@@ -177,6 +221,7 @@ def label_domain() -> Column:
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
+    """Rates at which all ``documents`` are to be taken for the domains of ``labels`` to have the shares TARGETS of the tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mix_rates(docs, labels, label_domain(), TARGETS)

@@ -207,7 +207,12 @@ def _decode_general(jpeg: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
         raise ValueError("the first component is subsampled")
     if len(parts) == 1:
         parts = [(parts[0][0], 1, 1, parts[0][3])]
+    if not width or not height or not all(1 <= x <= 4 for _, h, v, _ in parts for x in (h, v)):
+        raise ValueError("a frame without pixels, or of impossible sampling factors")
     across, down = -(-width // (8 * parts[0][1])), -(-height // (8 * parts[0][2]))
+    # A block takes two bits at least, so a header can't ask for more blocks than its data may hold.
+    if across * down * parts[0][1] * parts[0][2] > 4 * (len(jpeg) - at) + 4:
+        raise ValueError("the frame is larger than its data")
     end = jpeg.rfind(b"\xff\xd9")
     coded = jpeg[at : end if end >= at else len(jpeg)]
     pieces, last, i = [], 0, coded.find(b"\xff")
