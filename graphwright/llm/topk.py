@@ -121,7 +121,7 @@ def top_k(table: DataFrame, is_query: Column, k: int) -> DataFrame:
     near = settle(met(0, 0, queries.withColumn("floor", F.lit(float("-inf")))))
     if parts > 1:
         floors = near.groupBy("query_row").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_row").alias("row"), F.col("least").alias("floor"))
-        floored = queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        floored = settle(queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
         near = near.unionByName(met(1, parts - 1, floored))
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,9 +1,12 @@
 """The AVI round trip, and the threshold algorithm against a full scan."""
 
+import hashlib
 import os
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphwright.llm import media, mjpeg, topk
 
@@ -26,16 +29,62 @@ def test_clips(spark):
     assert mjpeg.shots(np.array([[1.0, 0]] * 5 + [[0, 1.0]] * 5)) == [(0, 5), (5, 10)]
 
 
-def test_threshold_algorithm_is_exact(spark):
+@pytest.mark.parametrize("block", [8192, 64])
+def test_threshold_algorithm_is_exact(spark, block, monkeypatch):
+    """Against all scores, by one block and by many: repeated ids, null, short, empty and non-finite vectors, ties."""
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "LEAST_BLOCK", min(block, topk.LEAST_BLOCK))
     rng = np.random.default_rng(3)
-    rows = [(i, rng.integers(-4, 5, 6).astype(float).tolist()) for i in range(700)] + [(5, [9.0] * 6), (None, [1.0] * 6), (9000, [float("nan")] * 6), (9001, None), (9002, [])]
-    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
-    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 7).collect()
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v and np.isfinite(v).all():
-            vectors[i] = min(vectors.get(i, v), v)
-    for q in (i for i in vectors if i % 50 == 0):
-        want = sorted((-float(np.dot(vectors[q], v)), i) for i, v in vectors.items() if i != q)[:7]
-        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
-    assert topk.top_k(df.limit(0), df, 3).count() == 0
+    rows = [(i, rng.integers(-4, 5, 6).astype(float).tolist()) for i in range(400)]
+    rows += [(5, [9.0] * 6), (50, [1.0, 2.0]), (None, [1.0] * 6), (9000, [float("nan")] * 6), (9001, None), (9002, []), (9050, [0.0] * 6), (9003, [1.0, None])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, vector array<double>, rank int")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 7).collect()
+    valid = [(i, np.array((v + [0.0] * 6)[:6])) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    want = []
+    for at, (q, x) in enumerate(valid):
+        if q % 50 == 0:
+            best = sorted((-float(x @ y), i) for j, (i, y) in enumerate(valid) if j != at)[:7]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 3).count() == 0
+
+
+def test_threshold_stops_early_on_skewed_lists():
+    """Where few dimensions decide, reading stops long before the lists end."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(4000, 8)) * np.array([1000.0, 300, 3, 2, 1, 1, 1, 1]))
+    rows = np.arange(4000)
+    found = topk.threshold_top(rows, rows, x, rows[:20], x[:20], 5, np.full(20, -np.inf))
+    for q, (at, scores, depth, scored) in enumerate(found):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert sorted(-scores) == sorted(-s)[:5] and (at == sorted(range(4000), key=lambda i: (-s[i], i))[:5]).all()
+    assert np.mean([scored for *_, scored in found]) < 1500
+
+
+def test_digests_of_the_query(spark, tmp_path):
+    """Each column of op5_media against hashlib and zlib, over the AVI that holds the text."""
+    texts = [None, "", "a" * 64, "é\n" * 100, "x" * 5000, "a" * 64]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in media.op5_media(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        avi = mjpeg.write_avi(payload)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(avi), hashlib.sha256(avi).hexdigest())
+        general = b"".join(np.where((c := mjpeg._decode_general(f)[0]) > 0, c, c + 255).astype(np.uint8).tobytes() for f in mjpeg.read_avi(avi).frames)
+        assert general[: len(payload)] == payload
+    assert got[2].media_sha256 == got[5].media_sha256
+
+
+def test_broken_frames_are_errors(spark):
+    good = mjpeg.write_avi(b"\x80" * 1024)
+    at = good.index(b"\xff\xc0")
+    zero, large = bytearray(good), bytearray(good)
+    zero[at + 11] = 0  # sampling factors
+    large[at + 5 : at + 9] = b"\xff\xff\xff\xff"  # height and width
+    rows = [(1, bytes(zero)), (2, bytes(large)), (3, good[: at + 200]), (4, good)]
+    got = {r.id: r.error for r in media.clips(spark.createDataFrame(rows, "id int, media binary")).collect()}
+    assert got[4] is None and got[1] is None and got[2]  # one component alone is read without sampling factors
