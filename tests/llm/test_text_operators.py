@@ -4,7 +4,6 @@ import os
 import random
 import re
 import textwrap
-import zlib
 
 import numpy as np
 import pytest
@@ -156,7 +155,6 @@ def test_language_needs_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert langid.fit(docs) is None
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
-    assert zlib.crc32(b"7") % 3 in (0, 1, 2)
 
 
 def test_pipeline_keeps_mixed_languages(spark):
@@ -175,7 +173,7 @@ def test_licences(spark):
     mit = "\n".join(licences.SENTENCES[k][0] for k in ("mitPerm", "mitNotice", "mitAsIs"))
     docs = spark.createDataFrame([(0, None), (1, ""), (2, "Hello.\nReleased under the MIT License.\nAll rights reserved."), (3, mit), (4, "# Licensed under the Apache License, Version 2.0. Bye.")], "doc_id int, text string")
     got = {r.doc_id: (r.licences, r.unmatched) for r in licences.scan_licences(docs).collect()}
-    assert got == {0: ([], 0), 1: ([], 0), 2: (["MIT", "all-rights-reserved"], 0), 3: (["MIT"], 0), 4: ([], 0)} or got[3] == (["MIT"], 0)
+    assert got == {0: ([], 0), 1: ([], 0), 2: (["MIT", "all-rights-reserved"], 0), 3: (["MIT"], 0), 4: (["Apache-2.0"], 0)}
 
 
 def test_wrapped_and_commented_licences(spark):
