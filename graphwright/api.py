@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import os
 import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +20,11 @@ from .plans.settle import settle
 from .plans.shapes import ReportableRuntimeError, ShapesGraph, sh
 from .report import ValidationResult
 from .sources.graph import Graph, TripleTable, from_text
-from .sources.turtle import parse
+from .sources.formats import parse_text
+from .sources.inoculate import ontology_triples
 
 IMPORT_DEPTH = 3
-Source = Graph | DataFrame | str
+Source = Graph | DataFrame | str | bytes | os.PathLike
 
 
 def looks_like_text(source: str) -> bool:
@@ -28,41 +32,71 @@ def looks_like_text(source: str) -> bool:
     return source[:1] in ("#", "@", "<", "\n", "{", "[") or "\n" in source[:32] or len(source) >= 140
 
 
-def read_text(source: str) -> str:
+def fetch(url: str) -> str:
+    """What the web has at a URL, RDF preferred."""
+    accept = "text/turtle, application/rdf+xml;q=0.9, application/ld+json;q=0.8, application/n-triples;q=0.7, */*;q=0.1"
+    with urlopen(Request(url, headers={"Accept": accept}), timeout=60) as answer:  # noqa: S310  only for http and https
+        return answer.read().decode(answer.headers.get_content_charset() or "utf-8")
+
+
+def read_text(source) -> tuple[str, str | None]:
+    """(text, name) of RDF text, bytes, an open file, a path, or the URL of a file or web page."""
+    if hasattr(source, "read"):
+        text, name = source.read(), getattr(source, "name", None)
+        return text.decode() if isinstance(text, bytes) else text, name if isinstance(name, str) else None
+    if isinstance(source, (bytes, bytearray)):
+        return bytes(source).decode(), None
+    source = str(source)
     if looks_like_text(source):
-        return source
-    with open(source.removeprefix("file://"), encoding="utf-8") as f:
-        return f.read()
+        return source, None
+    if source.startswith(("http://", "https://")):
+        return fetch(source), source
+    path = source.removeprefix("file://")
+    with (gzip.open(path, "rt", encoding="utf-8") if path.endswith(".gz") else open(path, encoding="utf-8")) as f:
+        return f.read(), path.removesuffix(".gz")
+
+
+def default_loader(name: str) -> str | None:
+    """The text that an owl:imports names: a file, or a web page if it can be reached."""
+    if name.startswith(("http://", "https://")):
+        try:
+            return fetch(name)
+        except OSError:
+            return None
+    path = name.removeprefix("file://")
+    return read_text(path)[0] if os.path.isfile(path) else None
 
 
 def load(spark: SparkSession, source: Source, scope: str = "") -> Graph:
-    """A graph, a frame (s, p, o), RDF text, or a path. N-Triples, N-Quads and HexTuples files are read in parallel by Spark;
-    other files and texts on the driver."""
+    """A graph, a frame (s, p, o), RDF text, bytes, an open file, a path or a URL. Files of N-Triples, N-Quads and HexTuples
+    are read in parallel by Spark; other files and texts (Turtle, TriG, RDF/XML, JSON-LD) on the driver."""
     if isinstance(source, Graph):
         return source
     if isinstance(source, DataFrame):
         return TripleTable(spark, source.select("s", "p", "o").distinct())
-    if not looks_like_text(source) and re.search(r"\.(nt|nq|nquads)(\.gz|\.bz2)?$", source):
+    source = str(source) if isinstance(source, os.PathLike) else source
+    if isinstance(source, str) and not looks_like_text(source) and re.search(r"\.(nt|nq|nquads)(\.gz|\.bz2)?$", source):
         from .sources.graph import read_ntriples
 
         return read_ntriples(spark, source)
-    if not looks_like_text(source) and re.search(r"\.hext(\.gz|\.bz2)?$", source):
+    if isinstance(source, str) and not looks_like_text(source) and re.search(r"\.hext(\.gz|\.bz2)?$", source):
         from .sources.graph import read_hextuples
 
         return read_hextuples(spark, source)
-    return from_text(spark, read_text(source), scope=scope)
+    text, name = read_text(source)
+    return from_text(spark, text, scope=scope, name=name)
 
 
-def imported(text: str, loader, seen: set[str] | None = None, depth: int = 0) -> list[tuple[str, str, str]]:
+def imported(text: str, loader, seen: set[str] | None = None, depth: int = 0, name: str | None = None) -> list[tuple[str, str, str]]:
     """Triples of a text and of what its owl:imports name, IMPORT_DEPTH deep; ``loader(iri)`` gives texts or None."""
     seen = seen if seen is not None else set()
-    triples = [q[:3] for q in parse(text, scope=f"s{len(seen)}")[0]]
+    triples = [q[:3] for q in parse_text(text, name, scope=f"s{len(seen)}")]
     if depth < IMPORT_DEPTH:
         for _, _, o in [x for x in triples if x[1] == iri(OWL + "imports") and x[2].startswith("<")]:
             if o not in seen:
                 seen.add(o)
                 if (more := loader(o[1:-1])) is not None:
-                    triples += imported(more, loader, seen, depth + 1)
+                    triples += imported(more, loader, seen, depth + 1, o[1:-1])
     return triples
 
 
@@ -84,8 +118,9 @@ def shape_triples(graph: Graph) -> list[tuple[str, str, str]]:
 def load_shapes(spark: SparkSession, source: Source | ShapesGraph, import_loader=None) -> ShapesGraph:
     if isinstance(source, ShapesGraph):
         return source
-    if isinstance(source, str):
-        return ShapesGraph(imported(read_text(source), import_loader or (lambda _: None)))
+    if not isinstance(source, (Graph, DataFrame)):
+        text, name = read_text(source)
+        return ShapesGraph(imported(text, import_loader or default_loader, name=name))
     return ShapesGraph(shape_triples(load(spark, source)))
 
 
@@ -119,7 +154,7 @@ def validate(
     else:
         shapes = load_shapes(spark, shacl_graph, import_loader)
     if ont_graph is not None:
-        graph = TripleTable(spark, graph.triples().unionByName(load(spark, ont_graph, "o").triples()).distinct())
+        graph = TripleTable(spark, graph.triples().unionByName(ontology_triples(load(spark, ont_graph, "o"))).distinct())
     graph = infer(graph, inference)
     known = shapes.prefixes | (prefixes or {})
     focus = [_expanded(x, known) for x in focus_nodes] if focus_nodes is not None else None
@@ -150,7 +185,7 @@ def expand(
     graph = load(spark, data_graph)
     shapes = load_shapes(spark, shacl_graph if shacl_graph is not None else graph)
     if ont_graph is not None:
-        graph = TripleTable(spark, graph.triples().unionByName(load(spark, ont_graph, "o").triples()).distinct())
+        graph = TripleTable(spark, graph.triples().unionByName(ontology_triples(load(spark, ont_graph, "o"))).distinct())
     focus = [_expanded(x, shapes.prefixes) for x in focus_nodes] if focus_nodes is not None else None
     used = [_expanded(x, shapes.prefixes) for x in use_shapes] if use_shapes is not None else None
     return apply_rules(infer(graph, inference), shapes, iterate_rules, focus, used)[0].triples().distinct()

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions.terms import FALSE, TRUE, TYPE, c_string
+from .functions.terms import FALSE, SH, TRUE, TYPE, c_string
 from .plans.shapes import sh
 from .sources.graph import write_ntriples
+from .sources.writers import WRITERS
 
 
 @dataclass
@@ -51,6 +52,21 @@ class ValidationResult:
         links = self.identified().select(F.lit("_:report").alias("s"), F.lit(sh("result")).alias("p"), F.col("result_id").alias("o"))
         return spark.createDataFrame(head, "s string, p string, o string").unionByName(links).unionByName(rows)
 
+    def serialize(self, form: str = "turtle") -> str:
+        """The report graph as turtle, n3, xml, json-ld or nt, made on the driver."""
+        if form not in WRITERS:
+            raise ValueError(f"there is no format {form}; these are known: {', '.join(WRITERS)}")
+        return WRITERS[form](tuple(r) for r in self.report_triples().toLocalIterator())
+
+    def table(self) -> str:
+        """The results as a table of text, all of them, sorted; made on the driver."""
+        names = ["focus", "path", "value", "component", "source_shape", "severity", "messages"]
+        short = lambda c, x: "" if x is None else "; ".join(x) if c == "messages" else x.removeprefix(f"<{SH}").removesuffix(">") if x.startswith(f"<{SH}") else x
+        rows = sorted([short(c, r[c]) for c in names] for r in self.results.toLocalIterator())
+        width = [max(map(len, column)) for column in zip(names, *rows, strict=True)]
+        line = lambda row: "| " + " | ".join(x.ljust(w) for x, w in zip(row, width, strict=True)) + " |"
+        return "\n".join([line(names), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, rows)]) + f"\nConforms: {self.conforms}\n"
+
     def write(self, path: str) -> None:
         write_ntriples(self.report_triples(), path)
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF, SUBCLASS, TYPE, XSD
-from .turtle import parse
 
 
 class Graph:
@@ -150,8 +149,11 @@ def mapped(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = tuple(DIR
     return graph
 
 
-def from_text(spark: SparkSession, text: str, base: str = "", scope: str = "") -> TripleTable:
-    rows = sorted({(s, p, o) for s, p, o, _ in parse(text, base, scope)[0]})
+def from_text(spark: SparkSession, text: str, base: str = "", scope: str = "", name: str | None = None) -> TripleTable:
+    """A text in Turtle, TriG, N-Triples, N-Quads, RDF/XML or JSON-LD: told by the ending of ``name``, else by its first characters."""
+    from .formats import parse_text
+
+    rows = sorted({(s, p, o) for s, p, o, _ in parse_text(text, name, base, scope)})
     return TripleTable(spark, spark.createDataFrame(rows, "s string, p string, o string"))
 
 
