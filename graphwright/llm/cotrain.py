@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .settle import settle
+from .settle import settle, small_batches
 from .textvec import mix, runs, words_of
 
 ROUNDS, STEPS, FOLD = 3, 3, 5
@@ -183,6 +183,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).withColumnRenamed("doc_id", "__id")
     bucket = lambda c, n: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(""))), F.lit(n)).cast("int").alias(c)
+    small_batches(docs.sparkSession)
     narrow = docs.select("doc_id", "text", "n_chars", bucket("source", SOURCE_BUCKETS), bucket("lang", LANG_BUCKETS), F.lit(-1).alias("label"))
     table = narrow.mapInArrow(_features, "doc_id long, t array<float>, m array<float>, source int, lang int, label int").drop("label")
     labelled = table.join(known, table["doc_id"] == known["__id"], "left").drop("__id").withColumn("truth", F.coalesce("label", F.lit(-1)))

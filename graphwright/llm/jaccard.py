@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import component_labels
-from .settle import drop_settled, settle
+from .settle import drop_settled, settle, small_batches
 from .textvec import shingle_sets
 
 PERCENT = 80
@@ -369,6 +369,7 @@ def similar_classes(docs: DataFrame, links: bool = False) -> DataFrame:
     The work for n_links grows with the square of the sets of one class and like size, divided by the
     size of a block; that for classes alone doesn't.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     found = settle(docs.mapInArrow(_set_rows, "kind byte, doc_id long, key binary, shingle long, n long, bits array<long>"))
     own = found.where("kind = 0")

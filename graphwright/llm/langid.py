@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .settle import small_batches
 from .textvec import mix, span_hashes
 
 SAMPLE_DOCS, SAMPLE_CHARS = 600, 20_000
@@ -309,6 +310,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """``docs`` with ``lang_pred`` string, ``lang_score`` double and ``lang_sure`` double, the mean of each word's
     highest probability; a column of that name is replaced. Null texts and texts without a letter get ``und``
     and 0, as all do without a model."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_sure")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     if model is None:

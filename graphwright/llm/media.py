@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mjpeg
+from .settle import small_batches
 
 CLIPS = "clip int, start_s double, end_s double, frames int, histogram array<double>"
 
@@ -56,5 +57,6 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op5_media(spark, sf_dir: str) -> DataFrame:
     """Each text of ``documents`` stored as an AVI and read back: sizes, digests and the features of the decoded frames."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return docs.mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -1,5 +1,17 @@
-"""The library's way of cutting lineage, under the name that this subpackage uses."""
+"""What the operators share: tables in the folder that the cluster shares, and small batches for Python workers."""
+
+from pyspark.sql import SparkSession
 
 from ..plans.settle import drop_settled, settle, shared_folder
 
-__all__ = ["drop_settled", "settle", "shared_folder"]
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 1,000 rows go to Python workers from now on, as rows hold whole texts: Spark's own 10,000 take hundreds of MB in
+    each task, on both sides. A session that was set to another number keeps it."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
+__all__ = ["drop_settled", "settle", "shared_folder", "small_batches"]
