@@ -24,7 +24,7 @@ DECLARE = f'ex: sh:declare [ sh:prefix "ex" ; sh:namespace "{EX}" ] . '
 def _found(spark, sf_dir, shapes: str, tables: str, extra: str = "", **options) -> DataFrame:
     graph = mapped(spark, sf_dir, tuple(tables.split()))
     if extra:
-        graph = TripleTable(spark, graph.triples().unionByName(from_text(spark, HEAD + extra).frame).distinct())
+        graph = TripleTable(spark, graph.triples().unionByName(from_text(spark, HEAD + extra).triples()).distinct())
     return Run(graph, ShapesGraph.from_text(HEAD + shapes), **options).all_results()
 
 

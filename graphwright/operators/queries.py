@@ -172,7 +172,7 @@ def _axioms(spark, sf_dir, extra: str, *tables: str) -> TripleTable:
     from ..sources.graph import from_text
 
     data = mapped(spark, sf_dir, tables).triples()
-    return TripleTable(spark, data.unionByName(from_text(spark, HEAD + extra).frame).distinct())
+    return TripleTable(spark, data.unionByName(from_text(spark, HEAD + extra).triples()).distinct())
 
 
 def _rdfs(extra: str, wanted: str, *tables: str):

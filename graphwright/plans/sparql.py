@@ -64,7 +64,7 @@ class Engine:
 
     graph: Graph
     functions: dict[str, tuple[list[str], Query]] = field(default_factory=dict)
-    named: Callable[[str], Graph] | None = None
+    quad: str | None = None
     count: int = 0
 
     def fresh(self, stem: str) -> str:
@@ -357,11 +357,14 @@ class Engine:
             elif kind == "sub":
                 now = self.join(now, self.solve(part[1], seed))
             elif kind == "graph":
-                if self.named is None:
-                    raise SparqlError("GRAPH needs named graphs")
-                own, self.graph = self.graph, self.named(part[1][1])
-                now = self.join(now, self.group(part[2], seed))
-                self.graph = own
+                own, before = self.graph, self.quad
+                if part[1][0] == "term":
+                    self.graph, self.quad = own.named(part[1][1]), None
+                else:  # each pattern gives the graph's name, by which the patterns are joined
+                    self.quad = part[1][1]
+                inner = self.group(part[2], seed)
+                self.graph, self.quad = own, before
+                now = self.join(now, inner)
         for e in filters:
             now = self.where(now, e, seed)
         return now
@@ -377,7 +380,11 @@ class Engine:
         return now
 
     def pattern(self, now: DataFrame, s: tuple, p: tuple, o: tuple) -> DataFrame:
-        if p[0] == "path" and p[1][0] == "pred":
+        if self.quad is not None:
+            if p[0] == "path" and p[1][0] != "pred":
+                raise SparqlError("a path within GRAPH needs the graph's name")
+            frame = self.graph.quads() if p[0] == "var" else self.graph.quads().where(F.col("p") == p[1][1])
+        elif p[0] == "path" and p[1][0] == "pred":
             frame = self.graph.pred(p[1][1])
         elif p[0] == "path":
             if s[0] == "term":
@@ -392,7 +399,7 @@ class Engine:
             frame = values(self.graph, start, p[1]).toDF("s", "o")
         else:
             frame = self.graph.triples()
-        places = [("s", s), ("o", o)] + ([("p", p)] if p[0] == "var" else [])
+        places = [("s", s), ("o", o)] + ([("p", p)] if p[0] == "var" else []) + ([("g", ("var", self.quad))] if self.quad is not None else [])
         out: dict[str, Column] = {}
         for column, x in places:
             if x[0] == "term":

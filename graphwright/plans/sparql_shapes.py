@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import OWL, RDF, RDFS, SUBCLASS, TRUE, TYPE, lexical_of
+from ..functions.terms import OWL, RDF, RDFS, SUBCLASS, TRUE, TYPE, c_truth, lexical_of
 from .expressions import expression_values
 from .shapes import SH, ConstraintLoadError, Shape, ShapesGraph, ValidationFailure, sh
 from .sparql import Engine
@@ -191,6 +191,8 @@ def _component(run, shape: Shape, component: str, nodes: DataFrame, found: DataF
         return _selected(run, shape, bad, path, component, messages)
     q = read(shapes, validator, lexical_of(shapes.values(validator, "select")[0]), path, bound)
     solved = engine(run).solve(q, _seed(nodes, None, given))
+    if "failure" in solved.columns and (failed := solved.where(F.coalesce(c_truth(F.col("failure")), F.lit(False))).select("this").first()):
+        raise ValidationFailure(f"the validator of {component} failed at {failed['this']}")
     return _selected(run, shape, solved, path, component, _message(run, template, solved.columns, shown))
 
 

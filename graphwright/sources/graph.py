@@ -25,6 +25,14 @@ class Graph:
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "s string, o string")
 
+    def quads(self) -> DataFrame:
+        """(s, p, o, g) of the named graphs; those of a graph without names are none."""
+        return self.spark.createDataFrame([], "s string, p string, o string, g string")
+
+    def named(self, name: str) -> Graph:
+        """The named graph."""
+        return TripleTable(self.spark, self.quads().where(F.col("g") == name).drop("g"))
+
 
 @dataclass
 class TripleTable(Graph):
@@ -40,6 +48,9 @@ class TripleTable(Graph):
     def triples(self) -> DataFrame:
         return self.frame.select("s", "p", "o")
 
+    def quads(self) -> DataFrame:
+        return self.frame.select("s", "p", "o", "g").where("g IS NOT NULL") if "g" in self.frame.columns else Graph.quads(self)
+
     def plus(self, more: DataFrame) -> TripleTable:
         return TripleTable(self.spark, self.triples().unionByName(more.select("s", "p", "o")).distinct())
 
@@ -63,6 +74,9 @@ class Layered(Graph):
     def triples(self) -> DataFrame:
         return self.base.triples().unionByName(self.added.select("s", "p", "o"))
 
+    def quads(self) -> DataFrame:
+        return self.base.quads()
+
     def missing(self, found: DataFrame) -> DataFrame:
         """The rows (s, p, o) of ``found`` that aren't in the graph. Of the graph only the predicates of ``found`` are
         read, if they are few."""
@@ -153,8 +167,8 @@ def from_text(spark: SparkSession, text: str, base: str = "", scope: str = "", n
     """A text in Turtle, TriG, N-Triples, N-Quads, RDF/XML or JSON-LD: told by the ending of ``name``, else by its first characters."""
     from .formats import parse_text
 
-    rows = sorted({(s, p, o) for s, p, o, _ in parse_text(text, name, base, scope)})
-    return TripleTable(spark, spark.createDataFrame(rows, "s string, p string, o string"))
+    rows = sorted(set(parse_text(text, name, base, scope)), key=lambda q: (*q[:3], q[3] or ""))
+    return TripleTable(spark, spark.createDataFrame(rows, "s string, p string, o string, g string"))
 
 
 #: One N-Triples or N-Quads statement: the bulk formats, which split, so any number of tasks read a file.

@@ -8,7 +8,7 @@ from graphwright.functions.terms import SH, TYPE, XSD, iri
 from graphwright.operators import inference
 from graphwright.operators.inference import rdfs
 from graphwright.operators.paths import values
-from graphwright.plans.shapes import ShapeLoadError, ShapesGraph, path_text
+from graphwright.plans.shapes import ShapeLoadError, ShapesGraph, ValidationFailure, path_text
 from graphwright.plans.sparql import Engine
 from graphwright.plans.sparql_parser import parse_query
 from graphwright.sources.graph import from_text, read_hextuples, read_ntriples, write_ntriples
@@ -106,7 +106,7 @@ def test_owl_rl_goes_on_to_the_end_of_a_chain(spark, monkeypatch):
 
 def test_ntriples_round_trip(spark, tmp_path):
     graph = from_text(spark, '<urn:a> <urn:p> "q\\"uo\\n\\\\te" , "x"@en , 5 ; <urn:q> _:b .')
-    write_ntriples(graph.frame, str(tmp_path / "out"))
+    write_ntriples(graph.triples(), str(tmp_path / "out"))
     back = read_ntriples(spark, str(tmp_path / "out")).triples()
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in graph.triples().collect()}
 
@@ -190,3 +190,22 @@ def test_two_qualified_shapes(spark):
     shapes = HEAD + """ex:S a sh:NodeShape ; sh:targetNode ex:a ; sh:property [ sh:path ex:age ; sh:qualifiedMinCount 1 ; sh:qualifiedMaxCount 1 ;
       sh:qualifiedValueShape [ sh:datatype xsd:integer ] , [ sh:nodeKind sh:IRI ] ] ."""
     assert found(validate(spark, DATA, shapes)) == [(ex("a"), None, "QualifiedMinCount")]
+
+
+def test_named_graphs(spark):
+    data = "<urn:ex:a> <urn:ex:p> 1 . <urn:g1> { <urn:ex:a> <urn:ex:p> 2 ; <urn:ex:q> <urn:ex:b> . } <urn:g2> { <urn:ex:b> <urn:ex:p> 3 ; <urn:ex:q> <urn:ex:c> . <urn:ex:a> <urn:ex:p> 4 . }"
+    n = lambda x: f'"{x}"^^<{XSD}integer>'
+    assert solve(spark, "SELECT ?v { e:a e:p ?v }", data) == [(n(1),), (n(2),), (n(4),)]
+    assert solve(spark, "SELECT ?v { GRAPH <urn:g1> { e:a e:p ?v } }", data) == [(n(2),)]
+    # Both patterns hold within one graph.
+    assert solve(spark, "SELECT ?g ?s ?v { GRAPH ?g { ?s e:p ?v ; e:q ?o } }", data) == [("<urn:g1>", ex("a"), n(2)), ("<urn:g2>", ex("b"), n(3))]
+    assert solve(spark, "SELECT ?g ?h { GRAPH ?g { ?s e:q ?o } GRAPH ?h { ?o e:p ?v } }", data) == [("<urn:g1>", "<urn:g2>")]
+    assert solve(spark, "SELECT ?g { GRAPH ?g { ?s ?p ?o } }", "<urn:a> <urn:p> 1 .") == []
+
+
+def test_a_validator_that_fails(spark):
+    shapes = HEAD + """ex:C a sh:ConstraintComponent ; sh:parameter [ sh:path ex:check ] ; sh:nodeValidator [ a sh:SPARQLSelectValidator ;
+      sh:select "SELECT $this (true AS ?failure) WHERE { $this <urn:ex:age> ?v FILTER(?v > $check) }" ] . ex:S a sh:NodeShape ; sh:targetClass ex:P ; ex:check %d ."""
+    assert validate(spark, DATA, shapes % 100, advanced=True).conforms
+    with pytest.raises(ValidationFailure, match="failed at <urn:ex:b>"):
+        validate(spark, DATA, shapes % 50, advanced=True)
