@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .settle import settle
 
 #: Candidates a block and queries a block. Small tables are cut into PARTS blocks, so that all cores work.
-BLOCK, QUERY_BLOCK, PARTS, LEAST_BLOCK = 8192, 1024, 32, 2048
-FIRST_STEP = 4
+BLOCK, QUERY_BLOCK, PARTS, LEAST_BLOCK = 8192, 1024, 32, 4096
+#: Depth of the first step, and how many times deeper each later one is.
+FIRST_STEP, DEEPER = 16, 4
 
 
 def valid_vectors(vector: Column) -> Column:
@@ -45,7 +46,7 @@ def threshold_top(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, query_rows:
         best_i, best_s = np.empty(0, np.int64), np.empty(0)
         depth, scored = 0, 0
         while depth < n:
-            deeper = min(n, max(FIRST_STEP, 2 * depth))
+            deeper = min(n, max(FIRST_STEP, DEEPER * depth))
             if len(used):
                 mark = np.zeros(n, bool)
                 mark[lists[n - deeper : n - depth, used[up]].ravel()] = True
@@ -56,7 +57,8 @@ def threshold_top(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, query_rows:
             depth = deeper
             seen[fresh] = True
             scored += len(fresh)
-            best_i, best_s = np.concatenate([best_i, fresh]), np.concatenate([best_s, x[fresh] @ q])
+            # To copy more than half of the rows costs more than a product with all of them.
+            best_i, best_s = np.concatenate([best_i, fresh]), np.concatenate([best_s, x[fresh] @ q if 2 * len(fresh) < n else (x @ q)[fresh]])
             if len(best_i) > k:
                 kth = np.partition(best_s, len(best_s) - k)[len(best_s) - k]
                 keep = best_s >= kth
