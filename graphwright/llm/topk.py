@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .settle import settle
 
 #: Candidates a block and queries a block. Small tables are cut into PARTS blocks, so that all cores work.
-BLOCK, QUERY_BLOCK, PARTS, LEAST_BLOCK = 8192, 1024, 32, 4096
+BLOCK, QUERY_BLOCK, PARTS, LEAST_BLOCK = 8192, 1024, 32, 2048
 #: Depth of the first step, and how many times deeper each later one is.
-FIRST_STEP, DEEPER = 16, 4
+FIRST_STEP, DEEPER = 32, 2
 
 
 def valid_vectors(vector: Column) -> Column:
@@ -38,20 +38,29 @@ def threshold_top(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, query_rows:
     n = len(x)
     lists = np.argsort(x, axis=0, kind="stable")  # ascending, a column a dimension
     values = np.take_along_axis(x, lists, axis=0)
+    ranks = np.empty(x.shape, np.int32)
+    np.put_along_axis(ranks, lists, np.arange(n, dtype=np.int32)[:, None], axis=0)
     out = []
     for own, q, floor in zip(query_rows, queries, floors, strict=True):
         used = np.flatnonzero(q)
         up = q[used] > 0
         seen = rows == own
         best_i, best_s = np.empty(0, np.int64), np.empty(0)
-        depth, scored = 0, 0
+        depth, scored, left, reach = 0, 0, None, None
         while depth < n:
             deeper = min(n, max(FIRST_STEP, DEEPER * depth))
-            if len(used):
+            if len(used) and not depth:
                 mark = np.zeros(n, bool)
-                mark[lists[n - deeper : n - depth, used[up]].ravel()] = True
-                mark[lists[depth:deeper, used[~up]].ravel()] = True
+                mark[lists[n - deeper :, used[up]].ravel()] = True
+                mark[lists[:deeper, used[~up]].ravel()] = True
                 fresh = np.flatnonzero(mark & ~seen)
+            elif len(used):
+                # Deeper entries are mostly of rows that were seen: it is cheaper to ask of the others how deep they are reached.
+                if left is None:
+                    left = np.flatnonzero(~seen)
+                    at = ranks[left][:, used]
+                    reach = np.where(up, n - 1 - at, at).min(1)
+                fresh = left[(reach >= depth) & (reach < deeper)]
             else:  # all scores are 0, and there is no list to read
                 fresh, deeper = np.flatnonzero(~seen), n
             depth = deeper
