@@ -56,6 +56,8 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Entries of an array that are folded at once.
+CHUNK = 256
 KEY, TEXT, FOUND, SPANS = "__key", "__text", "__found", "__spans"
 
 
@@ -88,6 +90,24 @@ def candidates(keyed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.groupBy(KEY).agg(F.collect_set("rule").alias(FOUND))
 
 
+def _folded(entries: Column, start: Column, step, kind: str) -> Column:
+    """(at, out): a fold of ``step(at, entry)``, which gives (at, new entries of ``out``). Entries are folded CHUNK by CHUNK, as an array
+    that grows is copied with each entry: the work is in proportion to their number."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(at: Column, chunk: Column) -> Column:
+        begin = F.struct(at.alias("at"), none.alias("out"))
+        return F.aggregate(chunk, begin, lambda a, x: F.element_at(F.transform(F.array(step(a["at"], x)), lambda y: F.struct(y["at"].alias("at"), F.concat(a["out"], y["new"]).alias("out"))), 1))
+
+    def all_chunks(a, first):
+        done = F.transform(F.array(one(a["at"], F.slice(entries, first, F.lit(CHUNK)))), lambda y: F.struct(y["at"].alias("at"), F.concat(a["out"], F.array(y["out"])).alias("out")))
+        return F.element_at(done, 1)
+
+    firsts = F.when(F.size(entries) > 0, F.sequence(F.lit(1), F.size(entries), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    begin = F.struct(start.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(firsts, begin, all_chunks, lambda a: F.struct(a["at"].alias("at"), F.flatten(a["out"]).alias("out")))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end, kind) of the rule's matches. The texts between matches, which
     ``split`` gives, and the matches themselves have the lengths that add up to the positions."""
@@ -98,15 +118,15 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     parts = F.arrays_zip(
         F.transform(between, F.length).alias("gap"), F.transform(whole, F.length).alias("own"), F.transform(judged, F.length).alias("judged")
     )
-    placed = F.aggregate(
+    placed = _folded(
         parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,judged:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["own"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["own"]).alias("end"), x["judged"].alias("judged")))).alias("out"),
+        F.lit(0),
+        lambda at, x: F.struct(
+            (at + x["gap"] + x["own"]).alias("at"),
+            F.array(F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["own"]).alias("end"), x["judged"].alias("judged"))).alias("new"),
         ),
-        lambda a: a["out"],
-    )
+        "struct<start:int,end:int,judged:int>",
+    )["out"]
     return F.transform(
         F.filter(placed, lambda x: x["judged"] >= rule.least),
         lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")),
@@ -148,17 +168,17 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
     """``docs`` with every span replaced by ``mark``; overlapping spans by one mark. Null texts stay null."""
     found = find_secrets(docs, text_col, rules)
     text = F.col(f"`{text_col}`")
-    cut = F.aggregate(
-        SPANS,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(
-            F.struct(
-                x["end"].alias("at"),
-                F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).alias("out"),
-            )
+    # The text before each span and a mark, or nothing where the span begins within the one before.
+    pieces = _folded(
+        F.col(SPANS),
+        F.lit(0),
+        lambda at, x: F.struct(
+            F.greatest(at, x["end"]).alias("at"),
+            F.when(x["start"] >= at, F.array(F.substring(text, at + 1, x["start"] - at), F.lit(mark))).otherwise(F.array().cast("array<string>")).alias("new"),
         ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
+        "string",
     )
+    cut = F.element_at(F.transform(F.array(pieces), lambda p: F.concat(F.array_join(p["out"], ""), F.substring(text, p["at"] + 1, F.length(text)))), 1)
     return found.withColumn(text_col, F.when(F.size(SPANS) > 0, cut).otherwise(text)).drop(SPANS)
 
 

@@ -35,6 +35,7 @@ def test_secrets(docs, spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
     many = spark.createDataFrame([(1, "token=abcdef1 " * 3000)], "doc_id long, text string")
     assert len(secrets.find_secrets(many).first()[secrets.SPANS]) == 3000
+    assert secrets.redact_secrets(many).first().text == "[SECRET] " * 3000
 
 
 def test_language(docs, spark):
