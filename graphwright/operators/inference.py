@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.terms import OWL, RDFS, SUBCLASS, TYPE, iri
 from ..plans.settle import drop_settled, settle
 from ..sources.graph import Graph, TripleTable
-from .paths import closure
+from .paths import closure, follow, list_items
 
 RESOURCE, DOMAIN, RANGE, SUBPROPERTY = (iri(RDFS + n) for n in ("Resource", "domain", "range", "subPropertyOf"))
 
@@ -82,21 +82,58 @@ def _owl_round(g: DataFrame, d: DataFrame) -> list[DataFrame]:
     return out
 
 
+def _owl_lists(graph: Graph) -> tuple[DataFrame, DataFrame | None, list[tuple[str, list[str]]]]:
+    """What lists of the schema say: (triples of scm-int, scm-uni and cls-oo; the classes that are intersections as (c, o, size);
+    property chains). Lists of a schema are few and are read once."""
+    spark, kinds = graph.spark, ("intersectionOf", "unionOf", "oneOf", "propertyChainAxiom")
+    told = reduce(DataFrame.unionByName, [graph.pred(iri(OWL + k)).select(F.col("s").alias("c"), F.col("o").alias("f"), F.lit(k).alias("kind")) for k in kinds]).distinct()
+    told = settle(told)
+    if told.isEmpty():
+        return spark.createDataFrame([], "s string, p string, o string"), None, []
+    members = settle(told.join(list_items(graph, told.select("f")), "f"))
+    of = lambda k: members.where(F.col("kind") == k)
+    up = of("intersectionOf").select(F.col("c").alias("s"), F.lit(SUBCLASS).alias("p"), F.col("v").alias("o"))
+    down = of("unionOf").select(F.col("v").alias("s"), F.lit(SUBCLASS).alias("p"), F.col("c").alias("o"))
+    listed = of("oneOf").select(F.col("v").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o"))
+    whole = of("intersectionOf").groupBy("c", "f").agg(F.count_distinct("v").alias("size"))
+    parts = settle(of("intersectionOf").select("c", "f", "v").distinct().join(whole, ["c", "f"]).select("c", "f", F.col("v").alias("o"), "size"))
+    chains: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    for r in of("propertyChainAxiom").collect():
+        chains.setdefault((r["c"], r["f"]), []).append((r["n"], r["v"]))
+    return up.unionByName(down).unionByName(listed), parts if not parts.isEmpty() else None, [(c, [p for _, p in sorted(ps)]) for (c, _), ps in sorted(chains.items())]
+
+
+def _of_lists(known: DataFrame, parts: DataFrame | None, chains: list[tuple[str, list[str]]]) -> list[DataFrame]:
+    """cls-int1 and prp-spo2 over the triples known."""
+    out = []
+    if parts is not None:
+        has = known.where(F.col("p") == TYPE).select("s", "o").join(parts, "o").groupBy("s", "c", "f", "size").agg(F.count_distinct("o").alias("n"))
+        out.append(has.where("n = size").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o")))
+    graph = TripleTable(known.sparkSession, known)
+    for c, steps in chains:
+        start = graph.pred(steps[0]).select(F.col("s").alias("f"), F.col("o").alias("v"))
+        reached = reduce(lambda at, p: follow(graph, at, ("pred", p)), steps[1:], start)
+        out.append(reached.select(F.col("f").alias("s"), F.lit(c).alias("p"), F.col("v").alias("o")))
+    return out
+
+
 def owl_rl(graph: Graph) -> DataFrame:
-    """Triples that the main OWL 2 RL rules add (equality, inverse, symmetric, transitive and functional properties,
-    value restrictions, equivalences, with RDFS subclass, subproperty, domain and range), by semi-naive rounds until
-    no triple is new. No rule makes a new term, so the rounds end; their number grows with the longest chain."""
+    """Triples that the main OWL 2 RL rules add (equality, inverse, symmetric, transitive and functional properties, chains,
+    value restrictions, intersections, unions, enumerations, equivalences, with RDFS subclass, subproperty, domain and
+    range), by semi-naive rounds until no triple is new. No rule makes a new term, so the rounds end; their number
+    grows with the longest chain."""
     spark = graph.spark
     base = settle(graph.triples().distinct())
-    known, fresh = base, base
+    told, parts, chains = _owl_lists(TripleTable(spark, base))
+    known = settle(base.unionByName(told).distinct())
+    fresh = known
     while True:
-        made = reduce(DataFrame.unionByName, [*_owl_round(known, fresh), rdfs(TripleTable(spark, known), False)])
+        made = reduce(DataFrame.unionByName, [*_owl_round(known, fresh), *_of_lists(known, parts, chains), rdfs(TripleTable(spark, known), False)])
         fresh = settle(made.where(~F.startswith("s", F.lit('"')) & F.startswith("p", F.lit("<"))).distinct().join(known, ["s", "p", "o"], "left_anti"))
         if fresh.isEmpty():
             break
         after = settle(known.unionByName(fresh))
-        if known is not base:
-            drop_settled(known)
+        drop_settled(known)
         known = after
     return known.join(base, ["s", "p", "o"], "left_anti")
 

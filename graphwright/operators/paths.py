@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.settle import settle
 from ..plans.shapes import Path
-from ..sources.graph import Graph
+from ..sources.graph import FIRST, NIL, REST, Graph
 
 #: A hierarchy of at most so many edges is closed on the driver; a larger one by joins.
 DRIVER_EDGES = 100_000
@@ -76,6 +76,22 @@ def closure(graph: Graph, start: DataFrame, step: Path) -> DataFrame:
     return known
 
 
+def list_items(graph: Graph, heads: DataFrame) -> DataFrame:
+    """(f, n, v): the n-th member, from 0, of the RDF list that each node f of ``heads`` (f) begins. A round a place, for all
+    lists at once; a list that comes back to one of its nodes raises ValueError. Other nodes have no members."""
+    first, rest = graph.pred(FIRST).toDF("node", "v"), graph.pred(REST).toDF("node", "next")
+    at = settle(heads.select("f", F.col("f").alias("node")).distinct())
+    seen, found, n = at, None, 0
+    while not at.isEmpty():
+        part = at.join(first, "node").select("f", F.lit(n).alias("n"), "v")
+        found = part if found is None else found.unionByName(part)
+        after = settle(at.join(rest, "node").where(F.col("next") != NIL).select("f", F.col("next").alias("node")).distinct())
+        if not after.join(seen, ["f", "node"], "left_semi").isEmpty():
+            raise ValueError("a list has a cycle")
+        at, seen, n = after, seen.unionByName(after), n + 1
+    return found if found is not None else graph.spark.createDataFrame([], "f string, n int, v string")
+
+
 def classes_below(graph: Graph, classes: list[str], subclass: str) -> list[str] | DataFrame:
     """The classes and their transitive subclasses: a list, or a frame (k) where the hierarchy has more than DRIVER_EDGES edges."""
     spark = graph.spark

@@ -25,6 +25,14 @@ class Graph:
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "s string, o string")
 
+    def count(self) -> int:
+        """The number of different triples."""
+        return self.triples().distinct().count()
+
+    def contains(self, triples: DataFrame) -> DataFrame:
+        """The rows (s, p, o) of ``triples`` that are in the graph."""
+        return triples.join(self.triples(), ["s", "p", "o"], "left_semi")
+
     def quads(self) -> DataFrame:
         """(s, p, o, g) of the named graphs; those of a graph without names are none."""
         return self.spark.createDataFrame([], "s string, p string, o string, g string")

@@ -209,3 +209,28 @@ def test_a_validator_that_fails(spark):
     assert validate(spark, DATA, shapes % 100, advanced=True).conforms
     with pytest.raises(ValidationFailure, match="failed at <urn:ex:b>"):
         validate(spark, DATA, shapes % 50, advanced=True)
+
+
+def test_list_items(spark):
+    from graphwright.operators.paths import list_items
+
+    graph = from_text(spark, DATA + "ex:l1 ex:is ( ex:a 7 ex:b ) . ex:l2 ex:is ( ) .")
+    heads = graph.pred(ex("is")).select(F.col("o").alias("f"))
+    assert sorted((r.n, r.v) for r in list_items(graph, heads).collect()) == [(0, ex("a")), (1, f'"7"^^<{XSD}integer>'), (2, ex("b"))]
+    rdf = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    loop = from_text(spark, f"<urn:x> {rdf}first> 1 ; {rdf}rest> <urn:y> . <urn:y> {rdf}first> 2 ; {rdf}rest> <urn:x> .")
+    with pytest.raises(ValueError, match="cycle"):
+        list_items(loop, spark.createDataFrame([("<urn:x>",)], "f string"))
+    assert graph.count() == len(set(parse(DATA)[0])) + 3 + 6 - 1
+    asked = spark.createDataFrame([(ex("a"), ex("next"), ex("b")), (ex("a"), ex("next"), ex("c"))], "s string, p string, o string")
+    assert [tuple(r) for r in graph.contains(asked).collect()] == [(ex("a"), ex("next"), ex("b"))]
+
+
+def test_owl_lists(spark):
+    """Intersections both ways, unions, enumerations and chains."""
+    text = "@prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix ex: <urn:ex:> . " + """ex:I owl:intersectionOf ( ex:A ex:B ) . ex:U owl:unionOf ( ex:A ex:C ) . ex:E owl:oneOf ( ex:x ex:y ) .
+      ex:far owl:propertyChainAxiom ( ex:p ex:q ) . ex:m a ex:A , ex:B . ex:n a ex:A . ex:k a ex:I . ex:m ex:p ex:n . ex:n ex:q ex:k ."""
+    got = {tuple(r) for r in inference.owl_rl(from_text(spark, text)).collect()}
+    typed = {(s, o) for s, p, o in got if p == TYPE}
+    assert {(ex("m"), ex("I")), (ex("n"), ex("U")), (ex("m"), ex("U")), (ex("k"), ex("A")), (ex("k"), ex("B")), (ex("k"), ex("U")), (ex("x"), ex("E")), (ex("y"), ex("E"))} <= typed
+    assert (ex("n"), ex("I")) not in typed and (ex("m"), ex("far"), ex("k")) in got
