@@ -47,7 +47,7 @@ from .textvec import shingle_sets
 
 PERCENT = 80
 #: Of the counts of a task those are reported; of the sums so many highest are used.
-LEAST_SEEN, MOST_FREQUENT, LEAST_FREQUENT = 3, 1 << 20, 8
+LEAST_SEEN, MOST_FREQUENT, LEAST_FREQUENT = 3, 1 << 19, 8
 #: Different shingles whose counts a task holds.
 PENDING = 1 << 20
 BITS = 2048
@@ -141,7 +141,7 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     drop_settled(sums)
     keys = got.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], got.column("n").to_numpy()[order]
+    return keys[order], np.minimum(got.column("n").to_numpy(), (1 << 31) - 1).astype(np.int32)[order]
 
 
 def _posting_rows(frequent: tuple[np.ndarray, np.ndarray]):

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .settle import small_batches
 from .textvec import mix, span_hashes
 
-SAMPLE_DOCS, SAMPLE_CHARS = 600, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 5_000
 BUCKETS = 1 << 16
 LEXICON_WORDS = 300
 BLOCK = 64
@@ -77,10 +77,14 @@ def words_of(texts: list[str]) -> Words:
     # A word has the 2-grams that begin at start - 1 .. end - 1 and the 3-grams at start - 1 .. end - 2.
     n = ends - starts
     per = np.concatenate([[0], np.cumsum(2 * n + 1)])
-    place = np.arange(per[-1]) - np.repeat(per[:-1], 2 * n + 1)
-    first, own = np.repeat(starts - 1, 2 * n + 1), np.repeat(n + 1, 2 * n + 1)
+    kind = np.int32 if max(per[-1], len(codes)) < 1 << 30 else np.int64
+    place = np.arange(per[-1], dtype=kind) - np.repeat(per[:-1].astype(kind), 2 * n + 1)
+    own = np.repeat((n + 1).astype(kind), 2 * n + 1)
     is_two = place < own
-    at = np.where(is_two, first + place, first + place - own)
+    place[~is_two] -= own[~is_two]
+    at = place
+    at += np.repeat((starts - 1).astype(kind), 2 * n + 1)
+    del place, own
     grams = _bucket(np.where(is_two, two[at], three[np.minimum(at, len(three) - 1)]))
     hashes = span_hashes(c, starts, ends)
     affixes = []
