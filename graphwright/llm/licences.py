@@ -191,6 +191,7 @@ def scan_licences(docs: DataFrame, text_col: str = "text", table: dict[str, list
 
 
 def op9_licences(spark, sf_dir: str) -> DataFrame:
+    """Licences of every one of ``documents``, with the sequence of sentence identifiers that they were told by."""
     found = scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "sentence_ids", F.array_join("licences", ",").alias("licences"), F.col("unmatched").cast("long").alias("unmatched"))
 
