@@ -1,17 +1,20 @@
 """Main text of web pages by template deduction with equivalence classes.
 
-* *Tokens.* A page's tokens are the paths of its block elements (names, classes, ids) and, outside of article and main
-  elements, its pieces of text with the path above each.
+* *Tokens.* A page's tokens are the paths of its block elements (names, classes, ids) and its pieces of text with the
+  path above each.
 * *Occurrence vectors.* A token's vector has its number of occurrences on every page of the host. Vectors
   aren't gathered: each page adds a hash of (page, number) to a sum by (host, token), so equal sums mean
   equal vectors. Tokens of one host with one sum are an equivalence class.
 * *Template.* A class is valid if it has a page count of at least half the host's pages and its tokens occur
   once a page. Valid classes nest by the paths of their tokens: a text token of a valid class is template text, and
   so is all text below a container of a valid class whose text is the same on all its pages; a digest of
-  the text is summed up with the vectors. Hosts of fewer than LEAST_PAGES pages take the template of all hosts.
-* *Extraction.* What the template leaves are slots. All text in a page's article and main elements is kept, as a slot of
-  its own. On a page without such text, all slots are. Menus, forms, adverts and other asides go from both;
-  nothing else does.
+  the text is summed up with the vectors. Below an article or main element a token is part of the template only if it is in
+  that element's own class, so on every page that has the element, of ARTICLE_PAGES at least: an article may
+  share passages with others. Hosts of fewer than LEAST_PAGES pages take the template of all hosts.
+* *Extraction.* What the template leaves are slots. Those in a page's article and main elements are its text; without
+  such elements, all slots are. Where most of the article's text is template, it is an article with copies, which is kept
+  whole, or a teaser: the longer one of it and the other slots is taken. Menus, forms, adverts and other asides
+  go from all; nothing else does.
 
 All steps are aggregates over all pages with partial sums before any shuffle, so a host with a third of
 all pages is summed on the map side. Templates are broadcast to the pages if they are few, else joined by host.
@@ -32,8 +35,8 @@ from pyspark.sql import types as T
 from .html_blocks import CONTAINERS, blocks
 from .settle import drop_settled, settle, small_batches
 
-LEAST_PAGES, SUPPORT = 3, 0.5
-#: Template tokens of so many hosts and tokens in all are broadcast.
+LEAST_PAGES, SUPPORT, ARTICLE_PAGES = 3, 0.5, 5
+#: So many hosts, or template tokens of so many hosts and tokens in all, are broadcast.
 FEW_TOKENS = 200_000
 ALL = "*"
 #: Stands between path and digest of a text token; no path has white space.
@@ -48,29 +51,40 @@ def _in_article(path: tuple[str, ...]) -> bool:
     return any(x.split(".", 1)[0] in ("article", "main") for x in path)
 
 
+def _article_of(path: tuple[str, ...]) -> str | None:
+    """The token of the outermost article or main element of a path."""
+    return next(("/".join(path[: i + 1]) for i in range(len(path)) if path[i].split(".", 1)[0] in ("article", "main")), None)
+
+
 def text_token(path: tuple[str, ...], text: str) -> str:
     """The token of a piece of text: its path and a digest, so that tokens are short however long the text is."""
     return "/".join(path) + TEXT + blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, seen times, digest of the text below it or null) of each page and container."""
+    """(host, token, the article element that it is or is below, seen times, digest of the text below it or null) of each page."""
     for batch in batches:
-        hosts, tokens, times, digests, pages = [], [], [], [], []
+        hosts, tokens, articles, times, digests, pages = [], [], [], [], [], []
         for nth, (host, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             seen: Counter[str] = Counter()
             below: dict[str, int] = {}
+            within: dict[str, str | None] = {}
             last: tuple[str, ...] = ()
             names: dict[tuple[str, ...], list[tuple[int, str]]] = {}
+            heads: dict[tuple[str, ...], str | None] = {}
             for path, aside, text, _ in blocks(page or ""):
                 same = 0
                 while same < min(len(path), len(last)) and path[same] == last[same]:
                     same += 1
                 if path not in names:
                     names[path] = [(i, "/".join(path[: i + 1])) for i in range(len(path)) if path[i].split(".", 1)[0] in CONTAINERS]
+                    heads[path] = _article_of(path)
+                    for i, token in names[path]:
+                        within[token] = _article_of(path[: i + 1])
                 data = b"" if aside else text.encode("utf-8", "replace") + b"\n"
-                if not aside and not _in_article(path):
-                    seen[text_token(path, text)] += 1
+                if not aside:
+                    seen[token := text_token(path, text)] += 1
+                    within[token] = heads[path]
                 for i, token in names[path]:
                     seen[token] += i >= same
                     if data:
@@ -79,11 +93,12 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for token in seen:
                 hosts.append(host)
                 tokens.append(token)
+                articles.append(within[token])
                 times.append(seen[token])
                 digests.append(below.get(token))
                 pages.append(nth)
         yield pa.RecordBatch.from_pydict(
-            {"host": pa.array(hosts, pa.string()), "token": pa.array(tokens, pa.string()), "times": pa.array(times, pa.int32()),
+            {"host": pa.array(hosts, pa.string()), "token": pa.array(tokens, pa.string()), "article": pa.array(articles, pa.string()), "times": pa.array(times, pa.int32()),
              "digest": pa.array(digests, pa.int64()), "page": batch.column(2).take(pa.array(pages, pa.int64()))}
         )
 
@@ -94,30 +109,46 @@ def templates(pages: DataFrame) -> DataFrame:
     ``pages`` has url and html. Hosts without template text have no row.
     """
     keyed = pages.select(host_of(F.col("url")).alias("host"), "html", F.xxhash64("url", "html").alias("page"))
-    found = keyed.mapInArrow(_tokens, "host string, token string, times int, digest long, page long")
+    found = keyed.mapInArrow(_tokens, "host string, token string, article string, times int, digest long, page long")
     both = found.withColumn("host", F.explode(F.when(F.contains("token", F.lit(TEXT)), F.array("host")).otherwise(F.array("host", F.lit(ALL)))))
     # Sums of 64-bit hashes go into decimals, which don't overflow.
     vector = F.sum(F.xxhash64("page", "times").cast("decimal(38,0)"))
-    sums = settle(both.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("pages"), F.count("digest").alias("told"), F.max("times").alias("most"), F.min("digest").alias("low"), F.max("digest").alias("high")))
-    fixed = F.when(F.contains("token", F.lit(TEXT)) | ((F.col("told") == F.col("pages")) & (F.col("low") == F.col("high"))), F.col("token"))
-    classes = sums.groupBy("host", "vector").agg(F.max("pages").alias("pages"), F.max("most").alias("most"), F.collect_list(fixed).alias("members"))
-    whole = sums.groupBy("host").agg(F.max("pages").alias("host_pages"))
-    valid = classes.join(whole, "host").where((F.col("pages") >= SUPPORT * F.col("host_pages")) & (F.col("most") == 1) & (F.col("host_pages") >= LEAST_PAGES))
-    found = settle(valid.where(F.size("members") > 0).groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("template"), F.max("host_pages").alias("pages")))
+    sums = settle(both.groupBy("host", "token").agg(vector.alias("vector"), F.min("article").alias("article"), F.count(F.lit(1)).alias("pages"), F.count("digest").alias("told"), F.max("times").alias("most"), F.min("digest").alias("low"), F.max("digest").alias("high")))
+    whole = sums.groupBy("host").agg(F.max("pages").alias("host_pages")).where(F.col("host_pages") >= LEAST_PAGES)
+    if whole.count() <= FEW_TOKENS:
+        whole = F.broadcast(whole)
+    valid = sums.join(whole, "host").where((F.col("pages") >= SUPPORT * F.col("host_pages")) & (F.col("most") == 1))
+    fixed = F.contains("token", F.lit(TEXT)) | ((F.col("told") == F.col("pages")) & (F.col("low") == F.col("high")))
+    # Equal vectors have equal numbers of pages, so a class is valid as a whole.
+    classes = valid.groupBy("host", "vector").agg(F.max("pages").alias("pages"), F.max("host_pages").alias("host_pages"), F.collect_list(F.when(F.col("token") == F.col("article"), F.col("token"))).alias("heads"), F.collect_list(F.when(fixed, F.struct("token", "article"))).alias("members"))
+    nested = F.filter("members", lambda m: m["article"].isNull() | (m["article"] == m["token"]) | ((F.col("pages") >= ARTICLE_PAGES) & F.array_contains("heads", m["article"])))
+    named = classes.select("host", "host_pages", F.transform(nested, lambda m: m["token"]).alias("tokens")).where(F.size("tokens") > 0)
+    found = settle(named.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("template"), F.max("host_pages").alias("pages")))
     drop_settled(sums)
     return found
 
 
 def text_in(page: str | None, template: list[str]) -> str:
-    """The text in article and main elements; of a page without any, all text but that below the template's
-    tokens, or all text if nothing else is there. Asides never count."""
+    """The text in the page's slots, which is all but the template's tokens and what is below them: that of the slots in article and
+    main elements, or of all slots. Asides never count."""
     found = [(path, text) for path, aside, text, _ in blocks(page or "") if not aside]
-    if got := [t for p, t in found if _in_article(p)]:
-        return " ".join(got)
-    texts = {token for token in template if TEXT in token}
-    steps = [tuple(token.split("/")) for token in template if TEXT not in token]
-    got = [t for p, t in found if text_token(p, t) not in texts and not any(p[: len(s)] == s for s in steps)]
-    return " ".join(got or [t for _, t in found])
+    fixed = set(template)
+    paths: dict[tuple[str, ...], bool] = {}
+    article: list[str] = []
+    inner: list[str] = []
+    outer: list[str] = []
+    for path, text in found:
+        if path not in paths:
+            paths[path] = any("/".join(path[: i + 1]) in fixed for i in range(len(path)))
+        slot, inside = not paths[path] and text_token(path, text) not in fixed, _in_article(path)
+        if inside:
+            article.append(text)
+        if slot:
+            (inner if inside else outer).append(text)
+    if inner and 2 * sum(map(len, inner)) >= sum(map(len, article)):
+        return " ".join(inner)
+    # Without an article, or with one that is mostly template: copies of one, or a teaser.
+    return " ".join(max(article, outer, key=lambda texts: sum(map(len, texts))) or [text for _, text in found])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

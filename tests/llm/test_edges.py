@@ -148,6 +148,23 @@ def test_pages_with_unknown_names(spark):
     assert got == {i: f"Head n{i} Body n{i} of the page. End n{i}." for i in range(8)}
 
 
+def test_pages_article_by_template(spark):
+    """The template decides in and about article elements too: its text in an article goes, a passage that some articles share
+    and articles with copies stay whole, and a teaser in an article element isn't the text."""
+    long = "many more words of the text " * 4
+    shared = lambda i: "<p>A passage of some.</p>" if i % 4 else ""
+    inside = "<article><h1>Head {0}</h1>{1}<p>Body {0} %s</p><div class='zq'><p>Read all about our great offers</p></div><p>First seen here</p></article>" % long
+    teaser = "<div class='k2'><h1>Head {0}</h1><p>Body {0} %s</p></div><article class='a/b'><p>Our offers of today</p></article>" % long
+    copies = "<div class='k1'><p>Seen {0} times</p></div><article><h1>One</h1><p>Body %s</p></article>" % long
+    rows = [(i, f"http://i.example/{i}", inside.format(f"n{i}", shared(i))) for i in range(8)]
+    rows += [(10 + i, f"http://t.example/{i}", teaser.format(f"n{i}")) for i in range(6)]
+    rows += [(20 + i, f"http://c.example/{i}", copies.format(f"n{i}")) for i in range(6)]
+    got = {r.page_id: r.main_text for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(8)} == {i: f"Head n{i} {'A passage of some. ' if i % 4 else ''}Body n{i} {long.strip()}" for i in range(8)}
+    assert {i: got[10 + i] for i in range(6)} == {i: f"Head n{i} Body n{i} {long.strip()}" for i in range(6)}
+    assert {got[20 + i] for i in range(6)} == {f"One Body {long.strip()}"}
+
+
 def test_pieces_rows(docs):
     model = pieces.PieceModel([("▁", 3, -4.0), ("a", 4, -3.0), ("ab", 6, -2.0), ("b", 5, -3.0)], "bpe", 10, 0)
     got = pieces.encode(clashing(docs.where("doc_id != 5 OR doc_id IS NULL"), "ids", "exact", "key", "unit"), model).collect()
