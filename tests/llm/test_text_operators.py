@@ -4,6 +4,7 @@ import os
 import random
 import re
 import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -277,6 +278,22 @@ def test_pieces_match_brute_force(spark, kind, monkeypatch):
         assert r.exact == (set(r.text) <= set("ab "))
 
 
+def test_pieces_cache(spark):
+    """The cache has the most frequent units up to the bound asked for, whether counted by words or by texts, and only those that
+    their ids spell; words are found without the mark that leads them."""
+    model = pieces.PieceModel(PIECES, "bpe", None, 0)
+    docs = spark.createDataFrame([("ab ba\nab ab",), (" ab  ba",), ("ab zz ba zz",), ("b a",)], "text string")
+    counts = Counter(u for r in docs.collect() for u in pieces.units_of(r.text, model))
+    for most in (1 << 10, 3):
+        words, inner, bound = pieces._cached(*pieces._hot(docs, model, 4, most, 100))
+        found = {pieces.SPACE + w: i for w, i in words.items()} | inner
+        kept = {u for u, n in counts.items() if n > 1 and "z" not in u}
+        assert found and found.keys() <= kept and (most == 3 or found.keys() == kept) and len(found) <= most and bound == len(words) + pieces.WORDS
+        table = {p: (i, s) for p, i, s in model.pieces}
+        assert all(np.frombuffer(i, np.int32).tolist() == pieces.bpe_ids(u, None, 0, table) for u, i in found.items())
+    assert "ab" in words
+
+
 @pytest.mark.skipif(not os.path.exists("/opt/tokenizers/piece_bpe_32k.model"), reason="no model file")
 @pytest.mark.parametrize("hot", [0, 1 << 19])
 def test_pieces_are_those_of_the_library(spark, hot, monkeypatch):
