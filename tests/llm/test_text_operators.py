@@ -294,6 +294,29 @@ def test_pieces_cache(spark):
     assert "ab" in words
 
 
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_pieces_lattice_by_lengths(spark, kind):
+    """Only substrings of lengths that a piece of like beginning has meet the piece table, yet every piece in a unit is an edge, be its
+    head whole, cut off by the unit's end, or shared by pieces of several lengths."""
+    table = [*PIECES, ("ababbaab", 11, -5.0), ("ababb", 12, -5.5), ("\u4e2d", 13, -6.0), ("b\u4e2da", 14, -6.5)]
+    model = pieces.PieceModel(table, kind, None, 0)
+    assert {r.head: r.lengths for r in pieces.length_table(spark, model).collect()} == {"abab": [4, 5, 8]}
+    units = ["ababbaab", "\u2581ababbaababb", "a", "zzzz", "bab\u4e2daba", "aba"]
+    got = {r.unit: r.edges for r in pieces.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), model, ["unit"]).collect()}
+    assert got.keys() == set(units)
+    names = {i: (p, s) for p, i, s in table}
+    for u in units:
+        spans = [(i, j) for i in range(len(u)) for j in range(i + 1, len(u) + 1) if u[i:j] in {p for p, _ in names.values()}]
+        if kind == "unigram":
+            want = [(j, i, u[i:j]) for i, j in spans]
+            found = [(e.j, e.i, names[e.id][0]) for e in got[u] if e.j > e.i]
+        else:
+            want = [(2 << j) - (1 << i) for i, j in spans if j - i > 1 or ord(u[i]) >= pieces.NEAR]
+            found = [e & ((1 << model.span_bits) - 1) for e in got[u]]
+            found.remove(1)  # the empty piece
+        assert sorted(found) == sorted(want)
+
+
 @pytest.mark.skipif(not os.path.exists("/opt/tokenizers/piece_bpe_32k.model"), reason="no model file")
 @pytest.mark.parametrize("hot", [0, 1 << 19])
 def test_pieces_are_those_of_the_library(spark, hot, monkeypatch):
