@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotrain, jaccard, langid, licences, media, mixing, pages, pieces, secrets, topk
+from . import cotrain, jaccard, langid, licences, media, mixing, negatives, pages, pieces, repeats, secrets, simhash, topk
 
 QUERIES = {
     "op1_quality": cotrain.op1_quality,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_licences": licences.op9_licences,
     "op10_pages": pages.op10_pages,
+    "op11_runs": repeats.op11_runs,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_negatives": negatives.op13_negatives,
 }
 
 SQL = {
@@ -22,6 +25,7 @@ SQL = {
     "op3_topk": lambda: topk.OP3_SQL,
     "op8_jaccard": lambda: jaccard.OP8_SQL,
     "op9_licences": licences.op9_sql,
+    "op13_negatives": lambda: negatives.OP13_SQL,
 }
 
 
