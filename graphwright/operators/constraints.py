@@ -3,6 +3,7 @@ and gives the violations: (f, v) with a null v where no value is to blame, a row
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -103,7 +104,7 @@ def _length(name: str, test):
 
 def java_pattern(pattern: str) -> str:
     """Python-only notations of patterns in Java's form."""
-    return pattern.replace("(?P<", "(?<").replace("(?P=", "\\k<").replace("\\Z", "\\z")
+    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")).replace("\\Z", "\\z")
 
 
 def _pattern(run, shape, v):

@@ -26,6 +26,8 @@ def inverted(path: Path) -> Path:
         return ("seq", [inverted(x) for x in reversed(inner)])
     if kind == "alt":
         return ("alt", [inverted(x) for x in inner])
+    if kind == "neg":
+        return ("neg", (inner[1], inner[0]))
     return (kind, inverted(inner))
 
 
@@ -35,6 +37,12 @@ def edges(graph: Graph, path: Path) -> DataFrame | None:
         return graph.pred(path[1])
     if path[0] == "inv" and path[1][0] == "pred":
         return graph.pred(path[1][1]).select(F.col("o").alias("s"), F.col("s").alias("o"))
+    if path[0] == "neg":  # a step of any predicate but those, in one direction or both
+        forward, backward = path[1]
+        other = lambda names: graph.triples().where(~F.col("p").isin(*names)) if names else graph.triples()
+        parts = [other(forward).select("s", "o")] if forward is not None else []
+        parts += [other(backward).select(F.col("o").alias("s"), F.col("s").alias("o"))] if backward is not None else []
+        return reduce(DataFrame.unionByName, parts)
     if path[0] == "alt":
         parts = [edges(graph, x) for x in path[1]]
         return reduce(DataFrame.unionByName, parts) if all(p is not None for p in parts) else None

@@ -76,7 +76,9 @@ class Run:
                 parts.append(self._rows(shape, bad, f"{component}ConstraintComponent", own_path, self._message(shape, name, message, own_path)))
         for inner in shape.get("property"):
             if not self.recursive(inner):
-                parts.append(self.results(inner, found.select(F.col("v").alias("f")).distinct()))
+                got = self.results(inner, found.select(F.col("v").alias("f")).distinct())
+                # A value is judged once; its results count for each focus node that reaches it.
+                parts.append(got if shape.path is None else got.join(found.select(F.col("v").alias("focus")), "focus").select(*got.columns))
         if self.advanced:
             from .sparql_shapes import sparql_results
 

@@ -66,6 +66,11 @@ class Engine:
     functions: dict[str, tuple[list[str], Query]] = field(default_factory=dict)
     quad: str | None = None
     count: int = 0
+    #: Gives the triples of the shapes, for GRAPH $shapesGraph.
+    shapes: Callable[[], Graph] | None = None
+    #: Variables of the query at hand that may be unbound.
+    maybe: set[str] = field(default_factory=set)
+    scope: set[str] = field(default_factory=set)
 
     def fresh(self, stem: str) -> str:
         self.count += 1
@@ -153,7 +158,8 @@ class Engine:
         if (test := self._test(name, args)) is not None:
             return t.c_bool(test)
         if name == "IF":
-            return F.when(self.bool_of(args[0]), self.term_of(args[1])).otherwise(self.term_of(args[2]))
+            test = self.bool_of(args[0])  # null: an error, and so is the answer
+            return F.when(test, self.term_of(args[1])).when(~test, self.term_of(args[2]))
         a = [self.term_of(x) for x in args]
         text = [t.c_text(x) for x in a]
         keep = lambda value: F.concat(F.lit('"'), value, F.lit('"'), t.suffix(a[0]))  # noqa: E731  of the first argument's type or language
@@ -164,7 +170,7 @@ class Engine:
         digest = lambda bits: t.c_string(F.sha2(text[0], bits))
         zone = F.regexp_extract(text[0], r"(Z|[+-]\d\d:\d\d)$", 1)
         made = {
-            "STR": lambda: t.c_string(text[0]), "STRLEN": lambda: t.c_typed(F.length(text[0]), "integer"), "CONCAT": lambda: t.c_string(F.concat(*text)) if text else t.c_string(F.lit("")),
+            "STR": lambda: t.c_string(text[0]), "STRLEN": lambda: t.c_typed(F.length(text[0]), "integer"), "CONCAT": lambda: self._concat(a, text),
             "UCASE": lambda: keep(F.upper(text[0])), "LCASE": lambda: keep(F.lower(text[0])), "COALESCE": lambda: F.coalesce(*a),
             "SUBSTR": lambda: keep(F.substring(text[0], t.c_number(a[1]).cast("int"), t.c_number(a[2]).cast("int") if len(a) > 2 else F.length(text[0]))),
             "REPLACE": lambda: keep(F.regexp_replace(text[0], F.concat(F.lit("(?"), text[3], F.lit(")"), text[1]) if len(a) > 3 else text[1], text[2])),
@@ -180,7 +186,7 @@ class Engine:
             "NOW": lambda: t.c_typed(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), "dateTime"),
             "YEAR": lambda: part(1), "MONTH": lambda: part(2), "DAY": lambda: part(3), "HOURS": lambda: part(4), "MINUTES": lambda: part(5),
             "SECONDS": lambda: t.c_typed(F.regexp_replace(F.regexp_extract(text[0], r"T\d\d:\d\d:([0-9.]+)", 1), "^0(?=[0-9])", ""), "decimal"), "TZ": lambda: t.c_string(zone),
-            "TIMEZONE": lambda: F.when(zone == "Z", t.c_typed(F.lit("PT0S"), "dayTimeDuration")).when(zone != "", t.c_typed(F.concat(F.when(F.startswith(zone, F.lit("-")), "-").otherwise(""), F.lit("PT"), F.substring(zone, 2, 2).cast("int").cast("string"), F.lit("H")), "dayTimeDuration")),
+            "TIMEZONE": lambda: F.when(zone == "Z", t.c_typed(F.lit("PT0S"), "dayTimeDuration")).when(zone != "", t.c_typed(self._offset(zone), "dayTimeDuration")),
             "MD5": lambda: t.c_string(F.md5(text[0])), "SHA1": lambda: t.c_string(F.sha1(text[0])), "SHA256": lambda: digest(256), "SHA384": lambda: digest(384), "SHA512": lambda: digest(512),
             "UUID": lambda: F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")), "STRUUID": lambda: t.c_string(F.expr("uuid()")),
         }.get(name)
@@ -188,6 +194,38 @@ class Engine:
             raise SparqlError(f"the function {name} isn't known")
         return made()
 
+    @staticmethod
+    def _concat(a: list[Column], text: list[Column]) -> Column:
+        """The texts in a row; of the language that all of them have, if they have one in common."""
+        if not a:
+            return t.c_string(F.lit(""))
+        joined, lang = F.concat(*text), t.c_lang(a[0])
+        common = reduce(lambda x, y: x & y, [F.coalesce(t.c_lang(x) == lang, F.lit(False)) for x in a])
+        return F.when(common, F.concat(F.lit('"'), joined, F.lit('"'), t.suffix(a[0]))).otherwise(t.c_string(joined))
+
+    @staticmethod
+    def _offset(zone: Column) -> Column:
+        """The text of a duration for an offset such as -05:30; parts that are 0 are left out."""
+        hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
+        sign = F.when(F.startswith(zone, F.lit("-")) & (hours + minutes > 0), "-").otherwise("")
+        shown = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""))
+        return F.concat(sign, F.lit("PT"), F.when(shown == "", "0S").otherwise(shown))
+
+    # A group that is solved for rows of an outer solution: each row has a key, in which an unbound variable has a mark of its own. The
+    # group may bind what the row leaves unbound; the key says which row it did so for.
+
+    def _start(self, now: DataFrame, shared: list[str]) -> tuple[DataFrame, dict[str, str]]:
+        """The distinct rows of ``shared``, and the column that is the key of each variable."""
+        keys = {c: self.fresh("key") if c in self.maybe else c for c in shared}
+        marks = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(k) for c, k in keys.items() if k != c]
+        return now.select(*[F.col(f"`{c}`") for c in shared], *marks).distinct(), keys
+
+    @staticmethod
+    def _same_start(now: DataFrame, right: DataFrame, keys: dict[str, str], named: dict[str, str]) -> Column:
+        # No term is empty, so that the mark of an unbound variable is like no term.
+        match = [F.coalesce(now[f"`{c}`"], F.lit("")) == right[named[c]] if k != c else now[f"`{c}`"].eqNullSafe(right[named[c]]) for c, k in keys.items()]
+        return reduce(lambda a, b: a & b, match)
+
     # Parts of expressions that need joins: EXISTS and custom functions become columns first.
 
     def prepare(self, now: DataFrame, e, seed: DataFrame | None):
@@ -202,10 +240,12 @@ class Engine:
         if e[0] in ("exists", "not exists"):
             shared = sorted(variables(e[1]) & set(now.columns) | (set(seed.columns) if seed is not None else set()) & set(now.columns))
             flag = self.fresh("flag")
-            inner = self.group(e[1], now.select(*shared).distinct() if shared else None)
+            start, keys = self._start(now, shared) if shared else (None, {})
+            inner, _ = self.within(e[1], start, self.maybe)
             if shared:
-                keys = inner.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(shared)]).distinct().withColumn(flag, F.lit(True))
-                now = now.join(keys, reduce(lambda a, b: a & b, [now[c].eqNullSafe(keys[f"_k{i}"]) for i, c in enumerate(shared)]), "left").drop(*[f"_k{i}" for i in range(len(shared))])
+                named = {c: f"_k{i}" for i, c in enumerate(shared)}
+                found = inner.select(*[F.col(f"`{k}`").alias(named[c]) for c, k in keys.items()]).distinct().withColumn(flag, F.lit(True))
+                now = now.join(found, self._same_start(now, found, keys, named), "left").drop(*named.values())
             else:
                 now = now.crossJoin(F.broadcast(inner.limit(1).agg((F.count(F.lit(1)) > 0).alias(flag))))  # one row
             return now, ("flag", flag) if e[0] == "exists" else ("!", ("flag", flag))
@@ -317,8 +357,25 @@ class Engine:
             a = a.join(right, self._compatible(a, right, shared, sure), "left_anti")
         return a
 
+    def within(self, parts: list, seed: DataFrame | None, loose: set[str]) -> tuple[DataFrame, set[str]]:
+        """A group's solutions from a seed whose variables ``loose`` may be unbound, and the variables that may be unbound in them."""
+        before, self.maybe = self.maybe, set(loose) & set(seed.columns) if seed is not None else set()
+        try:
+            return self.group(parts, seed), self.maybe
+        finally:
+            self.maybe = before
+
+    def meet(self, now: DataFrame, more: DataFrame, loose: set[str]) -> DataFrame:
+        """``join`` with solutions in which the variables ``loose`` may be unbound. What one side binds for sure is bound from here on."""
+        before, shared = self.maybe, set(now.columns) & set(more.columns)
+        self.maybe = before | loose
+        out = self.join(now, more)
+        self.maybe = {c for c in before | loose if c not in shared or c in before & loose}
+        return out
+
     def group(self, parts: list, seed: DataFrame | None) -> DataFrame:
         now = seed if seed is not None else self.unit()
+        given = set(self.maybe)
         filters = []
         for part in parts:
             kind = part[0]
@@ -334,37 +391,47 @@ class Engine:
                 self.maybe.add(part[2])
             elif kind == "optional":
                 shared = sorted(variables(part[1]) & set(now.columns) | (set(seed.columns) if seed is not None else set()))
-                start = now.select(*shared).distinct() if shared else None
-                inner = self.group(part[1], start)
-                new = [c for c in inner.columns if c not in now.columns]
+                start, keys = self._start(now, shared) if shared else (None, {})
+                inner, _ = self.within(part[1], start, self.maybe)
+                new = [c for c in inner.columns if c not in now.columns and c not in keys.values()]
                 if shared:
-                    right = inner.select(*[F.col(c).alias(f"_o_{c}") for c in shared], *new)
-                    now = now.join(right, reduce(lambda a, b: a & b, [now[c].eqNullSafe(right[f"_o_{c}"]) for c in shared]), "left").select(*now.columns, *new)
+                    named = {c: f"_o_{c}" for c in shared}
+                    loose = [c for c, k in keys.items() if k != c]
+                    given = [F.col(f"`{c}`").alias(f"_v_{c}") for c in loose]
+                    right = inner.select(*[F.col(f"`{k}`").alias(named[c]) for c, k in keys.items()], *given, *[F.col(f"`{c}`") for c in new])
+                    joined = now.join(right, self._same_start(now, right, keys, named), "left")
+                    now = joined.select(*[F.coalesce(F.col(f"`{c}`"), F.col(f"`_v_{c}`")).alias(c) if c in loose else F.col(f"`{c}`") for c in now.columns], *[F.col(f"`{c}`") for c in new])
                 else:
                     now = now.join(inner, F.lit(True), "left")
                 self.maybe |= set(new)
             elif kind == "union":
-                done = [self.group(g, seed) for g in part[1]]
-                every = [c for d in done for c in d.columns]
-                self.maybe |= {c for c in every if any(c not in d.columns for d in done)}
-                now = self.join(now, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done))
+                done = [self.within(g, seed, given) for g in part[1]]
+                every = {c for d, _ in done for c in d.columns}
+                loose = {c for c in every if any(c not in d.columns or c in x for d, x in done)}
+                now = self.meet(now, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d for d, _ in done]), loose)
             elif kind == "minus":
-                now = self.minus(now, self.group(part[1], None))
+                inner, loose = self.within(part[1], None, set())
+                before, self.maybe = self.maybe, self.maybe | loose
+                now = self.minus(now, inner)
+                self.maybe = before
             elif kind == "values":
                 rows = self.graph.spark.createDataFrame(part[2], ", ".join(f"`{n}` string" for n in part[1]))
-                self.maybe |= {n for i, n in enumerate(part[1]) if any(r[i] is None for r in part[2])}
-                now = self.join(now, F.broadcast(rows))  # as many rows as the query's text has
+                loose = {n for i, n in enumerate(part[1]) if any(r[i] is None for r in part[2])}
+                now = self.meet(now, F.broadcast(rows), loose)  # as many rows as the query's text has
             elif kind == "sub":
-                now = self.join(now, self.solve(part[1], seed))
+                inner, loose = self._solve(part[1], seed, given)
+                now = self.meet(now, inner, loose & set(inner.columns))
             elif kind == "graph":
                 own, before = self.graph, self.quad
-                if part[1][0] == "term":
+                if part[1] == ("var", "shapesGraph") and self.shapes is not None:
+                    self.graph, self.quad = self.shapes(), None
+                elif part[1][0] == "term":
                     self.graph, self.quad = own.named(part[1][1]), None
                 else:  # each pattern gives the graph's name, by which the patterns are joined
                     self.quad = part[1][1]
-                inner = self.group(part[2], seed)
+                inner, loose = self.within(part[2], seed, given)
                 self.graph, self.quad = own, before
-                now = self.join(now, inner)
+                now = self.meet(now, inner, loose)
         for e in filters:
             now = self.where(now, e, seed)
         return now
@@ -376,7 +443,7 @@ class Engine:
             # A pattern that shares a variable goes first; among those, one with more constants.
             best = max(todo, key=lambda p: (bool(variables(p) & known) or not (variables(p) or known), p[0][0] == "term", p[2][0] == "term", p[1][0] == "path"))
             todo.remove(best)
-            now = self.join(now, self.pattern(now, *best))
+            now = self.meet(now, self.pattern(now, *best), set())  # a pattern binds all of its variables
         return now
 
     def pattern(self, now: DataFrame, s: tuple, p: tuple, o: tuple) -> DataFrame:
@@ -414,9 +481,17 @@ class Engine:
 
     def solve(self, q: Query, seed: DataFrame | None = None) -> DataFrame:
         """Solutions of a query; those of a SELECT are projected, the seed's columns stay."""
-        if not hasattr(self, "maybe"):
-            self.maybe: set[str] = set()
-            self.scope: set[str] = set()
+        return self._solve(q, seed, set())[0]
+
+    def _solve(self, q: Query, seed: DataFrame | None, loose: set[str]) -> tuple[DataFrame, set[str]]:
+        """The solutions from a seed whose variables ``loose`` may be unbound, and the variables that may be unbound in them."""
+        before, self.maybe = self.maybe, set(loose) & set(seed.columns) if seed is not None else set()
+        try:
+            return self._solved(q, seed), self.maybe
+        finally:
+            self.maybe = before
+
+    def _solved(self, q: Query, seed: DataFrame | None) -> DataFrame:
         now = self.group(q.where, seed)
         kept = seed.columns if seed is not None else []
         if q.form != "SELECT":
@@ -452,16 +527,27 @@ class Engine:
         for i, (down, _) in enumerate(order):
             c = F.col(f"_order{i}")
             sorts += [x.desc() if down else x.asc() for x in (rank(c), t.c_number(c), t.c_text(c))]
-        now = now.orderBy(*sorts) if sorts else now
         names = [n for n, _ in project] if project is not None else [c for c in now.columns if not c.startswith("_")]
-        now = now.select(*dict.fromkeys([*kept, *[n for n in names if n in now.columns]]), *[_null().alias(n) for n in names if n not in now.columns and n not in kept])
-        now = now.distinct() if q.distinct else now
+        if project is not None:
+            self.maybe |= {n for n, e in project if e is not None} | {n for n in names if n not in now.columns}
+        by = [f"_order{i}" for i in range(len(order))]
+        shown = list(dict.fromkeys([*kept, *names]))
+        now = now.select(*[F.col(f"`{n}`") if n in now.columns else _null().alias(n) for n in shown], *by)
+        if q.distinct and by:  # of equal rows the one that comes first stays
+            row = F.row_number().over(Window.partitionBy(*[F.col(f"`{n}`") for n in shown]).orderBy(*sorts))
+            now = now.withColumn("_row", row).where("_row = 1").drop("_row") if any(variables(e) - set(shown) for _, e in order) else now.distinct()
+        elif q.distinct:
+            now = now.distinct()
+        rest = [F.col(f"`{n}`") for n in shown if n not in kept]
         if kept and (q.limit is not None or q.offset):  # a limit holds for each pre-bound row
-            row = F.row_number().over(Window.partitionBy(*kept).orderBy(*sorts, *[c for c in now.columns if c not in kept]))
+            row = F.row_number().over(Window.partitionBy(*kept).orderBy(*(sorts + rest or [F.lit(1)])))
             low, high = q.offset, q.offset + (q.limit if q.limit is not None else 1 << 31)
-            return now.withColumn("_row", row).where((F.col("_row") > low) & (F.col("_row") <= high)).drop("_row")
+            return now.withColumn("_row", row).where((F.col("_row") > low) & (F.col("_row") <= high)).drop("_row", *by)
+        # Rows that the order leaves open are cut by their terms, so that a limit gives the same rows in every run.
+        now = now.orderBy(*sorts, *(rest if q.limit is not None or q.offset else [])) if sorts else now
         now = now.offset(q.offset) if q.offset else now
-        return now.limit(q.limit) if q.limit is not None else now
+        now = now.limit(q.limit) if q.limit is not None else now
+        return now.drop(*by) if by else now
 
     def _aggregate(self, name: str, e: tuple) -> Column:
         _, what, distinct, inner, sep = e

@@ -4,12 +4,13 @@ and sh:expression constraints."""
 from __future__ import annotations
 
 import re
-
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import OWL, RDF, RDFS, SUBCLASS, TRUE, TYPE, c_truth, lexical_of
+from ..sources.graph import TripleTable
 from .expressions import expression_values
 from .shapes import SH, ConstraintLoadError, Shape, ShapesGraph, ValidationFailure, sh
 from .sparql import Engine
@@ -104,9 +105,32 @@ def parameters(shapes: ShapesGraph, node: str) -> list[tuple[str, str, bool]]:
     return [(name, path, optional) for _, name, path, optional in sorted(found)]
 
 
+#: The name of the shapes graph that $shapesGraph stands for.
+SHAPES_GRAPH = "<urn:graphwright:shapes>"
+
+
+def shapes_table(run) -> TripleTable:
+    """The shapes as a table of triples: as many rows as their text has."""
+    rows = [(s, p, o) for s, po in run.shapes.out.items() for p, values in po.items() for o in values]
+    return TripleTable(run.graph.spark, run.graph.spark.createDataFrame(rows, "s string, p string, o string"))
+
+
+def with_constants(part, given: dict[str, str]):
+    """A part of a query in which variables stand for given terms: patterns then filter by these terms, and need no join with them."""
+    if isinstance(part, Query):
+        project = None if part.project is None else [(n, ("term", given[n]) if e is None and n in given else with_constants(e, given)) for n, e in part.project]
+        changed = {f: with_constants(getattr(part, f), given) for f in ("where", "group", "having", "order", "template")}
+        return replace(part, project=project, **changed)
+    if isinstance(part, tuple) and len(part) == 2 and part[0] == "var" and part[1] in given:
+        return ("term", given[part[1]])
+    if isinstance(part, (tuple, list)):
+        return type(part)(with_constants(x, given) for x in part)
+    return part
+
+
 def engine(run) -> Engine:
     if not hasattr(run, "sparql"):
-        run.sparql = Engine(run.graph, functions_of(run.shapes))
+        run.sparql = Engine(run.graph, functions_of(run.shapes), shapes=lambda: shapes_table(run))
     return run.sparql
 
 
@@ -146,7 +170,7 @@ def sparql_results(run, shape: Shape, nodes: DataFrame, found: DataFrame, path:
             raise ConstraintLoadError(f"{node} needs sh:select")
         bound = ("this", "shapesGraph", "currentShape", "value")
         q = read(shapes, node, lexical_of(texts[0]), path, bound)
-        given = {"currentShape": shape.node} if "currentShape" in variables(q) else {}
+        given = {n: x for n, x in (("currentShape", shape.node), ("shapesGraph", SHAPES_GRAPH)) if n in variables(q)}
         solved = engine(run).solve(q, _seed(nodes, None, given))
         messages = _message(run, shapes.values(node, "message") or shape.messages, solved.columns, {})
         out.append(_selected(run, shape, solved, path, "SPARQLConstraintComponent", messages))
@@ -204,8 +228,8 @@ def custom_target(run, node: str) -> DataFrame:
     for kind in shapes.values(node, TYPE):
         if texts := shapes.values(kind, "select"):
             given = {n: shapes.values(node, p)[0] for n, p, _ in parameters(shapes, kind) if shapes.values(node, p)}
-            seed = run.graph.spark.range(1).select(*[F.lit(x).alias(n) for n, x in given.items()])
-            return engine(run).solve(read(shapes, kind, lexical_of(texts[0]), None), seed).select(F.col("this").alias("f"))
+            q = with_constants(read(shapes, kind, lexical_of(texts[0]), None), given)
+            return engine(run).solve(q).select(F.col("this").alias("f"))
     raise ConstraintLoadError(f"the target {node} can't be evaluated")
 
 

@@ -234,3 +234,76 @@ def test_owl_lists(spark):
     typed = {(s, o) for s, p, o in got if p == TYPE}
     assert {(ex("m"), ex("I")), (ex("n"), ex("U")), (ex("m"), ex("U")), (ex("k"), ex("A")), (ex("k"), ex("B")), (ex("k"), ex("U")), (ex("x"), ex("E")), (ex("y"), ex("E"))} <= typed
     assert (ex("n"), ex("I")) not in typed and (ex("m"), ex("far"), ex("k")) in got
+
+
+def test_optional_and_exists_over_unbound_variables(spark):
+    """Against the algebra by hand: what the first OPTIONAL leaves unbound, the second binds; EXISTS may bind it too."""
+    data = HEAD + "ex:a ex:k 1 ; ex:p 1 ; ex:q 2 . ex:b ex:k 1 ; ex:q 2 . ex:c ex:k 1 ; ex:p 2 ; ex:q 2 . ex:d ex:k 1 . ex:e ex:k 1 ; ex:p 5 . ex:z ex:r 2 , 5 ."
+    n = lambda x: f'"{x}"^^<{XSD}integer>' if x else None
+    two = "SELECT ?x ?y { ?x e:k 1 OPTIONAL { ?x e:p ?y } OPTIONAL { ?x e:q ?y } }"
+    assert solve(spark, two, data) == [(ex(s), n(y)) for s, y in zip("abcde", (1, 2, 2, None, 5), strict=True)]
+    assert solve(spark, two.replace(" }}", " } }").replace("OPTIONAL { ?x e:q ?y }", "{ ?x e:q ?y } UNION { ?x e:none ?y }"), data) == [(ex("b"), n(2)), (ex("c"), n(2))]
+    exists = "SELECT ?x { ?x e:k 1 OPTIONAL { ?x e:p ?y } FILTER EXISTS { ?z e:r ?y } }"
+    assert [r[0] for r in solve(spark, exists, data)] == [ex(s) for s in "bcde"]
+    assert [r[0] for r in solve(spark, exists.replace("EXISTS", "NOT EXISTS"), data)] == [ex("a")]
+    filtered = "SELECT ?x ?w { ?x e:k 1 OPTIONAL { ?x e:p ?y } OPTIONAL { ?x e:q ?w FILTER(!BOUND(?y) || ?w > ?y) } }"
+    assert solve(spark, filtered, data) == [(ex(s), n(w)) for s, w in zip("abcde", (2, 2, None, None, None), strict=True)]
+    sub = "SELECT ?x ?y { ?x e:k 1 OPTIONAL { ?x e:p ?y } OPTIONAL { { SELECT ?x ?y { ?x e:q ?y } } } }"
+    assert solve(spark, sub, data) == solve(spark, two, data)
+
+
+def test_distinct_order_limit(spark):
+    data = HEAD + " ".join(f"ex:s{i} ex:p {v} ." for i, v in enumerate((9, 5, 1, 3, 1, 8, 4, 2, 9, 2)))
+    engine = Engine(from_text(spark, data))
+
+    def numbers(text):
+        return [int(r[0].split('"')[1]) for r in engine.solve(parse_query("PREFIX e: <urn:ex:> " + text)).collect()]
+
+    assert numbers("SELECT DISTINCT ?w { ?s e:p ?w } ORDER BY ?w LIMIT 3") == [1, 2, 3]
+    assert numbers("SELECT DISTINCT ?w { ?s e:p ?w } ORDER BY DESC(?w)") == [9, 8, 5, 4, 3, 2, 1]
+    assert numbers("SELECT DISTINCT ?w { ?s e:p ?w } ORDER BY DESC(?w) LIMIT 2 OFFSET 1") == [8, 5]
+    assert numbers("SELECT ?w { ?s e:p ?w } ORDER BY ?w LIMIT 3") == [1, 1, 2]
+    assert numbers("SELECT DISTINCT ?w { ?s e:p ?w } ORDER BY STR(?s) LIMIT 4") == [9, 5, 1, 3]
+    assert numbers("SELECT ?w { ?s e:p ?w } ORDER BY (0 - ?w) LIMIT 1") == [9]
+
+
+def test_functions_of_errors_languages_and_zones(spark):
+    data = HEAD + 'ex:a ex:p "x"@en ; ex:q "y"@en ; ex:r "z" ; ex:t "2020-01-01T00:00:00+05:30"^^xsd:dateTime ; ex:u "2020-01-01T00:00:00-00:45"^^xsd:dateTime .'
+    query = """SELECT ?a ?b ?c ?d ?e ?f { ?s e:p ?p ; e:q ?q ; e:r ?r ; e:t ?t ; e:u ?u BIND(IF(?none, 1, 2) AS ?a) BIND(CONCAT(?p, ?q) AS ?b)
+      BIND(CONCAT(?p, ?r) AS ?c) BIND(TIMEZONE(?t) AS ?d) BIND(TIMEZONE(?u) AS ?e) BIND(IF(?r = "z", ?none, 2) AS ?f) }"""
+    text = lambda x, kind="string": f'"{x}"^^<{XSD}{kind}>'
+    assert solve(spark, query, data) == [(None, '"xy"@en', text("xz"), text("PT5H30M", "dayTimeDuration"), text("-PT45M", "dayTimeDuration"), None)]
+
+
+def test_negated_property_sets(spark):
+    data = HEAD + "ex:a ex:p ex:b ; ex:q ex:c ; ex:r ex:d . ex:z ex:p ex:a ; ex:q ex:a ."
+    at = lambda path: [r[0] for r in solve(spark, "SELECT ?x { e:a %s ?x }" % path, data)]
+    assert at("!e:p") == [ex("c"), ex("d")]
+    assert at("!(e:p|e:q)") == [ex("d")]
+    assert at("!^e:p") == [ex("z")]
+    assert at("!(e:p|e:q|^e:p)") == [ex("d"), ex("z")]
+    assert at("^!e:p") == [ex("z")]
+    assert at("!(e:p)+") == [ex("c"), ex("d")]
+
+
+def test_maybe_is_of_one_query(spark):
+    engine = Engine(from_text(spark, DATA))
+    engine.solve(parse_query("PREFIX e: <urn:ex:> SELECT ?s { ?s e:next ?t OPTIONAL { ?s e:age ?g } }"))
+    found = engine.solve(parse_query("PREFIX e: <urn:ex:> SELECT ?s { ?s e:age ?g . ?t e:next ?g }"))
+    assert not engine.maybe and "Or" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("\n")[0]
+
+
+def test_shapes_graph_variable_and_repeated_inner_results(spark):
+    data = HEAD + "ex:a ex:kid ex:x , ex:y . ex:b ex:kid ex:x . ex:x ex:age 1 . ex:y ex:age 20 ."
+    shapes = HEAD + "ex:S a sh:NodeShape ; sh:targetSubjectsOf ex:kid ; sh:property [ sh:path ex:kid ; sh:property [ sh:path ex:age ; sh:minInclusive 10 ] ] ."
+    result = validate(spark, data, shapes)
+    assert [(r.focus, r.value) for r in result.results.collect()] == [(ex("x"), f'"1"^^<{XSD}integer>')] * 2
+    declared = 'ex: sh:declare [ sh:prefix "ex" ; sh:namespace "urn:ex:" ] , [ sh:prefix "sh" ; sh:namespace "http://www.w3.org/ns/shacl#" ] . '
+    asks = HEAD + declared + 'ex:S a sh:NodeShape ; sh:targetNode ex:a ; ex:marks ex:y ; sh:sparql [ sh:prefixes ex: ; sh:select "SELECT $this ?value { $this ex:kid ?value GRAPH $shapesGraph { $currentShape ex:marks ?value } }" ] .'
+    assert [(r.focus, r.value) for r in validate(spark, data, asks).results.collect()] == [(ex("a"), ex("y"))]
+
+
+def test_pattern_with_a_named_back_reference():
+    from graphwright.operators.constraints import java_pattern
+
+    assert java_pattern(r"(?P<n>a)(?P=n)\Z") == r"(?<n>a)\k<n>\z"
