@@ -107,6 +107,16 @@ _sparql("s_hash_functions", "nation", "SELECT ?n ?a ?b ?c WHERE { ?n ex:n_name ?
 _sparql("s_more_strings", "nation", 'SELECT ?n ?r ?b ?a ?e WHERE { ?n ex:n_name ?x BIND(REPLACE(?x, "n", "_", "i") AS ?r) BIND(STRBEFORE(?x, "A") AS ?b) BIND(STRAFTER(?x, "A") AS ?a) BIND(ENCODE_FOR_URI(CONCAT(?x, " &")) AS ?e) }', {"n": "key", "r": "text", "b": "text", "a": "text", "e": "text"}, "SELECT n_nationkey::BIGINT AS n, regexp_replace(n_name, 'n', '_', 'gi') AS r, CASE WHEN contains(n_name, 'A') THEN split_part(n_name, 'A', 1) ELSE '' END AS b, CASE WHEN contains(n_name, 'A') THEN substr(n_name, strpos(n_name, 'A') + 1) ELSE '' END AS a, replace(n_name, ' ', '%20') || '%20%26' AS e FROM nation")
 _sparql("s_coalesce_in", "customer orders", 'SELECT ?c ?s WHERE { ?c a ex:Customer ; ex:c_mktsegment ?m OPTIONAL { ?o ex:o_custkey ?c ; ex:o_orderstatus "P" } BIND(COALESCE(?o, "none") AS ?x) FILTER(?m IN ("BUILDING", "MACHINERY") && ?m NOT IN ("MACHINERY")) BIND(IF(SAMETERM(?x, "none"), "no", "yes") AS ?s) }', {"c": "key", "s": "text"}, "SELECT c_custkey AS c, CASE WHEN o_orderkey IS NULL THEN 'no' ELSE 'yes' END AS s FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE c_mktsegment = 'BUILDING'")
 
+# Unbound variables, errors, order under DISTINCT
+_sparql("s_optional_twice", "customer", 'SELECT ?c ?k WHERE { ?c a ex:Customer OPTIONAL { ?c ex:c_acctbal ?y FILTER(?y < 0) } OPTIONAL { ?c ex:c_nationkey ?y } BIND(IF(ISIRI(?y), "nation", "debt") AS ?k) }', {"c": "key", "k": "text"}, "SELECT c_custkey AS c, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_nationkey IS NOT NULL THEN 'nation' END AS k FROM customer")
+_sparql("s_exists_unbound", "customer supplier", "SELECT ?c WHERE { ?c ex:c_nationkey ?n OPTIONAL { ?c ex:c_acctbal ?b FILTER(?b < 0) } FILTER EXISTS { ?s ex:s_nationkey ?n ; ex:s_acctbal ?b } }", {"c": "key"}, "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND (c_acctbal IS NULL OR c_acctbal >= 0 OR s_acctbal = c_acctbal))")
+_sparql("s_distinct_limit", "part", "SELECT DISTINCT ?z WHERE { ?p ex:p_size ?z } ORDER BY DESC(?z) LIMIT 10 OFFSET 2", {"z": "long"}, "SELECT DISTINCT p_size::BIGINT AS z FROM part WHERE p_size IS NOT NULL ORDER BY z DESC LIMIT 10 OFFSET 2")
+_sparql("s_if_error", "customer", 'SELECT ?c ?k WHERE { ?c a ex:Customer OPTIONAL { ?c ex:c_acctbal ?b FILTER(?b < 5000) } BIND(IF(?b < 0, "debt", "small") AS ?k) }', {"c": "key", "k": "text"}, "SELECT c_custkey AS c, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'small' END AS k FROM customer")
+_sparql("s_concat_language", "documents", 'SELECT ?d ?l ?m WHERE { ?d ex:text ?t BIND(LANG(CONCAT(?t, ?t)) AS ?l) BIND(LANG(CONCAT(?t, " ")) AS ?m) }', {"d": "key", "l": "text", "m": "text"}, "SELECT doc_id AS d, lang AS l, '' AS m FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+_sparql("s_negated_path", "nation", "SELECT ?n ?r WHERE { ?n !(ex:n_name|a) ?r }", {"n": "key", "r": "key"}, "SELECT n_nationkey::BIGINT AS n, n_regionkey::BIGINT AS r FROM nation WHERE n_regionkey IS NOT NULL")
+_shape("s_shapes_graph", "customer", DECLARE + 'ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; ex:least 0 ; sh:sparql [ sh:prefixes ex: ; sh:select "SELECT $this ?value WHERE { $this ex:c_acctbal ?value GRAPH $shapesGraph { $currentShape ex:least ?m } FILTER(?value < ?m) }" ] .', "SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0")
+_shape("l_property_repeats", "orders customer", "ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:property [ sh:path ex:o_custkey ; sh:property [ sh:path ex:c_acctbal ; sh:minInclusive 0 ] ] .", "SELECT o_custkey AS id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0")
+
 # Node expressions
 _filtered = lambda expression: f'ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; sh:rule [ a sh:TripleRule ; sh:subject sh:this ; sh:predicate ex:made ; sh:object {expression} ] .'
 

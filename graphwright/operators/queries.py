@@ -85,6 +85,8 @@ _shape("v_not", "customer", _RICH + "ex:S a sh:NodeShape ; sh:targetClass ex:Cus
 _shape("v_xone", "customer", _RICH + "ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; sh:xone (ex:Rich ex:Built) .", "SELECT c_custkey AS id FROM customer WHERE (c_acctbal >= 5000) = (c_mktsegment = 'BUILDING')")
 _shape("v_node", "customer orders", _RICH + "ex:C a sh:NodeShape ; sh:property ex:Rich . ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:property [ sh:path ex:o_custkey ; sh:node ex:C ] .", "SELECT o_orderkey AS id, o_custkey AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT c_acctbal >= 5000", "key")
 _shape("v_property", "customer orders", _RICH + "ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:property [ sh:path ex:o_custkey ; sh:property ex:Rich ] .", "SELECT DISTINCT c_custkey AS id, c_acctbal AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT c_acctbal >= 5000", "number")
+_bag = Q["v_property"]
+Q["v_property"] = (lambda spark, sf_dir: _bag[0](spark, sf_dir).distinct(), _bag[1])  # the bag itself: l_property_repeats
 _QUAL = "sh:qualifiedValueShape [ sh:minInclusive 25 ] ; "
 _shape("v_qualified_min", "orders lineitem", _on("Order", "ex:l_quantity", _QUAL + "sh:qualifiedMinCount 2"), "SELECT o_orderkey AS id FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT CASE WHEN l_quantity >= 25 THEN l_quantity END) < 2")
 _shape("v_qualified_max", "orders lineitem", _on("Order", "ex:l_quantity", _QUAL + "sh:qualifiedMaxCount 2"), "SELECT o_orderkey AS id FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT CASE WHEN l_quantity >= 25 THEN l_quantity END) > 2")

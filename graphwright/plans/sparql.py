@@ -268,7 +268,7 @@ class Engine:
             e = (e[0], named(e[1]), named(e[2]))
         elif e[0] in ("-1", "+1"):
             e = (e[0], named(e[1]))
-        elif e[0] == "fn" and e[1] in ("ABS", "CEIL", "FLOOR", "ROUND", "SUBSTR", "REPLACE", "STRBEFORE", "STRAFTER"):
+        elif e[0] == "fn" and e[1] in ("ABS", "CEIL", "FLOOR", "ROUND", "SUBSTR", "REPLACE", "STRBEFORE", "STRAFTER", "CONCAT", "LANG", "TIMEZONE"):
             e = (e[0], e[1], [named(x) for x in e[2]])
         if e[0] == "call" and e[1] in self.functions:
             names, q = self.functions[e[1]]

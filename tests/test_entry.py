@@ -41,16 +41,20 @@ def test_nothing_else_imports_the_optional_parts():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
-@pytest.mark.parametrize("name", ["v_in", "v_class", "v_not", "v_datatype", "v_less_than", "v_qualified_min", "e_expression", "s_bgp", "s_optional", "s_values", "s_minus", "s_not_exists", "s_subselect", "t_subclass", "q_select_validators", "n_filter_shape"])
-def test_plans_without_cartesian_products(spark, name):
+def test_plans_without_cartesian_products(spark):
     """As large tables are planned: nothing is small enough for a broadcast that isn't asked for."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    products = []
     try:
-        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        for name, query in entry.queries().items():
+            if not name.startswith("op") and name != "pipeline":
+                plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+                if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+                    products.append(name)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert products == []
 
 
 def test_stream(spark, tmp_path):
