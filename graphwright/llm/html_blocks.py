@@ -1,4 +1,10 @@
-"""Blocks of raw HTML with the path of block elements above each; no tree is built."""
+"""Blocks of raw HTML with the path of block elements above each; no tree is built.
+
+Asides are told by their element (a nav, a footer) or by a name (class, id, role). A name counts as a whole: it is one of ASIDE_WORDS,
+or a compound of these and of words that only say where or what shape (``site-nav``, ``comment_list``); ``market-share`` and
+``with-sidebar`` are none. What is told by its name, and a form, is no aside if an article or main element begins
+within it, or if it holds WHOLE of the text of the article that it is in, or of a page without articles.
+"""
 
 from __future__ import annotations
 
@@ -29,20 +35,48 @@ ASIDE_WORDS = frozenset(
     "form gdpr header masthead menu modal nav navbar navigation navigation newsletter notice notices popup promo promotion related respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Words that may stand beside them in a compound name: where, what shape, whose.
+PLACE_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons col column container content fixed floating footer global head header inline inner item items left link links list "
+    "local main mobile outer page panel post primary reader readers right row secondary section site sticky sub top user wrap wrapper zone".split()
+)
+#: Elements that may stand around a whole page.
+AROUND = frozenset(["form", "fieldset"])
+#: The part of the text that is no aside, whatever its name.
+WHOLE = 0.9
 
 
-def _is_aside(tag: str, names: str, inside: bool) -> bool:
-    if tag in ASIDE_TAGS or (tag == "header" and not inside):
+def _aside_name(name: str) -> bool:
+    if name in ASIDE_WORDS:
         return True
-    words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())) if names else ()
-    return bool(words) and not ASIDE_WORDS.isdisjoint(words) and tag not in ("html", "body", "article", "main")
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+    return any(w in ASIDE_WORDS for w in words) and all(w in ASIDE_WORDS or w in PLACE_WORDS for w in words)
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str, int]]:
+def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
     """(path, aside?, text, characters within links) of each piece of text between block borders. White space
     in the text is one space, its ends are trimmed; empty pieces are left out. ``path`` names the open block
     elements with their classes and ids; ``aside`` tells whether one of them isn't part of an article."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name in the path, aside, within an article
+    holders: set[int] = set()
+    found = list(_pieces(page, holders))
+    # Characters of each article and of the page (0), and of each named element, in what no element's kind makes an aside.
+    article: dict[int, int] = {}
+    named: dict[int, int] = {}
+    for _, hard, text, _, within, doubtful in found:
+        if not hard:
+            article[within] = article.get(within, 0) + len(text)
+            for e, _ in doubtful:
+                named[e] = named.get(e, 0) + len(text)
+    several = any(x > 0 for x in article)
+    keeps = lambda e, within: e in holders or ((within > 0 or not several) and named.get(e, 0) >= WHOLE * article.get(within, 1))
+    return [(path, hard or any(not keeps(e, a) for e, a in doubtful), text, linked) for path, hard, text, linked, _, doubtful in found]
+
+
+def _pieces(page: str, holders: set[int]) -> Iterator[tuple[tuple[str, ...], bool, str, int, int, tuple[tuple[int, int], ...]]]:
+    """(path, aside by kind?, text, characters within links, article, open elements with an aside's name and the article of each) of each
+    piece; articles and such elements are numbered. Those in which an article begins are added to ``holders``."""
+    stack: list[tuple[str, str, bool, int, tuple]] = []  # tag, name in the path, aside by its kind, article, named elements
+    number = 0
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
     path: tuple[str, ...] = ()
@@ -50,7 +84,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str, int]]:
     def flush():
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
-        out = (path, bool(stack) and stack[-1][2], text, min(linked, len(text))) if text else None
+        out = (path, bool(stack) and stack[-1][2], text, min(linked, len(text)), stack[-1][3] if stack else 0, stack[-1][4] if stack else ()) if text else None
         parts, linked = [], 0
         return out
 
@@ -112,10 +146,17 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str, int]]:
         if tag in ("html", "body") and any(s[0] == tag for s in stack):
             continue
         names = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(m[3])] if m[3] else []
-        inside = bool(stack) and stack[-1][3]
-        aside = (bool(stack) and stack[-1][2]) or _is_aside(tag, " ".join(v for _, v in names), inside) or bool(m[3] and _HIDDEN.search(m[3]))
+        hard, article, doubtful = stack[-1][2:] if stack else (False, 0, ())
+        hard = hard or (tag in ASIDE_TAGS and tag not in AROUND) or (tag == "header" and not article) or bool(m[3] and _HIDDEN.search(m[3]))
+        number += 1
+        if tag in ("article", "main"):
+            if not hard:
+                holders.update(e for e, _ in doubtful)
+            article = article or number
+        elif tag in AROUND or (tag not in ("html", "body") and any(_aside_name(x) for _, v in names for x in v.split())):
+            doubtful = (*doubtful, (number, article))
         label = tag + "".join("." + re.sub(r"[0-9]+", "0", "_".join(v.split())) for k, v in names if k != "role")
-        stack.append((tag, label, aside, inside or tag in ("article", "main")))
+        stack.append((tag, label, hard, article, doubtful))
         path = (*path, label)
         if m[3].rstrip().endswith("/"):
             pass  # as browsers do, a slash in a block element's tag changes nothing

@@ -10,11 +10,11 @@
   so is all text below a container of a valid class whose text is the same on all its pages; a digest of
   the text is summed up with the vectors. Below an article or main element a token is part of the template only if it is in
   that element's own class, so on every page that has the element, of ARTICLE_PAGES at least: an article may
-  share passages with others. Hosts of fewer than LEAST_PAGES pages take the template of all hosts.
+  share passages with others. Every page also takes the template of all hosts together, which has containers only.
 * *Extraction.* What the template leaves are slots. Those in a page's article and main elements are its text; without
   such elements, all slots are. Where most of the article's text is template, it is an article with copies, which is kept
   whole, or a teaser: the longer one of it and the other slots is taken. Menus, forms, adverts and other asides
-  go from all; nothing else does.
+  go from all (``html_blocks`` says how they are told: by kind, or by a whole name, and never if an article is within); nothing else does.
 
 All steps are aggregates over all pages with partial sums before any shuffle, so a host with a third of
 all pages is summed on the map side. Templates are broadcast to the pages if they are few, else joined by host.

@@ -206,3 +206,33 @@ def test_pipeline(spark):
         docs = out
     assert sizes["language_id"][1] > 0.9 * sizes["language_id"][0] and sizes["secrets"][0] == sizes["secrets"][1]
     assert c.run(spark, SF).count() == sizes["pieces"][1]
+
+
+WRAPPERS = [
+    "page with-sidebar", "no-comments", "has-banner", "content social-studies", "form", "widget", "sidebar-left-layout", "menu-open", "search-results-page", "comments-disabled",
+    "sponsored", "promo", "header-fixed", "notice", "ad-free", "nav-collapsed", "footer-visible", "share", "cookie-accepted", "modal-closed",
+]
+
+
+def _told(pages_: dict[int, str], spark) -> dict[int, str]:
+    rows = [(i, f"http://h{i % 3}.example/{i}", page) for i, page in pages_.items()]
+    return {r.page_id: r.main_text for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_by_article_template_and_wrapper(spark):
+    """Pages put together from a known article, a template and a wrapper of a telling name: the article comes back, whole."""
+    made, want = {}, {}
+    for i, name in enumerate(WRAPPERS * 3):
+        words = [f"w{i}x{j}" for j in range(40)]
+        article = f"<h1>Head {i}</h1><p>{' '.join(words[:20])}</p><section class='market-share'><p>{' '.join(words[20:])}</p></section><div class='share-buttons'>Tell all</div><div id=comments>Nice {i}</div>"
+        holder = ("article", "main", "div")[i // len(WRAPPERS)]
+        inner = f"<{holder}>{article}</{holder}>" if holder != "div" else article.split("<div class='share-buttons'>")[0]
+        made[i] = f"<html><body><nav>Home News</nav><header class=top>Site</header><div class='{name}'>{inner}</div><div class='cookie-banner'>We use cookies</div><div class='site-nav'>More news</div><footer>All rights</footer></body></html>"
+        want[i] = f"Head {i} {' '.join(words)}"
+    got = _told(made, spark)
+    assert {i: got[i] for i in want} == want
+
+
+def test_pages_in_a_form_and_asides_with_articles(spark):
+    body = "<form id=aspnet><main><h1>Head {0}</h1><p>Body {0} of the text.</p><form class=search><p>Find</p></form></main></form><aside><article><p>Other {0}</p></article></aside>"
+    assert _told({i: body.format(i) for i in range(6)}, spark) == {i: f"Head {i} Body {i} of the text." for i in range(6)}
