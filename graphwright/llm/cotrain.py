@@ -10,7 +10,7 @@ pseudo-labels and at the end, when the calibrated log odds are combined by a sma
 
 Features are computed once, into a narrow table. All fitting is Newton steps whose sums (a matrix of
 fixed size for each task) come from a pass over that whole table: no sample of labelled or unlabelled
-rows is taken, and the driver sees sums only. A row's pseudo-label depends on the other view's last
+rows is taken, sums are added up in the cluster, and the driver sees their total only. A row's pseudo-label depends on the other view's last
 weights alone, so it is computed in the pass and never stored.
 """
 
@@ -30,6 +30,8 @@ from .settle import settle, small_batches
 from .textvec import mix, runs, words_of
 
 ROUNDS, STEPS, FOLD = 3, 3, 5
+#: The sums of so many tasks are added up first.
+TASKS = 64
 LONGEST_STEP = 4.0
 SURE, PSEUDO_WEIGHT, RIDGE, LINE_RIDGE = 0.9, 0.3, 1.0, 0.1
 SOURCE_BUCKETS, LANG_BUCKETS = 64, 16
@@ -113,6 +115,24 @@ def _p(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _added(partial: DataFrame) -> np.ndarray:
+    """The sum of the rows' arrays (``sums``); empty without rows. Rows, one a task, are added up in groups of tasks, and what is
+    left place by place: the driver gets one number for each place, however many tasks there are."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in batch.column("sums"):
+                x = row.values.to_numpy()
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    grouped = partial.withColumn("tasks", F.floor(F.spark_partition_id() / TASKS)).repartition("tasks").select("sums").mapInArrow(add, "sums array<double>")
+    places = grouped.select(F.posexplode("sums").alias("place", "x")).groupBy("place").agg(F.sum("x").alias("x"))
+    return np.array([r["x"] for r in sorted(places.collect(), key=lambda r: r["place"])])
+
+
 def _newton(table: DataFrame, models: list[tuple[Callable, np.ndarray, float]]) -> list[np.ndarray]:
     """One Newton step of some ridge logistic models (rows, weights, ridge) in one pass. ``rows(batch)`` gives (features, target, weight)."""
 
@@ -127,11 +147,11 @@ def _newton(table: DataFrame, models: list[tuple[Callable, np.ndarray, float]])
                     gradient += x.T @ (weight * (y - p))
         yield pa.RecordBatch.from_pydict({"sums": pa.array([np.concatenate([np.append(h.ravel(), g) for h, g in totals]).tolist()], pa.list_(pa.float64()))})
 
-    got = np.sum([np.array(r["sums"]) for r in table.mapInArrow(sums, "sums array<double>").collect()], axis=0)
+    got = _added(table.mapInArrow(sums, "sums array<double>"))
     out, at = [], 0
     for _, w, ridge in models:
         n = len(w)
-        if not np.ndim(got):
+        if not len(got):
             out.append(w)
             continue
         hessian = got[at : at + n * n].reshape(n, n) + ridge * np.eye(n)
