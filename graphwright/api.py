@@ -24,6 +24,8 @@ from .sources.formats import parse_text
 from .sources.inoculate import ontology_triples
 
 IMPORT_DEPTH = 3
+#: Bytes of a file that is parsed on the driver at most.
+SMALL_FILE = 4 << 20
 Source = Graph | DataFrame | str | bytes | os.PathLike
 
 
@@ -68,8 +70,8 @@ def default_loader(name: str) -> str | None:
 
 
 def load(spark: SparkSession, source: Source, scope: str = "") -> Graph:
-    """A graph, a frame (s, p, o), RDF text, bytes, an open file, a path or a URL. Files of N-Triples, N-Quads and HexTuples
-    are read in parallel by Spark; other files and texts (Turtle, TriG, RDF/XML, JSON-LD) on the driver."""
+    """A graph, a frame (s, p, o), RDF text, bytes, an open file, a path or a URL. Files of N-Triples, N-Quads and HexTuples, and those of
+    Turtle, TriG, RDF/XML and JSON-LD of more than SMALL_FILE, are read by tasks; small files and texts on the driver."""
     if isinstance(source, Graph):
         return source
     if isinstance(source, DataFrame):
@@ -83,6 +85,18 @@ def load(spark: SparkSession, source: Source, scope: str = "") -> Graph:
         from .sources.graph import read_hextuples
 
         return read_hextuples(spark, source)
+    if isinstance(source, str) and not looks_like_text(source) and not source.startswith(("http://", "https://")):
+        # A small file of this machine is parsed here; a large one, a folder, a pattern or one of another store by tasks.
+        plain = source.removeprefix("file://")
+        small = os.path.isfile(plain) and os.path.getsize(plain) <= SMALL_FILE
+        if not small and re.search(r"\.(ttl|turtle|trig|n3)(\.gz|\.bz2)?$", source):
+            from .sources.files import read_turtle
+
+            return read_turtle(spark, source)
+        if not small and re.search(r"\.(rdf|owl|xml|jsonld|json)$", source):
+            from .sources.files import read_documents
+
+            return read_documents(spark, source)
     text, name = read_text(source)
     return from_text(spark, text, scope=scope, name=name)
 

@@ -1,4 +1,4 @@
-"""Reader of Turtle, TriG, N-Triples and N-Quads for graphs that fit the driver (shapes, axioms, one file)."""
+"""Parser of Turtle, TriG, N-Triples and N-Quads texts: whole ones on the driver (shapes, axioms), pieces of large files in tasks."""
 
 from __future__ import annotations
 
@@ -36,6 +36,7 @@ def _unescape(text: str) -> str:
 class _Reader:
     def __init__(self, text: str, base: str, scope: str):
         self.base, self.scope, self.prefixes, self.quads, self.fresh, self.graph = base, scope, {}, [], 0, None
+        self.stem = f"{scope}n"  # of the names of blank nodes without a label
         self.tokens: list[tuple[str, str, int]] = []
         at = 0
         while at < len(text):
@@ -65,7 +66,7 @@ class _Reader:
 
     def blank(self) -> str:
         self.fresh += 1
-        return f"_:{self.scope}n{self.fresh}"
+        return f"_:{self.stem}{self.fresh}"
 
     def resolve(self, value: str) -> str:
         value = _unescape(value[1:-1])
@@ -179,6 +180,21 @@ class _Reader:
         self.graph = None
 
 
+def parse_piece(text: str, base: str, before: list[tuple[str | None, str]], scope: str, stem: str) -> list[Quad]:
+    """Quads of some statements of a larger text. ``before`` has what was declared before them, in order: (prefix, or None for the base; IRI).
+    ``scope`` goes before the labels of blank nodes, ``stem`` before the numbers of those without one."""
+    reader = _Reader(text.lstrip("\ufeff"), base, scope)
+    reader.stem = stem
+    for prefix, value in before:
+        if prefix is None:
+            reader.base = reader.resolve(value)[1:-1]
+        else:
+            reader.prefixes[prefix] = reader.resolve(value)[1:-1]
+    while reader.tokens[reader.i][0] != "end":
+        reader.statement()
+    return list(dict.fromkeys(reader.quads))
+
+
 def parse(text: str, base: str = "", scope: str = "") -> tuple[list[Quad], dict[str, str]]:
     """(quads without repeats in order, prefixes) of a Turtle, TriG, N-Triples or N-Quads text. ``scope`` goes
     before blank node labels, so that those of different files stay apart."""
