@@ -183,7 +183,8 @@ def validate(
         # A result that counts, if there is one, as it decides the flag.
         counted = results.where("counts").limit(1)
         results = results.limit(1) if counted.isEmpty() else counted
-    return ValidationResult(results)
+        return ValidationResult(results)
+    return ValidationResult(results, run.all_nested)
 
 
 def validate_each(spark: SparkSession, data_graphs: Sequence[Source], shacl_graph: Source | ShapesGraph, **options) -> dict[int, ValidationResult]:

@@ -263,13 +263,15 @@ def xone(run, shape, F_, FV):
     return reduce(DataFrame.unionByName, out)
 
 
+def nodes_failing(run, inner: str, FV: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The rows of FV whose value has any result of the shape, these results, and what stands beneath them."""
+    found, nested = run.results_and_nested(inner, FV.select(F.col("v").alias("f")).distinct())
+    bad = found.select(F.col("root").alias("v")).distinct()
+    return FV.join(bad, "v", "left_semi").select("f", "v"), found, nested
+
+
 def node(run, shape, F_, FV):
-    out = []
-    for s in shape.get("node"):
-        if run.recursive(s):
-            continue
-        bad = run.failing(s, FV.select(F.col("v").alias("f")).distinct(), any_result=True)
-        out.append(FV.join(bad.withColumnRenamed("f", "v"), "v", "left_semi").select("f", "v"))
+    out = [nodes_failing(run, s, FV)[0] for s in shape.get("node") if not run.recursive(s)]
     return reduce(DataFrame.unionByName, out) if out else None
 
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..api import validate
-from ..functions.terms import OWL, TYPE
-from ..plans.compile import Run
+from ..functions.terms import OWL, TYPE, XSD
+from ..plans.compile import Run, digest_of_result
+from ..plans.settle import shared_folder
 from ..plans.shapes import ShapesGraph
 from ..plans.sparql import Engine
 from ..plans.sparql_parser import parse_query
-from ..sources.graph import EX, TripleTable, from_text, mapped
+from ..sources.files import read_turtle, write_turtle
+from ..sources.graph import EX, TripleTable, from_text, mapped, read_ntriples, write_ntriples
+from .isomorphism import canonical_colours
 from .queries import HEAD, PREFIXES, _axioms, _key, _text
 from .rules import apply_rules
 
@@ -135,6 +140,49 @@ _made("n_filter_shape", "customer orders", _filtered('[ sh:filterShape [ sh:prop
 _made("r_deactivated_and_order", "customer", "ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; sh:rule [ a sh:TripleRule ; sh:order 1 ; sh:subject sh:this ; sh:predicate ex:made ; sh:object [ sh:path ex:first ] ] , [ a sh:TripleRule ; sh:order 0 ; sh:subject sh:this ; sh:predicate ex:first ; sh:object [ sh:path ex:c_nationkey ] ] , [ a sh:TripleRule ; sh:deactivated true ; sh:subject sh:this ; sh:predicate ex:made ; sh:object 1 ] .", "SELECT c_custkey AS s, c_nationkey::BIGINT AS o FROM customer WHERE c_nationkey IS NOT NULL UNION ALL SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IS NOT NULL")
 
 
+# Results beneath others
+def _details(spark, sf_dir):
+    shapes = "ex:Rich sh:property [ sh:path ex:c_acctbal ; sh:minInclusive 5000 ] . ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:property [ sh:path ex:o_custkey ; sh:node ex:Rich ] ."
+    run = Run(mapped(spark, sf_dir, ("orders", "customer")), ShapesGraph.from_text(HEAD + shapes))
+    above = run.all_results().select(F.col("focus").alias("order"), digest_of_result().alias("parent"))
+    return above.join(run.all_nested(), "parent").select(_key("order").alias("outer_id"), _key("focus").alias("inner_id"), _text("value").cast("double").alias("v"))
+
+
+Q["l_details"] = (_details, "SELECT o_orderkey AS outer_id, c_custkey AS inner_id, c_acctbal AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT c_acctbal >= 5000")
+
+
+# Files: what is written as a format and read back
+def _round_trip(write, read):
+    def run(spark, sf_dir):
+        path = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
+        triples = mapped(spark, sf_dir, ("customer", "nation")).triples()
+        write(triples, path)
+        back = read(spark, path)
+        return back.pred(f"<{EX}c_acctbal>").join(back.pred(f"<{EX}c_name>").toDF("s", "n"), "s").select(_key("s").alias("id"), _text("o").cast("double").alias("b"), _text("n").alias("n"))
+
+    return run
+
+
+_ROUND = "SELECT c_custkey AS id, c_acctbal AS b, c_name AS n FROM customer WHERE c_acctbal IS NOT NULL AND c_name IS NOT NULL"
+Q["src_turtle_files"] = (_round_trip(lambda t, path: write_turtle(t, path, {"ex": EX, "xsd": XSD}), read_turtle), _ROUND)
+Q["src_ntriples_files"] = (_round_trip(write_ntriples, read_ntriples), _ROUND)
+
+
+def _isomorphic(spark, sf_dir):
+    """Two graphs whose blank nodes stand for the same customers under other names: nodes of one colour are paired."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    coloured = []
+    for stem, number in (("a", F.col("c_custkey")), ("z", F.lit(10**9) - F.col("c_custkey"))):
+        node, land = F.concat(F.lit(f"_:{stem}"), number.cast("string")), F.concat(F.lit(f"_:{stem}n"), F.col("c_nationkey").cast("string"))
+        pairs = [(node, "name", F.concat(F.lit('"'), F.col("c_name"), F.lit('"'))), (node, "of", land), (land, "has", F.concat(F.lit('"'), F.col("c_mktsegment"), F.lit('"')))]
+        graph = reduce(DataFrame.unionByName, [rows.select(s.alias("s"), F.lit(f"<{EX}{p}>").alias("p"), o.alias("o")).where("s IS NOT NULL AND o IS NOT NULL") for s, p, o in pairs])
+        coloured.append(canonical_colours(graph).where(F.rlike("node", F.lit("^_:[az][0-9]"))).select("colour", F.regexp_extract("node", "([0-9]+)$", 1).cast("long").alias(stem)))
+    return coloured[0].join(coloured[1], "colour").select(F.col("a"), (F.lit(10**9) - F.col("z")).alias("z"))
+
+
+Q["u_isomorphic"] = (_isomorphic, "SELECT c_custkey AS a, c_custkey AS z FROM customer WHERE c_custkey IS NOT NULL AND c_name IS NOT NULL AND c_nationkey IS NOT NULL")
+
+
 # Inference
 def _owl(extra: str, test, *tables: str):
     def run(spark, sf_dir):

@@ -5,18 +5,31 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import lexical_of
-from ..operators.constraints import COMPONENTS, LIST_PARAMETERS
+from ..operators.constraints import COMPONENTS, LIST_PARAMETERS, nodes_failing
 from ..operators.paths import values
 from ..operators.targets import constants, focus_nodes
 from ..sources.graph import Graph
 from .shapes import ReportableRuntimeError, Shape, ShapesGraph, path_text, sh
 
 #: The bag of results. ``counts`` tells whether a result makes the graph not conform.
-RESULTS = "focus string, path string, value string, component string, source_shape string, severity string, messages array<string>, counts boolean"
+RESULTS = "focus string, path string, value string, component string, source_shape string, severity string, messages array<string>, counts boolean, source_constraint string"
+#: Within a run a result also has its root: the node for which the shape at hand was asked, which for nested property shapes isn't its focus node.
+ROOTED = RESULTS + ", root string"
+#: A result that stands beneath another one: its number (a digest), that of the result above it, the root of the uppermost one.
+NESTED = ROOTED + ", result string, parent string"
+
+
+def names(schema: str) -> list[str]:
+    return [x.split(" ")[0] for x in schema.split(", ")]
+
+
+def digest_of_result() -> Column:
+    """A result's number: a digest of what it says."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in names(RESULTS)])), 256)
 
 
 @dataclass
@@ -32,6 +45,9 @@ class Run:
     max_depth: int = 15
     advanced: bool = True
     stack: list[str] = field(default_factory=list)
+    #: Whether the results beneath those of sh:node are kept, and those of each shape at hand.
+    details: bool = False
+    nested: list[list[DataFrame]] = field(default_factory=lambda: [[]])
 
     UNROLL = 2
 
@@ -39,30 +55,36 @@ class Run:
         return self.stack.count(node) >= self.UNROLL
 
     def empty(self) -> DataFrame:
-        return self.graph.spark.createDataFrame([], RESULTS)
+        return self.graph.spark.createDataFrame([], ROOTED)
 
     def failing(self, node: str, nodes: DataFrame, any_result: bool = False) -> DataFrame:
         """Distinct nodes (f) that don't conform to the shape; with ``any_result``, that have any result."""
         found = self.results(node, nodes)
-        return (found if any_result else found.where("counts")).select(F.col("focus").alias("f")).distinct()
+        return (found if any_result else found.where("counts")).select(F.col("root").alias("f")).distinct()
 
     def results(self, node: str, nodes: DataFrame) -> DataFrame:
-        """Results of a shape for the nodes (f), distinct."""
+        """Results of a shape for the nodes (f), distinct; what stands beneath them is left out."""
+        return self.results_and_nested(node, nodes)[0]
+
+    def results_and_nested(self, node: str, nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Results of a shape for the nodes (f), distinct, and the results beneath them."""
         shape = self.shapes.shapes.get(node)
         if shape is None:
             raise ReportableRuntimeError(f"{node} isn't a shape")
         if shape.deactivated or self.stack.count(node) > self.UNROLL:
-            return self.empty()
+            return self.empty(), []
         if len(self.stack) >= self.max_depth:
             raise ReportableRuntimeError("Validation path too deep!")
         if self.focus is not None and self.stack:
             nodes = nodes.where(F.col("f").isin(*self.focus))
         self.stack.append(node)
+        self.nested.append([])
         try:
             parts = self._results(shape, nodes)
         finally:
             self.stack.pop()
-        return reduce(DataFrame.unionByName, parts) if parts else self.empty()
+            nested = self.nested.pop()
+        return reduce(DataFrame.unionByName, parts) if parts else self.empty(), nested
 
     def _results(self, shape: Shape, nodes: DataFrame) -> list[DataFrame]:
         found = nodes.select("f", F.col("f").alias("v")) if shape.path is None else values(self.graph, nodes, shape.path)
@@ -71,20 +93,44 @@ class Run:
         for name, (component, function, message) in COMPONENTS.items():
             if sh(name) not in shape.params:
                 continue
+            if name == "node":
+                parts += self._node_results(shape, found, own_path, self._message(shape, name, message, own_path))
+                continue
             bad = function(self, shape, nodes, found)
             if bad is not None:
                 parts.append(self._rows(shape, bad, f"{component}ConstraintComponent", own_path, self._message(shape, name, message, own_path)))
         for inner in shape.get("property"):
             if not self.recursive(inner):
-                got = self.results(inner, found.select(F.col("v").alias("f")).distinct())
+                got, nested = self.results_and_nested(inner, found.select(F.col("v").alias("f")).distinct())
                 # A value is judged once; its results count for each focus node that reaches it.
-                parts.append(got if shape.path is None else got.join(found.select(F.col("v").alias("focus")), "focus").select(*got.columns))
+                reached = found.select(F.col("v").alias("root"), F.col("f").alias("above"))
+                up = lambda x: x if shape.path is None else x.join(reached, "root").withColumn("root", F.col("above")).select(*x.columns)
+                parts.append(up(got))
+                self.nested[-1] += [up(x) for x in nested]
         if self.advanced:
             from .sparql_shapes import sparql_results
 
             parts += sparql_results(self, shape, nodes, found, own_path)
         return parts
 
+    def _node_results(self, shape: Shape, found: DataFrame, path: str | None, messages) -> list[DataFrame]:
+        """A result for each value that has any result of a shape of sh:node, and with ``details`` these beneath it."""
+        parts = []
+        for inner in shape.get("node"):
+            if self.recursive(inner):
+                continue
+            bad, got, nested = nodes_failing(self, inner, found)
+            rows = self._rows(shape, bad, "NodeConstraintComponent", path, messages)
+            parts.append(rows)
+            if self.details:
+                above = rows.select(F.col("value").alias("_v"), F.col("root").alias("_root"), digest_of_result().alias("_above")).distinct()
+                lower = [got.withColumn("result", digest_of_result()).withColumn("parent", F.lit("")), *nested]
+                # Numbers beneath a result are made of its own number and theirs, so that each result has its own copies.
+                joined = reduce(DataFrame.unionByName, lower).distinct().join(above, F.col("root") == F.col("_v"))
+                within = lambda c: F.when(F.col(c) == "", F.col("_above")).otherwise(F.sha2(F.concat("_above", c), 256))
+                self.nested[-1].append(joined.select(*names(RESULTS), F.col("_root").alias("root"), within("result").alias("result"), within("parent").alias("parent")))
+        return parts
+
     def _message(self, shape: Shape, name: str, template: str, own_path: str | None):
         if shape.messages:
             return F.array(*[F.lit(lexical_of(m)) for m in shape.messages])
@@ -95,7 +141,7 @@ class Run:
         text = F.replace(text, F.lit("{v}"), F.coalesce("v", F.lit(""))) if "{v}" in template else text
         return F.array(text)
 
-    def _rows(self, shape: Shape, bad: DataFrame, component: str, path: str | None, messages, source: str | None = None) -> DataFrame:
+    def _rows(self, shape: Shape, bad: DataFrame, component: str, path: str | None, messages, source: str | None = None, constraint: str | None = None, always: bool = False) -> DataFrame:
         own = "path" in bad.columns
         return bad.select(
             F.col("f").alias("focus"),
@@ -105,7 +151,9 @@ class Run:
             F.lit(source or shape.node).alias("source_shape"),
             F.lit(shape.severity).alias("severity"),
             messages.cast("array<string>").alias("messages"),
-            F.lit(shape.severity not in self.allow).alias("counts"),
+            F.lit(always or shape.severity not in self.allow).alias("counts"),
+            F.lit(constraint).cast("string").alias("source_constraint"),
+            F.col("f").alias("root"),
         )
 
     def targeted(self) -> list[Shape]:
@@ -115,9 +163,25 @@ class Run:
         return sorted(found, key=lambda s: s.order)
 
     def all_results(self) -> DataFrame:
+        """The bag of results of all targeted shapes."""
+        return self._all()[0]
+
+    def all_nested(self) -> DataFrame:
+        """(result, parent, the columns of results): all results beneath others, for ``details``. A ``parent`` is the ``result`` of another row, or
+        the ``digest_of_result`` of one of ``all_results``."""
+        before, self.details = self.details, True
+        try:
+            nested = self._all()[1]
+        finally:
+            self.details = before
+        columns = [*names(RESULTS), "result", "parent"]
+        none = self.graph.spark.createDataFrame([], NESTED)
+        return reduce(DataFrame.unionByName, nested, none).select(*columns).distinct()
+
+    def _all(self) -> tuple[DataFrame, list[DataFrame]]:
         from .sparql_shapes import custom_target
 
-        parts = []
+        parts, beneath = [], []
         for shape in self.targeted():
             if self.focus is not None and self.use_shapes is not None:
                 nodes = constants(self.graph, self.focus)
@@ -125,5 +189,7 @@ class Run:
                 nodes = focus_nodes(self.graph, self.shapes, shape, (lambda t: custom_target(self, t)) if self.advanced else None)
                 if self.focus is not None:
                     nodes = nodes.where(F.col("f").isin(*self.focus))
-            parts.append(self.results(shape.node, nodes))
-        return reduce(DataFrame.unionByName, parts) if parts else self.empty()
+            found, nested = self.results_and_nested(shape.node, nodes)
+            parts.append(found)
+            beneath += nested
+        return (reduce(DataFrame.unionByName, parts) if parts else self.empty()).drop("root"), beneath

@@ -153,11 +153,11 @@ def _seed(nodes: DataFrame, found: DataFrame | None, given: dict[str, str]) -> D
     return base.select("*", *[F.lit(x).alias(n) for n, x in given.items()])
 
 
-def _selected(run, shape: Shape, solved: DataFrame, path: str | None, component: str, messages, source: str | None = None) -> DataFrame:
+def _selected(run, shape: Shape, solved: DataFrame, path: str | None, component: str, messages, constraint: str | None = None, always: bool = False) -> DataFrame:
     columns = solved.columns
     value = F.col("value") if "value" in columns else (F.col("this") if shape.path is None else F.lit(None).cast("string"))
     out = solved.select(F.col("this").alias("f"), value.alias("v"), (F.when(F.startswith("path", F.lit("<")), F.col("path")) if "path" in columns else F.lit(None).cast("string")).alias("path"), (messages if messages is not None else F.array()).cast("array<string>").alias("m"))
-    return run._rows(shape, out.distinct(), component, path, F.col("m"), source)
+    return run._rows(shape, out.distinct(), component, path, F.col("m"), constraint=constraint, always=always)
 
 
 def sparql_results(run, shape: Shape, nodes: DataFrame, found: DataFrame, path: str | None) -> list[DataFrame]:
@@ -173,7 +173,7 @@ def sparql_results(run, shape: Shape, nodes: DataFrame, found: DataFrame, path:
         given = {n: x for n, x in (("currentShape", shape.node), ("shapesGraph", SHAPES_GRAPH)) if n in variables(q)}
         solved = engine(run).solve(q, _seed(nodes, None, given))
         messages = _message(run, shapes.values(node, "message") or shape.messages, solved.columns, {})
-        out.append(_selected(run, shape, solved, path, "SPARQLConstraintComponent", messages))
+        out.append(_selected(run, shape, solved, path, "SPARQLConstraintComponent", messages, node))
     for component in _components(shapes):
         if got := _component(run, shape, component, nodes, found, path):
             out.append(got)
@@ -182,7 +182,7 @@ def sparql_results(run, shape: Shape, nodes: DataFrame, found: DataFrame, path:
         joined = found.join(values.withColumnRenamed("f", "v"), "v", "left").where(~F.coalesce(F.col("x") == F.array(F.lit(TRUE)), F.lit(False))).select("f", "v")
         messages = [*shapes.values(node, "message"), *shape.messages] if node in shapes.out else shape.messages
         text = F.array(*[F.lit(lexical_of(m)) for m in messages]) if messages else F.array(F.lit("The expression isn't true for this value."))
-        out.append(run._rows(shape, joined, "ExpressionConstraintComponent", path, text))
+        out.append(run._rows(shape, joined, "ExpressionConstraintComponent", path, text, constraint=node))
     return out
 
 
@@ -212,12 +212,12 @@ def _component(run, shape: Shape, component: str, nodes: DataFrame, found: DataF
         good = engine(run).solve(q, seed).select("this", "value").distinct().withColumn("_good", F.lit(True))
         bad = seed.join(good, ["this", "value"], "left").where("_good IS NULL").drop("_good")
         messages = _message(run, template, bad.columns, shown)
-        return _selected(run, shape, bad, path, component, messages)
+        return _selected(run, shape, bad, path, component, messages, always=True)
     q = read(shapes, validator, lexical_of(shapes.values(validator, "select")[0]), path, bound)
     solved = engine(run).solve(q, _seed(nodes, None, given))
     if "failure" in solved.columns and (failed := solved.where(F.coalesce(c_truth(F.col("failure")), F.lit(False))).select("this").first()):
         raise ValidationFailure(f"the validator of {component} failed at {failed['this']}")
-    return _selected(run, shape, solved, path, component, _message(run, template, solved.columns, shown))
+    return _selected(run, shape, solved, path, component, _message(run, template, solved.columns, shown), always=True)
 
 
 def custom_target(run, node: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.terms import FALSE, SH, TRUE, TYPE, c_string
+from .plans.compile import RESULTS, digest_of_result, names
 from .plans.shapes import sh
 from .sources.graph import write_ntriples
 from .sources.writers import WRITERS
@@ -18,6 +20,8 @@ class ValidationResult:
     """``results`` is a bag of rows; everything else is made from it when it is asked for."""
 
     results: DataFrame
+    #: Gives the results beneath others (``Run.all_nested``); they are worked out when a report graph is asked for.
+    nested: Callable[[], DataFrame] | None = None
 
     @property
     def conforms(self) -> bool:
@@ -25,31 +29,40 @@ class ValidationResult:
 
     def identified(self) -> DataFrame:
         """The results with ``result_id``: a hash of a row and its number among equal rows, the same in every run."""
-        columns = [c for c in self.results.columns]
-        text = F.to_json(F.struct(*columns))
-        hashed = self.results.withColumn("_h", F.sha2(text, 256))
+        hashed = self.results.select(*names(RESULTS)).withColumn("_h", digest_of_result())
         number = F.row_number().over(Window.partitionBy("_h").orderBy("_h"))
-        return hashed.withColumn("result_id", F.concat(F.lit("_:r"), F.substring("_h", 1, 32), F.lit("n"), number.cast("string"))).drop("_h")
+        return hashed.withColumn("result_id", F.concat(F.lit("_:r"), F.substring("_h", 1, 32), F.lit("n"), number.cast("string"))).withColumnRenamed("_h", "digest")
 
     def report_triples(self) -> DataFrame:
-        """(s, p, o) of the sh:ValidationReport. A path that isn't one predicate stands as its SPARQL text."""
+        """(s, p, o) of the sh:ValidationReport. A path that isn't one predicate stands as its SPARQL text. Results that a result of sh:node
+        is for stand beneath it by sh:detail."""
         spark = self.results.sparkSession
         head = [("_:report", TYPE, sh("ValidationReport")), ("_:report", sh("conforms"), TRUE if self.conforms else FALSE)]
         path = F.when(F.rlike("path", F.lit("^<[^>]*>$")), F.col("path")).otherwise(c_string(F.col("path")))
         pair = lambda p, o: F.struct(F.lit(p).alias("p"), o.alias("o"))
-        rows = self.identified().select(
+        found = self.identified()
+        links = found.select(F.lit("_:report").alias("s"), F.lit(sh("result")).alias("p"), F.col("result_id").alias("o"))
+        shown = found.drop("digest")
+        if self.nested is not None:
+            beneath = self.nested()
+            inner = F.concat(F.lit("_:d"), F.substring("result", 1, 32))
+            uppermost = found.select(F.col("digest").alias("parent"), F.col("result_id").alias("above"))
+            own = beneath.select(F.col("result").alias("parent"), inner.alias("above"))
+            details = beneath.select("parent", inner.alias("o")).join(uppermost.unionByName(own), "parent")
+            links = links.unionByName(details.select(F.col("above").alias("s"), F.lit(sh("detail")).alias("p"), "o"))
+            shown = shown.unionByName(beneath.withColumn("result_id", inner).select(*shown.columns))
+        rows = shown.select(
             F.col("result_id").alias("s"),
             F.explode(
                 F.concat(
                     F.array(
                         pair(TYPE, F.lit(sh("ValidationResult"))), pair(sh("focusNode"), F.col("focus")), pair(sh("resultPath"), path), pair(sh("value"), F.col("value")),
-                        pair(sh("sourceConstraintComponent"), F.col("component")), pair(sh("sourceShape"), F.col("source_shape")), pair(sh("resultSeverity"), F.col("severity")),
+                        pair(sh("sourceConstraintComponent"), F.col("component")), pair(sh("sourceShape"), F.col("source_shape")), pair(sh("resultSeverity"), F.col("severity")), pair(sh("sourceConstraint"), F.col("source_constraint")),
                     ),
                     F.transform("messages", lambda m: pair(sh("resultMessage"), c_string(m))),
                 )
             ).alias("x"),
         ).select("s", "x.p", "x.o").where(F.col("o").isNotNull())
-        links = self.identified().select(F.lit("_:report").alias("s"), F.lit(sh("result")).alias("p"), F.col("result_id").alias("o"))
         return spark.createDataFrame(head, "s string, p string, o string").unionByName(links).unionByName(rows)
 
     def serialize(self, form: str = "turtle") -> str:
@@ -78,6 +91,7 @@ class ValidationResult:
         blocks = []
         for r in self.results.toLocalIterator():
             lines = [f"Constraint Violation in {name(r.component)} ({r.component[1:-1]}):", f"\tSeverity: sh:{name(r.severity)}", f"\tSource Shape: {r.source_shape}", f"\tFocus Node: {r.focus}"]
+            lines += [f"\tSource Constraint: {r.source_constraint}"] * (r.source_constraint is not None)
             lines += [f"\tValue Node: {r.value}"] * (r.value is not None) + [f"\tResult Path: {r.path}"] * (r.path is not None) + [f"\tMessage: {m}" for m in sorted(r.messages or [])]
             blocks.append("\n".join(lines) + "\n")
         head = f"Validation Report\nConforms: {conforms}\n"

@@ -37,7 +37,7 @@ def validate_stream(stream: DataFrame, shapes: ShapesGraph, table: str, sink: Ca
         own = known.join(touched, "s", "left_semi").unionByName(known.where(F.col("p") == SUBCLASS)).distinct()
         run = Run(TripleTable(spark, own), shapes)
         nodes = touched.withColumnRenamed("s", "f")
-        found = [run.results(shape.node, focus_nodes(run.graph, shapes, shape).join(nodes, "f", "left_semi")) for shape in run.targeted()]
+        found = [run.results(shape.node, focus_nodes(run.graph, shapes, shape).join(nodes, "f", "left_semi")).drop("root") for shape in run.targeted()]
         sink(reduce(DataFrame.unionByName, found) if found else run.empty(), number)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

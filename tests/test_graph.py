@@ -307,3 +307,41 @@ def test_pattern_with_a_named_back_reference():
     from graphwright.operators.constraints import java_pattern
 
     assert java_pattern(r"(?P<n>a)(?P=n)\Z") == r"(?<n>a)\k<n>\z"
+
+
+def test_details_three_deep(spark):
+    """Results of sh:node in a report carry what they are for, at every depth; two focus nodes with one bad value have a copy each."""
+    data = HEAD + "ex:a ex:kid ex:x . ex:b ex:kid ex:x . ex:x ex:pet ex:d . ex:d ex:age 1 , 2 . ex:ok ex:kid ex:y . ex:y ex:pet ex:e . ex:e ex:age 30 ."
+    shapes = HEAD + """ex:S a sh:NodeShape ; sh:targetSubjectsOf ex:kid ; sh:property [ sh:path ex:kid ; sh:node ex:T ] .
+      ex:T a sh:NodeShape ; sh:node ex:U . ex:U a sh:NodeShape ; sh:property [ sh:path ex:pet ; sh:property [ sh:path ex:age ; sh:minInclusive 10 ] ; sh:maxCount 0 ] ."""
+    result = validate(spark, data, shapes)
+    assert found(result) == [(ex("a"), ex("x"), "Node"), (ex("b"), ex("x"), "Node"), (ex("ok"), ex("y"), "Node")]
+    triples = {tuple(r) for r in result.report_triples().collect()}
+    name = lambda p: iri(SH + p)
+    of = lambda s, p: {o for s_, p_, o in triples if (s_, p_) == (s, name(p))}
+    tops = {next(iter(of(r, "focusNode"))): r for r in of("_:report", "result")}
+    for focus, ages in (("a", {"1", "2"}), ("b", {"1", "2"}), ("ok", set())):
+        (middle,) = of(tops[ex(focus)], "detail")
+        assert of(middle, "sourceShape") == {ex("T")} and of(middle, "focusNode") == of(tops[ex(focus)], "value")
+        lowest = of(middle, "detail")
+        assert {next(iter(of(r, "value"))).split('"')[1] for r in lowest if of(r, "value")} == ages
+        assert sum(of(r, "sourceConstraintComponent") == {name("MaxCountConstraintComponent")} for r in lowest) == 1
+    assert len({s for s, p, o in triples if p == TYPE}) == 1 + 3 + 3 + 3 + 4
+
+
+def test_nested_shapes_are_told_by_the_node_they_were_asked_for(spark):
+    """A failure two steps below the value counts for the value itself."""
+    data = HEAD + "ex:a ex:p ex:x . ex:x ex:q ex:y . ex:y ex:r ex:z . ex:z ex:n 1 . ex:b ex:p ex:w . ex:w ex:q ex:v ."
+    deep = "[ sh:path ex:q ; sh:property [ sh:path ex:r ; sh:property [ sh:path ex:n ; sh:minInclusive 5 ] ] ]"
+    shapes = HEAD + f"ex:S a sh:NodeShape ; sh:targetSubjectsOf ex:p ; sh:property [ sh:path ex:p ; sh:node [ sh:property {deep} ] ] , [ sh:path ex:p ; sh:property {deep} ] ."
+    five = f'"1"^^<{XSD}integer>'
+    assert found(validate(spark, data, shapes)) == sorted([(ex("a"), ex("x"), "Node"), (ex("z"), five, "MinInclusive")])
+
+
+def test_source_constraint_and_policy_of_custom_components(spark):
+    declared = 'ex: sh:declare [ sh:prefix "ex" ; sh:namespace "urn:ex:" ] . '
+    own = declared + 'ex:Low a sh:ConstraintComponent ; sh:parameter [ sh:path ex:low ] ; sh:validator [ a sh:SPARQLAskValidator ; sh:prefixes ex: ; sh:ask "ASK { FILTER($value >= $low) }" ] . '
+    shapes = HEAD + own + 'ex:S a sh:NodeShape ; sh:targetNode ex:a ; sh:severity sh:Warning ; sh:sparql ex:C ; sh:property [ sh:path ex:age ; sh:severity sh:Warning ; ex:low 50 ] . ex:C sh:prefixes ex: ; sh:select "SELECT $this { $this ex:age 7 }" .'
+    result = validate(spark, DATA, shapes, allow_warnings=True)
+    assert not result.conforms and {(r.source_constraint, r.counts) for r in result.results.collect()} == {(ex("C"), False), (None, True)}
+    assert any(r.p == iri(SH + "sourceConstraint") and r.o == ex("C") for r in result.report_triples().collect()) and "Source Constraint" in result.text()
