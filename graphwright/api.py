@@ -149,12 +149,13 @@ def _expanded(term: str, prefixes: dict[str, str]) -> str:
 def validate(
     spark: SparkSession, data_graph: Source | Sequence[Source], shacl_graph: Source | ShapesGraph | None = None, ont_graph: Source | None = None, advanced: bool = False,
     inference: str | None = None, abort_on_first: bool = False, allow_infos: bool = False, allow_warnings: bool = False, max_validation_depth: int = 15,
-    focus_nodes: list[str] | None = None, use_shapes: list[str] | None = None, iterate_rules: bool = False, import_loader=None, prefixes: dict[str, str] | None = None,
+    focus_nodes: list[str] | None = None, use_shapes: list[str] | None = None, iterate_rules: bool = False, import_loader=None, prefixes: dict[str, str] | None = None, recursion: str = "fixpoint",
 ) -> ValidationResult:
     """Validates one graph, or the union of several, against shapes; without ``shacl_graph`` the data holds the shapes.
 
     ``advanced`` runs rules first and evaluates SPARQL targets and expressions. ``allow_infos`` and
-    ``allow_warnings`` keep such results without counting them. ``abort_on_first`` keeps one result.
+    ``allow_warnings`` keep such results without counting them. ``abort_on_first`` keeps one result. ``recursion`` is "fixpoint", or "unroll":
+    a shape within itself is then followed twice and taken to conform.
     """
     if isinstance(data_graph, (list, tuple)):
         parts = [load(spark, g, f"d{i}").triples() for i, g in enumerate(data_graph)]
@@ -177,7 +178,9 @@ def validate(
         graph, _ = apply_rules(graph, shapes, iterate_rules, focus, used)
     allow = {sh("Info")} if allow_infos or allow_warnings else set()
     allow |= {sh("Warning")} if allow_warnings else set()
-    run = Run(graph, shapes, frozenset(allow), focus, used, max_validation_depth)
+    if recursion not in ("fixpoint", "unroll"):
+        raise ValueError("recursion is fixpoint or unroll")
+    run = Run(graph, shapes, frozenset(allow), focus, used, max_validation_depth, recursion == "fixpoint")
     results = run.all_results()
     if abort_on_first:
         # A result that counts, if there is one, as it decides the flag.

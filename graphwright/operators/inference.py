@@ -10,11 +10,24 @@ from pyspark.sql import functions as F
 from ..functions.terms import OWL, RDFS, SUBCLASS, TYPE, iri
 from ..plans.settle import drop_settled, settle
 from ..sources.graph import Graph, TripleTable
+from .equality import SAME, components, equal_none, equal_pairs, expanded, keys_of, may_equal, rewritten
 from .paths import closure, follow, list_items
 
 RESOURCE, DOMAIN, RANGE, SUBPROPERTY = (iri(RDFS + n) for n in ("Resource", "domain", "range", "subPropertyOf"))
 
 
+#: A schema's side of a join of so many rows is broadcast: it is counted first. Facts are many, and few predicates and classes have most of them.
+SCHEMA_ROWS = 1 << 17
+#: What schemas say, as local names of OWL.
+SCHEMA_PREDICATES = ("inverseOf", "hasValue", "onProperty", "someValuesFrom", "allValuesFrom")
+SCHEMA_CLASSES = ("SymmetricProperty", "TransitiveProperty")
+
+
+def _schema(frame: DataFrame) -> DataFrame:
+    """Rows of the schema, broadcast if they are as few as schemas have."""
+    return F.broadcast(frame) if frame.limit(SCHEMA_ROWS + 1).count() <= SCHEMA_ROWS else frame
+
+
 def _closed(graph: Graph, p: str) -> DataFrame:
     """Transitive closure of a predicate that links schema terms, as (s, o)."""
     start = graph.pred(p).select(F.col("s").alias("f")).distinct()
@@ -28,12 +41,13 @@ def rdfs(graph: Graph, resources: bool = True) -> DataFrame:
     base = graph.triples().distinct()
     sub_p, sub_c = _closed(graph, SUBPROPERTY), _closed(graph, SUBCLASS)
     schema = sub_p.select("s", F.lit(SUBPROPERTY).alias("p"), "o").unionByName(sub_c.select("s", F.lit(SUBCLASS).alias("p"), "o"))
-    moved = base.join(sub_p.toDF("p", "q"), "p").select("s", F.col("q").alias("p"), "o")
+    small_c = _schema(sub_c)
+    moved = base.join(_schema(sub_p).toDF("p", "q"), "p").select("s", F.col("q").alias("p"), "o")
     facts = base.unionByName(moved)
-    by_domain = facts.join(graph.pred(DOMAIN).toDF("p", "c"), "p").select("s", F.col("c").alias("o"))
-    by_range = facts.join(graph.pred(RANGE).toDF("p", "c"), "p").select(F.col("o").alias("s"), F.col("c").alias("o"))
+    by_domain = facts.join(_schema(graph.pred(DOMAIN)).toDF("p", "c"), "p").select("s", F.col("c").alias("o"))
+    by_range = facts.join(_schema(graph.pred(RANGE)).toDF("p", "c"), "p").select(F.col("o").alias("s"), F.col("c").alias("o"))
     types = reduce(DataFrame.unionByName, [facts.where(F.col("p") == TYPE).select("s", "o"), by_domain, by_range]).where(~F.startswith("s", F.lit('"'))).distinct()
-    lifted = types.join(sub_c.toDF("o", "c"), "o").select("s", F.col("c").alias("o"))
+    lifted = types.join(small_c.toDF("o", "c"), "o").select("s", F.col("c").alias("o"))
     typed = types.unionByName(lifted).select("s", F.lit(TYPE).alias("p"), "o")
     out = [schema, moved, typed]
     if resources:
@@ -43,42 +57,37 @@ def rdfs(graph: Graph, resources: bool = True) -> DataFrame:
 
 
 def _owl_round(g: DataFrame, d: DataFrame) -> list[DataFrame]:
-    """One round of OWL RL rules over the triples ``g``; at least one premise of each is in the new ones ``d``."""
+    """One round of OWL RL rules over the triples ``g``; at least one premise of each is in the new ones ``d``. Equality isn't among them."""
     out = []
+    told = g.where(F.col("p").isin(*[iri(OWL + n) for n in SCHEMA_PREDICATES]) | ((F.col("p") == TYPE) & F.col("o").isin(*[iri(OWL + n) for n in SCHEMA_CLASSES])))
+    small = told.limit(SCHEMA_ROWS + 1).count() <= SCHEMA_ROWS
+    few = lambda x: F.broadcast(x) if small else x
     pred = lambda t, n: t.where(F.col("p") == (n if n.startswith("<") else iri(OWL + n))).select("s", "o")
     typed = lambda t, n: t.where((F.col("p") == TYPE) & (F.col("o") == iri(OWL + n))).select(F.col("s").alias("k"))
     for a, b in ((g, d), (d, g)):
-        sym = b.join(typed(a, "SymmetricProperty"), F.col("p") == F.col("k")).select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
-        inv = pred(a, "inverseOf").toDF("x", "y")
+        sym = b.join(few(typed(a, "SymmetricProperty")), F.col("p") == F.col("k")).select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
+        inv = few(pred(a, "inverseOf").toDF("x", "y"))
         one = b.join(inv, F.col("p") == F.col("x")).select(F.col("o").alias("s"), F.col("y").alias("p"), F.col("s").alias("o"))
         two = b.join(inv, F.col("p") == F.col("y")).select(F.col("o").alias("s"), F.col("x").alias("p"), F.col("s").alias("o"))
         out += [sym, one, two]
-        # eq-rep: what equals takes the other's triples
-        same = pred(a, "sameAs").toDF("x", "y").where("x != y")
-        out += [b.join(same, F.col("s") == F.col("x")).select(F.col("y").alias("s"), "p", "o"), b.join(same, F.col("o") == F.col("x")).select("s", "p", F.col("y").alias("o"))]
         # cls-hv2 and cls-hv1
-        hv = pred(a, "hasValue").toDF("r", "w").join(pred(g, "onProperty").toDF("r", "q"), "r")
+        hv = few(pred(a, "hasValue").toDF("r", "w").join(pred(g, "onProperty").toDF("r", "q"), "r"))
         out.append(b.join(hv, (F.col("p") == F.col("q")) & (F.col("o") == F.col("w"))).select("s", F.lit(TYPE).alias("p"), F.col("r").alias("o")))
         out.append(b.where(F.col("p") == TYPE).join(hv, F.col("o") == F.col("r")).select("s", F.col("q").alias("p"), F.col("w").alias("o")))
         # cls-svf1 and cls-avf
-        fill = lambda n: pred(g, n).toDF("r", "c").join(pred(g, "onProperty").toDF("r", "q"), "r")
+        fill = lambda n: few(pred(g, n).toDF("r", "c").join(pred(g, "onProperty").toDF("r", "q"), "r"))
         types = a.where(F.col("p") == TYPE).select(F.col("s").alias("n"), F.col("o").alias("t"))
         some = b.join(fill("someValuesFrom"), F.col("p") == F.col("q")).join(types, (F.col("o") == F.col("n")) & (F.col("t") == F.col("c")))
         out.append(some.select("s", F.lit(TYPE).alias("p"), F.col("r").alias("o")))
         each = b.join(fill("allValuesFrom"), F.col("p") == F.col("q")).join(types, (F.col("s") == F.col("n")) & (F.col("t") == F.col("r")))
         out.append(each.select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o")))
-        # prp-trp, prp-fp, prp-ifp
+        # prp-trp
         left, right = a.toDF("s", "p", "m"), b.toDF("m", "p", "o")
-        out.append(left.join(typed(g, "TransitiveProperty"), F.col("p") == F.col("k")).join(right, ["m", "p"]).select("s", "p", "o"))
-        fun = b.join(typed(g, "FunctionalProperty"), F.col("p") == F.col("k"))
-        out.append(fun.join(a.toDF("s", "p", "x"), ["s", "p"]).where("o != x").select(F.col("o").alias("s"), F.lit(iri(OWL + "sameAs")).alias("p"), F.col("x").alias("o")))
-        inverse = b.join(typed(g, "InverseFunctionalProperty"), F.col("p") == F.col("k"))
-        out.append(inverse.join(a.toDF("x", "p", "o"), ["o", "p"]).where("s != x").select("s", F.lit(iri(OWL + "sameAs")).alias("p"), F.col("x").alias("o")))
-    # scm-eqc, scm-eqp, eq-sym
+        out.append(left.join(few(typed(g, "TransitiveProperty")), F.col("p") == F.col("k")).join(right, ["m", "p"]).select("s", "p", "o"))
+    # scm-eqc, scm-eqp
     for name, to in (("equivalentClass", SUBCLASS), ("equivalentProperty", SUBPROPERTY)):
         pairs = pred(d, name)
         out += [pairs.select("s", F.lit(to).alias("p"), "o"), pairs.select(F.col("o").alias("s"), F.lit(to).alias("p"), F.col("s").alias("o"))]
-    out.append(pred(d, "sameAs").select(F.col("o").alias("s"), F.lit(iri(OWL + "sameAs")).alias("p"), F.col("s").alias("o")))
     return out
 
 
@@ -118,24 +127,43 @@ def _of_lists(known: DataFrame, parts: DataFrame | None, chains: list[tuple[str,
 
 
 def owl_rl(graph: Graph) -> DataFrame:
-    """Triples that the main OWL 2 RL rules add (equality, inverse, symmetric, transitive and functional properties, chains,
+    """Triples that the main OWL 2 RL rules add (equality and keys, inverse, symmetric, transitive and functional properties, chains,
     value restrictions, intersections, unions, enumerations, equivalences, with RDFS subclass, subproperty, domain and
     range), by semi-naive rounds until no triple is new. No rule makes a new term, so the rounds end; their number
-    grows with the longest chain."""
+    grows with the longest chain.
+
+    Equal nodes stand as one, their representative, in all rounds; the triples of all of them are made at the end, by one
+    join. When a round makes nodes equal, what is known is rewritten, and the rounds go on from there.
+    ``equality.clashes`` tells of contradictions.
+    """
     spark = graph.spark
     base = settle(graph.triples().distinct())
-    told, parts, chains = _owl_lists(TripleTable(spark, base))
-    known = settle(base.unionByName(told).distinct())
-    fresh = known
+    equal: DataFrame | None = None
+    known = base
     while True:
-        made = reduce(DataFrame.unionByName, [*_owl_round(known, fresh), *_of_lists(known, parts, chains), rdfs(TripleTable(spark, known), False)])
-        fresh = settle(made.where(~F.startswith("s", F.lit('"')) & F.startswith("p", F.lit("<"))).distinct().join(known, ["s", "p", "o"], "left_anti"))
-        if fresh.isEmpty():
+        told, parts, chains = _owl_lists(TripleTable(spark, known))
+        keys = keys_of(TripleTable(spark, known))
+        known = settle(known.unionByName(told).distinct())
+        fresh = known
+        while True:
+            pairs = settle(equal_pairs(known, keys)) if keys or may_equal(known) else equal_none(spark)
+            if not pairs.isEmpty():
+                break
+            made = reduce(DataFrame.unionByName, [*_owl_round(known, fresh), *_of_lists(known, parts, chains), rdfs(TripleTable(spark, known), False)])
+            fresh = settle(made.where(~F.startswith("s", F.lit('"')) & F.startswith("p", F.lit("<"))).distinct().join(known, ["s", "p", "o"], "left_anti"))
+            if fresh.isEmpty():
+                break
+            after = settle(known.unionByName(fresh))
+            drop_settled(known)
+            known = after
+        if pairs.isEmpty():
             break
-        after = settle(known.unionByName(fresh))
-        drop_settled(known)
-        known = after
-    return known.join(base, ["s", "p", "o"], "left_anti")
+        before = equal.select(F.col("node").alias("a"), F.col("rep").alias("b")) if equal is not None else pairs.limit(0)
+        equal = components(pairs.unionByName(before))
+        same = equal.select(F.col("rep").alias("s"), F.lit(SAME).alias("p"), F.col("rep").alias("o"))
+        known = settle(rewritten(known, equal).unionByName(same).distinct())
+    found = known if equal is None else expanded(known, equal).distinct()
+    return found.join(base, ["s", "p", "o"], "left_anti")
 
 
 def expand(graph: Graph, mode: str | None) -> Graph:

@@ -75,6 +75,17 @@ Q["t_severity_policy"] = (_flag, "WITH n AS (SELECT count(*) AS n FROM customer
 
 # Shapes within shapes
 _shape("l_recursion", "conversations", "ex:S a sh:NodeShape ; sh:targetClass ex:Turn ; sh:property [ sh:path ex:role ; sh:minCount 1 ] , [ sh:path ex:next ; sh:node ex:S ] .", "SELECT 0::BIGINT AS id WHERE false")
+
+
+def _deep(spark, sf_dir):
+    shapes = 'ex:S a sh:NodeShape ; sh:targetClass ex:Turn ; sh:property [ sh:path ex:role ; sh:in ("user" "assistant") ] , [ sh:path ex:next ; sh:node ex:S ] .'
+    part = lambda i: F.regexp_extract("focus", "turn:([0-9]+):([0-9]+)>", i).cast("long")
+    return _found(spark, sf_dir, shapes, "conversations").select(part(1).alias("conv"), part(2).alias("turn"), F.col("component").contains("#Node").alias("deeper"))
+
+
+Q["l_recursion_deep"] = (_deep, """WITH RECURSIVE t AS (SELECT DISTINCT conv_id, turn FROM conversations), b AS (SELECT DISTINCT conv_id, turn, role FROM conversations WHERE role NOT IN ('user', 'assistant')),
+f(conv_id, turn) AS (SELECT conv_id, turn FROM b UNION SELECT f.conv_id, f.turn - 1 FROM f JOIN t ON t.conv_id = f.conv_id AND t.turn = f.turn WHERE f.turn > 0)
+SELECT conv_id AS conv, turn, false AS deeper FROM b UNION ALL SELECT t.conv_id, t.turn, true FROM t JOIN t AS n ON n.conv_id = t.conv_id AND n.turn = t.turn + 1 JOIN f ON f.conv_id = n.conv_id AND f.turn = n.turn""")
 _shape("l_xone_repeats", "part", "ex:Big sh:property [ sh:path ex:p_size ; sh:minInclusive 25 ] . ex:S a sh:NodeShape ; sh:targetClass ex:Part ; sh:xone ( ex:Big ex:Big [ sh:property [ sh:path ex:p_size ; sh:maxInclusive 10 ] ] ) .", "SELECT p_partkey AS id FROM part WHERE p_size > 10")
 _shape("l_nested_not", "customer", "ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; sh:not [ sh:or ( [ sh:property [ sh:path ex:c_acctbal ; sh:minInclusive 0 ] ] [ sh:not [ sh:property [ sh:path ex:c_mktsegment ; sh:hasValue \"BUILDING\" ] ] ] ) ] .", "SELECT c_custkey AS id FROM customer WHERE c_acctbal >= 0 OR c_mktsegment != 'BUILDING'")
 _LINES = "ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:property [ sh:path ex:l_quantity ; sh:qualifiedValueShape ex:Many ; sh:qualifiedValueShapesDisjoint true ; sh:qualifiedMinCount 1 ] , [ sh:path ex:l_quantity ; sh:qualifiedValueShape ex:Odd ; sh:qualifiedValueShapesDisjoint true ; sh:qualifiedMaxCount 1 ] . ex:Many sh:minInclusive 30 . ex:Odd sh:minInclusive 20 ; sh:maxInclusive 35 ."
@@ -199,6 +210,23 @@ Q["i_owl_value"] = (_owl('ex:Home owl:onProperty ex:n_regionkey ; owl:hasValue <
 Q["i_owl_some_values"] = (_owl("ex:Placed owl:onProperty ex:n_regionkey ; owl:someValuesFrom ex:Region . ex:Placed rdfs:subClassOf ex:Known .", lambda t: t.where((F.col("p") == TYPE) & (F.col("o") == f"<{EX}Known>")).select(_key("s").alias("id")), "nation", "region"), "SELECT n_nationkey::BIGINT AS id FROM nation JOIN region ON n_regionkey = r_regionkey")
 
 
+_EQUAL = lambda kind: lambda t: t.where((F.col("p") == f"<{OWL}sameAs>") & F.startswith("s", F.lit(f"<urn:{kind}:")) & (F.col("s") != F.col("o"))).select(_key("s").alias("a"), _key("o").alias("b"))
+Q["i_owl_inverse_functional"] = (_owl("ex:s_nationkey a owl:InverseFunctionalProperty .", _EQUAL("supplier"), "supplier"), "SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey != y.s_suppkey")
+Q["i_owl_key"] = (_owl("ex:Supplier owl:hasKey ( ex:s_nationkey ex:s_group ) . ex:s_name rdfs:subPropertyOf ex:label . ex:s_nationkey rdfs:subPropertyOf ex:s_group .", _EQUAL("supplier"), "supplier"), "SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey != y.s_suppkey")
+
+
+def _clashes(spark, sf_dir):
+    from .equality import clashes
+    from .inference import owl_rl
+
+    graph = _axioms(spark, sf_dir, f"@prefix owl: <{OWL}> . ex:Home owl:onProperty ex:n_regionkey ; owl:hasValue <urn:region:1> ; owl:disjointWith ex:Nation . ex:n_regionkey owl:propertyDisjointWith ex:of . ex:n_regionkey rdfs:subPropertyOf ex:of .", "nation", "region")
+    found = clashes(graph.plus(owl_rl(graph)))
+    return found.select("rule", _key("node").alias("id"))
+
+
+Q["i_owl_clashes"] = (_clashes, "SELECT 'cax-dw' AS rule, n_nationkey::BIGINT AS id FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'prp-pdw', n_nationkey FROM nation WHERE n_regionkey IS NOT NULL")
+
+
 def _rdfs_resources(spark, sf_dir):
     from .inference import rdfs
 

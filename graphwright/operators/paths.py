@@ -7,10 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.settle import settle
+from ..plans.settle import drop_settled, settle
 from ..plans.shapes import Path
 from ..sources.graph import FIRST, NIL, REST, Graph
 
+#: After so many rounds a closure from most nodes goes on by doubling.
+LONG = 16
+#: Rounds of a closure that are written as one table.
+MERGED = 8
 #: A hierarchy of at most so many edges is closed on the driver; a larger one by joins.
 DRIVER_EDGES = 100_000
 
@@ -77,11 +81,48 @@ def closure(graph: Graph, start: DataFrame, step: Path) -> DataFrame:
     """(f, v): v is reached from f by one or more steps. Semi-naive rounds: only pairs found in the last round
     are carried on, and what is known already is taken out by an anti join, so cycles end."""
     fresh = settle(follow(graph, start.select("f", F.col("f").alias("v")), step).distinct())
-    known = fresh  # the union of all rounds, each written once
+    # What the rounds found, in parts: MERGED of one level are written as one of the next, so that there are few parts however many rounds
+    # there are, and each row is written a few times at most.
+    levels: list[list[DataFrame]] = [[fresh]]
+    rounds = 0
     while not fresh.isEmpty():
-        after = settle(follow(graph, fresh, step).distinct().join(known, ["f", "v"], "left_anti"))
-        known, fresh = known.unionByName(after), after
-    return known
+        rounds += 1
+        if rounds == LONG and (one := edges(graph, step)) is not None and _from_most(start, one):
+            return all_reached(one).join(start.select("f").distinct(), "f", "left_semi")
+        known = reduce(DataFrame.unionByName, [part for level in levels for part in level])
+        fresh = settle(follow(graph, fresh, step).distinct().join(known, ["f", "v"], "left_anti"))
+        levels[0].append(fresh)
+        for i in range(len(levels)):
+            if len(levels[i]) > MERGED:
+                merged, kept = levels[i][:MERGED], levels[i][MERGED:]
+                levels += [[]] if i + 1 == len(levels) else []
+                levels[i + 1].append(settle(reduce(DataFrame.unionByName, merged)))
+                levels[i] = kept
+                for part in merged:
+                    drop_settled(part)
+    return reduce(DataFrame.unionByName, [part for level in levels for part in level])
+
+
+def _from_most(start: DataFrame, one: DataFrame) -> bool:
+    """Whether at least half of the nodes that a step leads from are among the start's."""
+    sources = one.select(F.col("s").alias("f")).distinct()
+    total, met = sources.join(start.select("f").distinct().withColumn("_in", F.lit(True)), "f", "left").agg(F.count(F.lit(1)), F.count("_in")).first()
+    return 2 * met >= total
+
+
+def all_reached(one: DataFrame) -> DataFrame:
+    """(f, v) for every two nodes of which one is reached from the other by steps (s, o). Round k has the pairs of fewer than 2 ** k steps, and
+    those of 2 ** k steps that it goes on by: a pair of a chain or tree is made once, and rounds grow with the logarithm of the longest way."""
+    jump = settle(one.select(F.col("s").alias("f"), F.col("o").alias("v")).distinct())
+    known = jump
+    while True:
+        further = jump.toDF("f", "m").join(known.toDF("m", "v"), "m").select("f", "v")
+        fresh = settle(further.distinct().join(known, ["f", "v"], "left_anti"))
+        if fresh.isEmpty():
+            return known
+        after = settle(known.unionByName(fresh))
+        longer = settle(jump.toDF("f", "m").join(jump.toDF("m", "v"), "m").select("f", "v").distinct())
+        known, jump = after, longer
 
 
 def list_items(graph: Graph, heads: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import lexical_of
 from ..operators.constraints import COMPONENTS, LIST_PARAMETERS, nodes_failing
-from ..operators.paths import values
+from ..operators.paths import closure, inverted, values
 from ..operators.targets import constants, focus_nodes
 from ..sources.graph import Graph
-from .shapes import ReportableRuntimeError, Shape, ShapesGraph, path_text, sh
+from .settle import settle
+from .shapes import Path, ReportableRuntimeError, Shape, ShapeRecursionWarning, ShapesGraph, path_text, sh
 
 #: The bag of results. ``counts`` tells whether a result makes the graph not conform.
 RESULTS = "focus string, path string, value string, component string, source_shape string, severity string, messages array<string>, counts boolean, source_constraint string"
@@ -32,10 +34,50 @@ def digest_of_result() -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in names(RESULTS)])), 256)
 
 
+def _asked(shapes: ShapesGraph, shape: Shape) -> list[str]:
+    """Shapes that a shape asks for in another way than by sh:node and sh:property."""
+    lists = [x for name in ("and", "or", "xone") for head in shape.get(name) for x in shapes.items(head)]
+    return [*lists, *shape.get("not"), *shape.get("qualifiedValueShape")]
+
+
+def recursion_paths(shapes: ShapesGraph, start: str, cut: frozenset[str] = frozenset()) -> list[Path]:
+    """The paths by which a shape comes to ask for itself, each by steps of sh:property and sh:node of which the last is a sh:node; none if it doesn't,
+    or if it also does in other ways, whose answer isn't a least fixpoint. Ways through the shapes ``cut`` don't count."""
+    found: list[Path] = []
+    plain = True
+
+    def reaches(node: str, seen: set[str]) -> bool:
+        shape = shapes.shapes.get(node)
+        if shape is None or node in seen or node in cut:
+            return False
+        seen.add(node)
+        return any(x == start or reaches(x, seen) for x in [*_asked(shapes, shape), *shape.get("node"), *shape.get("property")])
+
+    def visit(node: str, way: list[Path], above: tuple[str, ...]) -> None:
+        nonlocal plain
+        shape = shapes.shapes.get(node)
+        if shape is None or shape.deactivated:
+            return
+        way = [*way, shape.path] if shape.path is not None else way
+        plain = plain and not any(x == start or reaches(x, set()) for x in _asked(shapes, shape)) and start not in shape.get("property")
+        for inner in shape.get("node"):
+            if inner == start and way:
+                found.append(way[0] if len(way) == 1 else ("seq", way))
+        for inner in [*shape.get("node"), *shape.get("property")]:
+            if inner != start and inner not in above and inner not in cut:
+                visit(inner, way, (*above, inner))
+
+    visit(start, [], (start,))
+    return found if plain else []
+
+
 @dataclass
 class Run:
-    """One validation. ``allow`` holds the severities that don't count; a shape within itself is followed
-    ``UNROLL`` times and then taken to conform."""
+    """One validation. ``allow`` holds the severities that don't count.
+
+    A shape that comes back to itself by sh:property and sh:node alone fails for the nodes from which, by its own paths, a node is reached that
+    fails without recursion: this set is worked out once (``fixpoint``). Recursion through a negation, a choice or a count, all recursion
+    with ``focus``, and all recursion without ``fixpoint``, is followed ``UNROLL`` times and then taken to conform, with a warning."""
 
     graph: Graph
     shapes: ShapesGraph
@@ -43,6 +85,9 @@ class Run:
     focus: list[str] | None = None
     use_shapes: list[str] | None = None
     max_depth: int = 15
+    fixpoint: bool = True
+    #: Shapes at hand whose failing nodes (f) are known.
+    assumed: dict[str, DataFrame] = field(default_factory=dict)
     advanced: bool = True
     stack: list[str] = field(default_factory=list)
     #: Whether the results beneath those of sh:node are kept, and those of each shape at hand.
@@ -52,7 +97,32 @@ class Run:
     UNROLL = 2
 
     def recursive(self, node: str) -> bool:
-        return self.stack.count(node) >= self.UNROLL
+        if self.stack.count(node) < self.UNROLL:
+            return False
+        warnings.warn(f"{node} is taken to conform within itself: {' -> '.join(self.stack)}", ShapeRecursionWarning, stacklevel=2)
+        return True
+
+    def known_failing(self, node: str) -> DataFrame | None:
+        """The nodes (f) that fail a shape which is being worked out; None where that isn't known."""
+        return self.assumed.get(node) if node in self.stack else None
+
+    def _fixpoint(self, node: str, nodes: DataFrame) -> DataFrame | None:
+        """(f): of the nodes, and of all that the shape asks itself for from them, those that fail it; None if it doesn't come back to itself."""
+        paths = recursion_paths(self.shapes, node, frozenset(self.assumed))
+        if not paths:
+            return None
+        path = paths[0] if len(paths) == 1 else ("alt", paths)
+        start = settle(nodes.select("f").distinct())
+        asked = settle(start.unionByName(closure(self.graph, start, path).select(F.col("v").alias("f"))).distinct())
+        self.assumed[node] = self.graph.spark.createDataFrame([], "f string")
+        before, self.details = self.details, False
+        try:
+            lowest = settle(self.failing(node, asked, any_result=True))
+        finally:
+            self.details = before
+            del self.assumed[node]
+        back = closure(self.graph, lowest, inverted(path)).select(F.col("v").alias("f")).join(asked, "f", "left_semi")
+        return settle(lowest.unionByName(back).distinct())
 
     def empty(self) -> DataFrame:
         return self.graph.spark.createDataFrame([], ROOTED)
@@ -73,6 +143,12 @@ class Run:
             raise ReportableRuntimeError(f"{node} isn't a shape")
         if shape.deactivated or self.stack.count(node) > self.UNROLL:
             return self.empty(), []
+        if self.fixpoint and self.focus is None and node not in self.assumed and node not in self.stack and (failing := self._fixpoint(node, nodes)) is not None:
+            self.assumed[node] = failing
+            try:
+                return self.results_and_nested(node, nodes)
+            finally:
+                del self.assumed[node]
         if len(self.stack) >= self.max_depth:
             raise ReportableRuntimeError("Validation path too deep!")
         if self.focus is not None and self.stack:
@@ -117,6 +193,10 @@ class Run:
         """A result for each value that has any result of a shape of sh:node, and with ``details`` these beneath it."""
         parts = []
         for inner in shape.get("node"):
+            if (known := self.known_failing(inner)) is not None:
+                bad = found.join(known.withColumnRenamed("f", "v"), "v", "left_semi").select("f", "v")
+                parts.append(self._rows(shape, bad, "NodeConstraintComponent", path, messages))
+                continue
             if self.recursive(inner):
                 continue
             bad, got, nested = nodes_failing(self, inner, found)

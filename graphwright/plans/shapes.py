@@ -9,6 +9,10 @@ from ..functions.terms import RDF, RDFS, SH, TRUE, TYPE, datatype_of, is_literal
 from ..sources.turtle import parse
 
 
+class ShapeRecursionWarning(UserWarning):
+    """A shape that refers to itself through a negation, a choice or a count was followed a few times, then taken to conform."""
+
+
 class ReportableRuntimeError(RuntimeError):
     """A problem that the caller is to be told of."""
 
