@@ -429,9 +429,11 @@ class Engine:
                     self.graph, self.quad = own.named(part[1][1]), None
                 else:  # each pattern gives the graph's name, by which the patterns are joined
                     self.quad = part[1][1]
-                inner, loose = self.within(part[2], seed, given)
+                shapes = self.graph is not own and part[1] == ("var", "shapesGraph")
+                # What the shapes say is as small as their text, and may share no more than a constant with the rest.
+                inner, loose = self.within(part[2], None if shapes else seed, set() if shapes else given)
                 self.graph, self.quad = own, before
-                now = self.meet(now, inner, loose)
+                now = self.meet(now, F.broadcast(inner) if shapes else inner, loose)
         for e in filters:
             now = self.where(now, e, seed)
         return now

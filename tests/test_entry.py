@@ -1,4 +1,4 @@
-"""The library without its optional parts, plans without cartesian products, and the stream."""
+"""The library without its optional parts, and the stream."""
 
 import json
 import os
@@ -12,7 +12,6 @@ import pytest
 import __spark_entry__ as entry
 
 ROOT = os.path.dirname(os.path.abspath(entry.__file__))
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("gone", [["corpus_pipeline.py", "graphwright/llm", "tests/llm"], ["graphwright/llm"], ["corpus_pipeline.py"]])
@@ -40,23 +39,6 @@ def test_nothing_else_imports_the_optional_parts():
                         assert not re.search(r"\bllm\b", text.read()), f
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
-def test_plans_without_cartesian_products(spark):
-    """As large tables are planned: nothing is small enough for a broadcast that isn't asked for."""
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    products = []
-    try:
-        for name, query in entry.queries().items():
-            if not name.startswith("op") and name != "pipeline":
-                plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
-                if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
-                    products.append(name)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert products == []
-
-
 def test_stream(spark, tmp_path):
     from graphwright.plans.shapes import ShapesGraph
     from graphwright.streaming.incremental import validate_stream
