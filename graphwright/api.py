@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from functools import reduce
 from urllib.request import Request, urlopen
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,14 +90,16 @@ def load(spark: SparkSession, source: Source, scope: str = "") -> Graph:
         # A small file of this machine is parsed here; a large one, a folder, a pattern or one of another store by tasks.
         plain = source.removeprefix("file://")
         small = os.path.isfile(plain) and os.path.getsize(plain) <= SMALL_FILE
-        if not small and re.search(r"\.(ttl|turtle|trig|n3)(\.gz|\.bz2)?$", source):
-            from .sources.files import read_turtle
-
-            return read_turtle(spark, source)
-        if not small and re.search(r"\.(rdf|owl|xml|jsonld|json)$", source):
-            from .sources.files import read_documents
-
-            return read_documents(spark, source)
+        turtle = re.search(r"\.(ttl|turtle|trig|n3)(\.gz|\.bz2)?$", source)
+        if not small and (turtle or re.search(r"\.(rdf|owl|xml|jsonld|json)$", source)):
+            from .sources.files import read_documents, read_turtle
+
+            try:
+                return (read_turtle if turtle else read_documents)(spark, source)
+            except AnalysisException as e:
+                if e.getCondition() == "PATH_NOT_FOUND":
+                    raise FileNotFoundError(source) from e
+                raise
     text, name = read_text(source)
     return from_text(spark, text, scope=scope, name=name)
 
