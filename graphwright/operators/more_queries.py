@@ -18,6 +18,7 @@ from ..plans.sparql import Engine
 from ..plans.sparql_parser import parse_query
 from ..sources.files import read_turtle, write_turtle
 from ..sources.graph import EX, TripleTable, from_text, mapped, read_ntriples, write_ntriples
+from ..sources.store import write_store
 from .isomorphism import canonical_colours
 from .queries import HEAD, PREFIXES, _axioms, _key, _text
 from .rules import apply_rules
@@ -236,5 +237,24 @@ def _rdfs_resources(spark, sf_dir):
 
 Q["i_rdfs_resources"] = (_rdfs_resources, "SELECT 'urn:nation' AS kind, count(*) AS n FROM nation UNION ALL SELECT 'urn:region', count(*) FROM region UNION ALL SELECT 'urn:ex', 2")
 
+
+
+def _stored(text: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over tables that are written to a store as a graph."""
+    return lambda spark, sf_dir: Engine(write_store(mapped(spark, sf_dir, tables), f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}")).solve(parse_query(text, PREFIXES))
+
+
+_ORDERED = "SELECT ?o ?n ?m ?v WHERE { ?o ex:o_custkey ?c . ?o ex:o_totalprice ?v . ?c ex:c_nationkey ?n . ?c ex:c_mktsegment ?m }"
+Q["src_store_patterns"] = (
+    lambda spark, sf_dir: _stored(_ORDERED, "customer", "orders")(spark, sf_dir).select(_key("o").alias("o"), _key("n").alias("n"), _text("m").alias("m"), _text("v").cast("double").alias("v")),
+    "SELECT o_orderkey::BIGINT AS o, c_nationkey::BIGINT AS n, c_mktsegment AS m, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey",
+)
+# Every supplier of a region is reached through one node, which is kept out of the buckets.
+_SUPPLIERS = "SELECT ?r (COUNT(?s) AS ?n) WHERE { ?s ex:s_nationkey ?x . ?x ex:n_regionkey ?r . ?r ex:r_name ?name } GROUP BY ?r"
+Q["src_store_hot"] = (
+    lambda spark, sf_dir: Engine(write_store(mapped(spark, sf_dir, ("supplier", "nation", "region")), f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}", hot_rows=1)).solve(parse_query(_SUPPLIERS, PREFIXES)).select(_key("r").alias("r"), _text("n").cast("long").alias("n")),
+    "SELECT n_regionkey::BIGINT AS r, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey",
+)
+
 QUERIES = {name: run for name, (run, _) in Q.items()}
 SQL = {name: sql for name, (_, sql) in Q.items()}

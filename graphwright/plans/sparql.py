@@ -17,6 +17,7 @@ from ..functions import terms as t
 from ..functions.terms import XSD, lexical_of
 from ..operators.paths import values
 from ..sources.graph import Graph
+from ..sources.store import StoredGraph
 from .sparql_parser import Query, SparqlError, variables
 
 def _null() -> Column:
@@ -440,6 +441,8 @@ class Engine:
 
     def patterns(self, now: DataFrame, patterns: list[tuple]) -> DataFrame:
         todo = list(patterns)
+        if self.quad is None and isinstance(self.graph, StoredGraph):
+            now, todo = self.stored(now, todo)
         while todo:
             known = set(now.columns)
             # A pattern that shares a variable goes first; among those, one with more constants.
@@ -448,6 +451,21 @@ class Engine:
             now = self.meet(now, self.pattern(now, *best), set())  # a pattern binds all of its variables
         return now
 
+    def stored(self, now: DataFrame, todo: list[tuple]) -> tuple[DataFrame, list[tuple]]:
+        """Patterns of a stored graph that variables connect are joined by its numbers, and their solutions alone become terms. Gives the
+        solutions and the patterns that are left."""
+        plain = [x for x in todo if variables(x) and (x[1][0] == "var" or x[1][0] == "path" and x[1][1][0] == "pred")]
+        groups: list[list[tuple]] = []
+        for x in plain:
+            met = [g for g in groups if variables(g) & variables(x)]
+            groups = [g for g in groups if g not in met] + [[*[y for g in met for y in g], x]]
+        said = lambda x: f"?{x[1]}" if x[0] == "var" else x[1][1] if x[0] == "path" else x[1]
+        for g in groups:
+            if len(g) > 1 and (not now.columns or variables(g) & set(now.columns)):
+                now = self.meet(now, self.graph.solutions([tuple(map(said, x)) for x in g]), set())
+                todo = [x for x in todo if x not in g]
+        return now, todo
+
     def pattern(self, now: DataFrame, s: tuple, p: tuple, o: tuple) -> DataFrame:
         if self.quad is not None:
             if p[0] == "path" and p[1][0] != "pred":
