@@ -249,6 +249,11 @@ Q["src_store_patterns"] = (
     lambda spark, sf_dir: _stored(_ORDERED, "customer", "orders")(spark, sf_dir).select(_key("o").alias("o"), _key("n").alias("n"), _text("m").alias("m"), _text("v").cast("double").alias("v")),
     "SELECT o_orderkey::BIGINT AS o, c_nationkey::BIGINT AS n, c_mktsegment AS m, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey",
 )
+_TEXTS = "SELECT ?d ?s ?t WHERE { ?d a ex:Document . ?d ex:source ?s . ?d ex:text ?t }"
+Q["src_store_documents"] = (
+    lambda spark, sf_dir: _stored(_TEXTS, "documents")(spark, sf_dir).select(_key("d").alias("id"), F.regexp_extract("s", "^<urn:source:(.*)>$", 1).alias("source"), F.length(_text("t")).cast("long").alias("n")),
+    "SELECT doc_id::BIGINT AS id, source, length(text)::BIGINT AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL",
+)
 # Every supplier of a region is reached through one node, which is kept out of the buckets.
 _SUPPLIERS = "SELECT ?r (COUNT(?s) AS ?n) WHERE { ?s ex:s_nationkey ?x . ?x ex:n_regionkey ?r . ?r ex:r_name ?name } GROUP BY ?r"
 Q["src_store_hot"] = (

@@ -15,7 +15,7 @@ from ..plans.settle import drop_settled, settle
 from .graph import Graph
 
 #: Rows of one subject or object from which it may be hot: it is then kept out of the buckets, in files of even size.
-HOT_ROWS = 100_000
+HOT_ROWS = 10_000
 #: Terms of clashing numbers that are sent to every task at most; more are joined.
 FEW_CLASHES = 1 << 16
 Pattern = tuple[str, str, str]
@@ -29,24 +29,29 @@ def is_variable(x: str) -> bool:
     return x.startswith("?")
 
 
-def number_terms(terms: DataFrame, hashed: Callable[[Column, int], Column] = _hash, most: int = 64) -> tuple[DataFrame, DataFrame]:
-    """((term, id) of different terms, (term, id) of those whose number isn't their first hash). A number is a 64-bit hash, so that a term
-    is numbered where it stands. Of terms that share a hash the least keeps it; the others are hashed anew until all numbers differ."""
+def number_terms(terms: DataFrame, hashed: Callable[[Column, int], Column] = _hash) -> DataFrame:
+    """(id, term, clash) of different terms by their number, a 64-bit hash, so that a term is numbered where it stands. Of terms that share a
+    hash the least is given; ``clash`` tells of others, which ``move_clashing`` numbers."""
+    numbered = terms.select(hashed(F.col("term"), 0).alias("id"), "term")
+    return numbered.groupBy("id").agg(F.min("term").alias("term"), F.max("term").alias("other")).select("id", "term", (F.col("term") != F.col("other")).alias("clash"))
+
+
+def move_clashing(terms: DataFrame, dictionary: DataFrame, hashed: Callable[[Column, int], Column] = _hash, most: int = 64) -> DataFrame:
+    """(term, id) of the terms that share their first hash with a lesser one: they are hashed anew until all numbers differ."""
+    shared = dictionary.where("clash").select("id", F.col("term").alias("least"))
     spark = terms.sparkSession
-    first = terms.select("term").distinct().select("term", hashed(F.col("term"), 0).alias("id"))
-    shared = first.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("least")).where("n > 1")
-    shared = settle(first.join(shared.select("id", "least"), "id"))
-    moved, open_ = spark.createDataFrame([], "term string, id long"), settle(shared.where("term != least").select("term"))
+    moved = spark.createDataFrame([], "term string, id long")
+    if shared.isEmpty():
+        return moved
+    open_ = settle(terms.select("term", hashed(F.col("term"), 0).alias("id")).join(shared, "id").where("term != least").select("term").distinct())
     for turn in range(1, most):
         if open_.isEmpty():
-            break
+            return moved
         tried = open_.select("term", hashed(F.col("term"), turn).alias("id"))
-        free = tried.join(first.select("id").unionByName(moved.select("id")), "id", "left_anti")
+        free = tried.join(dictionary.select("id").unionByName(moved.select("id")), "id", "left_anti")
         won = settle(free.groupBy("id").agg(F.min("term").alias("term")).select("term", "id"))
         moved, open_ = moved.unionByName(won), settle(open_.join(won, "term", "left_anti"))
-    else:
-        raise RuntimeError("terms can't be told apart by their hashes")
-    return first.join(moved.select("term"), "term", "left_anti").unionByName(moved) if not moved.isEmpty() else first, moved
+    raise RuntimeError("terms can't be told apart by their hashes")
 
 
 @dataclass
@@ -153,7 +158,7 @@ class StoredGraph(Graph):
         return self.decoded(rows.where("g IS NOT NULL").select("s", "p", "o", "g"), ["s", "p", "o", "g"])
 
 
-_COLUMNS = {"terms": "id BIGINT, term STRING", "by_s": "s BIGINT, p BIGINT, o BIGINT, g BIGINT", "by_o": "s BIGINT, p BIGINT, o BIGINT, g BIGINT"}
+_COLUMNS = {"terms": "id BIGINT, term STRING, clash BOOLEAN", "by_s": "s BIGINT, p BIGINT, o BIGINT, g BIGINT", "by_o": "s BIGINT, p BIGINT, o BIGINT, g BIGINT"}
 _KEYS = {"terms": ("id", "id"), "by_s": ("s", "p, s"), "by_o": ("o", "p, o")}
 
 
@@ -161,7 +166,8 @@ def write_store(graph: Graph, path: str, buckets: int | None = None, hot_rows: i
     """A graph, with its named graphs, written to a new folder that the cluster shares.
 
     ``buckets`` is ``spark.sql.shuffle.partitions`` unless given: take as many as make a bucket fit a task. A node with more than ``hot_rows``
-    rows, and more than a bucket has on average, is hot: there are fewer such nodes than buckets, whatever the data. Repeated quads are stored once."""
+    rows, and more than a bucket has on average, is hot: there are fewer such nodes than buckets, whatever the data. Repeated quads are stored once.
+    The graph is read twice, for its terms and for its quads; no text is written but in the dictionary."""
     spark = graph.spark
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = graph.triples().select("s", "p", "o")
@@ -170,12 +176,14 @@ def write_store(graph: Graph, path: str, buckets: int | None = None, hot_rows: i
     texts = plain.withColumn("g", F.lit(None).cast("string"))
     if with_names:  # what stands in a named graph isn't stored once more without its name
         texts = texts.join(named, ["s", "p", "o"], "left_anti").unionByName(named)
-    texts = settle(texts)
-    every = reduce(DataFrame.unionByName, [texts.select(F.col(c).alias("term")).where("term IS NOT NULL") for c in ("s", "p", "o", "g")])
-    dictionary, moved = number_terms(every, hashed)
-    dictionary.select("id", "term").repartition(n, "id").sortWithinPartitions("id").write.parquet(f"{path}/terms_flat")
+    tables = {kind: f"graphwright_{uuid.uuid4().hex}_{kind}" for kind in _COLUMNS}
+    every = texts.select(F.explode(F.array(*[F.col(c) for c in ("s", "p", "o", "g")])).alias("term")).where("term IS NOT NULL")
+    _bucketed(number_terms(every, hashed).repartition(n, "id"), "terms", tables, path, n)
+    moved = settle(move_clashing(every, spark.table(tables["terms"]), hashed))
     moved.write.parquet(f"{path}/moved")
     few = moved.count()
+    if few:
+        _bucketed(moved.select("id", "term", F.lit(False).alias("clash")).repartition(n, "id"), "terms", tables, path, n)
     quads = texts
     for c in "spog":
         quads = quads.withColumn(f"_{c}", F.when(F.col(c).isNotNull(), hashed(F.col(c), 0)))
@@ -184,7 +192,6 @@ def write_store(graph: Graph, path: str, buckets: int | None = None, hot_rows: i
             quads = quads.join(F.broadcast(other) if few <= FEW_CLASHES else other, c, "left").withColumn(f"_{c}", F.coalesce("_moved", f"_{c}")).drop("_moved")
     quads = settle(quads.select(*[F.col(f"_{c}").alias(c) for c in "spog"]).distinct())
     limit = max(hot_rows, quads.count() // n)
-    tables = {kind: f"graphwright_{uuid.uuid4().hex}_{kind}" for kind in _COLUMNS}
     hot_predicates = []
     for side in ("s", "o"):
         hot = [r[side] for r in quads.groupBy(side).count().where(F.col("count") > limit).select(side).collect()]  # fewer than n
@@ -194,17 +201,16 @@ def write_store(graph: Graph, path: str, buckets: int | None = None, hot_rows: i
             even = quads.where(F.col(side).isin(*hot)).repartition(n, "s", "o", "p").sortWithinPartitions("p", side)
             even.write.parquet(f"{path}/hot_{side}")
             hot_predicates += [(side, r["p"]) for r in spark.read.parquet(f"{path}/hot_{side}").select("p").distinct().collect()]
-    _bucketed(spark.read.parquet(f"{path}/terms_flat").repartition(n, "id"), "terms", tables, path, n)
     spark.createDataFrame(hot_predicates, "side string, p long").coalesce(1).write.parquet(f"{path}/hot_predicates")
     spark.createDataFrame([(n, with_names)], "buckets int, named boolean").coalesce(1).write.parquet(f"{path}/about")
-    for frame in (named, texts, quads):
+    for frame in (named, moved, quads):
         drop_settled(frame)
     return _opened(spark, path, tables, hashed)
 
 
 def _bucketed(frame: DataFrame, kind: str, tables: dict[str, str], path: str, n: int) -> None:
     key, order = _KEYS[kind]
-    frame.write.bucketBy(n, key).sortBy(*order.split(", ")).format("parquet").option("path", f"{path}/{kind}").saveAsTable(tables[kind])
+    frame.write.mode("append").bucketBy(n, key).sortBy(*order.split(", ")).format("parquet").option("path", f"{path}/{kind}").saveAsTable(tables[kind])
 
 
 def open_store(spark: SparkSession, path: str, hashed: Callable[[Column, int], Column] = _hash) -> StoredGraph:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from graphwright.plans.sparql import Engine
 from graphwright.plans.sparql_parser import parse_query
 from graphwright.sources.graph import TripleTable, from_text
-from graphwright.sources.store import StoredGraph, number_terms, open_store, write_store
+from graphwright.sources.store import StoredGraph, move_clashing, number_terms, open_store, write_store
 
 TEXT = "@prefix e: <urn:e:> . " + " ".join(f"e:a{i} e:p e:b{i % 7} ; e:q {i} ." for i in range(40)) + " ".join(f"e:b{i} e:r e:c{i % 2} ; e:r e:b{i} ." for i in range(7))
 QUERY = "SELECT ?a ?n ?c WHERE { ?a <urn:e:p> ?b . ?a <urn:e:q> ?n . ?b <urn:e:r> ?c }"
@@ -31,8 +31,10 @@ def large(spark):
 
 def test_terms_of_one_hash_get_other_numbers(spark):
     terms = spark.range(200).select(F.concat(F.lit("<t"), F.col("id").cast("string"), F.lit(">")).alias("term"))
-    numbered, moved = number_terms(terms.unionByName(terms), lambda c, turn: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(997)))
-    got = numbered.collect()
+    terms, hashed = terms.unionByName(terms), lambda c, turn: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(997))
+    first = number_terms(terms, hashed)
+    moved = move_clashing(terms, first, hashed)
+    got = first.select("term", "id").unionByName(moved).collect()
     assert len(got) == 200 == len({r["id"] for r in got}) == len({r["term"] for r in got})
     assert 0 < moved.count() < 100
 
