@@ -18,6 +18,8 @@ from .graph import Graph
 HOT_ROWS = 10_000
 #: Terms of clashing numbers that are sent to every task at most; more are joined.
 FEW_CLASHES = 1 << 16
+#: Characters of a hot term that is sent to every task.
+KNOWN_LENGTH = 1_000
 Pattern = tuple[str, str, str]
 
 
@@ -64,6 +66,7 @@ class StoredGraph(Graph):
     named_graphs: bool
     moved: DataFrame | None
     hot: dict[str, frozenset[int]]
+    known_terms: bool
     tables: dict[str, str]
     hashed: Callable[[Column, int], Column] = _hash
 
@@ -79,12 +82,19 @@ class StoredGraph(Graph):
         return self.spark.table(self.tables["terms"])
 
     def decoded(self, frame: DataFrame, columns: list[str]) -> DataFrame:
-        """Numbers in ``columns`` as terms; the dictionary lies in buckets by number, so that only the frame is shuffled."""
+        """Numbers in ``columns`` as terms; the dictionary lies in buckets by number, so that only the frame is shuffled. Hot terms are told by
+        every task, and their rows are spread."""
         shown = frame.columns
+        spread = F.xxhash64(*[frame[c] for c in shown])
         for i, c in enumerate(columns):
+            if self.known_terms:
+                hot = self.spark.read.schema("id long, term string").parquet(f"{self.path}/hot_terms").select(F.col("id").alias(f"_hot{i}"), F.col("term").alias(f"_hot_term{i}"))
+                frame = frame.join(F.broadcast(hot), frame[c] == hot[f"_hot{i}"], "left")  # fewer than three terms a bucket, each of KNOWN_LENGTH at most
+                frame = frame.withColumn(f"_key{i}", F.when(F.col(f"_hot{i}").isNull(), F.col(f"`{c}`")).otherwise(spread)).drop(f"_hot{i}")
             names = self.terms().select(F.col("id").alias(f"_number{i}"), F.col("term").alias(f"_term{i}"))
-            frame = frame.join(names, frame[c] == names[f"_number{i}"], "left").drop(f"_number{i}")
-        return frame.select(*[F.col(f"_term{columns.index(c)}").alias(c) if c in columns else F.col(f"`{c}`") for c in shown])
+            frame = frame.join(names, frame[f"_key{i}" if self.known_terms else c] == names[f"_number{i}"], "left").drop(f"_number{i}")
+        term = lambda i: F.coalesce(f"_hot_term{i}", f"_term{i}") if self.known_terms else F.col(f"_term{i}")
+        return frame.select(*[term(columns.index(c)).alias(c) if c in columns else F.col(f"`{c}`") for c in shown])
 
     # Patterns of numbers
 
@@ -192,15 +202,20 @@ def write_store(graph: Graph, path: str, buckets: int | None = None, hot_rows: i
             quads = quads.join(F.broadcast(other) if few <= FEW_CLASHES else other, c, "left").withColumn(f"_{c}", F.coalesce("_moved", f"_{c}")).drop("_moved")
     quads = settle(quads.select(*[F.col(f"_{c}").alias(c) for c in "spog"]).distinct())
     limit = max(hot_rows, quads.count() // n)
-    hot_predicates = []
-    for side in ("s", "o"):
+    hot_predicates, hot_terms = [], []
+    for side in ("s", "o", "p"):
         hot = [r[side] for r in quads.groupBy(side).count().where(F.col("count") > limit).select(side).collect()]  # fewer than n
+        hot_terms += hot
+        if side == "p":
+            continue
         cold = quads.where(~F.col(side).isin(*hot)) if hot else quads
         _bucketed(cold.repartition(n, side), f"by_{side}", tables, path, n)
         if hot:
             even = quads.where(F.col(side).isin(*hot)).repartition(n, "s", "o", "p").sortWithinPartitions("p", side)
             even.write.parquet(f"{path}/hot_{side}")
             hot_predicates += [(side, r["p"]) for r in spark.read.parquet(f"{path}/hot_{side}").select("p").distinct().collect()]
+    known = spark.table(tables["terms"]).where(F.col("id").isin(*hot_terms) & (F.length("term") <= KNOWN_LENGTH)).select("id", "term")
+    known.coalesce(1).write.parquet(f"{path}/hot_terms")
     spark.createDataFrame(hot_predicates, "side string, p long").coalesce(1).write.parquet(f"{path}/hot_predicates")
     spark.createDataFrame([(n, with_names)], "buckets int, named boolean").coalesce(1).write.parquet(f"{path}/about")
     for frame in (named, moved, quads):
@@ -226,7 +241,8 @@ def open_store(spark: SparkSession, path: str, hashed: Callable[[Column, int], C
 def _opened(spark: SparkSession, path: str, tables: dict[str, str], hashed: Callable[[Column, int], Column]) -> StoredGraph:
     about = spark.read.parquet(f"{path}/about").first()
     moved = spark.read.schema("term string, id long").parquet(f"{path}/moved")
+    known = spark.read.schema("id long, term string").parquet(f"{path}/hot_terms")
     hot: dict[str, set[int]] = {"s": set(), "o": set()}
     for r in spark.read.schema("side string, p long").parquet(f"{path}/hot_predicates").collect():
         hot[r["side"]].add(r["p"])
-    return StoredGraph(spark, path, about["buckets"], about["named"], None if moved.isEmpty() else moved, {k: frozenset(v) for k, v in hot.items()}, tables, hashed)
+    return StoredGraph(spark, path, about["buckets"], about["named"], None if moved.isEmpty() else moved, {k: frozenset(v) for k, v in hot.items()}, not known.isEmpty(), tables, hashed)
