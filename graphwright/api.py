@@ -17,6 +17,7 @@ from .functions.terms import OWL, SH, TYPE, iri
 from .operators.inference import expand as infer
 from .operators.rules import apply_rules
 from .plans.compile import Run
+from .plans.meta import meta_shapes, subjects
 from .plans.settle import settle
 from .plans.shapes import ReportableRuntimeError, ShapesGraph, sh
 from .report import ValidationResult
@@ -132,13 +133,27 @@ def shape_triples(graph: Graph) -> list[tuple[str, str, str]]:
     return [] if found is None else sorted({tuple(r) for r in found.collect()})
 
 
-def load_shapes(spark: SparkSession, source: Source | ShapesGraph, import_loader=None) -> ShapesGraph:
+def _triples_of_shapes(spark: SparkSession, source: Source | ShapesGraph, import_loader=None) -> list[tuple[str, str, str]]:
     if isinstance(source, ShapesGraph):
-        return source
+        return [(s, p, o) for s, found in source.out.items() for p, values in found.items() for o in values]
     if not isinstance(source, (Graph, DataFrame)):
         text, name = read_text(source)
-        return ShapesGraph(imported(text, import_loader or default_loader, name=name))
-    return ShapesGraph(shape_triples(load(spark, source)))
+        return imported(text, import_loader or default_loader, name=name)
+    return shape_triples(load(spark, source))
+
+
+def load_shapes(spark: SparkSession, source: Source | ShapesGraph, import_loader=None) -> ShapesGraph:
+    return source if isinstance(source, ShapesGraph) else ShapesGraph(_triples_of_shapes(spark, source, import_loader))
+
+
+def meta_validate(spark: SparkSession, shacl_graph: Source | ShapesGraph, import_loader=None) -> ValidationResult:
+    """A shapes graph against the shapes of shapes (``plans/meta.py``)."""
+    triples = [*dict.fromkeys(tuple(q[:3]) for q in _triples_of_shapes(spark, shacl_graph, import_loader))]
+    used = {p[len(SH) + 1 : -1] for _, p, _ in triples if p.startswith(f"<{SH}")}
+    triples += [(s, TYPE, "<urn:graphwright:meta:Subject>") for s in subjects(triples)]
+    graph = TripleTable(spark, settle(spark.createDataFrame(triples, "s string, p string, o string").coalesce(1)))
+    run = Run(graph, ShapesGraph.from_text(meta_shapes(used)), fixpoint=False)
+    return ValidationResult(run.all_results(), run.all_nested, graph)
 
 
 def _expanded(term: str, prefixes: dict[str, str]) -> str:
@@ -152,14 +167,17 @@ def _expanded(term: str, prefixes: dict[str, str]) -> str:
 def validate(
     spark: SparkSession, data_graph: Source | Sequence[Source], shacl_graph: Source | ShapesGraph | None = None, ont_graph: Source | None = None, advanced: bool = False,
     inference: str | None = None, abort_on_first: bool = False, allow_infos: bool = False, allow_warnings: bool = False, max_validation_depth: int = 15,
-    focus_nodes: list[str] | None = None, use_shapes: list[str] | None = None, iterate_rules: bool = False, import_loader=None, prefixes: dict[str, str] | None = None, recursion: str = "fixpoint",
+    focus_nodes: list[str] | None = None, use_shapes: list[str] | None = None, iterate_rules: bool = False, import_loader=None, prefixes: dict[str, str] | None = None, recursion: str = "fixpoint", meta_shacl: bool = False,
 ) -> ValidationResult:
     """Validates one graph, or the union of several, against shapes; without ``shacl_graph`` the data holds the shapes.
 
     ``advanced`` runs rules first and evaluates SPARQL targets and expressions. ``allow_infos`` and
     ``allow_warnings`` keep such results without counting them. ``abort_on_first`` keeps one result. ``recursion`` is "fixpoint", or "unroll":
-    a shape within itself is then followed twice and taken to conform.
+    a shape within itself is then followed twice and taken to conform. With ``meta_shacl`` the shapes are validated first; shapes that
+    don't conform to the shapes of shapes are a ReportableRuntimeError.
     """
+    if meta_shacl and not (checked := meta_validate(spark, shacl_graph if shacl_graph is not None else data_graph, import_loader)).conforms:
+        raise ReportableRuntimeError(f"the shapes aren't well formed\n{checked.text()}")
     if isinstance(data_graph, (list, tuple)):
         parts = [load(spark, g, f"d{i}").triples() for i, g in enumerate(data_graph)]
         graph: Graph = TripleTable(spark, reduce(DataFrame.unionByName, parts).distinct())
@@ -184,13 +202,9 @@ def validate(
     if recursion not in ("fixpoint", "unroll"):
         raise ValueError("recursion is fixpoint or unroll")
     run = Run(graph, shapes, frozenset(allow), focus, used, max_validation_depth, recursion == "fixpoint")
-    results = run.all_results()
     if abort_on_first:
-        # A result that counts, if there is one, as it decides the flag.
-        counted = results.where("counts").limit(1)
-        results = results.limit(1) if counted.isEmpty() else counted
-        return ValidationResult(results)
-    return ValidationResult(results, run.all_nested)
+        return ValidationResult(run.first_result(), None, graph)
+    return ValidationResult(run.all_results(), run.all_nested, graph)
 
 
 def validate_each(spark: SparkSession, data_graphs: Sequence[Source], shacl_graph: Source | ShapesGraph, **options) -> dict[int, ValidationResult]:
@@ -210,3 +224,13 @@ def expand(
     focus = [_expanded(x, shapes.prefixes) for x in focus_nodes] if focus_nodes is not None else None
     used = [_expanded(x, shapes.prefixes) for x in use_shapes] if use_shapes is not None else None
     return apply_rules(infer(graph, inference), shapes, iterate_rules, focus, used)[0].triples().distinct()
+
+
+def expand_quads(spark: SparkSession, data_graph: Source, shacl_graph: Source | ShapesGraph | None = None, destination: str = "urn:graphwright:inferred", **options) -> DataFrame:
+    """(s, p, o, g) of the data graph in its own graphs (none: null), and of what an ontology, inference and rules add in the graph
+    ``destination``. The options are those of ``expand``."""
+    graph = load(spark, data_graph)
+    base, named = graph.triples().distinct(), graph.quads().distinct()
+    added = expand(spark, graph, shacl_graph, **options).join(base, ["s", "p", "o"], "left_anti").withColumn("g", F.lit(_expanded(destination, {})))
+    plain = base.join(named, ["s", "p", "o"], "left_anti").withColumn("g", F.lit(None).cast("string"))
+    return plain.unionByName(named).unionByName(added)

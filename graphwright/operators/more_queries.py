@@ -261,5 +261,37 @@ Q["src_store_hot"] = (
     "SELECT n_regionkey::BIGINT AS r, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey",
 )
 
+
+
+def _described(spark, sf_dir):
+    """Customers that point to places without IRIs: each has its own copy of the nation's and the region's description."""
+    from .clones import clones
+
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    blank = lambda kind, c: F.concat(F.lit(f"_:{kind}"), F.col(c).cast("string"))
+    triple = lambda frame, s, p, o: frame.select(s.alias("s"), F.lit(f"<{EX}{p}>").alias("p"), o.alias("o"))
+    name = lambda c: F.concat(F.lit('"'), F.col(c), F.lit(f'"^^<{XSD}string>'))
+    parts = [
+        triple(read("customer"), blank("c", "c_custkey"), "in", blank("n", "c_nationkey")),
+        triple(read("nation"), blank("n", "n_nationkey"), "name", name("n_name")), triple(read("nation"), blank("n", "n_nationkey"), "in", blank("r", "n_regionkey")),
+        triple(read("region"), blank("r", "r_regionkey"), "name", name("r_name")),
+    ]
+    graph = TripleTable(spark, reduce(DataFrame.unionByName, parts))
+    found = clones(graph, read("customer").select(blank("c", "c_custkey").alias("f")))
+    return found.where(F.col("p") == f"<{EX}name>").select(F.regexp_extract("root", "[0-9]+$", 0).cast("long").alias("id"), _text("o").alias("name"))
+
+
+Q["u_clones"] = (_described, "SELECT c_custkey::BIGINT AS id, name FROM customer JOIN (SELECT n_nationkey AS n, n_name AS name FROM nation UNION ALL SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) ON c_nationkey = n")
+
+
+def _destination(spark, sf_dir):
+    from ..api import expand_quads
+
+    found = expand_quads(spark, _axioms(spark, sf_dir, "ex:n_regionkey rdfs:subPropertyOf ex:within .", "nation"), ShapesGraph.from_text(""), "urn:ex:told", inference="rdfs")
+    return found.where(F.col("p").isin(f"<{EX}within>", f"<{EX}n_regionkey>") & F.startswith("s", F.lit("<urn:nation:"))).select(_key("s").alias("id"), F.coalesce("g", F.lit("")).alias("g"))
+
+
+Q["i_destination"] = (_destination, "SELECT n_nationkey::BIGINT AS id, g FROM nation CROSS JOIN (VALUES (''), ('<urn:ex:told>')) t(g) WHERE n_regionkey IS NOT NULL")
+
 QUERIES = {name: run for name, (run, _) in Q.items()}
 SQL = {name: sql for name, (_, sql) in Q.items()}

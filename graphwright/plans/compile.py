@@ -258,18 +258,34 @@ class Run:
         none = self.graph.spark.createDataFrame([], NESTED)
         return reduce(DataFrame.unionByName, nested, none).select(*columns).distinct()
 
-    def _all(self) -> tuple[DataFrame, list[DataFrame]]:
+    def first_result(self) -> DataFrame:
+        """One result that counts, of the first shape that has any; else one that doesn't, if there is one. A shape is planned only after a job
+        over those before it has found nothing that counts."""
+        schema, other = self.empty().drop("root").schema, []
+        for shape in self.targeted():
+            found = self._of_target(shape)[0].drop("root")
+            row = found.orderBy(F.col("counts").desc()).limit(1).collect()
+            if row and row[0]["counts"]:
+                return self.graph.spark.createDataFrame(row, schema)
+            other = other or row
+        return self.graph.spark.createDataFrame(other, schema)
+
+    def _of_target(self, shape: Shape) -> tuple[DataFrame, list[DataFrame]]:
+        """The results of a shape for its targets, and what is beneath them."""
         from .sparql_shapes import custom_target
 
+        if self.focus is not None and self.use_shapes is not None:
+            nodes = constants(self.graph, self.focus)
+        else:
+            nodes = focus_nodes(self.graph, self.shapes, shape, (lambda t: custom_target(self, t)) if self.advanced else None)
+            if self.focus is not None:
+                nodes = nodes.where(F.col("f").isin(*self.focus))
+        return self.results_and_nested(shape.node, nodes)
+
+    def _all(self) -> tuple[DataFrame, list[DataFrame]]:
         parts, beneath = [], []
         for shape in self.targeted():
-            if self.focus is not None and self.use_shapes is not None:
-                nodes = constants(self.graph, self.focus)
-            else:
-                nodes = focus_nodes(self.graph, self.shapes, shape, (lambda t: custom_target(self, t)) if self.advanced else None)
-                if self.focus is not None:
-                    nodes = nodes.where(F.col("f").isin(*self.focus))
-            found, nested = self.results_and_nested(shape.node, nodes)
+            found, nested = self._of_target(shape)
             parts.append(found)
             beneath += nested
         return (reduce(DataFrame.unionByName, parts) if parts else self.empty()).drop("root"), beneath

@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import OWL, RDF, RDFS, SUBCLASS, TRUE, TYPE, c_truth, lexical_of
+from ..functions.terms import OWL, RDF, RDFS, SUBCLASS, TRUE, TYPE, XSD, c_truth, lexical_of
 from ..sources.graph import TripleTable
 from .expressions import expression_values
 from .shapes import SH, ConstraintLoadError, Shape, ShapesGraph, ValidationFailure, sh
@@ -86,6 +86,11 @@ def functions_of(shapes: ShapesGraph) -> dict[str, tuple[list[str], Query]]:
     """Custom SPARQL functions: parameters by sh:order, then by local name, and the query."""
     out = {}
     for node in shapes.subjects.get((TYPE, sh("SPARQLFunction")), []):
+        for name in ("select", "ask", "returnType"):
+            if len(shapes.values(node, name)) > 1:
+                raise ConstraintLoadError(f"{node} has more than one sh:{name}")
+        if shapes.values(node, "ask") and shapes.values(node, "returnType") not in ([], [f"<{XSD}boolean>"]):
+            raise ConstraintLoadError(f"{node} answers by ASK, so its sh:returnType can only be xsd:boolean")
         text = shapes.values(node, "select") or shapes.values(node, "ask")
         if text:
             out[node] = ([n for n, _, _ in parameters(shapes, node)], read(shapes, node, lexical_of(text[0]), None))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .functions.terms import FALSE, SH, TRUE, TYPE, c_string
 from .plans.compile import RESULTS, digest_of_result, names
 from .plans.shapes import sh
-from .sources.graph import write_ntriples
+from .operators.clones import clones
+from .sources.graph import Graph, write_ntriples
 from .sources.writers import WRITERS
 
 
@@ -22,6 +23,8 @@ class ValidationResult:
     results: DataFrame
     #: Gives the results beneath others (``Run.all_nested``); they are worked out when a report graph is asked for.
     nested: Callable[[], DataFrame] | None = None
+    #: The data, of which a report graph shows the blank nodes that are focus nodes or values.
+    graph: Graph | None = None
 
     @property
     def conforms(self) -> bool:
@@ -35,7 +38,7 @@ class ValidationResult:
 
     def report_triples(self) -> DataFrame:
         """(s, p, o) of the sh:ValidationReport. A path that isn't one predicate stands as its SPARQL text. Results that a result of sh:node
-        is for stand beneath it by sh:detail."""
+        is for stand beneath it by sh:detail. Focus nodes and values without an IRI have their triples in the report, 10 steps deep."""
         spark = self.results.sparkSession
         head = [("_:report", TYPE, sh("ValidationReport")), ("_:report", sh("conforms"), TRUE if self.conforms else FALSE)]
         path = F.when(F.rlike("path", F.lit("^<[^>]*>$")), F.col("path")).otherwise(c_string(F.col("path")))
@@ -63,7 +66,11 @@ class ValidationResult:
                 )
             ).alias("x"),
         ).select("s", "x.p", "x.o").where(F.col("o").isNotNull())
-        return spark.createDataFrame(head, "s string, p string, o string").unionByName(links).unionByName(rows)
+        out = spark.createDataFrame(head, "s string, p string, o string").unionByName(links).unionByName(rows)
+        if self.graph is None:
+            return out
+        shown_nodes = shown.select(F.explode(F.array("focus", "value")).alias("f")).where(F.startswith("f", F.lit("_:")))
+        return out.unionByName(clones(self.graph, shown_nodes).select("s", "p", "o"))
 
     def serialize(self, form: str = "turtle") -> str:
         """The report graph as turtle, n3, xml, json-ld or nt, made on the driver."""

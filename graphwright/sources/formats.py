@@ -59,7 +59,22 @@ def parse_text(text: str, name: str | None = None, base: str = "", scope: str =
         return list(parse_xml(text, base, scope))
     if kind == "json-ld":
         return list(parse_jsonld(text, base, scope))
-    return parse_turtle(text, base, scope)[0]
+    return parse_turtle(text, base or header_comments(text).get("base", ""), scope)[0]
+
+
+def header_comments(text: str) -> dict[str, str]:
+    """What the comments before the first statement of a Turtle text tell: "base" (``# baseURI: iri``, or ``# base: iri``) and "prefix"
+    (``# prefix: name``); of several the last."""
+    told = {}
+    for line in text.lstrip("\ufeff").splitlines():
+        line = line.strip()
+        if line and not line.startswith("#"):
+            break
+        name, colon, value = line.lstrip("# \t\xa0").partition(":")
+        name = {"baseuri": "base", "base": "base", "prefix": "prefix"}.get(name.strip().lower())
+        if colon and name and value.strip():
+            told[name] = value.strip()
+    return told
 
 
 # RDF/XML

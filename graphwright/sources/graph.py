@@ -249,10 +249,15 @@ def ntriples(frame: DataFrame) -> DataFrame:
     return frame.select(F.concat(F.col("s"), F.lit(" "), F.col("p"), F.lit(" "), escaped(F.col("o")), F.lit(" .")).alias("value"))
 
 
+def nquads(frame: DataFrame) -> DataFrame:
+    """(value): a line of N-Quads for each row (s, p, o, g); without a graph where g is null."""
+    return frame.select(F.concat_ws(" ", "s", "p", escaped(F.col("o")), "g", F.lit(".")).alias("value"))
+
+
 def write_ntriples(frame: DataFrame, path: str) -> None:
     """(s, p, o) as N-Triples, a file a task."""
     ntriples(frame).write.text(path)
 
 
 NIL, FIRST, REST = f"<{RDF}nil>", f"<{RDF}first>", f"<{RDF}rest>"
-__all__ = ["EX", "FIRST", "Graph", "Layered", "MappedTables", "NIL", "REST", "SUBCLASS", "TripleTable", "from_text", "mapped", "read_hextuples", "ntriples", "read_ntriples", "write_ntriples"]
+__all__ = ["EX", "FIRST", "Graph", "Layered", "MappedTables", "NIL", "REST", "SUBCLASS", "TripleTable", "from_text", "mapped", "nquads", "read_hextuples", "ntriples", "read_ntriples", "write_ntriples"]
