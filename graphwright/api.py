@@ -17,6 +17,7 @@ from .functions.terms import OWL, SH, TYPE, iri
 from .operators.inference import expand as infer
 from .operators.rules import apply_rules
 from .plans.compile import Run
+from .plans.hooks import Hook
 from .plans.meta import meta_shapes, subjects
 from .plans.settle import settle
 from .plans.shapes import ReportableRuntimeError, ShapesGraph, sh
@@ -167,14 +168,14 @@ def _expanded(term: str, prefixes: dict[str, str]) -> str:
 def validate(
     spark: SparkSession, data_graph: Source | Sequence[Source], shacl_graph: Source | ShapesGraph | None = None, ont_graph: Source | None = None, advanced: bool = False,
     inference: str | None = None, abort_on_first: bool = False, allow_infos: bool = False, allow_warnings: bool = False, max_validation_depth: int = 15,
-    focus_nodes: list[str] | None = None, use_shapes: list[str] | None = None, iterate_rules: bool = False, import_loader=None, prefixes: dict[str, str] | None = None, recursion: str = "fixpoint", meta_shacl: bool = False,
+    focus_nodes: list[str] | None = None, use_shapes: list[str] | None = None, iterate_rules: bool = False, import_loader=None, prefixes: dict[str, str] | None = None, recursion: str = "fixpoint", meta_shacl: bool = False, hooks: dict[str, Hook] | None = None,
 ) -> ValidationResult:
     """Validates one graph, or the union of several, against shapes; without ``shacl_graph`` the data holds the shapes.
 
     ``advanced`` runs rules first and evaluates SPARQL targets and expressions. ``allow_infos`` and
     ``allow_warnings`` keep such results without counting them. ``abort_on_first`` keeps one result. ``recursion`` is "fixpoint", or "unroll":
     a shape within itself is then followed twice and taken to conform. With ``meta_shacl`` the shapes are validated first; shapes that
-    don't conform to the shapes of shapes are a ReportableRuntimeError.
+    don't conform to the shapes of shapes are a ReportableRuntimeError. ``hooks`` are Python functions by the names that shapes give them.
     """
     if meta_shacl and not (checked := meta_validate(spark, shacl_graph if shacl_graph is not None else data_graph, import_loader)).conforms:
         raise ReportableRuntimeError(f"the shapes aren't well formed\n{checked.text()}")
@@ -196,12 +197,12 @@ def validate(
     focus = [_expanded(x, known) for x in focus_nodes] if focus_nodes is not None else None
     used = [_expanded(x, known) for x in use_shapes] if use_shapes is not None else None
     if advanced and any(sh("rule") in s.params for s in shapes.shapes.values()):
-        graph, _ = apply_rules(graph, shapes, iterate_rules, focus, used)
+        graph, _ = apply_rules(graph, shapes, iterate_rules, focus, used, hooks)
     allow = {sh("Info")} if allow_infos or allow_warnings else set()
     allow |= {sh("Warning")} if allow_warnings else set()
     if recursion not in ("fixpoint", "unroll"):
         raise ValueError("recursion is fixpoint or unroll")
-    run = Run(graph, shapes, frozenset(allow), focus, used, max_validation_depth, recursion == "fixpoint")
+    run = Run(graph, shapes, frozenset(allow), focus, used, max_validation_depth, recursion == "fixpoint", hooks=hooks or {})
     if abort_on_first:
         return ValidationResult(run.first_result(), None, graph)
     return ValidationResult(run.all_results(), run.all_nested, graph)
@@ -214,7 +215,7 @@ def validate_each(spark: SparkSession, data_graphs: Sequence[Source], shacl_grap
 
 def expand(
     spark: SparkSession, data_graph: Source, shacl_graph: Source | ShapesGraph | None = None, ont_graph: Source | None = None, inference: str | None = None,
-    focus_nodes: list[str] | None = None, use_shapes: list[str] | None = None, iterate_rules: bool = False,
+    focus_nodes: list[str] | None = None, use_shapes: list[str] | None = None, iterate_rules: bool = False, hooks: dict[str, Hook] | None = None,
 ) -> DataFrame:
     """(s, p, o) of the data graph with what inference and rules add."""
     graph = load(spark, data_graph)
@@ -223,7 +224,7 @@ def expand(
         graph = TripleTable(spark, graph.triples().unionByName(ontology_triples(load(spark, ont_graph, "o"))).distinct())
     focus = [_expanded(x, shapes.prefixes) for x in focus_nodes] if focus_nodes is not None else None
     used = [_expanded(x, shapes.prefixes) for x in use_shapes] if use_shapes is not None else None
-    return apply_rules(infer(graph, inference), shapes, iterate_rules, focus, used)[0].triples().distinct()
+    return apply_rules(infer(graph, inference), shapes, iterate_rules, focus, used, hooks)[0].triples().distinct()
 
 
 def expand_quads(spark: SparkSession, data_graph: Source, shacl_graph: Source | ShapesGraph | None = None, destination: str = "urn:graphwright:inferred", **options) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..api import validate
-from ..functions.terms import OWL, TYPE, XSD
+from ..functions.terms import OWL, TYPE, XSD, lexical_of
 from ..plans.compile import Run, digest_of_result
+from ..plans.hooks import Hook
 from ..plans.settle import shared_folder
 from ..plans.shapes import ShapesGraph
 from ..plans.sparql import Engine
@@ -293,5 +294,67 @@ def _destination(spark, sf_dir):
 
 Q["i_destination"] = (_destination, "SELECT n_nationkey::BIGINT AS id, g FROM nation CROSS JOIN (VALUES (''), ('<urn:ex:told>')) t(g) WHERE n_regionkey IS NOT NULL")
 
+# Python functions in shapes
+def _enough_words(this, value, seen):
+    """A text needs 40 different words or more, unless its document is one of src0."""
+    found = len(set(lexical_of(value).split(" ")))
+    return found >= 40 or "<urn:source:src0>" in seen[this].get(f"<{EX}source>", ()) or f"{found} different words"
+
+
+_shape(
+    "h_constraint", "documents", 'ex:S a sh:NodeShape ; sh:targetClass ex:Document ; sh:property [ sh:path ex:text ; sh:js [ a sh:JSConstraint ; sh:jsFunctionName "enoughWords" ] ] .',
+    "SELECT doc_id::BIGINT AS id FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS DISTINCT FROM 'src0' AND len(list_distinct(string_split(text, ' '))) < 40",
+    hooks={"enoughWords": Hook(_enough_words, (f"<{EX}source>",))},
+)
+_STEP = 'ex:StepComponent a sh:ConstraintComponent ; sh:parameter [ sh:path ex:step ] ; sh:validator [ a sh:JSValidator ; sh:jsFunctionName "inSteps" ; sh:message "{$value} is no multiple of {$step}" ] . '
+_shape(
+    "h_component", "customer", _STEP + "ex:S a sh:NodeShape ; sh:targetClass ex:Customer ; sh:property [ sh:path ex:c_acctbal ; ex:step 7 ] .", "SELECT c_custkey::BIGINT AS id FROM customer WHERE abs(round(c_acctbal * 100)::BIGINT) % 7 != 0",
+    hooks={"inSteps": Hook(lambda this, value, seen, step: round(float(lexical_of(value)) * 100) % int(lexical_of(step)) == 0)},
+)
+_MOST = 'ex:MostComponent a sh:ConstraintComponent ; sh:parameter [ sh:path ex:most ] ; sh:propertyValidator [ a sh:JSValidator ; sh:jsFunctionName "sumAtMost" ] . '
+
+
+def _sum_at_most(this, value, seen, most, path):
+    """The sum of a focus node's values of the path."""
+    found = round(100 * sum(float(lexical_of(x)) for x in seen[this].get(path, ())))
+    return found <= 100 * int(lexical_of(most)) or {"value": found, "message": "the sum is too large"}
+
+
+_shape(
+    "h_path_validator", "lineitem", _MOST + "ex:S a sh:NodeShape ; sh:targetSubjectsOf ex:l_discount ; sh:property [ sh:path ex:l_quantity ; ex:most 60 ] .",
+    "SELECT l_orderkey::BIGINT AS id FROM (SELECT DISTINCT l_orderkey, l_quantity FROM lineitem) GROUP BY l_orderkey HAVING sum(l_quantity) > 60",
+    hooks={"sumAtMost": Hook(_sum_at_most, (f"<{EX}l_quantity>",))},
+)
+_shape(
+    "h_target", "supplier", 'ex:S a sh:NodeShape ; sh:target [ a ex:Shaped ; ex:ends "7" ] ; sh:property [ sh:path ex:s_acctbal ; sh:minInclusive 5000 ] . ex:Shaped a sh:JSTargetType ; rdfs:subClassOf sh:Target ; sh:parameter [ sh:path ex:ends ] ; sh:jsFunctionName "namesEnding" .',
+    "SELECT s_suppkey AS id FROM supplier WHERE s_name LIKE '%7' AND s_acctbal < 5000",
+    hooks={"namesEnding": Hook(lambda this, seen, ends: any(lexical_of(x).endswith(lexical_of(ends)) for x in seen[this][f"<{EX}s_name>"]), (f"<{EX}s_name>",))},
+)
+_BACKWARDS = DECLARE + 'ex:backwards a sh:JSFunction ; sh:parameter [ sh:path ex:text ] ; sh:jsFunctionName "backwards" . ex:S a sh:NodeShape ; sh:targetClass ex:Part ; sh:sparql [ sh:prefixes ex: ; sh:message "{?back}" ; sh:select "SELECT $this ?back WHERE { $this ex:p_brand ?b BIND(ex:backwards(?b) AS ?back) FILTER(?back < \'3\') }" ] .'
+_REVERSE = {"backwards": Hook(lambda text: lexical_of(text)[::-1])}
+Q["h_function"] = (
+    lambda spark, sf_dir: _found(spark, sf_dir, _BACKWARDS, "part", hooks=_REVERSE).select(_key("focus").alias("id"), F.regexp_extract(F.col("messages")[0], '^"?([^"]*)', 1).alias("brand")),
+    "SELECT p_partkey::BIGINT AS id, reverse(p_brand) AS brand FROM part WHERE reverse(p_brand) < '3'",
+)
+_shape(
+    "h_expression", "part", 'ex:backwards a sh:JSFunction ; sh:parameter [ sh:path ex:text ] ; sh:jsFunctionName "odd" . ex:S a sh:NodeShape ; sh:targetClass ex:Part ; sh:expression [ ex:backwards ( [ sh:path ex:p_size ] ) ] .',
+    "SELECT p_partkey::BIGINT AS id FROM part WHERE p_size IS NULL OR p_size % 2 = 0", hooks={"odd": Hook(lambda size: int(lexical_of(size)) % 2 == 1)},
+)
+
+
+def _classed(this, seen):
+    """An order's class by its price."""
+    price = [float(lexical_of(x)) for x in seen[this].get(f"<{EX}o_totalprice>", ())]
+    yield from [(this, f"<{EX}inClass>", "large" if x >= 250000 else "small") for x in price]
+
+
+def _by_rule(spark, sf_dir):
+    shapes = 'ex:S a sh:NodeShape ; sh:targetClass ex:Order ; sh:rule [ a sh:JSRule ; sh:jsFunctionName "classed" ] .'
+    _, added = apply_rules(mapped(spark, sf_dir, ("orders",)), ShapesGraph.from_text(HEAD + shapes), hooks={"classed": Hook(_classed, (f"<{EX}o_totalprice>",))})
+    return added.select(_key("s").alias("id"), _text("o").alias("class"))
+
+
+Q["h_rule"] = (_by_rule, "SELECT o_orderkey::BIGINT AS id, CASE WHEN o_totalprice >= 250000 THEN 'large' ELSE 'small' END AS class FROM orders WHERE o_totalprice IS NOT NULL")
+
 QUERIES = {name: run for name, (run, _) in Q.items()}
 SQL = {name: sql for name, (_, sql) in Q.items()}

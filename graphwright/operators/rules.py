@@ -1,4 +1,4 @@
-"""SHACL rules: triple rules and SPARQL CONSTRUCT rules, in order, perhaps repeated until nothing is added."""
+"""SHACL rules: triple rules, SPARQL CONSTRUCT rules and rules by Python functions, in order, perhaps repeated until nothing is added."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.terms import TRUE, TYPE, lexical_of
 from ..plans.compile import Run
 from ..plans.expressions import expression_values
+from ..plans.hooks import Hook, hook_of, inferred
 from ..plans.settle import settle
 from ..plans.shapes import RuleLoadError, ReportableRuntimeError, ShapesGraph, sh
 from ..plans.sparql_shapes import custom_target, engine, read
@@ -29,9 +30,9 @@ def rules_of(shapes: ShapesGraph, shape: str) -> list[tuple[str, str]]:
     out = []
     for node in shapes.values(shape, "rule"):
         types = shapes.values(node, TYPE)
-        kinds = [k for k in ("TripleRule", "SPARQLRule") if sh(k) in types]
+        kinds = [k for k in ("TripleRule", "SPARQLRule", "JSRule") if sh(k) in types]
         if len(kinds) != 1:
-            raise RuleLoadError(f"{node} has to be a triple rule or a SPARQL rule")
+            raise RuleLoadError(f"{node} has to be a triple rule, a SPARQL rule or a rule by a function")
         if TRUE not in shapes.values(node, "deactivated"):
             out.append((kinds[0], node))
     return sorted(out, key=lambda r: _order(shapes, r[1]))
@@ -51,6 +52,10 @@ def infer(run: Run, kind: str, node: str, nodes: DataFrame) -> DataFrame:
                 raise RuleLoadError(f"{node} needs one sh:{name}")
             parts.append(expression_values(run, given[0], nodes).withColumnRenamed("v", column))
         return reduce(lambda a, b: a.join(b, "f"), parts).select("s", "p", "o").distinct()
+    if kind == "JSRule":
+        if (hook := hook_of(run, node)) is None:
+            raise RuleLoadError(f"{node} needs sh:jsFunctionName")
+        return inferred(run, hook, nodes)
     texts = shapes.values(node, "construct")
     if not texts:
         raise RuleLoadError(f"{node} needs sh:construct")
@@ -62,7 +67,7 @@ def infer(run: Run, kind: str, node: str, nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, made).distinct()
 
 
-def apply_rules(graph: Graph, shapes: ShapesGraph, iterate: bool = False, focus: list[str] | None = None, use_shapes: list[str] | None = None) -> tuple[Layered, DataFrame]:
+def apply_rules(graph: Graph, shapes: ShapesGraph, iterate: bool = False, focus: list[str] | None = None, use_shapes: list[str] | None = None, hooks: dict[str, Hook] | None = None) -> tuple[Layered, DataFrame]:
     """(the expanded graph, the triples that rules added). A shape's rules are repeated while they add something,
     if ``iterate``; each rule sees what the rules before it added."""
     spark = graph.spark
@@ -76,7 +81,7 @@ def apply_rules(graph: Graph, shapes: ShapesGraph, iterate: bool = False, focus:
                 raise ReportableRuntimeError("the rules don't come to an end")
             changed = False
             for kind, node in rules:
-                run = Run(now, shapes)
+                run = Run(now, shapes, hooks=hooks or {})
                 if focus is not None and use_shapes is not None:
                     nodes = constants(run.graph, focus)
                 else:

@@ -14,6 +14,7 @@ from ..operators.constraints import COMPONENTS, LIST_PARAMETERS, nodes_failing
 from ..operators.paths import closure, inverted, values
 from ..operators.targets import constants, focus_nodes
 from ..sources.graph import Graph
+from .hooks import Hook
 from .settle import settle
 from .shapes import Path, ReportableRuntimeError, Shape, ShapeRecursionWarning, ShapesGraph, path_text, sh
 
@@ -93,6 +94,8 @@ class Run:
     #: Whether the results beneath those of sh:node are kept, and those of each shape at hand.
     details: bool = False
     nested: list[list[DataFrame]] = field(default_factory=lambda: [[]])
+    #: Python functions by the names that shapes give them.
+    hooks: dict[str, Hook] = field(default_factory=dict)
 
     UNROLL = 2
 

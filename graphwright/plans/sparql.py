@@ -18,6 +18,7 @@ from ..functions.terms import XSD, lexical_of
 from ..operators.paths import values
 from ..sources.graph import Graph
 from ..sources.store import StoredGraph
+from .hooks import Hook, answered
 from .sparql_parser import Query, SparqlError, variables
 
 def _null() -> Column:
@@ -61,10 +62,10 @@ def _exactly(op: str, a: Column, b: Column, otherwise: Column) -> Column:
 
 @dataclass
 class Engine:
-    """``functions``: IRI -> (parameter names, Query) of custom functions."""
+    """``functions``: IRI -> (parameter names, Query or Hook) of custom functions."""
 
     graph: Graph
-    functions: dict[str, tuple[list[str], Query]] = field(default_factory=dict)
+    functions: dict[str, tuple[list[str], Query | Hook]] = field(default_factory=dict)
     quad: str | None = None
     count: int = 0
     #: Gives the triples of the shapes, for GRAPH $shapesGraph.
@@ -288,6 +289,8 @@ class Engine:
     def call(self, name: str, arguments: DataFrame) -> DataFrame:
         """Arguments with ``_result``: the answer of a custom function; of several rows the least term, null if none."""
         names, q = self.functions[name]
+        if isinstance(q, Hook):
+            return answered(q, arguments, names)
         found = self.solve(q, arguments)
         if q.form == "ASK":
             keys = found.select(*names).distinct().withColumn("_yes", F.lit(True))

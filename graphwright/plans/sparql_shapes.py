@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.terms import OWL, RDF, RDFS, SUBCLASS, TRUE, TYPE, XSD, c_truth, lexical_of
 from ..sources.graph import TripleTable
 from .expressions import expression_values
+from .hooks import chosen, functions_by_hook, hook_of, judged
 from .shapes import SH, ConstraintLoadError, Shape, ShapesGraph, ValidationFailure, sh
 from .sparql import Engine
 from .sparql_parser import Query, SparqlError, parse_query, variables
@@ -135,7 +136,7 @@ def with_constants(part, given: dict[str, str]):
 
 def engine(run) -> Engine:
     if not hasattr(run, "sparql"):
-        run.sparql = Engine(run.graph, functions_of(run.shapes), shapes=lambda: shapes_table(run))
+        run.sparql = Engine(run.graph, functions_of(run.shapes) | functions_by_hook(run, parameters), shapes=lambda: shapes_table(run))
     return run.sparql
 
 
@@ -179,6 +180,13 @@ def sparql_results(run, shape: Shape, nodes: DataFrame, found: DataFrame, path:
         solved = engine(run).solve(q, _seed(nodes, None, given))
         messages = _message(run, shapes.values(node, "message") or shape.messages, solved.columns, {})
         out.append(_selected(run, shape, solved, path, "SPARQLConstraintComponent", messages, node))
+    for node in shape.get("js"):
+        if TRUE in shapes.values(node, "deactivated"):
+            continue
+        if (hook := hook_of(run, node)) is None:
+            raise ConstraintLoadError(f"{node} needs sh:jsFunctionName")
+        rows = found.select(F.col("f").alias("this"), F.col("v").alias("value")).distinct()
+        out.append(_judged(run, shape, judged(run, hook, rows, {}), path, "JSConstraintComponent", shapes.values(node, "message") or shape.messages, {}, node))
     for component in _components(shapes):
         if got := _component(run, shape, component, nodes, found, path):
             out.append(got)
@@ -191,6 +199,13 @@ def sparql_results(run, shape: Shape, nodes: DataFrame, found: DataFrame, path:
     return out
 
 
+def _judged(run, shape: Shape, solved: DataFrame, path: str | None, component: str, template: list[str], given: dict[str, str], constraint: str | None = None, always: bool = False) -> DataFrame:
+    """Results of a hook: its own messages, else those of the shapes, else one for all."""
+    other = _message(run, template, solved.columns, given)
+    messages = F.when(F.size("m") > 0, F.col("m")).otherwise(other if other is not None else F.array(F.lit("A function finds this value wrong.")))
+    return _selected(run, shape, solved, path, component, messages, constraint, always)
+
+
 def _components(shapes: ShapesGraph) -> list[str]:
     kinds = [sh("ConstraintComponent"), *shapes.subjects.get((SUBCLASS, sh("ConstraintComponent")), [])]
     return [c for c in dict.fromkeys(s for k in kinds for s in shapes.subjects.get((TYPE, k), [])) if not c.startswith(f"<{SH}")]
@@ -211,6 +226,14 @@ def _component(run, shape: Shape, component: str, nodes: DataFrame, found: DataF
     bound = ("this", "value", *given)
     template = shapes.values(validator, "message") or shapes.values(component, "message") or shape.messages
     shown = {n: lexical_of(x) for n, x in given.items()}
+    if (hook := hook_of(run, validator)) is not None:
+        # A validator for property shapes is asked once for a focus node, others once for each value.
+        if whole := validator in shapes.values(component, "propertyValidator"):
+            rows = nodes.select(F.col("f").alias("this"), F.lit(None).cast("string").alias("value"))
+        else:
+            rows = found.select(F.col("f").alias("this"), F.col("v").alias("value"))
+        solved = judged(run, hook, rows.distinct(), given | ({"path": path} if whole else {}))
+        return _judged(run, shape, solved, path, component, template, shown, always=True)
     if asks := shapes.values(validator, "ask"):
         q = read(shapes, validator, lexical_of(asks[0]), path, bound)
         seed = _seed(nodes, found, given)
@@ -226,8 +249,12 @@ def _component(run, shape: Shape, component: str, nodes: DataFrame, found: DataF
 
 
 def custom_target(run, node: str) -> DataFrame:
-    """Focus nodes of sh:target: a SPARQL target, or an instance of a SPARQL target type with its parameters."""
+    """Focus nodes of sh:target: a SPARQL target, one by a hook, or an instance of a type of these with its parameters."""
     shapes = run.shapes
+    for owner in (node, *shapes.values(node, TYPE)):
+        if (hook := hook_of(run, owner)) is not None:
+            given = {n: shapes.values(node, p)[0] for n, p, _ in parameters(shapes, owner) if shapes.values(node, p)} if owner != node else {}
+            return chosen(run, hook, node, given)
     if texts := shapes.values(node, "select"):
         return engine(run).solve(read(shapes, node, lexical_of(texts[0]), None)).select(F.col("this").alias("f"))
     for kind in shapes.values(node, TYPE):
