@@ -356,5 +356,29 @@ def _by_rule(spark, sf_dir):
 
 Q["h_rule"] = (_by_rule, "SELECT o_orderkey::BIGINT AS id, CASE WHEN o_totalprice >= 250000 THEN 'large' ELSE 'small' END AS class FROM orders WHERE o_totalprice IS NOT NULL")
 
+
+# A query test case over a whole table: of the rows that are expected, one in 50 has another segment, and the first two are in each other's place.
+_RICHEST = "SELECT ?c ?m WHERE { ?c ex:c_acctbal ?b . ?c ex:c_mktsegment ?m } ORDER BY DESC(?b)"
+
+
+def _query_test(spark, sf_dir):
+    from .query_tests import check_query, numbered
+
+    rows = numbered(spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    segment = F.when(F.col("c_custkey") % 50 == 0, "none").otherwise(F.col("c_mktsegment"))
+    place = F.when(F.col("_at") < 2, 1 - F.col("_at")).otherwise(F.col("_at"))
+    expected = rows.select(F.concat(F.lit("<urn:customer:"), F.col("c_custkey").cast("string"), F.lit(">")).alias("c"), F.concat(F.lit('"'), segment, F.lit(f'"^^<{XSD}string>')).alias("m"), place.alias("_at"))
+    wrong = check_query(Engine(mapped(spark, sf_dir, ("customer",))), _RICHEST, PREFIXES, expected).wrong
+    return wrong.select(_key("c").alias("id"), _text("m").alias("segment"), F.col("surplus"))
+
+
+Q["q_test_case"] = (
+    _query_test,
+    """WITH placed AS (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS place FROM customer WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL),
+    expected AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'none' ELSE c_mktsegment END AS segment, CASE WHEN place < 2 THEN 1 - place ELSE place END AS place FROM placed),
+    keyed AS (SELECT e.c_custkey, e.segment, p.c_acctbal, -1 AS n FROM expected e JOIN placed p USING (place) UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal, 1 FROM placed)
+    SELECT c_custkey::BIGINT AS id, segment, sum(n)::BIGINT AS surplus FROM keyed GROUP BY c_custkey, segment, c_acctbal HAVING sum(n) != 0""",
+)
+
 QUERIES = {name: run for name, (run, _) in Q.items()}
 SQL = {name: sql for name, (_, sql) in Q.items()}

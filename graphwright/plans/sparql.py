@@ -73,6 +73,8 @@ class Engine:
     #: Variables of the query at hand that may be unbound.
     maybe: set[str] = field(default_factory=set)
     scope: set[str] = field(default_factory=set)
+    #: A query whose solutions keep what they are sorted by, as _order0, _order1 and so on.
+    keep_order: Query | None = None
 
     def fresh(self, stem: str) -> str:
         self.count += 1
@@ -570,7 +572,7 @@ class Engine:
         now = now.orderBy(*sorts, *(rest if q.limit is not None or q.offset else [])) if sorts else now
         now = now.offset(q.offset) if q.offset else now
         now = now.limit(q.limit) if q.limit is not None else now
-        return now.drop(*by) if by else now
+        return now.drop(*by) if by and q is not self.keep_order else now
 
     def _aggregate(self, name: str, e: tuple) -> Column:
         _, what, distinct, inner, sep = e
