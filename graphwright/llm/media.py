@@ -18,7 +18,7 @@ def clips(df: DataFrame, key: str = "id", media: str = "media") -> DataFrame:
     """(key, clip, start_s, end_s, frames, histogram, error): a row for each shot of each AVI of column ``media``.
 
     A null or empty value, or one that isn't an AVI of baseline frames, gives one row with null clip
-    columns and the reason in ``error``; an AVI without frames gives no row. Repeated rows give
+    columns and the reason in ``error``; an AVI without frames gives no row, one without index those of its list. Repeated rows give
     repeated clips. Columns other than ``key`` and ``media`` aren't carried.
     """
     kind = df.schema[key].dataType.simpleString()
@@ -56,7 +56,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op5_media(spark, sf_dir: str) -> DataFrame:
-    """Each text of ``documents`` stored as an AVI and read back: sizes, digests and the features of the decoded frames."""
+    """Each text of ``documents`` stored as an AVI and read back: sizes, digests and the features of the decoded frames.
+
+    A null text counts as empty and gives one block of padding; a repeated row gives its row again, equal texts equal values; an empty table gives
+    none. Texts of any length are whole: frames are written and read one after the other. Only doc_id and text are read, whatever other columns are there."""
     small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return docs.mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -95,9 +95,23 @@ class Avi:
     payload_bytes: int | None
 
 
+def _walk(data: bytes, at: int, end: int) -> list[bytes]:
+    """The frames of a ``movi`` list in their order, those in its ``rec `` lists too."""
+    frames = []
+    while at + 8 <= end:
+        name, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name == b"LIST":  # its parts come next
+            at += 12
+            continue
+        if name[2:] in (b"dc", b"db"):
+            frames.append(data[at + 8 : min(end, at + 8 + n)])
+        at += 8 + n + (n & 1)
+    return frames
+
+
 def read_avi(data: bytes) -> Avi:
     """Header and frames of an AVI, the frames by its ``idx1`` index (offsets from the ``movi`` list's name or
-    from the file's start, as both are in use). Raises ValueError on what isn't such a file."""
+    from the file's start, as both are in use); of a file without index all that its list holds. Raises ValueError on what isn't such a file."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     seconds, movi, index, size = 0.0, None, b"", None
@@ -108,7 +122,7 @@ def read_avi(data: bytes) -> Avi:
             name, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
             if name == b"LIST":
                 if data[at + 8 : at + 12] == b"movi":
-                    movi = at + 8
+                    movi, last = at + 8, min(end, at + 8 + n)
                 else:
                     stack.append((at + 12, min(end, at + 8 + n)))
             elif name == b"avih":
@@ -120,7 +134,7 @@ def read_avi(data: bytes) -> Avi:
             at += 8 + n + (n & 1)
     if movi is None:
         raise ValueError("no movi list")
-    frames, base = [], None
+    frames, base = [] if index else _walk(data, movi + 4, last), None
     for name, _, offset, n in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]):
         if name[2:] not in (b"dc", b"db"):
             continue

@@ -19,6 +19,20 @@ def test_avi_round_trip(payload):
     assert (mjpeg.decode_coefficients(frame)[0] == mjpeg._decode_general(frame)[0]).all()
 
 
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_avi_without_index(wrapped):
+    data = mjpeg.write_avi(bytes(range(256)) * 40)
+    frames = mjpeg.read_avi(data).frames
+    plain = data[: data.rindex(b"idx1")]
+    if wrapped:  # frames in a list of their own, after a chunk of sound
+        at = plain.index(b"movi")
+        inner = mjpeg._chunk(b"01wb", b"abc") + mjpeg._chunk(b"LIST", b"rec " + plain[at + 4 :])
+        plain = plain[: at - 8] + mjpeg._chunk(b"LIST", b"movi" + inner)
+    assert len(frames) > 1 and mjpeg.read_avi(plain).frames == frames
+    assert mjpeg.clip_rows(plain) == mjpeg.clip_rows(data)
+    assert mjpeg.read_avi(plain[:-5]).frames[:-1] == frames[:-1]  # the file ends within a frame
+
+
 def test_clips(spark):
     flat, noisy = b"\x80" * 1024 * 6, os.urandom(1024 * 6)
     rows = [(1, mjpeg.write_avi(flat + noisy)), (2, None), (3, b"RIFFxxxx"), (4, b"")]
