@@ -79,8 +79,10 @@ def _with_seen(graph: Graph, hook: Hook, rows: DataFrame, columns: tuple[str, ..
     if many := told.groupBy("n").count().where(F.col("count") > hook.most).first():
         raise ValidationFailure(f"{many['n']} has {many['count']} triples that a function asks to see, more than {hook.most}")
     told = told.groupBy("n").agg(F.collect_list(F.struct("p", "o")).alias("seen"))
+    # No literal is a subject: it gets a key that meets none and that repeated values don't share.
+    key = lambda c: F.when(F.startswith(c, F.lit('"')), F.concat(F.lit('"'), F.xxhash64(*columns).cast("string"))).otherwise(F.col(c))
     for c in columns:
-        rows = rows.join(told.select(F.col("n").alias(c), F.col("seen").alias(f"seen_{c}")), c, "left")
+        rows = rows.withColumn("_n", key(c)).join(told.select(F.col("n").alias("_n"), F.col("seen").alias(f"seen_{c}")), "_n", "left").drop("_n")
     return rows
 
 
