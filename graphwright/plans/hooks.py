@@ -73,15 +73,17 @@ def _with_seen(graph: Graph, hook: Hook, rows: DataFrame, columns: tuple[str, ..
     """The rows with ``seen_`` columns: the triples that the hook may see of the node in each of the columns."""
     if not hook.sees:
         return rows
-    nodes = reduce(DataFrame.unionByName, [rows.select(F.col(c).alias("n")) for c in columns]).where(~F.startswith("n", F.lit('"'))).distinct()
+    nodes = settle(reduce(DataFrame.unionByName, [rows.select(F.lit(c).alias("c"), F.col(c).alias("n")) for c in columns]).where(~F.startswith("n", F.lit('"'))).distinct())
     told = reduce(DataFrame.unionByName, [graph.pred(p).select(F.col("s").alias("n"), F.lit(p).alias("p"), "o") for p in hook.sees])
-    told = settle(told.join(nodes, "n", "left_semi").distinct())
+    told = settle(told.join(nodes.select("n"), "n", "left_semi").distinct())
     if many := told.groupBy("n").count().where(F.col("count") > hook.most).first():
         raise ValidationFailure(f"{many['n']} has {many['count']} triples that a function asks to see, more than {hook.most}")
     told = told.groupBy("n").agg(F.collect_list(F.struct("p", "o")).alias("seen"))
     # No literal is a subject: it gets a key that meets none and that repeated values don't share.
     key = lambda c: F.when(F.startswith(c, F.lit('"')), F.concat(F.lit('"'), F.xxhash64(*columns).cast("string"))).otherwise(F.col(c))
     for c in columns:
+        if nodes.where(F.col("c") == c).isEmpty():  # literals all
+            continue
         rows = rows.withColumn("_n", key(c)).join(told.select(F.col("n").alias("_n"), F.col("seen").alias(f"seen_{c}")), "_n", "left").drop("_n")
     return rows
 
