@@ -18,3 +18,20 @@ def test_ties_of_keys_of_different_lengths_are_in_the_order_of_the_sql(spark, tm
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{part}'")
     got = [(r["p"], r["s"]) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
     assert got == con.execute(entry.oracle_sql()[name]).fetchall()
+
+
+def test_classes_in_blocks_are_the_same_closure_and_no_key_has_a_whole_class(spark):
+    from graphwright.operators.equality import expanded
+
+    names = [f"<urn:n:{i:03}>" for i in range(90)]
+    equal = spark.createDataFrame([(n, names[0]) for n in names[:60]] + [(n, names[60]) for n in names[60:62]] + [("<urn:p>", "<urn:p>"), ("<urn:q>", "<urn:p>")], "node string, rep string")
+    triples = spark.createDataFrame([(names[0], "<urn:same>", names[0]), (names[60], "<urn:p>", names[0]), (names[70], "<urn:p>", names[71])], "s string, p string, o string")
+    want = {(a, "<urn:same>", b) for a in names[:60] for b in names[:60]} | {(a, p, b) for a in names[60:62] for b in names[:60] for p in ("<urn:p>", "<urn:q>")}
+    want |= {(names[70], p, names[71]) for p in ("<urn:p>", "<urn:q>")}
+    got = [tuple(r) for r in expanded(triples, equal, block=7).collect()]
+    assert len(got) == len(want) and set(got) == want == {tuple(r) for r in expanded(triples, equal).collect()}
+    from pyspark.sql import functions as F
+
+    same = expanded(triples, equal, block=7).where("p = '<urn:same>'")
+    parts = [r["count"] for r in same.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) > 20 and max(parts) < 1000
