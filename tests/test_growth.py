@@ -35,3 +35,20 @@ def test_classes_in_blocks_are_the_same_closure_and_no_key_has_a_whole_class(spa
     same = expanded(triples, equal, block=7).where("p = '<urn:same>'")
     parts = [r["count"] for r in same.groupBy(F.spark_partition_id()).count().collect()]
     assert len(parts) > 20 and max(parts) < 1000
+
+
+def test_a_run_has_small_tasks_unless_the_session_has_its_own_size(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("64m", "8m"), ("5m", "5m"), ("67108864b", "8m")):
+            spark.conf.set(name, given)
+            entry.queries()["v_min_inclusive"](spark, SF)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_shapes_within_one_another_are_not_one_stage(spark):
+    plan = entry.queries()["l_nested_not"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") <= 8
