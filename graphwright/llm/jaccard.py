@@ -42,14 +42,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import component_labels
-from .settle import drop_settled, settle, small_batches
+from .settle import drop_settled, lean, settle, small_batches
 from .textvec import shingle_sets
 
 PERCENT = 80
 #: Of the counts of a task those are reported; of the sums so many highest are used.
 LEAST_SEEN, MOST_FREQUENT, LEAST_FREQUENT = 3, 1 << 19, 8
-#: Different shingles whose counts a task holds.
-PENDING = 1 << 20
+#: Different shingles whose counts a task holds, and shingles that it adds to them at once.
+PENDING, ADDED = 1 << 20, 1 << 17
 BITS = 2048
 #: Keys of so many sets may be broadcast; beyond it, the same join is shuffled.
 BROADCAST_KEYS = 1 << 20
@@ -108,7 +108,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits.append(_parities(found) if len(found) else [])
             some.append(found)
             pending += len(found)
-            if pending >= PENDING:
+            if pending >= ADDED:
                 every, times = _summed(every, times, some)
                 some, pending = [], 0
         if some:
@@ -215,7 +215,7 @@ def _links(pairs: DataFrame, arrays: DataFrame, ids: DataFrame) -> DataFrame:
     some = arrays.join(_few(ids), "id", "left_semi")
     a, b = (some.select(F.col("id").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b")
-    return settle(both.mapInArrow(_verified, "a long, b long"))
+    return settle(both.mapInArrow(lean(_verified), "a long, b long"))
 
 
 def _shingles_of(ids: DataFrame, sets: DataFrame, docs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def _shingles_of(ids: DataFrame, sets: DataFrame, docs: DataFrame, arrays: DataF
         return arrays
     bearers = _few(wanted.select(F.col("doc_id").alias("bearer")).distinct())
     borne = docs.join(bearers, docs["doc_id"].eqNullSafe(F.col("bearer")), "left_semi").select("text")
-    found = borne.mapInArrow(_with_key, "key binary, shingles binary").join(_few(wanted.select("key", "id")), "key")
+    found = borne.mapInArrow(lean(_with_key), "key binary, shingles binary").join(_few(wanted.select("key", "id")), "key")
     return arrays.unionByName(settle(found.dropDuplicates(["key"]).select("id", "shingles")))
 
 
@@ -371,14 +371,14 @@ def similar_classes(docs: DataFrame, links: bool = False) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    found = settle(docs.mapInArrow(_set_rows, "kind byte, doc_id long, key binary, shingle long, n long, bits array<long>"))
+    found = settle(docs.mapInArrow(lean(_set_rows), "kind byte, doc_id long, key binary, shingle long, n long, bits array<long>"))
     own = found.where("kind = 0")
     frequent = _frequent(found.where("kind = 1"))
     sets = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").cast("int").alias("n"), F.max("bits").alias("bits"), F.max("shingle").alias("sid"), F.count(F.lit(1)).alias("copies"))
     # The first 8 bytes of a key name its set in the postings; sets that share them give more candidates, no more.
     sets = settle(sets.withColumn("id", F.monotonically_increasing_id()))
 
-    postings = docs.mapInArrow(_posting_rows(frequent), "shingle long, sid long, n int, pos int")
+    postings = docs.mapInArrow(lean(_posting_rows(frequent)), "shingle long, sid long, n int, pos int")
     dealt = postings.repartition("shingle")
     # All columns are aggregated, so that both sides of the join read one exchange.
     ends = [f(F.struct("sid", "n", "pos")).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]

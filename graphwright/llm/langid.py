@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .settle import small_batches
+from .settle import lean, small_batches
 from .textvec import mix, span_hashes
 
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 5_000
@@ -327,7 +327,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             langs, scores, sure = judge_texts(model, batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], names=[*kept, "lang_pred", "lang_score", "lang_sure"])
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(lean(rows), schema)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

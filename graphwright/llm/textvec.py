@@ -8,7 +8,7 @@ import numpy as np
 
 U = np.uint64
 #: Texts are handled in runs of about so many bytes (one text at least), which bounds the arrays.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 SHINGLE = 5
 
 _rng = np.random.default_rng(20240229)

@@ -3,13 +3,15 @@ quality of the fitted models; the pipeline as a whole."""
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphwright.llm import cotrain, langid, licences, media, mixing, pages, pieces, secrets
+from graphwright.llm import cotrain, jaccard, langid, licences, media, mixing, pages, pieces, secrets, settle, textvec
 
 SF = "/root/testdata/sf0.001"
 LONG = "long words of a very long text without an end " * 8000
@@ -236,3 +238,16 @@ def test_pages_by_article_template_and_wrapper(spark):
 def test_pages_in_a_form_and_asides_with_articles(spark):
     body = "<form id=aspnet><main><h1>Head {0}</h1><p>Body {0} of the text.</p><form class=search><p>Find</p></form></main></form><aside><article><p>Other {0}</p></article></aside>"
     assert _told({i: body.format(i) for i in range(6)}, spark) == {i: f"Head {i} Body {i} of the text." for i in range(6)}
+
+
+def test_workers_of_near_duplicates_hold_little_memory(monkeypatch):
+    """1.2 million different shingles in a task take less than 96 MB at most and 16 MB afterwards, and what the task has freed goes back to the system."""
+    monkeypatch.setattr(textvec, "_powers", {})
+    freed = []
+    monkeypatch.setattr(settle, "free_unused", lambda: freed.append(True))
+    batch = pa.record_batch({"doc_id": list(range(300)), "text": [" ".join(f"w{i}x{k}" for k in range(4000)) for i in range(300)]})
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in settle.lean(jaccard._set_rows)(iter([batch])))
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows == 300 and freed and peak < 96 << 20 and held < 16 << 20
