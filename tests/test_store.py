@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from graphwright.plans.sparql import Engine
 from graphwright.plans.sparql_parser import parse_query
-from graphwright.sources.graph import TripleTable, from_text
-from graphwright.sources.store import StoredGraph, move_clashing, number_terms, open_store, write_store
+from graphwright.sources.graph import TripleTable, from_text, mapped
+from graphwright.sources.store import StoredGraph, hot_nodes, move_clashing, number_terms, open_store, write_store
 
 TEXT = "@prefix e: <urn:e:> . " + " ".join(f"e:a{i} e:p e:b{i % 7} ; e:q {i} ." for i in range(40)) + " ".join(f"e:b{i} e:r e:c{i % 2} ; e:r e:b{i} ." for i in range(7))
 QUERY = "SELECT ?a ?n ?c WHERE { ?a <urn:e:p> ?b . ?a <urn:e:q> ?n . ?b <urn:e:r> ?c }"
@@ -83,3 +83,32 @@ def test_named_and_empty_graphs(spark, tmp_path):
     assert rows(stored.named("<urn:e:h>").triples()) == [("<urn:e:a>", "<urn:e:p>", "<urn:e:b>")]
     empty = write_store(TripleTable(spark, spark.createDataFrame([], "s string, p string, o string")), str(tmp_path / "e"), 2)
     assert rows(empty.triples()) == []
+
+
+def test_values_of_few_valued_predicates_need_no_shuffle(spark, tmp_path, large):
+    graph = mapped(spark, "/root/testdata/sf0.01", ("customer",))
+    stored = write_store(graph, str(tmp_path / "s"), 4, hot_rows=100)
+    names = [f"<urn:ex:c_{x}>" for x in ("mktsegment", "nationkey", "name")]
+    assert names[0] in stored.few and names[1] in stored.few and names[2] not in stored.few
+    found = stored.decoded(stored.solution_numbers([("?c", names[0], "?m"), ("?c", names[1], "?n")]).select("m", "n"), ["m", "n"], frozenset("mn"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hash" not in plan
+    q = parse_query(f"SELECT ?c ?m ?n ?t WHERE {{ ?c {names[0]} ?m . ?c {names[1]} ?n . ?c {names[2]} ?t }}")
+    assert rows(Engine(stored).solve(q)) == rows(Engine(graph).solve(q))
+    assert open_store(spark, str(tmp_path / "s")).few == stored.few
+    assert rows(stored.triples()) == rows(graph.triples().distinct())
+
+
+def test_terms_of_a_table_are_given_once_a_row(spark):
+    graph = mapped(spark, "/root/testdata/sf0.001", ("customer", "orders"))
+    every = graph.each_term()
+    triples = graph.triples()
+    want = triples.select("s").union(triples.select("p")).union(triples.select("o")).distinct()
+    assert rows(every.distinct()) == rows(want)
+    assert every.count() < triples.count() * 1.5
+
+
+def test_hot_nodes_are_those_of_a_count(spark):
+    quads = spark.range(3000).select(F.xxhash64(F.col("id") % 40).alias("s"), (F.col("id") % 7).alias("o")).unionByName(spark.range(500).select(F.lit(1).cast("long").alias("s"), F.lit(1 + (1 << 16)).cast("long").alias("o")))
+    for side, limit in (("s", 80), ("s", 74), ("s", 600), ("o", 430), ("o", 499)):
+        assert sorted(hot_nodes(quads, side, limit)) == sorted(r[side] for r in quads.groupBy(side).count().where(F.col("count") > limit).collect())
