@@ -12,7 +12,7 @@ higher-order ``aggregate`` folds them to the unit's pieces:
   and its span's bits. (Viterbi over a BPE model's scores gives other pieces than the model's own merges; for the 32k
   model at hand it does for 59 % of distinct words.)
 
-Units that are frequent in a sample of texts, ``HOT_UNITS`` at most, are encoded first and sent to all tasks:
+Units that are frequent, by counts over all texts, ``HOT_UNITS`` at most, are encoded first and sent to all tasks:
 a bounded cache, which changes no result. All other units are encoded for the row they stand in:
 (row key, unit) is dealt by row key, so edges are grouped where they arise. Rows then meet their
 units' ids, and each text's ids are put together. There a BPE model's units whose bits don't fit a long (of more
@@ -30,17 +30,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .settle import drop_settled, settle_alone, small_batches
+from .settle import drop_settled, free_unused, lean, settle_alone, small_batches
 
 SPACE = "▁"
-#: Bounds of the cache, of the sample it is chosen from, and of the words that a worker remembers besides.
-HOT_UNITS, SAMPLE_TEXTS, WORDS = 1 << 17, 24_000, 1 << 16
-#: Those of op7_pieces, which has more of the driver's memory than a stage of a pipeline.
-MORE_UNITS, MORE_TEXTS = 1 << 19, 48_000
+#: Bounds of the cache, of the words that a worker remembers besides, and of those that a task holds before it reports their counts.
+HOT_UNITS, WORDS, HELD = 1 << 17, 1 << 16, 1 << 22
+#: The cache of op7_pieces, which has more of the driver's memory than a stage of a pipeline.
+MORE_UNITS = 1 << 19
 #: Single characters below are looked up in an array, others in the piece table.
 NEAR = 0x250
 #: First characters of a span that say what lengths it may have.
@@ -372,42 +373,73 @@ def _spelt_by(spelling: list[bytes], raw: bytes, text: str) -> bool:
     return b"".join([spelling[i] for i in np.frombuffer(raw, np.int32).tolist()]) == text.encode("utf-8", "surrogatepass")
 
 
-def _hot(docs: DataFrame, model: PieceModel, rows: int, most_units: int, sample_texts: int) -> tuple[bytes, int]:
-    """The cache, as a compressed Arrow stream: units of a sample of texts that occur most, twice at least, and their ids as bytes. Units
-    that their ids don't spell aren't in it."""
-    share = min(1.0, sample_texts / max(1, rows))
-    pattern, prefix = model.units, model.prefix
+def _unit_counts(docs: DataFrame, model: PieceModel, held: int) -> DataFrame:
+    """(unit, n): how often each unit that can be in the cache occurs in all texts."""
+    pattern, prefix, longest = model.units, model.prefix, min(64, model.longest_unit)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen, words = re.compile(pattern, re.S).findall, Counter(), Counter()
+        find, seen, words, many = re.compile(pattern, re.S).findall, Counter(), [], 0
+
+        def report() -> pa.RecordBatch:
+            found = pc.value_counts(pa.chunked_array(words, pa.string()))
+            words.clear()
+            for part in (found.slice(at, 1 << 16) for at in range(0, len(found), 1 << 16)):
+                times = iter(part.field("counts").to_numpy().tolist())
+                for unit in find(SPACE + SPACE.join(part.field("values").to_numpy(zero_copy_only=False).tolist())):
+                    if unit[0] == SPACE:  # the first unit of the next word
+                        n = next(times)
+                    seen[unit] += n
+            some = [u for u in seen if len(u) <= longest]
+            out = pa.RecordBatch.from_pydict({"unit": pa.array(some, pa.string()), "n": pa.array([seen[u] for u in some], pa.int64())})
+            seen.clear()
+            return out
+
         for batch in batches:
             for part in slices(batch):
+                plain = []
                 for text in part.column(0).to_pylist():
-                    if some := _worded(text, prefix):
-                        words.update(some)
-                    else:
+                    if not prefix or not text or text[0] == " " or text[-1] == " " or "  " in text or SPACE in text:
                         seen.update(find(marked(text, prefix)))
-        for word, n in words.items():
-            for unit in find(SPACE + word):
-                seen[unit] += n
-        yield pa.RecordBatch.from_pydict({"unit": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    sample = docs.where((F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 40)) < int(share * (1 << 40))) & (F.length("text") <= 50_000)).select("text")
-    counts = sample.mapInArrow(counted, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    counts = settle_alone(counts.where((F.col("n") > 1) & (F.length("unit") <= min(64, model.longest_unit))))
-    sizes = {r["n"]: r["c"] for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    least, total = 1001, 0
-    for size in sorted(sizes, reverse=True):
-        if total + sizes[size] > most_units:
-            break
-        least, total = size, total + sizes[size]
-    got = encode_units(counts.where(F.col("n") >= least).select("unit").repartition("unit"), model, ["unit"]).toArrow()
-    drop_settled(counts)
-    sink, spelling = pa.BufferOutputStream(), spellings(model)
-    with pa.ipc.new_stream(sink, pa.schema({"unit": pa.string(), "ids": pa.binary()}), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        for batch in got.to_batches(max_chunksize=1 << 16):
-            pairs = [(u, i) for u, i in zip(batch.column("unit").to_pylist(), _id_bytes(batch.column("ids")), strict=True) if _spelt_by(spelling, i, u)]
-            out.write_batch(pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.string()), pa.array([i for _, i in pairs], pa.binary())], names=["unit", "ids"]))
+                    else:
+                        plain.append(text)
+                words.append(pc.split_pattern(pa.array(plain, pa.string()), " ").flatten())
+                many += len(words[-1])
+                if many + len(seen) >= held:
+                    yield report()
+                    many = 0
+        yield report()
+
+    return docs.select("text").mapInArrow(lean(counted), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def _hot(docs: DataFrame, model: PieceModel, rows: int, most_units: int, held: int) -> tuple[bytes, int]:
+    """The cache, as a compressed Arrow stream: units that occur most in all of ``docs``, twice at least, and their ids as bytes. Units
+    that their ids don't spell aren't in it. A task that holds ``held`` words reports their counts and starts anew, so
+    sums are exact; ``rows`` is the number of texts, none of which need no job."""
+    counts = settle_alone(_unit_counts(docs, model, held).where("n > 1")) if rows else None
+    spelling, cache = spellings(model), pa.schema({"unit": pa.string(), "ids": pa.binary()})
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(u, i) for u, i in zip(batch.column(0).to_pylist(), _id_bytes(batch.column(1)), strict=True) if _spelt_by(spelling, i, u)]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.string()), pa.array([i for _, i in pairs], pa.binary())], schema=cache)
+
+    if counts is None:
+        got = cache.empty_table()
+    else:
+        # Each count up to 22 has a size of its own; there are 1,008 sizes at most.
+        size = F.floor(F.log2("n") * 16)
+        sizes = {r["size"]: r["c"] for r in counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("c")).collect()}
+        least, total = max(sizes, default=0) + 1, 0
+        for one in sorted(sizes, reverse=True):
+            if total + sizes[one] > most_units:
+                break
+            least, total = one, total + sizes[one]
+        got = encode_units(counts.where(size >= least).select("unit").repartition("unit"), model, ["unit"]).mapInArrow(spelt, "unit string, ids binary").toArrow()
+        drop_settled(counts)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, cache, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(got.cast(cache).combine_chunks(), max_chunksize=1 << 16)
     raw = sink.getvalue().to_pybytes()
     return raw, hash(raw)
 
@@ -434,13 +466,13 @@ def spellings(model: PieceModel) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", most_units: int | None = None, sample_texts: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", most_units: int | None = None) -> DataFrame:
     """``docs`` with ``ids`` array<int> and ``exact`` boolean (decoding gives the text back); columns of these
     names are replaced, others pass through.
 
     A null text has null ids and null ``exact``; an empty text has no ids and is exact. A text with
     U+2581 itself isn't exact, as the model's form of a space is that sign. Repeated rows are encoded each.
-    ``most_units`` (HOT_UNITS) and ``sample_texts`` (SAMPLE_TEXTS) bound the cache, which changes no result.
+    ``most_units`` (HOT_UNITS) bounds the cache, which changes no result.
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("ids", "exact")]
@@ -450,11 +482,12 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", most_unit
     keyed = docs.withColumn("__key", F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if plain_kind(f.dataType)]))
     plain = keyed.select("__key", F.col(f"`{text_col}`").alias("text"))
     number = plain.where("text IS NOT NULL").count()
-    hot, mark = _hot(plain.where("text IS NOT NULL"), model, number, HOT_UNITS if most_units is None else most_units, SAMPLE_TEXTS if sample_texts is None else sample_texts)
+    hot, mark = _hot(plain.where("text IS NOT NULL"), model, number, HOT_UNITS if most_units is None else most_units, HELD)
     pattern, prefix, most = model.units, model.prefix, model.longest_unit
     byte, unknown = model.byte, model.unknown
     packed = pickle.dumps(({p: (i, s) for p, i, s in model.pieces}, spellings(model)))
     packed_mark = hash(packed)
+    free_unused()
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, inner, bound), find = _cached(hot, mark), re.compile(pattern, re.S).findall
@@ -463,8 +496,9 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", most_unit
             for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if text:
                     words, new = _worded(text, prefix), set()
-                    if words:
-                        for word in [w for w in set(words) if w not in known]:
+                    unknown = set(words).difference(known) if words else set()
+                    if words and len(known) < bound:
+                        for word in unknown:
                             in_word = find(SPACE + word)
                             if len(in_word) == 1:
                                 new.add(in_word[0])
@@ -474,8 +508,9 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text", most_unit
                                 new.update([u for u, got in zip(in_word, parts, strict=True) if got is None])
                             elif len(known) < bound:
                                 known[word] = b"".join(parts)
-                    else:
-                        new.update(u for u in find(marked(text, prefix)) if (u[1:] not in known if u[0] == SPACE else u not in inner))
+                    elif unknown or not words:
+                        whole = SPACE + SPACE.join(unknown) if words else marked(text, prefix)
+                        new.update(u for u in find(whole) if (u[1:] not in known if u[0] == SPACE else u not in inner))
                     new = [u for u in new if len(u) <= most]
                     units += new
                     keys += [key] * len(new)
@@ -555,5 +590,5 @@ def decode(df: DataFrame, model: PieceModel, ids_col: str = "ids") -> DataFrame:
 def op7_pieces(spark, sf_dir: str, model_path: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
     """Piece ids of the whole text of every one of ``documents``, and whether they decode to it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = encode(docs, load_model(model_path), most_units=MORE_UNITS, sample_texts=MORE_TEXTS)
+    out = encode(docs, load_model(model_path), most_units=MORE_UNITS)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "exact")

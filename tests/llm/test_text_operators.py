@@ -294,6 +294,22 @@ def test_pieces_cache(spark):
     assert "ab" in words
 
 
+@pytest.mark.parametrize("held", [1, 3, 1 << 18])
+def test_pieces_cache_counts_all_texts(spark, held):
+    """Counts are those of all texts, long ones too, however often a task reports what it holds; a unit that stands in few texts of many is in
+    the cache, and so are units that all have one high count."""
+    model = pieces.PieceModel(PIECES, "bpe", None, 0)
+    texts = ["ab"] * 2000 + ["ba b", "ba\nb", "bab " * 20_000 + "aab", "aab", ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = Counter(u for t in texts for u in pieces.units_of(t, model))
+    assert {r.unit: r.n for r in pieces._unit_counts(docs, model, held).collect()} == counts
+    words, inner, _ = pieces._cached(*pieces._hot(docs, model, len(texts), 1 << 10, held))
+    assert {pieces.SPACE + w for w in words} | inner.keys() == {u for u, n in counts.items() if n > 1 and set(u) <= set("ab" + pieces.SPACE)}
+    words, inner, _ = pieces._cached(*pieces._hot(docs, model, len(texts), 1, held))
+    assert words.keys() == {"bab"} and not inner
+    assert pieces._cached(*pieces._hot(docs.limit(0), model, 0, 1 << 10, held))[:2] == ({}, {})
+
+
 @pytest.mark.parametrize("kind", ["bpe", "unigram"])
 def test_pieces_lattice_by_lengths(spark, kind):
     """Only substrings of lengths that a piece of like beginning has meet the piece table, yet every piece in a unit is an edge, be its
