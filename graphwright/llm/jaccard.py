@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import component_labels
-from .settle import drop_settled, lean, settle, small_batches
+from .settle import drop_settled, free_unused, lean, settle, small_batches
 from .textvec import shingle_sets
 
 PERCENT = 80
@@ -141,7 +141,10 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     drop_settled(sums)
     keys = got.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.minimum(got.column("n").to_numpy(), (1 << 31) - 1).astype(np.int32)[order]
+    out = keys[order], np.minimum(got.column("n").to_numpy(), (1 << 31) - 1).astype(np.int32)[order]
+    del got, keys, order
+    free_unused()  # the driver's, which keeps the table's memory else
+    return out
 
 
 def _posting_rows(frequent: tuple[np.ndarray, np.ndarray]):

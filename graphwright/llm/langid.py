@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .settle import lean, small_batches
+from .settle import free_unused, lean, small_batches
 from .textvec import mix, span_hashes
 
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 5_000
@@ -265,7 +265,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     few = hashed.join(bounds, "lang").where("h <= bound").select("lang", "h", F.substring("text", start + 1, F.lit(SAMPLE_CHARS)).alias("text")).dropDuplicates(["lang", "h"])
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     got = sorted((r["lang"], r["text"]) for r in few.withColumn("nth", nth).where(F.col("nth") <= share).collect())
-    return train([t for _, t in got], [lang for lang, _ in got]) if got else None
+    model = train([t for _, t in got], [lang for lang, _ in got]) if got else None
+    free_unused()  # the driver's, which keeps what training took else
+    return model
 
 
 def label_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
