@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from .settle import free_unused, lean, small_batches
 from .textvec import mix, span_hashes
 
+#: Rows of the weights that a step of the fit changes at once, as training is on the driver.
+UPDATED = 1 << 13
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 5_000
 BUCKETS = 1 << 16
 LEXICON_WORDS = 300
@@ -232,16 +234,21 @@ def train(texts: list[str], langs: list[str]) -> Model:
             for c in range(w.affixes.shape[1]):
                 grad[:, j] += np.bincount(w.affixes[:, c], at_word[:, j], BUCKETS)
         step = np.exp(model.moves - model.moves.max())
-        joint = forward[later - 1][:, :, None] * step[None] * (e * backward)[later][:, None, :]
+        joint = forward[later - 1][:, :, None] * step[None]
+        joint *= (e * backward)[later][:, None, :]
         joint /= joint.sum((1, 2), keepdims=True)
+        joined = joint.sum(0)
+        del joint, forward, backward, e, p, miss
         moved = np.zeros((k, k))
         np.add.at(moved, (y[later - 1], y[later]), 1)
-        grads = {"weights": grad, "lexical": listed.T @ at_word, "moves": moved - joint.sum(0)}
+        grads = {"weights": grad, "lexical": listed.T @ at_word, "moves": moved - joined}
         for name, g in grads.items():
-            g = g / max(1, len(y)) * 100 - DECAY * params[name]
-            mean[name] = 0.9 * mean[name] + 0.1 * g
-            square[name] = 0.99 * square[name] + 0.01 * g * g
-            params[name] = params[name] + RATE * (mean[name] / (1 - 0.9**turn)) / (np.sqrt(square[name] / (1 - 0.99**turn)) + 1e-6)
+            for at in range(0, len(g), UPDATED):
+                part, m, s, d = (x[at : at + UPDATED] for x in (params[name], mean[name], square[name], g))
+                d = d / max(1, len(y)) * 100 - DECAY * part
+                m[:] = 0.9 * m + 0.1 * d
+                s[:] = 0.99 * s + 0.01 * d * d
+                part += RATE * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.99**turn)) + 1e-6)
     model.weights, model.lexical, model.moves = params["weights"].astype(np.float32), params["lexical"], params["moves"]
     return model
 

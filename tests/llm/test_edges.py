@@ -251,3 +251,18 @@ def test_workers_of_near_duplicates_hold_little_memory(monkeypatch):
     held, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert rows == 300 and freed and peak < 96 << 20 and held < 16 << 20
+
+
+def test_language_training_memory(monkeypatch):
+    """The weights are changed a few rows at a time, which takes less of the driver's memory and gives the same model."""
+    texts, langs = ["the cat sat on the mat", "le chat est sur le tapis", "die Katze sitzt auf der Matte", "el gato se sienta"] * 3, ["en", "fr", "de", "es"] * 3
+    peaks, models = [], []
+    for rows in (langid.BUCKETS, langid.UPDATED):
+        monkeypatch.setattr(langid, "UPDATED", rows)
+        tracemalloc.start()
+        models.append(langid.train(texts, langs))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    weights = models[0].weights.astype(float).nbytes
+    assert peaks[1] < peaks[0] - 2 * weights
+    assert all(np.array_equal(getattr(models[0], name), getattr(models[1], name)) for name in ("weights", "lexicon", "lexical", "moves"))
