@@ -7,6 +7,7 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +311,34 @@ def test_pieces_cache_counts_all_texts(spark, held):
     assert pieces._cached(*pieces._hot(docs.limit(0), model, 0, 1 << 10, held))[:2] == ({}, {})
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_pieces_look_ups(spark, clash, monkeypatch):
+    """Words and units of many texts are looked up at once, and found where the cache's dicts have them, be they long or alike but for their end;
+    where all hashes clash, what isn't found is encoded. Slices by rows and bytes keep all rows; texts may all be null."""
+    if clash:
+        monkeypatch.setattr(pieces._Known, "_hashes", staticmethod(lambda rows: np.zeros(len(rows), np.uint64)))
+    strings = ["a", "b", "ab", "", "a\0", "\u00e4" * 15, "\u00e4" * 16, "c" * 31, "c" * 32, "c" * 33]
+    asked = [*strings, "aa", "c" * 30, "", "\0", "\u00e4" * 15 + "c"]
+    got = pieces._Known(pa.array(strings)).find(pa.array(["x", *asked]).slice(1)).tolist()
+    want = [strings.index(x) if x in strings and len(x.encode()) < 32 else -1 for x in asked]
+    assert all(g in (w, -1) for g, w in zip(got, want, strict=True)) if clash else got == want
+    texts = ["ab ba", None, " ab  ba", "", "x\u2581y ab", "ba b", "ab\nba ab, zz", "a" * 40 + " ab"] * 20
+    words, ends, odd = pieces._worded(pa.array(texts[:8]), True)
+    assert words.to_pylist() == [w for t in (texts[0], *texts[4:8]) for w in t.split(" ")] and ends.tolist() == [0, 2, 2, 2, 2, 4, 6, 9, 11] and odd == [2, 3]
+    model = pieces.PieceModel(PIECES, "bpe", None, 0)
+    table = {p: (i, s) for p, i, s in PIECES}
+    want = Counter((t, None if t is None else tuple(x for u in pieces.units_of(t, model) for x in pieces.bpe_ids(u, None, 0, table))) for t in texts)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    monkeypatch.setattr(pieces, "SLICE_BYTES", 30)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    assert [t for part in pieces.slices(batch, 0) for t in part.column(0).to_pylist()] == texts and max(p.num_rows for p in pieces.slices(batch, 0)) < 8
+    for most in (0, 3, 1 << 10):
+        rows = pieces.encode(docs, model, most_units=most).collect()
+        assert Counter((r.text, None if r.ids is None else tuple(r.ids)) for r in rows) == want
+        assert all(r.exact == (None if r.text is None else set(r.text) <= set("ab ")) for r in rows)
+    assert [(r.ids, r.exact) for r in pieces.encode(docs.where("text IS NULL"), model).collect()] == [(None, None)] * 20
+
+
 @pytest.mark.parametrize("kind", ["bpe", "unigram"])
 def test_pieces_lattice_by_lengths(spark, kind):
     """Only substrings of lengths that a piece of like beginning has meet the piece table, yet every piece in a unit is an edge, be its
