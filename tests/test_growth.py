@@ -52,3 +52,19 @@ def test_a_run_has_small_tasks_unless_the_session_has_its_own_size(spark):
 def test_shapes_within_one_another_are_not_one_stage(spark):
     plan = entry.queries()["l_nested_not"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") <= 8
+
+
+@pytest.mark.parametrize("path", ["( ex:in [ sh:inversePath ex:at ] ex:at )", "( ( ex:in [ sh:inversePath ex:at ] ) ex:at )", "( ex:in [ sh:inversePath ( [ sh:inversePath ex:at ] ex:at ) ] )"])
+def test_a_sequence_goes_on_from_distinct_nodes(spark, path):
+    """40 nodes and 30 others meet in one place: what each of the 40 reaches beyond the 30 is one row, not 30."""
+    from graphwright.operators.paths import follow
+    from graphwright.plans.shapes import ShapesGraph
+    from graphwright.sources.graph import from_text
+
+    head = "@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix ex: <urn:ex:> .\n"
+    data = " ".join(f"ex:n{i} ex:in ex:p{i % 2} ." for i in range(80)) + " ".join(f"ex:m{i} ex:at ex:p0 , ex:q{i % 3} ." for i in range(30))
+    shapes = ShapesGraph.from_text(head + f"ex:S a sh:PropertyShape ; sh:path {path} .")
+    nodes = spark.createDataFrame([(f"<urn:ex:n{i}>",) * 2 for i in range(80)], "f string, v string")
+    got = [tuple(r) for r in follow(from_text(spark, head + data), nodes, shapes.path(shapes.value("<urn:ex:S>", "path"))).collect()]
+    want = {(f"<urn:ex:n{i}>", f"<urn:ex:{v}>") for i in range(0, 80, 2) for v in ("p0", "q0", "q1", "q2")}
+    assert len(got) == len(want) and set(got) == want
