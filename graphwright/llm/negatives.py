@@ -7,9 +7,9 @@ about the anchor. So the rows wanted for (anchor, positive) are the nearest ones
 * *Cells.* A tree of vantage points, made of SAMPLE rows at most, deals all rows into cells by their distance to the points on the
   way down; a cell of more than BLOCK rows is dealt into blocks. A request goes only to the cells that its annulus may meet, by the
   triangle inequality.
-* *Within a block* the tree goes on over all rows of it, halved by distance to a vantage point each time. A request walks it by a heap of
-  the least distances that nodes can have: nearest first, nodes inside of the annulus or beyond it left out. It ends
-  when the next node is farther than the k-th best row that was found.
+* *Within a block* the tree goes on over all rows of it, halved by distance to a vantage point each time. All requests of a block walk it at
+  once: each goes through the leaves by the least distance that their rows can have, nearest first, leaves inside of the annulus or beyond it
+  left out, and ends when its next leaf is farther than the k-th best row that it found. Requests that are at the same leaf are scored by one product.
 * *Whole results.* Each block answers with its k best, one window joins them. First every request asks the cell that it lies in; the
   k-th score found there goes along to all other cells as the annulus' new outer edge.
 
@@ -19,8 +19,6 @@ scores alone.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,8 +31,8 @@ from .topk import valid_vectors
 BLOCK, REQUESTS, PARTS, LEAST_BLOCK = 16_384, 8_192, 32, 1_024
 #: Rows that the vantage points of the cells are chosen from, those of the smallest hashes, and cells at most.
 SAMPLE, CELLS = 16_384, 1_024
-#: Rows of a leaf of a block's tree.
-LEAF = 128
+#: Rows of a leaf of a block's tree, at most.
+LEAF = 256
 SLACK = 1e-9
 
 
@@ -89,20 +87,20 @@ class Cells:
             todo += [(near, at[inside]), (far, at[~inside])]
         return out
 
-    def met(self, q: np.ndarray, inner: float, outer: float) -> list[int]:
-        """The cells that the annulus from ``inner`` to ``outer`` about q may have rows in."""
-        out, todo = [], [self.root]
+    def met(self, q: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> list[list[int]]:
+        """For each request the cells that the annulus from ``inner`` to ``outer`` about its q may have rows in."""
+        out: list[list[int]] = [[] for _ in q]
+        todo = [(self.root, np.arange(len(q)))]
         while todo:
-            node = todo.pop()
+            node, at = todo.pop()
             if len(self.nodes[node]) == 1:
-                out.append(self.nodes[node][0])
+                for i in at:
+                    out[i].append(self.nodes[node][0])
                 continue
             point, cut, near, far = self.nodes[node]
-            d = float(np.sqrt(((q - point) ** 2).sum()))
-            if d - outer <= cut and inner <= d + cut:
-                todo.append(near)
-            if d + outer > cut:
-                todo.append(far)
+            d = _distances(q[at], point)
+            inside, beyond = at[(d - outer[at] <= cut) & (inner[at] <= d + cut)], at[d + outer[at] > cut]
+            todo += [(child, some) for child, some in ((near, inside), (far, beyond)) if len(some)]
         return out
 
 
@@ -132,44 +130,66 @@ class Block:
             self.nodes[me][4] = (self._grow(first + half, last, rng), far[half], far[-1])
         return me
 
-    def nearest(self, q: np.ndarray, inner: float, outer: float, k: int, wanted, radius, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best rows of the annulus, best first; ties go to the smaller of ``ties``. ``wanted`` gives (places, scores) of
-        those of some places that may be answers, ``radius`` the distance of a score."""
-        best, score, reach = np.empty(0, np.int64), np.empty(0), outer
-        heap = [(0.0, 0)] if self.nodes else []
-        while heap:
-            least, node = heapq.heappop(heap)
-            if least > reach:
-                break
+    def bounds(self, q: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The rows of each leaf, and the least and the greatest distance that those of each leaf can have to each q (requests by leaves)."""
+        leaves, least, most = [], [], []
+        todo = [(0, np.zeros(len(q)), np.full(len(q), np.inf))] if self.nodes else []
+        while todo:
+            node, low, high = todo.pop()
             first, last, point, *children = self.nodes[node]
             if point is None:
-                at, s = wanted(self.order[first:last])
-                if not len(at):
-                    continue
-                best, score = np.concatenate([best, at]), np.concatenate([score, s])
-                if len(best) > k:
-                    keep = np.lexsort((ties[best], -score))[:k]
-                    best, score = best[keep], score[keep]
-                if len(best) >= k:
-                    reach = min(reach, radius(score.min()))
+                leaves.append(self.order[first:last])
+                least.append(low)
+                most.append(high)
                 continue
-            to = float(np.sqrt(((q - point) ** 2).sum()))
-            for child, near, far in children:
-                low, high = max(least, to - far, near - to), to + far
-                if low * (1 - SLACK) <= reach and high * (1 + SLACK) >= inner:
-                    heapq.heappush(heap, (low * (1 - SLACK), child))
-        order = np.lexsort((ties[best], -score))
-        return best[order], score[order]
-
-
-def _radius(square: float, score: float, up: bool) -> float:
-    """The distance of a row of this score, where ``square`` is |q|^2 + M; a little more, or less."""
-    if score == float("inf"):
-        return 0.0
-    if score == float("-inf"):
-        return float("inf")
-    wide = SLACK * (abs(square) + 2 * abs(score) + 1)
-    return float(np.sqrt(max(0.0, square - 2 * score + (wide if up else -wide))))
+            to = _distances(q, point)
+            todo += [(child, np.maximum(low, np.maximum(to - far, near - to)), to + far) for child, near, far in children]
+        return leaves, np.array(least).T, np.array(most).T
+
+    def nearest(self, q: np.ndarray, inner: np.ndarray, outer: np.ndarray, k: int, wanted, radius, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores), a row of k a request: the best rows of each one's annulus, best first; ties go to the smaller of ``ties``, a place that
+        isn't filled is -1. ``wanted(who, at, least)`` gives (request, place, score) of the rows at some places that may be answers of some requests
+        and score at least that of each; ``radius(who, scores)`` the distances of scores."""
+        best, score = np.full((len(q), k), -1), np.full((len(q), k), -np.inf)
+        leaves, low, high = self.bounds(q)
+        low, high, reach = low * (1 - SLACK), high * (1 + SLACK), outer.copy()
+        turns = np.argsort(low, axis=1, kind="stable")
+        alive = np.arange(len(q))
+        for turn in range(len(leaves)):
+            leaf = turns[alive, turn]
+            near = low[alive, leaf] <= reach[alive]  # a request's later leaves are no nearer
+            alive, leaf = alive[near], leaf[near]
+            if not len(alive):
+                break
+            meets = high[alive, leaf] >= inner[alive]
+            asks, leaf = alive[meets], leaf[meets]
+            by = np.argsort(leaf, kind="stable")
+            for group in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
+                if not len(group):
+                    continue
+                who, place, s = wanted(asks[group], leaves[leaf[group[0]]], score[asks[group], -1])
+                if not len(who):
+                    continue
+                some, of = np.unique(who, return_inverse=True)
+                place, s = np.concatenate([best[some].ravel(), place]), np.concatenate([score[some].ravel(), s])
+                of = np.concatenate([np.repeat(np.arange(len(some)), k), of])
+                order = np.lexsort((ties[place], -s, of))
+                order = order[place[order] >= 0]
+                of = of[order]
+                rank = np.arange(len(of)) - np.searchsorted(of, of)
+                order, of, rank = order[rank < k], of[rank < k], rank[rank < k]
+                best[some[of], rank], score[some[of], rank] = place[order], s[order]
+                full = some[best[some, -1] >= 0]
+                reach[full] = np.minimum(reach[full], radius(full, score[full, -1]))
+        return best, score
+
+
+def _radius(square: np.ndarray, score: np.ndarray, up: bool) -> np.ndarray:
+    """The distances of rows of these scores, where ``square`` is |q|^2 + M; a little more, or less."""
+    known = np.where(np.isfinite(score), score, 0.0)
+    wide = SLACK * (np.abs(square) + 2 * np.abs(known) + 1)
+    out = np.sqrt(np.maximum(0.0, square - 2 * known + (wide if up else -wide)))
+    return np.where(score == np.inf, 0.0, np.where(score == -np.inf, np.inf, out))
 
 
 _FOUND = "request long, row long, vec_id long, score double"
@@ -179,25 +199,28 @@ def _search(same: bool, k: int, size: int, most: float):
     """Answers of one block: the k best rows of each request's label (``same``), or of other ones, with low <= score <= high."""
 
     def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(rows) and len(asked):
-            x = _stack(rows["vector"], size)
-            tree = Block(_augmented(x, most), np.random.default_rng(7))
-            labels, ids, own = rows["label"].to_numpy(), rows["vec_id"].to_numpy(), rows["row"].to_numpy()
-            order = np.argsort(np.lexsort((own, ids)))  # ties by id, then by row
-            for request, anchor, label, low, high, q in zip(asked["request"], asked["anchor"], asked["label"], asked["low"], asked["high"], _stack(asked["vector"], size), strict=True):
-                square = float(q @ q) + most
-
-                def wanted(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                    s = x[at] @ q
-                    ok = (own[at] != anchor) & ((labels[at] == label) == same) & (s >= low) & (s <= high)
-                    return at[ok], s[ok]
-
-                reach = lambda s: _radius(square, s, True)
-                at, s = tree.nearest(np.append(q, 0.0), _radius(square, high, False), reach(low), k, wanted, reach, order)
-                found.append(pd.DataFrame({"request": np.full(len(at), request), "row": own[at], "vec_id": ids[at], "score": s}))
-        empty = {c: np.empty(0, np.int64) for c in ("request", "row", "vec_id")} | {"score": np.empty(0)}
-        return pd.concat(found) if found else pd.DataFrame(empty)
+        names = ("request", "row", "vec_id", "score")
+        if not len(rows) or not len(asked):
+            return pd.DataFrame({c: np.empty(0, np.int64) for c in names}).astype({"score": "float64"})
+        x, q = _stack(rows["vector"], size), _stack(asked["vector"], size)
+        tree = Block(_augmented(x, most), np.random.default_rng(7))
+        labels, ids, own = rows["label"].to_numpy(), rows["vec_id"].to_numpy(), rows["row"].to_numpy()
+        order = np.argsort(np.lexsort((own, ids)))  # ties by id, then by row
+        request, anchor, label, low, high = (asked[c].to_numpy() for c in ("request", "anchor", "label", "low", "high"))
+        square = (q * q).sum(1) + most
+
+        def wanted(who: np.ndarray, at: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            s = q[who] @ x[at].T
+            i, j = np.nonzero(s >= np.maximum(low[who], least)[:, None])
+            s, i, j = s[i, j], who[i], at[j]
+            ok = (own[j] != anchor[i]) & ((labels[j] == label[i]) == same) & (s <= high[i])
+            return i[ok], j[ok], s[ok]
+
+        radius = lambda who, s: _radius(square[who], s, True)
+        at, s = tree.nearest(np.column_stack([q, np.zeros(len(q))]), _radius(square, high, False), _radius(square, low, True), k, wanted, radius, order)
+        i, rank = np.nonzero(at >= 0)
+        at = at[i, rank]
+        return pd.DataFrame(dict(zip(names, (request[i], own[at], ids[at], s[i, rank]), strict=True)))
 
     return search
 
@@ -237,12 +260,10 @@ class _Table:
             for some in batches:
                 q = np.column_stack([_stack(some["vector"], size), np.zeros(len(some))])
                 own = cells.of(_augmented(q[:, :size], most))
-                met = []
-                for i, (low, high) in enumerate(zip(some["low"], some["high"], strict=True)):
-                    square = float(q[i] @ q[i]) + most
-                    at = [int(own[i])] if home else [c for c in cells.met(q[i], _radius(square, high, False), _radius(square, low, True)) if c != own[i]]
-                    met.append([c for c in at if c in filled])
-                some["cell"] = met
+                square = (q * q).sum(1) + most
+                inner, outer = _radius(square, some["high"].to_numpy(), False), _radius(square, some["low"].to_numpy(), True)
+                met = [[int(c)] for c in own] if home else [[c for c in at if c != mine] for at, mine in zip(cells.met(q, inner, outer), own, strict=True)]
+                some["cell"] = [[c for c in at if c in filled] for at in met]
                 yield some.explode("cell").dropna(subset=["cell"]).astype({"cell": "int32"})
 
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema)

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -236,6 +237,26 @@ def test_negatives_of_odd_rows(spark):
     assert negatives.hard_negatives(frame, F.lit(None).cast("boolean")).collect() == []
 
 
+def test_requests_walk_a_block_together(monkeypatch):
+    """300 requests of a block are one walk of its tree, with the rows of brute force."""
+    rng, calls, walk = np.random.default_rng(4), [], negatives.Block.nearest
+    monkeypatch.setattr(negatives, "LEAF", 16)
+    monkeypatch.setattr(negatives.Block, "nearest", lambda *given: calls.append(1) or walk(*given))
+    x = np.floor(rng.normal(size=(500, 6)) * 3)
+    x[400:] = x[0]
+    rows = pd.DataFrame({"row": np.arange(500), "vec_id": np.arange(500) // 2, "label": np.arange(500) % 3, "vector": list(x)})
+    asked = rows[:300].assign(request=np.arange(300) + 1000, anchor=np.arange(300), low=rng.integers(-20, 10, 300).astype(float), high=rng.integers(10, 40, 300).astype(float))
+    for same in (True, False):
+        got = negatives._search(same, 5, 6, float((x * x).sum(1).max()))(rows, asked)
+        want = set()
+        for r in asked.itertuples():
+            s = x @ r.vector
+            ok = [i for i in range(500) if i != r.anchor and (i % 3 == r.label) == same and r.low <= s[i] <= r.high]
+            want |= {(r.request, i, i // 2, s[i]) for i in sorted(ok, key=lambda i: (-s[i], i // 2, i))[:5]}
+        assert len(got) == len(want) and set(got.itertuples(index=False, name=None)) == want
+    assert len(calls) == 2
+
+
 @needs_tables
 def test_op13_matches_sql(spark):
     con = duckdb.connect()
